@@ -1,0 +1,38 @@
+"""Tables written to the folder that driver and executors share, to cut lineage."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+OWN_CHECKPOINT_DIR = "/tmp/seshat-checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, or OWN_CHECKPOINT_DIR where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR).rstrip("/")
+
+
+class Staging:
+    """A folder of written tables for one run of an operator.
+
+    ``write`` runs a plan once and returns a scan of its rows. The files outlive a lost executor, and
+    Spark knows their size, so that later joins broadcast them only below autoBroadcastJoinThreshold.
+    ``drop`` deletes a table that no later plan reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/seshat-{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
