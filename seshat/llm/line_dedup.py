@@ -141,3 +141,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     return flat.mapInArrow(_applied, f"`{id_column}` bigint, n_lines bigint, n_dropped bigint, text string")
 
 
+
+
+def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, *, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """``docs`` with all its rows and columns; texts lose the lines that ``dedup_lines`` drops.
+
+    Texts that lose none stay as they are, null ones too; ``length_column``, if there is one, gets the new
+    length in characters where lines went.
+    """
+    maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
+    named = maps.select(F.col("doc").alias("seshat_doc"), F.col("mark").alias("seshat_mark"), F.col("keep").alias("seshat_keep"))
+    on = (F.coalesce(docs[id_column].cast("bigint"), F.lit(_NULL_ID)) == named["seshat_doc"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == named["seshat_mark"])
+    joined = docs.join(named, on, "left").select(*docs.columns, "seshat_keep")
+    text, length = docs.columns.index(text_column), docs.columns.index(length_column) if length_column in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() if k in (text, length) else batch.column(k) for k in range(batch.num_columns - 1)]
+            for k, keep in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if keep is not None:
+                    columns[text][k] = kept_lines(columns[text][k], keep)
+                    if length is not None:
+                        columns[length][k] = len(columns[text][k])
+            for k in {text, length} - {None}:
+                columns[k] = pa.array(columns[k], batch.column(k).type)
+            yield pa.record_batch(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

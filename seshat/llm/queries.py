@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_dedup, quality_rules, secrets, token_counts, url_filter
+from . import byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, secrets, token_counts, url_filter
 
 TOKEN_LIMIT = 1024
 
@@ -30,6 +30,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", _sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(families, ",").alias("families"),
+        F.size(F.filter("notices", lambda n: n["confirmed"])).cast("bigint").alias("n_confirmed"), F.round(F.array_max(F.transform("notices", lambda n: n["chance"])), 6).alias("chance"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("*", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -45,6 +54,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", quality_classifier.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality_classifier.rate(docs, quality_classifier.train(docs, ratings))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents"))
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -62,7 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_token_counts, op4_byte_bpe, op5_quality_rules, op8_secrets, op9_line_dedup, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_secrets, op9_line_dedup, op10_url_filter)}
 
 #: For DuckDB, over the same tables. Operators with fitted models, tokenizers or lexers have none.
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +107,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL AND k.doc_id <> keeper)::BIGINT AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL OR k.doc_id = keeper), '')) AS kept_sha256
         FROM k LEFT JOIN c ON c.key = k.key GROUP BY k.doc_id""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        d AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM low),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (SELECT x, y FROM both_in JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+        edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.y) AS component_id
+        FROM d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2""",
 }
