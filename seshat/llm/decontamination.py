@@ -143,7 +143,8 @@ def keep_clean(docs: DataFrame, windows: Windows, *, text_column: str = "text")
         keyed = docs.withColumn("seshat_mark", F.xxhash64(text_column))
         bad = report(keyed, windows, id_column="seshat_mark", text_column=text_column).where("contaminated").select("seshat_mark").distinct()
         return keyed.join(bad, "seshat_mark", "left_anti").select(*docs.columns)
-    name = "seshat_words"
-    parts = docs.withColumn(name, words(docs[text_column]))
-    hits = parts.withColumn("seshat_hit", _covered(_hits(F.col(name), windows.by_size)))
-    return hits.where(~contamination(F.col("seshat_hit"), F.size(name).cast("bigint"))).select(*docs.columns)
+    own = docs.withColumn("seshat_words", words(docs[text_column]))
+    own = own.withColumn("seshat_hit", _covered(_hits(F.col("seshat_words"), windows.by_size)))
+    clean = ~contamination(F.col("seshat_hit"), F.size("seshat_words").cast("bigint"))
+    # A filter would be pushed below the columns that it is made of and split the text for each window.
+    return own.select(*docs.columns, F.explode(F.when(clean, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).alias("seshat_one")).select(*docs.columns)
