@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batch import constants, lower_ascii, mix, pieces, span_hash, spaced_words, utf8
-from .components import components
+from ..operators.components import components
 from .count_tree import LINK, CountTree, count_vectors
-from .staging import Staging
+from ..plans.staging import Staging
 
 SHINGLE = 5
 BANDS, ROWS = 40, 3
