@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seshat.llm import byte_bpe, decontamination, jaccard_join, line_dedup, quality_rules
-from seshat.llm.staging import Staging
+from seshat.plans.staging import Staging
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
