@@ -41,7 +41,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 3, *, direction: s
     Edges: (source, target, status). Ambiguous and unresolved ones are not walked, inferred ones only with
     ``include_uncertain``. Each level is one join on the frontier, written, so that plans stay short.
     """
-    wanted = ("stated", "exact", "inferred") if include_uncertain else ("stated", "exact")
+    wanted = ("stated", "extracted", "inferred") if include_uncertain else ("stated", "extracted")
     steps = oriented(edges.where(F.col("status").isin(*wanted)).select("source", "target"), direction).select("from_id", "to_id").distinct()
     staged = Staging(edges.sparkSession, "traverse")
     seen = staged.write(seeds.select(F.col("node").alias("target"), F.lit(0).alias("level")).distinct(), "level-0")
