@@ -105,10 +105,14 @@ def _scanned(docs: DataFrame, windows: Windows, id_column: str, text_column: str
     sizes = [r[0] for r in windows.table.select("size").distinct().collect()]  # WINDOW at most
     staged = Staging(docs.sparkSession, "decontamination")
     own = staged.write(own.withColumn("row", F.monotonically_increasing_id()), "words")
-    each = F.flatten(F.array(*(F.transform(_starts(F.size("words"), s), lambda i, s=s: F.struct(i.alias("start"), F.lit(s).alias("size"))) for s in sizes)))
+
+    def of(size: int) -> Column:
+        return F.transform(_starts(F.size("words"), size), lambda i: F.struct(i.alias("start"), F.lit(size).alias("size")))
+
+    each = F.flatten(F.array(*map(of, sizes)))
     cut = own.select("row", "words", F.explode(each).alias("hit")).select("row", "hit", window_at(F.col("words"), F.col("hit")["start"], F.col("hit")["size"]).alias("win"))
     cut = cut.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    wide = windows.table.select("win", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    wide = windows.table.select("win", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     hits = cut.join(wide, ["win", "salt"]).groupBy("row").agg(F.array_sort(F.collect_list("hit")).alias("hits"), F.collect_set("win").alias("wins"))
     none = F.array()
     joined = own.select("row", "doc", "mark", F.size("words").cast("bigint").alias("n_words")).join(hits, "row", "left")
