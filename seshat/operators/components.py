@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import Staging
 
 
+#: Edges that one task may join on its own; more go through rounds of stars.
+ONE_TASK = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a task: (number, the smallest of its component) for those that differ."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    pairs = [(x, find(x)) for x in root]
+    yield pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, staged: Staging, name: str) -> DataFrame:
+def components(links: DataFrame, staged: Staging, name: str, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b) with a > b for every linked a that isn't its component's smallest number, which is b.
 
-    links: (a, b) of 64-bit numbers, repeated or not. Each step maps neighbours to their smallest one, once
+    links: (a, b) of 64-bit numbers, repeated or not. At most ``one_task`` of them are joined in one task. Beyond,
+    each step maps neighbours to their smallest one, once
     for the larger neighbours and once for the smaller; a minimum is pre-aggregated, so a number with many
     links is no single task's list. Steps are written, and there are about as many as log2 of the longest
     shortest path.
@@ -23,6 +50,8 @@ def components(links: DataFrame, staged: Staging, name: str) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = staged.write(edges, f"{name}-0")
     before, k = _state(edges), 0
+    if before[0] <= one_task:
+        return staged.write(edges.coalesce(1).mapInArrow(_joined, "a bigint, b bigint").where("a <> b"), f"{name}-1")
     while before[0]:
         k += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
