@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 128
+GROUPS = 1024
 FAN_OUT = 16
 
 #: Two sets link when LINK[1] * intersection >= LINK[0] * (sum of sizes): 7 i >= 3 (a + b) is i / union >= 3 / 4.
@@ -20,7 +20,7 @@ def count_vectors(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     """One byte for each set and group, and what the set has beyond 255 in its groups, summed up."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    counts = np.bincount(owner * GROUPS + (values >> np.uint64(57)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+    counts = np.bincount(owner * GROUPS + (values >> np.uint64(54)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
     return np.minimum(counts, 255).astype(np.uint8), np.maximum(counts - 255, 0).sum(1)
 
 

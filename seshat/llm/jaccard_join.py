@@ -6,28 +6,30 @@
    range-partitioned together with nodes, so that a key of very many nodes is cut in chunks of CHUNK.
 3. In each chunk, and later in each pair of chunks of one key, an R-tree over count vectors names the pairs
    that can link. Pairs within a component that is already known are not searched.
-4. In rounds, each node's first candidates (1, then 4, then 16 ...) are verified on their whole sets, and
+4. In rounds, each node's first candidates (1, then 8, then 64 ...) are verified on their whole sets, and
    verified links merge components. A large group of near copies thus takes about one verified pair for
    each node, not all pairs; the rounds end only when no untested candidate joins two components.
 
-Only sets of candidates are gathered; a set travels with its pair, never with its group.
+Only nodes that share a key have their sets written; a set travels with its pair, never with its group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batch import constants, lower_ascii, mix, pieces, span_hash, spaced_words, utf8
 from ..operators.components import components
-from .count_tree import LINK, CountTree, count_vectors
 from ..plans.staging import Staging
+from .batch import constants, lower_ascii, mix, pieces, span_hash, spaced_words, utf8
+from .count_tree import LINK, CountTree, count_vectors
 
 SHINGLE = 5
 BANDS, ROWS = 40, 3
@@ -86,7 +88,7 @@ def _lists(flat: np.ndarray, width: int, rows: int) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n", "node", "bands", "vector", "over"]
+    names = ["id", "n", "node", "bands"]
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         for lo, hi in pieces(offsets):
@@ -94,19 +96,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(sets)
             full = np.flatnonzero(sizes)
             own = np.concatenate([sets[:-1][full], sets[-1:]])
-            vectors, over = count_vectors(values, own)
             keys = band_keys(values, own) if len(full) else np.zeros((0, BANDS), np.int64)
             numbers = set_numbers(values, own)
             rows = np.full(hi - lo, -1)
             rows[full] = np.arange(len(full))
             take = pa.array(rows, mask=rows < 0)
-            columns = [pa.array(numbers, pa.int64()), _lists(keys, BANDS, len(full)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(over, pa.int64())]
+            columns = [pa.array(numbers, pa.int64()), _lists(keys, BANDS, len(full))]
             yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array(sizes), *(c.take(take) for c in columns)], names=names)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, node): lists of two nodes or more with a key. ``chunk`` is -1 for a key that is whole here,
-    else a number of the list's own: for parts of a long list, and for keys at the partition's ends, of one node or more."""
+def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (key, node): lists of two nodes or more with a key, of ``size`` or a few more. ``chunk`` is -1 for a
+    key that is whole here, else a number of the list's own: for parts of a long list, and for keys at the
+    partition's ends, of one node or more."""
     task, numbers = TaskContext.get().partitionId(), count()
 
     def rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -130,48 +132,52 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.concatenate([held, nodes[: ends[0]]])
         for a, b in zip(starts[1:][ends[1:] - starts[1:] > 1].tolist(), ends[1:][ends[1:] - starts[1:] > 1].tolist(), strict=True):
             if b < len(keys):
-                for i in range(a, b, CHUNK):
-                    found.append((int(keys[a]), -1 if b - a <= CHUNK else number(), nodes[i : min(i + CHUNK, b)]))
+                for i in range(a, b, size):
+                    found.append((int(keys[a]), -1 if b - a <= size else number(), nodes[i : min(i + size, b)]))
         if len(starts) > 1:  # the first run has ended; the last may go on
             first_key, first = held_key, held
             if edge or len(first) > 1:
-                found += [(first_key, number() if edge or len(first) > CHUNK else -1, first[i : i + CHUNK]) for i in range(0, len(first), CHUNK)]
+                found += [(first_key, number() if edge or len(first) > size else -1, first[i : i + size]) for i in range(0, len(first), size)]
             held_key, held, edge = int(keys[-1]), nodes[starts[-1] :], False
-        while len(held) >= 2 * CHUNK:
-            found.append((held_key, number(), held[:CHUNK]))
-            held, edge = held[CHUNK:], True
+        while len(held) >= 2 * size:
+            found.append((held_key, number(), held[:size]))
+            held, edge = held[size:], True
         yield rows(found)
     if held_key is not None:
         yield rows([(held_key, number(), held)])
 
 
 def _candidates(limit: int):
-    """Of rows sorted by block: each node's first ``limit`` candidates in its block, and whether there are more."""
-
-    def of(node, n, vector, over, label, upto_n, upto, side, i, j) -> list[tuple]:
-        order = np.lexsort((node, n))
-        node, n, label, side = node[order], n[order], label[order], side[order]
-        tree = CountTree(vector[order], over[order], n, label)
-        out = []
-        for at in range(1, len(node)):
-            if upto_n[order[at]] >= _DONE:
-                continue
+    """Of rows sorted by block: each node's first ``limit`` candidates in its block, and whether there are more.
+
+    Nodes that share several keys meet in several blocks; the pair is taken in that of their least common key.
+    """
+
+    def of(block: dict[str, np.ndarray], vectors: np.ndarray, bands: np.ndarray) -> list[tuple]:
+        order = np.lexsort((block["node"], block["n"]))
+        node, n, over, label, side, bar_n, bar = (block[c][order] for c in ("node", "n", "over", "label", "side", "upto_n", "upto"))
+        if (label == label[0]).all():
+            return []
+        tree, bands, across, out = CountTree(vectors[order], over, n, label), bands[order], block["i"][0] != block["j"][0], []
+        for at in np.flatnonzero(bar_n < _DONE).tolist():
             near = tree.before(at)
-            if not len(near):
-                continue
-            if i != j:
+            if len(near) and across:
                 near = near[side[near] != side[at]]
-            bar_n, bar = upto_n[order[at]], upto[order[at]]
-            near = near[(n[near] > bar_n) | (n[near] == bar_n) & (node[near] > bar)]
-            out += [(int(node[at]), int(node[v]), int(n[v]), len(near) > limit) for v in near[:limit]]
+            if len(near):
+                common = np.where(bands[near] == bands[at], bands[at], _NULL_ID).min(1)
+                near = near[common == block["key"][0]]
+            if len(near):
+                near = near[(n[near] > bar_n[at]) | (n[near] == bar_n[at]) & (node[near] > bar[at])]
+            out += [(int(node[at]), int(label[at]), int(n[v]), int(node[v]), int(label[v]), len(near) > limit) for v in near[:limit].tolist()]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def blocks(table: pa.Table, last: bool) -> tuple[list[tuple], pa.Table | None]:
-            columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "vector"}
+            columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("vector", "bands")}
             vector = utf8(table.column("vector"))[0].reshape(table.num_rows, -1)
+            bands = pc.list_flatten(table.column("bands")).to_numpy().reshape(table.num_rows, -1)
             change = np.zeros(table.num_rows, bool)
             for c in ("key", "i", "j"):
                 change[1:] |= np.diff(columns[c]) != 0
@@ -180,12 +186,12 @@ def _candidates(limit: int):
             out, stop = [], len(starts) if last else len(starts) - 1
             for a, b in zip(starts[:stop].tolist(), ends[:stop].tolist(), strict=True):
                 if b - a > 1:
-                    out += of(*(columns[c][a:b] for c in ("node", "n")), vector[a:b], *(columns[c][a:b] for c in ("over", "label", "upto_n", "upto", "side")), columns["i"][a], columns["j"][a])
+                    out += of({c: x[a:b] for c, x in columns.items()}, vector[a:b], bands[a:b])
             return out, None if last else table.slice(starts[-1])
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
-            u, v, n, more = zip(*out, strict=True) if out else ((),) * 4
-            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(more, pa.bool_())], names=["u", "v", "n", "more"])
+            *ints, more = zip(*out, strict=True) if out else ((),) * 6
+            return pa.record_batch([*(pa.array(x, pa.int64()) for x in ints), pa.array(more, pa.bool_())], names=["u", "label_u", "n", "v", "label", "more"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -207,7 +213,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(np.diff(sets))
             own = np.concatenate([sets[:-1][full], sets[-1:]])
             parts = [values[a:b].tobytes() for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(set_numbers(values, own)), pa.array(parts, pa.binary())], names=["node", "set"])
+            vectors, over = count_vectors(values, own)
+            columns = [pa.array(set_numbers(values, own)), pa.array(np.diff(own)), pa.array(parts, pa.binary()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(over, pa.int64())]
+            yield pa.record_batch(columns, names=["node", "n", "set", "vector", "over"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +232,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     """The tables of one run. State: each node's label (component so far) and how far its candidates are tested."""
 
-    def __init__(self, docs: DataFrame, id_column: str, text_column: str):
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, id_column: str, text_column: str, chunk: int):
+        self.spark, self.chunk = docs.sparkSession, chunk
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.staged = Staging(self.spark, "jaccard")
         self.source = docs.select(docs[text_column].alias("text"), F.coalesce(docs[id_column].cast("bigint"), F.lit(_NULL_ID)).alias("id"))
         self.jobs = count()
-        schema = "id bigint, n bigint, node bigint, bands array<bigint>, vector binary, over bigint"
-        self.signatures = self.write(self.source.mapInArrow(_signatures, schema), "signatures")
-        firsts = [F.first(c).alias(c) for c in ("n", "bands", "vector", "over")]
-        grouped = self.signatures.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), *firsts)
+        self.signatures = self.write(self.source.mapInArrow(_signatures, "id bigint, n bigint, node bigint, bands array<bigint>"), "signatures")
+        grouped = self.signatures.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
         self.nodes = self.write(grouped, "nodes")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -243,13 +249,21 @@ class _Join:
         """(key, i, j, node, side): lists of nodes that meet whole, and parts of lists, which also meet in pairs."""
         keys = self.nodes.select(F.explode("bands").alias("key"), "node")
         dealt = keys.repartitionByRange(self.parts, "key", "node").sortWithinPartitions("key", "node")
-        chunks = self.write(dealt.mapInArrow(_chunks, "key bigint, chunk bigint, nodes array<bigint>"), "chunks")
+        chunks = self.write(dealt.mapInArrow(partial(_chunks, self.chunk), "key bigint, chunk bigint, nodes array<bigint>"), "chunks")
         whole = chunks.where("chunk < 0").groupBy("nodes").agg(F.min("key").alias("key"))
         same = whole.select("key", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.explode("nodes").alias("node"))
         parts = self.write(chunks.where("chunk >= 0"), "parts")
         own = parts.select("key", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.explode("nodes").alias("node"))
         return self.write(same.union(own).withColumn("side", F.lit(0).cast("bigint")), "blocks"), parts
 
+    def features(self, blocks: DataFrame) -> DataFrame:
+        """(node, rep, n, set, vector, over, bands) of the nodes in blocks, from the texts of their representatives."""
+        wanted = self.write(blocks.select("node").distinct().join(self.nodes.select("node", F.col("rep").alias("id"), "bands"), "node"), "wanted")
+        texts = self.source.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
+        sets = texts.mapInArrow(_sets, "node bigint, n bigint, set binary, vector binary, over bigint")
+        one = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "set", "vector", "over")))  # copies by one id
+        return self.write(one.join(wanted.withColumnRenamed("id", "rep"), "node"), "features")
+
     def cross(self, parts: DataFrame, state: DataFrame) -> DataFrame:
         """Pairs of parts of one key whose nodes are of two components or more. Parts that add no other component drop out."""
         rows = parts.select("key", "chunk", F.explode("nodes").alias("node")).join(state.select("node", "label"), "node")
@@ -261,27 +275,23 @@ class _Join:
         return self.write(side("i", 0).union(side("j", 1)), "cross")
 
     def search(self, blocks: DataFrame, state: DataFrame, limit: int) -> DataFrame:
-        """(u, v, n, more): first candidates of nodes that are not done, in blocks with two components or more."""
-        live = blocks.join(state, "node")
-        sums = live.groupBy("key", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("upto_n").alias("next"))
-        chosen = sums.where(f"low <> high AND next < {_DONE}").select("key", "i", "j")
-        rows = live.join(chosen, ["key", "i", "j"], "left_semi").join(self.nodes.select("node", "n", "vector", "over"), "node")
+        """(u, label_u, first, more): first candidates of nodes that are not done, in blocks with two labels or more."""
+        rows = blocks.join(state, "node")
+        if limit > 1:  # by now most blocks have one label
+            sums = rows.groupBy("key", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("upto_n").alias("next"))
+            rows = rows.join(sums.where(f"low <> high AND next < {_DONE}").select("key", "i", "j"), ["key", "i", "j"], "left_semi")
+        rows = rows.join(self.known.select("node", "n", "vector", "over", "bands"), "node")
         dealt = rows.repartition(self.parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = dealt.mapInArrow(_candidates(limit), "u bigint, v bigint, n bigint, more boolean")
-        distinct = found.groupBy("u", "v", "n").agg(F.max("more").alias("more"))
-        every = distinct.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("all"), F.max("more").alias("more"))
-        cut = every.select("u", F.slice("all", 1, limit).alias("first"), (F.col("more") | (F.size("all") > limit)).alias("more"))
+        found = dealt.mapInArrow(_candidates(limit), "u bigint, label_u bigint, n bigint, v bigint, label bigint, more boolean")
+        every = found.groupBy("u", "label_u").agg(F.array_sort(F.collect_set(F.struct("n", "v", "label"))).alias("all"), F.max("more").alias("more"))
+        cut = every.select("u", "label_u", F.slice("all", 1, limit).alias("first"), (F.col("more") | (F.size("all") > limit)).alias("more"))
         return self.write(cut, "found")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that link, as (a, b)."""
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = self.write(nodes.join(self.nodes.select("node", F.col("rep").alias("id")), "node"), "wanted")
-        texts = self.source.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets, "node bigint, set binary").join(wanted.select("node"), "node", "left_semi")
-        sets = self.write(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
-        first, second = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
-        joined = pairs.join(first, "u").join(second, "v").select("u", "v", "set_u", "set_v")
+    def verify(self, found: DataFrame) -> DataFrame:
+        """The labels (a, b) of pairs that link."""
+        pairs = found.select("u", "label_u", F.explode("first").alias("f")).select("u", "label_u", F.col("f.v").alias("v"), F.col("f.label").alias("label_v"))
+        first, second = (self.known.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
+        joined = pairs.join(first, "u").join(second, "v").select("label_u", "label_v", "set_u", "set_v")
         return self.write(joined.mapInArrow(_verified, "a bigint, b bigint"), "links")
 
     def rounds(self, blocks: DataFrame, state: DataFrame) -> DataFrame:
@@ -291,27 +301,25 @@ class _Join:
             found = self.search(blocks, state, limit)
             if found.isEmpty():
                 return state
-            links = self.verify(found.select("u", F.explode("first").alias("f")).select("u", F.col("f")["v"].alias("v")))
-            label = state.select("node", "label")
-            as_labels = links.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
-            merged = components(as_labels.select(F.col("la").alias("a"), F.col("lb").alias("b")), self.staged, f"{next(self.jobs)}-stars")
+            merged = components(self.verify(found), self.staged, f"{next(self.jobs)}-stars")
             last = F.element_at("first", -1)
             tested = found.where("more").select(F.col("u").alias("node"), last["n"].alias("next_n"), last["v"].alias("next"))
             moved = state.join(merged.withColumnsRenamed({"a": "label", "b": "into"}), "label", "left").join(tested, "node", "left")
             state = self.write(
                 moved.select("node", F.coalesce("into", "label").alias("label"), F.coalesce("next_n", F.lit(_DONE)).alias("upto_n"), F.coalesce("next", F.lit(0)).alias("upto")), "state"
             )
-            limit *= 4
+            limit *= 8
 
     def run(self) -> DataFrame:
         """(node, component) for the nodes whose component has a smaller id than their own copies."""
         blocks, parts = self.blocks()
+        self.known = self.features(blocks)
         fresh = lambda rows, label: rows.select("node", label.alias("label"), F.lit(-1).cast("bigint").alias("upto_n"), F.lit(0).cast("bigint").alias("upto"))
         state = self.rounds(blocks, self.write(fresh(blocks.select("node").distinct(), F.col("node")), "state"))
         cross = self.cross(parts, state)
         if not cross.isEmpty():
             state = self.rounds(cross, self.write(fresh(state, F.col("label")), "state"))
-        named = state.select("node", "label").join(self.nodes.select("node", "rep"), "node")
+        named = state.select("node", "label").join(self.known.select("node", "rep"), "node")
         least = named.groupBy("label").agg(F.min("rep").alias("component"))
         return self.write(named.join(least, "label").where("component <> rep").select("node", "component"), "components")
 
@@ -320,16 +328,17 @@ def _id(c: Column) -> Column:
     return F.when(c != _NULL_ID, c)
 
 
-def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per document: the id, n_shingles (size of its set) and component_id.
 
     component_id is the smallest id that links reach, the document's own included. A null, empty or blank
     text has an empty set and links with nothing, also not with its like. Null ids come after all others:
     a component of null ids only has a null one. Repeated rows give a row each. An empty table gives no
     rows; other columns of ``docs`` are not read, whatever their names. ``docs`` is read more than once.
+    chunk: nodes that are searched together; a bound on a task's memory, and no cap.
     Sets and their numbers are 64-bit hashes: of n distinct sets, n * n / 2 ** 65 pairs are expected to have the same number.
     """
-    join = _Join(docs, id_column, text_column)
+    join = _Join(docs, id_column, text_column, chunk)
     other = join.run()
     own = join.signatures.select("id", "n", "node").join(join.nodes.select("node", "rep"), "node", "left").join(other, "node", "left")
     return own.select(_id(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "rep", "id")).alias("component_id"))
