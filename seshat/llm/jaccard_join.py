@@ -237,13 +237,18 @@ class _Join:
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.staged = Staging(self.spark, "jaccard")
         self.source = docs.select(docs[text_column].alias("text"), F.coalesce(docs[id_column].cast("bigint"), F.lit(_NULL_ID)).alias("id"))
-        self.jobs = count()
+        self.jobs, self.written = count(), []
         self.signatures = self.write(self.source.mapInArrow(_signatures, "id bigint, n bigint, node bigint, bands array<bigint>"), "signatures")
         grouped = self.signatures.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
         self.nodes = self.write(grouped, "nodes")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        return self.staged.write(df, f"{next(self.jobs)}-{name}")
+        self.written.append(f"{next(self.jobs)}-{name}")
+        return self.staged.write(df, self.written[-1])
+
+    def clear(self, *kept: str) -> None:
+        """Deletes what has been written, but for tables of these names."""
+        self.staged.drop(*(w for w in self.written if w.partition("-")[2] not in kept))
 
     def blocks(self) -> tuple[DataFrame, DataFrame]:
         """(key, i, j, node, side): lists of nodes that meet whole, and parts of lists, which also meet in pairs."""
@@ -321,7 +326,9 @@ class _Join:
             state = self.rounds(cross, self.write(fresh(state, F.col("label")), "state"))
         named = state.select("node", "label").join(self.known.select("node", "rep"), "node")
         least = named.groupBy("label").agg(F.min("rep").alias("component"))
-        return self.write(named.join(least, "label").where("component <> rep").select("node", "component"), "components")
+        found = self.write(named.join(least, "label").where("component <> rep").select("node", "component"), "components")
+        self.clear("signatures", "nodes", "components")
+        return found
 
 
 def _id(c: Column) -> Column:
