@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(__fi
 def spark() -> SparkSession:
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
