@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .batch import distinct_spans, gather, pieces, pre_tokens, spans_bytes, utf8
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Splits a text before merges; fixed by the vocabulary. ``batch.pre_tokens`` finds its matches.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -172,7 +172,13 @@ def _sent_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([block.key], pa.binary()), ids, pa.array([_pack(block.offsets.astype("<i8").tobytes())], pa.binary()), pa.array([_pack(block.data)], pa.binary())], names=["block", "ids", "offsets", "texts"])
 
 
-def _reassembled(parts: int, id_type: pa.DataType):
+def _spelled(ids: bytes | None, vocabulary: str) -> bytes:
+    """The bytes of a text's ids: each id's row of the table of tokens, end to end."""
+    table, offsets = token_bytes(vocabulary)
+    return gather(table, offsets, np.frombuffer(ids or b"", "<u4").astype(np.int64))[0].tobytes()
+
+
+def _reassembled(parts: int, id_type: pa.DataType, decoded_by: str | None):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         rows = texts.to_pylist()
         out_ids: list = []
@@ -203,18 +209,15 @@ def _reassembled(parts: int, id_type: pa.DataType):
             for r in rows:
                 out_ids += r["ids"]
                 out += encoded
-        return pa.table({"id": pa.array(out_ids, id_type), "ids": pa.array(out, pa.binary())})
+        columns = {"id": pa.array(out_ids, id_type), "ids": pa.array(out, pa.binary())}
+        if decoded_by is not None:  # here, as a second Python stage would hold as much memory again
+            columns["decoded"] = pa.array([_spelled(ids, decoded_by) for ids in out], pa.binary())
+        return pa.table(columns)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: the id and ids, the token ids as little-endian unsigned 32-bit integers.
-
-    vocabulary: path of the file of ranks, on every machine. ``docs`` is read twice and must be the same
-    both times, as a table is. A null or empty text has no ids. Repeated rows and ids give a row each; an
-    empty table gives none; other columns of ``docs`` are not read, whatever their names.
-    """
+def _encoded(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, decoded: bool) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(docs[text_column].alias("text"), docs[id_column].alias("id"))
     kind = dict(source.dtypes)["id"]
@@ -222,20 +225,27 @@ def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_
     ids = words.repartition(parts, "part").mapInArrow(_encoded_words(vocabulary), "block binary, part int, ids binary")
     texts = source.mapInArrow(_sent_texts, f"block binary, ids array<{kind}>, offsets binary, texts binary")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    joined = texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembled(parts, arrow), f"id {kind}, ids binary")
+    joined = texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembled(parts, arrow, vocabulary if decoded else None), f"id {kind}, ids binary" + ", decoded binary" * decoded)
     return joined.withColumnRenamed("id", id_column)
 
 
+def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: the id and ids, the token ids as little-endian unsigned 32-bit integers.
+
+    vocabulary: path of the file of ranks, on every machine. ``docs`` is read twice and must be the same
+    both times, as a table is. A null or empty text has no ids. Repeated rows and ids give a row each; an
+    empty table gives none; other columns of ``docs`` are not read, whatever their names.
+    """
+    return _encoded(docs, vocabulary, id_column, text_column, False)
+
+
 def decode(encoded: DataFrame, vocabulary: str, *, ids_column: str = "ids") -> DataFrame:
     """``encoded`` with a column decoded: the bytes of its ids. Null ids give no bytes; unknown ids fail. No shuffle."""
     at = encoded.columns.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, offsets = token_bytes(vocabulary)
         for batch in batches:
-            parts = []
-            for ids in batch.column(at).to_pylist():
-                parts.append(gather(table, offsets, np.frombuffer(ids or b"", "<u4").astype(np.int64))[0].tobytes())
+            parts = [_spelled(ids, vocabulary) for ids in batch.column(at).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(parts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
@@ -243,6 +253,5 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_column: str = "ids") -> D
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    return decode(encode(docs, vocabulary, id_column=id_column, text_column=text_column), vocabulary)
-
-
+    """``encode``, with the bytes that the ids decode to."""
+    return _encoded(docs, vocabulary, id_column, text_column, True)
