@@ -16,20 +16,21 @@ def sha(data: str | bytes) -> str:
 
 
 def decontamination(docs, items) -> list[tuple]:
-    windows = []
+    windows: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
         w = WORD.findall((text or "").translate(AZ))
         n = min(13, len(w))
-        windows += [(tuple(w[i : i + n]), item) for i in range(len(w) - n + 1) if n]
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[n][tuple(w[i : i + n])].add(str(item))
     out = []
     for doc, text in docs:
         w = WORD.findall((text or "").translate(AZ))
         hit, found = set(), set()
-        for win, item in windows:
-            for i in range(len(w) - len(win) + 1):
-                if tuple(w[i : i + len(win)]) == win:
-                    hit.update(range(i, i + len(win)))
-                    found.add(str(item))
+        for n, of in windows.items():
+            for i in range(len(w) - n + 1):
+                if names := of.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    found |= names
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 

@@ -120,3 +120,8 @@ def test_secrets(spark, docs, none):
         assert not secrets.scan(clean)
     assert secrets.scan(None) == secrets.scan("") == []
     assert secrets.find(docs).where("size(spans) > 0").isEmpty() and secrets.find(docs).count() == docs.count() and secrets.find(none).isEmpty()
+
+
+def test_decode_alone(docs):
+    coded = byte_bpe.encode(docs, RANKS)
+    assert {(r["doc_id"], bytes(r["decoded"])) for r in byte_bpe.decode(coded, RANKS).collect()} == {(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
