@@ -113,3 +113,9 @@ def with_evidence(edges: DataFrame, evidence: DataFrame, chunks: DataFrame) -> t
     """Edges that have live evidence, and evidence that points to no chunk. evidence: (edge_id, chunk_id)."""
     live = evidence.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
     return edges.join(live, "edge_id", "left_semi"), evidence.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
+
+
+def signals(related_: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and rk: evidence of related nodes as a search signal, at the rank of its best node. evidence: (node, keys)."""
+    best = related_.select(F.col("target").alias("node"), "rk").join(evidence, "node").groupBy(*keys).agg(F.min("rk").alias("best"))
+    return best.withColumn("rk", F.row_number().over(Window.orderBy("best", *keys)).cast("bigint")).drop("best")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
@@ -39,3 +39,13 @@ def claims(evidence: DataFrame, limit: int = CLAIMS) -> DataFrame:
 def uncited(claims_: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Claims whose evidence isn't there; empty for a valid answer."""
     return claims_.join(evidence.select(key).distinct(), key, "left_anti")
+
+
+def gather(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """keys, kind, place: evidence of several kinds, each (keys, kind) once, kinds in the order given and rows by rk."""
+    rows = None
+    for k, (kind, df) in enumerate(parts.items()):
+        own = df.select(*keys, F.lit(kind).alias("kind"), F.lit(k).alias("seshat_k"), "rk")
+        rows = own if rows is None else rows.unionByName(own)
+    once = rows.groupBy(*keys, "kind", "seshat_k").agg(F.min("rk").alias("rk"))
+    return once.withColumn("place", F.row_number().over(Window.orderBy("seshat_k", "rk", *keys)).cast("bigint")).drop("seshat_k", "rk")

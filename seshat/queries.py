@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions.predicates import document_role, in_scope
 from .functions.text import anchor, entity_name, occurrences, tokens
-from .operators import code_graph, families, graph, keyword, memory, packing, reconcile, vector
+from .operators import code_graph, families, fusion, graph, keyword, listing, memory, packing, readiness, reconcile, vector
 from .plans import hybrid
-from .sources import bridge
+from .sources import bridge, markdown
 
 QUERY = "hention erbly thing the"
 PHRASE = "of_the"
@@ -437,3 +437,75 @@ def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MEM5, LST2."""
     rows = bridge.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("occurred_at"))
     return memory.recent(rows, "event_id", "occurred_at", F.lit(SINCE).cast("timestamp_ntz"), 50)
+
+
+@_register(f"WITH {_CHUNKS} SELECT d.vault_id, d.path, count(c.chunk_id)::BIGINT AS n_chunks FROM d LEFT JOIN c ON c.vault_id = d.vault_id AND c.path = d.path GROUP BY 1, 2")
+def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LST5."""
+    docs = bridge.documents(spark, sf_dir)
+    return listing.states(docs.select("vault_id", "path"), bridge.chunks(docs))
+
+
+@_register(f"WITH {_CHUNKS} SELECT vault_id, path, sha256(string_agg(text, chr(10) || chr(10) ORDER BY ordinal)) AS text_sha256 FROM c GROUP BY 1, 2")
+def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ14, LST4."""
+    return markdown.render(_chunks(spark, sf_dir)).select("vault_id", "path", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_register(f"WITH {_CHUNKS} SELECT vault_id, path, ordinal, row_number() OVER (PARTITION BY vault_id, path ORDER BY CASE WHEN token_count >= 10 THEN 0 ELSE 1 END, ordinal) AS rk FROM c QUALIFY rk <= 3")
+def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM4: up to three chunks of each document, longer ones first."""
+    return listing.excerpts(_chunks(spark, sf_dir), F.col("token_count") >= 10).select("vault_id", "path", "ordinal", "rk")
+
+
+@_register(f"WITH RECURSIVE {_HYBRID}, {_FAMILIES}, j AS (SELECT d.vault_id, fam.family_seed FROM hy JOIN d USING (doc_id) JOIN fam ON fam.vault_id = d.vault_id AND fam.path = d.path) SELECT CASE WHEN count(*) > 0 THEN (count(*) - count(DISTINCT vault_id || ':' || family_seed))::DOUBLE / count(*) ELSE 0 END AS ratio FROM j")
+def family_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET12."""
+    docs = bridge.documents(spark, sf_dir)
+    members = docs.select("vault_id", "path", "doc_id").join(_families(docs), ["vault_id", "path"]).select("vault_id", "family_seed", "doc_id")
+    return families.duplication(_hybrid(spark, sf_dir).join(members, "doc_id"))
+
+
+@_register("SELECT array_to_string(list_sort(list(DISTINCT event_type)), ',') AS revision FROM events")
+def index_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET4: distinct revisions, sorted and joined."""
+    return bridge.table(spark, sf_dir, "events").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("revision"))
+
+
+@_register(f"""WITH {_SNAPSHOTS}, p AS (SELECT coalesce(n.doc_id, o.doc_id) % 4 AS scope, CASE WHEN o.doc_id IS NULL OR (n.doc_id IS NOT NULL AND o.h IS DISTINCT FROM n.h) THEN 1 ELSE 0 END AS up, CASE WHEN n.doc_id IS NULL THEN 1 ELSE 0 END AS gone FROM o FULL JOIN n ON o.doc_id = n.doc_id)
+    SELECT scope, sum(up)::BIGINT AS upserts, sum(gone)::BIGINT AS tombstones, CASE WHEN sum(up) > 0 OR sum(gone) > 0 THEN 'stale' ELSE 'fresh' END AS state FROM p GROUP BY 1""")
+def stale_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET14, REC2, COD10."""
+    old, new = (df.withColumn("scope", F.col("doc_id") % 4) for df in _snapshots(spark, sf_dir))
+    return readiness.staleness(old, new, ["scope", "doc_id"], ["h"], "scope")
+
+
+_GRAPH_SIGNAL = """two AS (SELECT DISTINCT b.page_id FROM e a JOIN e b ON a.href = b.href WHERE a.page_id = 0 AND b.page_id <> 0),
+  gr AS (SELECT page_id AS doc_id, row_number() OVER (ORDER BY 'page:' || CAST(page_id AS VARCHAR)) AS rk FROM two QUALIFY rk <= 20)"""
+
+
+def _graph_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached = graph.paths(_mention_edges(spark, sf_dir), _seed(spark, "page:0"), 2).where("depth = 2").select("target").distinct()
+    pages = keyword.ranked(reached.orderBy("target").limit(LIMIT), [F.col("target")])
+    evidence = bridge.table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("node"), F.col("page_id").alias("doc_id"))
+    return graph.signals(pages, evidence, ["doc_id"])
+
+
+@_register(f"""WITH {_EDGES}, {_GRAPH_SIGNAL}, {_DOCS} {_bm25_sql('d', 'doc_id', QUERY.split(), limit=4 * LIMIT)},
+    sig AS (SELECT doc_id, 1.0::DOUBLE / (60 + rk) AS term, rk FROM top UNION ALL SELECT doc_id, 0.75::DOUBLE / (60 + rk), rk FROM gr),
+    fu AS (SELECT doc_id, round(sum(term), 9) AS fused, min(rk) AS best_rank FROM sig JOIN d USING (doc_id) GROUP BY 1)
+    SELECT *, row_number() OVER (ORDER BY fused DESC, best_rank, doc_id) AS rk FROM fu QUALIFY rk <= {LIMIT}""")
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA10, RET8: the keyword signal fused with pages that share a link with page 0."""
+    docs = bridge.documents(spark, sf_dir)
+    words = keyword.search(docs, QUERY, ["doc_id"], hybrid.candidate_limit(LIMIT))
+    fused = fusion.fuse({"keyword": words, "graph": _graph_signal(spark, sf_dir)}, ["doc_id"]).withColumn("fused", F.round("fused", 9))
+    live, _ = fusion.resolve(fused, docs.select("doc_id"), ["doc_id"])
+    return keyword.ranked(live.orderBy(*hybrid.order()).limit(LIMIT), hybrid.order()).drop("kinds")
+
+
+@_register(f"""WITH {_HYBRID}, {_EDGES}, {_GRAPH_SIGNAL}, a AS (SELECT doc_id, 'search' AS kind, 0 AS k, rk FROM hy UNION ALL SELECT doc_id, 'graph', 1, rk FROM gr)
+    SELECT doc_id, kind, row_number() OVER (ORDER BY k, rk, doc_id) AS place FROM a""")
+def evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PCK3."""
+    return packing.gather({"search": _hybrid(spark, sf_dir), "graph": _graph_signal(spark, sf_dir)}, ["doc_id"])

@@ -113,3 +113,11 @@ def references(files: DataFrame) -> DataFrame:
 def diagnostics(files: DataFrame) -> DataFrame:
     """(file_id, message) for files that can't be parsed, at most DIAGNOSTICS a file."""
     return _each(files, "file_id string, message string", lambda f: [(f.file_id, m) for m in parse(f.path, f.text)[2][:DIAGNOSTICS]])
+
+
+def lines(files: DataFrame, path: str, first: int, last: int, content_hash: str | None = None, limit: int = 12) -> DataFrame:
+    """(line, text) of a file, at most ``limit`` lines; none if the file is no longer the one with that hash."""
+    rows = files.where(F.col("path") == path)
+    rows = rows if content_hash is None else rows.where(F.col("content_hash") == content_hash)
+    each = rows.select(F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return each.where(F.col("line").between(first, min(last, first + limit - 1))).orderBy("line")

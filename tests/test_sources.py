@@ -78,6 +78,8 @@ def test_python_source(spark, tmp_path):
     found = {(r["source"], r["relation"], r["reference"]) for r in code.references(files).collect()}
     assert {("pkg.service.Service", "EXTENDS", "Base"), ("pkg.service.Service.name", "CALLS", "helper"), ("pkg.service.Service.run", "CALLS", "stop"), ("pkg.service.test_it", "TESTS", "helper"), ("pkg.service", "IMPORTS", "os")} <= found
     assert code.diagnostics(files).count() == 1
+    assert [tuple(r) for r in code.lines(files, "pkg/service.py", 2, 3).collect()] == [(2, "class Base:"), (3, "    pass")]
+    assert code.lines(files, "pkg/service.py", 2, 3, "other").isEmpty()
 
 
 def test_catalog(tmp_path):
