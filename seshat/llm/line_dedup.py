@@ -132,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     table gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
     maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
-    joined = _marked(docs, id_column, text_column).join(maps, ["doc", "mark"], "left")
+    joined = _marked(docs, id_column, text_column).join(maps.hint("merge"), ["doc", "mark"], "left")  # by shuffle, whatever the size
     n_lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]+", "")) + 1
     flat = joined.select(
         F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(id_column), n_lines.cast("bigint").alias("n_lines"),
@@ -152,7 +152,7 @@ def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int =
     maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
     named = maps.select(F.col("doc").alias("seshat_doc"), F.col("mark").alias("seshat_mark"), F.col("keep").alias("seshat_keep"))
     on = (F.coalesce(docs[id_column].cast("bigint"), F.lit(_NULL_ID)) == named["seshat_doc"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == named["seshat_mark"])
-    joined = docs.join(named, on, "left").select(*docs.columns, "seshat_keep")
+    joined = docs.join(named.hint("merge"), on, "left").select(*docs.columns, "seshat_keep")
     text, length = docs.columns.index(text_column), docs.columns.index(length_column) if length_column in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
