@@ -279,13 +279,16 @@ class _Join:
         side = lambda c, k: pairs.join(rows.select("key", F.col("chunk").alias(c), "node"), ["key", c]).select("key", "i", "j", "node", F.lit(k).cast("bigint").alias("side"))
         return self.write(side("i", 0).union(side("j", 1)), "cross")
 
+    def live(self, blocks: DataFrame, state: DataFrame) -> DataFrame:
+        """The blocks that have two labels or more and a node that is not done."""
+        rows = self.write(blocks.join(state, "node"), "rows")
+        sums = rows.groupBy("key", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("upto_n").alias("next"))
+        alive = sums.where(f"low <> high AND next < {_DONE}").select("key", "i", "j")
+        return self.write(rows.join(alive, ["key", "i", "j"], "left_semi").select("key", "i", "j", "node", "side"), "live")
+
     def search(self, blocks: DataFrame, state: DataFrame, limit: int) -> DataFrame:
-        """(u, label_u, first, more): first candidates of nodes that are not done, in blocks with two labels or more."""
-        rows = blocks.join(state, "node")
-        if limit > 1:  # by now most blocks have one label
-            sums = rows.groupBy("key", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("upto_n").alias("next"))
-            rows = rows.join(sums.where(f"low <> high AND next < {_DONE}").select("key", "i", "j"), ["key", "i", "j"], "left_semi")
-        rows = rows.join(self.known.select("node", "n", "vector", "over", "bands"), "node")
+        """(u, label_u, first, more): first candidates of nodes that are not done."""
+        rows = blocks.join(state.join(self.known.select("node", "n", "vector", "over", "bands"), "node"), "node")
         dealt = rows.repartition(self.parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         found = dealt.mapInArrow(_candidates(limit), "u bigint, label_u bigint, n bigint, v bigint, label bigint, more boolean")
         every = found.groupBy("u", "label_u").agg(F.array_sort(F.collect_set(F.struct("n", "v", "label"))).alias("all"), F.max("more").alias("more"))
@@ -303,6 +306,8 @@ class _Join:
         """The state when no untested candidate of the blocks joins two components."""
         limit = 1
         while True:
+            if limit > 1:  # by now most blocks have one label
+                blocks = self.live(blocks, state)
             found = self.search(blocks, state, limit)
             if found.isEmpty():
                 return state
