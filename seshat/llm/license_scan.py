@@ -38,7 +38,7 @@ NOTICES = {
     "lgpl": ("GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "Licensed under the LGPL v3"),
     "mit": ("Released under the MIT License", "The MIT License (MIT)", "SPDX-License-Identifier: MIT", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0"),
-    "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission", "Proprietary and confidential. Unauthorized copying is strictly prohibited", "Copyright holder reserves all rights; redistribution prohibited"),
+    "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission", "Proprietary and confidential. Unauthorized copying is strictly prohibited", "Copyright holder reserves all rights; redistribution prohibited", "All rights reserved"),
 }
 
 #: Paragraphs of other matters, with words that notices have too.
@@ -77,11 +77,11 @@ def model() -> Model:
     families = (*NOTICES, UNKNOWN)
     plain = {g for p in ORDINARY for g in n_grams(words(p))}
     grams = {g for ns in NOTICES.values() for n in ns for g in n_grams(words(n))} - plain
-    vocabulary = {g: k for k, g in enumerate(sorted(g for g in grams if not set(g.split(" ")) <= plain))}
+    vocabulary = {g: k for k, g in enumerate(sorted(grams))}
     rows = [(k, n_grams(words(n))) for k, ns in enumerate(NOTICES.values()) for n in ns]
     rows += [(k, n_grams(words(f"{o} {n} {o}"))) for k, ns in enumerate(NOTICES.values()) for n, o in zip(ns, ORDINARY, strict=False)]
     rows += [(len(families) - 1, n_grams(words(p))) for p in ORDINARY for _ in range(2)]
-    rows += [(len(families) - 1, [g]) for g in vocabulary if " " not in g]  # a lone word says little
+    rows += [(len(families) - 1, [g]) for g in vocabulary if " " not in g or set(g.split(" ")) <= plain]  # a lone word says little, as does a pair of ordinary ones
     weights, bias = fit_logistic([[vocabulary[g] for g in gs if g in vocabulary] for _, gs in rows], np.array([k for k, _ in rows]), len(vocabulary), len(families), l2=1e-4)
     return Model(families, {g: tuple(np.round(weights[k], 5).tolist()) for g, k in vocabulary.items()}, tuple(np.round(bias, 5).tolist()))
 
@@ -108,11 +108,16 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _pairs(parts: Column) -> Column:
+    """The word 2-grams of the words of a paragraph."""
+    starts = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", F.element_at(parts, i), F.element_at(parts, i + 1)))
+
+
 def _judged(parts: Column, m: Model) -> Column:
     """struct(family, chance, confirmed) for the words of a paragraph."""
     table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in m.weights.items() for x in pair))
-    pairs = F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.element_at(parts, i), F.element_at(parts, i + 1)))
-    found = F.filter(F.transform(F.concat(parts, pairs), lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
+    found = F.filter(F.transform(F.concat(parts, _pairs(parts)), lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
     zero = F.array(*[F.lit(0.0)] * len(m.bias))
 
     def scores(weights: Column) -> Column:
@@ -148,10 +153,12 @@ def scan(docs: DataFrame, least: float = LEAST, *, id_column: str = "doc_id", te
     each; an empty table gives none; other columns of ``docs`` are not read. No shuffle, no Python.
     """
     m = model()
-    cues = sorted(g for g in m.weights if " " not in g)  # each feature has such a word
+    cues = sorted(g for g in m.weights if " " not in g)
+    pair_cues = sorted(g for g in m.weights if " " in g and not set(g.split(" ")) & set(cues))  # features without such a word
+    cued = lambda parts: F.exists(parts, lambda w: w.isin(cues)) | F.exists(_pairs(parts), lambda g: g.isin(pair_cues))
     lines = F.transform(F.split(F.col("text"), "\n"), lambda t, k: F.struct(k.alias("line"), F.regexp_extract_all(F.lower(t), F.lit(WORD), 0).alias("words")))
     own = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    cut = own.select("id", F.size(F.split("text", "\n")).alias("n_paragraphs"), F.filter(lines, lambda p: F.exists(p["words"], lambda w: w.isin(cues))).alias("cued"))
+    cut = own.select("id", F.size(F.split("text", "\n")).alias("n_paragraphs"), F.filter(lines, lambda p: cued(p["words"])).alias("cued"))
     judged = F.transform(F.col("cued"), lambda p: F.struct(p["line"].alias("line"), _judged(p["words"], m).alias("j")))
     kept = F.filter(judged, lambda p: (p["j"]["family"] != UNKNOWN) & (p["j"]["chance"] >= least))
     notices = F.transform(kept, lambda p: F.struct(p["line"].alias("line"), p["j"]["family"].alias("family"), p["j"]["chance"].alias("chance"), p["j"]["confirmed"].alias("confirmed")))

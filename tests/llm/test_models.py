@@ -70,6 +70,14 @@ def test_license_plan_is_as_in_python(spark, docs, none):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).isEmpty()
 
 
+@pytest.mark.parametrize("text", ["All rights reserved.", "Copyright 2024 Some Body. ALL RIGHTS RESERVED"])
+def test_notices_of_ordinary_words_are_named(spark, text):
+    assert license_scan.classify(text)[::2] == ("proprietary", True)
+    ordinary = "All rights of way\nThe state reserved all rights"
+    found = license_scan.scan(spark.createDataFrame([(1, f"{ordinary}\n{text}")], "doc_id bigint, text string")).collect()
+    assert [(n["line"], n["family"], n["confirmed"]) for n in found[0]["notices"]] == [(2, "proprietary", True)]
+
+
 PAGES = [
     (1, "https://a.example.com/en/7?x", "a.example.com", "/en/7", "example.com/en/7", "allow"), (2, "http://X.COM/en/", "x.com", "/en/", "com/en/", "block"), (3, "http://b.net/de/8", "b.net", "/de/8", "net/de/", "allow"),
     (4, "http://a.example.net/de/81#f", "a.example.net", "/de/81", "example.net/de/8", "block"), (5, "http://notexample.net/de/8", "notexample.net", "/de/8", "net/de/", "allow"), (6, "ftp://o.org/es/x", "o.org", "/es/x", "org/es/", "block"),
