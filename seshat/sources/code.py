@@ -81,6 +81,7 @@ def parse(path: str, text: str) -> tuple[list[tuple], list[tuple], list[str]]:
                 references.extend((owner, "IMPORTS", a.name) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
                 base = "." * child.level + (child.module or "")
+                references.append((owner, "IMPORTS", base))
                 references.extend((owner, "IMPORTS", f"{base}.{a.name}" if base.strip(".") else f"{base}{a.name}") for a in child.names)
             elif isinstance(child, ast.Call) and (called := _dotted(child.func)):
                 test = owner.rsplit(".", 1)[-1].startswith("test")

@@ -84,6 +84,30 @@ def test_references_and_traversal(spark):
     assert code_graph.traverse(calls, seed, 8, include_uncertain=False).isEmpty()
 
 
+def test_references_in_files(spark):
+    files = [(r, f"{r}/{p}", p) for r, p in (("r", "pkg/a.py"), ("r", "pkg/b.py"), ("r", "lib/src/c.py"), ("q", "pkg/a.py"))]
+    declared = [
+        ("r/pkg/a.py", "module", "pkg.a"), ("r/pkg/a.py", "function", "pkg.a.run"), ("r/pkg/a.py", "class", "pkg.a.Box"), ("r/pkg/a.py", "method", "pkg.a.Box.put"), ("r/pkg/b.py", "module", "pkg.b"),
+        ("r/pkg/b.py", "function", "pkg.b.run"), ("r/pkg/b.py", "function", "pkg.b.Box"), ("r/lib/src/c.py", "module", "c"), ("r/lib/src/c.py", "function", "c.only"), ("q/pkg/a.py", "function", "pkg.a.only"),
+        ("q/pkg/a.py", "module", "pkg.a"),
+    ]
+    wanted = {
+        ("r/pkg/a.py", "pkg.a", "CALLS", "run"): ("same_file", "r pkg.a.run"), ("r/pkg/b.py", "pkg.b", "CALLS", "run"): ("same_file", "r pkg.b.run"), ("r/lib/src/c.py", "c.only", "CALLS", "run"): ("imported", "r pkg.b.run"),
+        ("r/lib/src/c.py", "c", "IMPORTS", "pkg.b"): ("qualified", "r pkg.b"), ("r/lib/src/c.py", "c", "EXTENDS", "Box"): ("name", "r pkg.a.Box"), ("r/pkg/a.py", "pkg.a.run", "CALLS", "Box.put"): ("module", "r pkg.a.Box.put"),
+        ("r/pkg/b.py", "pkg.b", "CALLS", ".a.run"): ("relative", "r pkg.a.run"), ("r/pkg/b.py", "pkg.b", "IMPORTS", ".a"): ("qualified", "r pkg.a"), ("r/pkg/b.py", "pkg.b", "IMPORTS", "a"): ("qualified", "r pkg.a"),
+        ("r/pkg/b.py", "pkg.b", "IMPORTS", "package:x/src/c.dart"): ("path", "r c"), ("r/pkg/b.py", "pkg.b", "IMPORTS", "package:x/src/c.py"): ("path", "r c"), ("r/pkg/b.py", "pkg.b", "IMPORTS", "pkg.a.run"): (None, None),
+        ("q/pkg/a.py", "pkg.a", "CALLS", "only"): ("same_file", "q pkg.a.only"), ("q/pkg/a.py", "pkg.a", "CALLS", "put"): (None, None), ("r/pkg/a.py", "pkg.a", "CALLS", "a.Box"): ("suffix", "r pkg.a.Box"),
+        ("r/pkg/a.py", "pkg.a", "CALLS", "only"): ("name", "r c.only"), ("r/pkg/a.py", "pkg.a", "READS", "run"): (None, None), ("r/pkg/a.py", "pkg.a", "CALLS", " 'run' "): ("same_file", "r pkg.a.run"),
+    }
+    symbols = spark.createDataFrame([(f, f"{f[0]} {q}", k, q.rsplit(".", 1)[-1], q) for f, k, q in declared], "file_id string, symbol_id string, kind string, name string, qualified_name string")
+    references = spark.createDataFrame([*wanted, ("r/lib/src/c.py", "c", "CALLS", "dynamic:x.run"), ("r/lib/src/c.py", "c", "DEFINES", "put")], "file_id string, source string, relation string, reference string")
+    found = code_graph.resolve(references, symbols, spark.createDataFrame(files, "repository_id string, file_id string, path string")).collect()
+    rows = {(r["file_id"], r["source"], r["relation"], r["reference"]): r for r in found}
+    assert {k: (rows[k]["by"], rows[k]["symbol_id"]) for k in wanted} == wanted and len(found) == len(wanted) + 2
+    assert all(rows[k]["status"] == ("inferred" if by else "unresolved") for k, (by, _) in wanted.items())
+    assert rows[("r/lib/src/c.py", "c", "CALLS", "dynamic:x.run")]["status"] == "ambiguous" and rows[("r/lib/src/c.py", "c", "DEFINES", "put")]["status"] == "inferred"
+
+
 def test_budget_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 4), (4, 1), (5, 1)], "rk long, cost long")
     assert [(r["rk"], r["admitted"], r["used"]) for r in packing.admit(rows, [F.col("rk")], F.col("cost"), 10).orderBy("rk").collect()] == [(1, True, 5), (2, False, 5), (3, True, 9), (4, True, 10), (5, False, 10)]

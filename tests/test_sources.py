@@ -82,6 +82,11 @@ def test_python_source(spark, tmp_path):
     assert code.lines(files, "pkg/service.py", 2, 3, "other").isEmpty()
 
 
+def test_imports_of_members_name_their_module():
+    found = code.parse("pkg/a.py", "from pkg.b import run, stop\nfrom . import c\n")[1]
+    assert [r[2] for r in found if r[1] == "IMPORTS"] == ["pkg.b", "pkg.b.run", "pkg.b.stop", ".", ".c"]
+
+
 def test_catalog(tmp_path):
     catalog = Catalog((Vault("a", "/a", content_scopes=("wiki", "raw")), Vault("b", "/b", enabled=False)))
     catalog.save(str(tmp_path / "c.json"))
