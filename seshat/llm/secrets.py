@@ -23,13 +23,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: name, separator, then what is assigned up to the end of the statement.
-_NAMED = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w$.-]{0,80})["']?[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*""")
+_NAMED = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w$.-]*+)["']?[ \t]*+(?::=|=>|[:=](?![=:]))[ \t]*""")
 _VALUE = re.compile(r"""(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)|(?P<bare>[^\s"'`,;{}()\[\]<>|#]+)""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 
 #: Parts of names and what they say about the literal.
 _SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "privatekey": 3, "accesskey": 3, "auth": 2, "bearer": 2, "private": 1, "access": 1, "api": 1, "client": 1, "key": 1, "signing": 1, "encryption": 1, "session": 1, "salt": 1, "pass": 2}
 _HARMLESS = {"public", "length", "size", "count", "limit", "name", "type", "url", "uri", "path", "file", "id", "expires", "ttl", "header", "field", "policy", "hint", "label"}
+#: Parts of names whose literals may have several words, and texts that ask for or speak of such a literal.
+_PHRASED = {"password", "passwd", "passphrase", "pwd", "secret", "credential", "credentials"}
+_PROMPTS = re.compile(r"(?i)^(?:please|enter|type|choose|confirm|repeat|forgot|invalid|wrong|incorrect|missing|the|a|new|no)\b.*\b(?:pass|password|passwd|passphrase|pwd|secret|credentials?)\b")
 _DUMMIES = re.compile(r"(?i)^(?:x+|\*+|none|null|true|false|example|changeme|password|secret|token|your[-_ ].*|<.*>|\$\{.*\}|\$\w+|%\w+%|\{\{.*\}\})$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 4.0
@@ -44,10 +47,16 @@ def sensitivity(name: str) -> int:
     return sum(_SENSITIVE.get(p, 0) for p in (*parts, *joined))
 
 
-def randomness(literal: str) -> float:
-    """0 for a word or a phrase; more for many kinds of characters and high entropy; -4 for placeholders."""
-    if len(literal) < MIN_LITERAL or _DUMMIES.match(literal) or " " in literal.strip():
+def phrased(name: str) -> bool:
+    return sensitivity(name) > 0 and any(p.lower() in _PHRASED for p in _PARTS.findall(name))
+
+
+def randomness(literal: str, phrase: bool = False) -> float:
+    """0 for a word; more for many kinds of characters and high entropy; -4 for placeholders, and for several words unless they may be a ``phrase``."""
+    if len(literal) < MIN_LITERAL or _DUMMIES.match(literal):
         return -4.0
+    if " " in literal.strip():
+        return 1.0 if phrase and not _PROMPTS.match(literal.strip()) else -4.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     digits = any(c.isdigit() for c in literal)
@@ -82,15 +91,18 @@ def lexed(text: str) -> list[tuple[int, int]]:
         return []
     assigned = named_literals(text)
     reach: dict[str, int] = {}
+    phrases = {name for name, _, _ in assigned if phrased(name)}
     for name, _, names in reversed(assigned):  # a later use makes an earlier constant sensitive
         score = max(sensitivity(name), reach.get(name, 0))
         for n in names:
             reach[n] = max(reach.get(n, 0), score)
+            if name in phrases:
+                phrases.add(n)
     out = set()
     for name, spans, _ in assigned:
         score = max(sensitivity(name), reach.get(name, 0))
         if score >= 2:
-            out.update((a, b) for a, b in spans if score + randomness(text[a:b]) >= THRESHOLD)
+            out.update((a, b) for a, b in spans if score + randomness(text[a:b], name in phrases) >= THRESHOLD)
     return sorted(out)
 
 

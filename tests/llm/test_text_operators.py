@@ -122,6 +122,17 @@ def test_secrets(spark, docs, none):
     assert secrets.find(docs).where("size(spans) > 0").isEmpty() and secrets.find(docs).count() == docs.count() and secrets.find(none).isEmpty()
 
 
+def test_secrets_of_long_names_and_phrases():
+    named = lambda text: [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"]
+    assert named(f'{"service.settings." * 8}auth_credential = "Zm9vYmFyMTIzNDU2"') == ["Zm9vYmFyMTIzNDU2"]
+    for name in ("passphrase", "pwd", "db_credential"):
+        assert named(f'{name} = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert named('x = "correct horse battery staple"\npassphrase = x') == ["correct horse battery staple"]
+    for clean in ('passphrase = "Enter your passphrase"', 'title = "correct horse battery staple"', 'pwd_hint = "correct horse battery staple"', 'auth_session = "an ordinary line of words"'):
+        assert not named(clean)
+    assert not secrets.scan("x" * 200_000 + " \t" * 100_000)
+
+
 def test_decode_alone(docs):
     coded = byte_bpe.encode(docs, RANKS)
     assert {(r["doc_id"], bytes(r["decoded"])) for r in byte_bpe.decode(coded, RANKS).collect()} == {(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
