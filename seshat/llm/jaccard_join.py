@@ -2,7 +2,7 @@
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets are one node from here on.
 2. Nodes meet under BANDS keys of ROWS minimum hashes each. A pair of similarity 3/4 has no key in common
-   with a chance of (1 - 0.75 ** ROWS) ** BANDS, 8e-10, and more similar pairs with less. Keys are
+   with a chance of (1 - 0.75 ** ROWS) ** BANDS, 3e-10, and more similar pairs with less. Keys are
    range-partitioned together with nodes, so that a key of very many nodes is cut in chunks of CHUNK.
 3. In each chunk, and later in each pair of chunks of one key, an R-tree over count vectors names the pairs
    that can link. Pairs within a component that is already known are not searched.
