@@ -33,10 +33,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
     families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
-    return found.select(
-        "doc_id", "n_paragraphs", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(families, ",").alias("families"),
-        F.size(F.filter("notices", lambda n: n["confirmed"])).cast("bigint").alias("n_confirmed"), F.round(F.array_max(F.transform("notices", lambda n: n["chance"])), 6).alias("chance"),
-    )
+    return found.select("doc_id", "n_paragraphs", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(families, ",").alias("families"), "n_unknown", F.round(F.array_min(F.transform("notices", lambda n: n["chance"])), 6).alias("least_chance"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

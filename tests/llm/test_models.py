@@ -46,36 +46,72 @@ def test_rate_takes_all_rows(docs, none, rows):
     assert quality_classifier.rate(none, None).isEmpty()
 
 
-@pytest.mark.parametrize("text", ["Thndou erhaha the of and", "The general public was free in version 3", "MIT is a university", "A licence to drive costs money", "Software under license", "die freie Arbeit ist unter dem Tisch", ""])
-def test_ordinary_paragraphs_are_unknown(text):
-    assert license_scan.classify(text)[0] == license_scan.UNKNOWN
+#: Texts outside the scan's tables: whole and wrapped ones, and notices in six languages.
+LICENSED = [
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the "Software"),\nto deal in the Software without restriction, including without limitation\nthe rights to use, copy, modify, merge, publish, distribute, sublicense,\nand/or sell copies of the Software, and to permit persons to whom the\nSoftware is furnished to do so, subject to the following conditions:'),
+    ("mit", "# Released under the MIT License by the contributors"), ("mit", "Der Quelltext steht unter der MIT-Lizenz."), ("mit", "Le code source est sous licence MIT"), ("mit", "El código se publica con licencia MIT"), ("mit", "Il codice è rilasciato con licenza MIT"), ("mit", "O código usa a licença MIT"), ("mit", "License: MIT License"),
+    ("apache", '// Licensed under the Apache License, Version 2.0 (the "License");'), ("apache", "Der Code ist unter der Apache License 2.0 veröffentlicht."), ("apache", "Copyright 2020 The Authors\nLicensed to you under the Apache License, Version 2.0"), ("apache", "Distribuido bajo la Apache License 2.0"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"), ("bsd", "Neither the name of the University nor the names of its contributors\nmay be used to endorse or promote products derived from this software\nwithout specific prior written permission."), ("bsd", "Code under a BSD-style license, see LICENSE"), ("bsd", "The package comes under the 3-Clause BSD License"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2, or later."), ("gpl", "Logiciel libre distribué sous GNU GPL v3"), ("gpl", "Software libre bajo GNU General Public License"), ("gpl", "Freigegeben unter GPLv3"),
+    ("lgpl", "This library is licensed under the GNU Lesser General Public License version 3"), ("lgpl", "License: LGPL-2.1-only"), ("agpl", "The server is under the GNU Affero General Public License v3"), ("mpl", "The contents of this file are subject to the Mozilla Public License 2.0"), ("mpl", "License: MPL-2.0"),
+    ("cc-by", "Figures are under a Creative Commons Attribution 4.0 International License"), ("cc-by", "Contenu sous CC BY 4.0"), ("cc-by-sa", "Articles are published under CC BY-SA 4.0 unless noted"), ("cc-by-sa", "Inhalte stehen unter der Lizenz CC BY-SA 3.0"), ("cc-by-nc", "Photos: CC BY-NC 4.0"), ("cc-by-nc", "Imágenes bajo CC BY-NC-ND 4.0"), ("cc0", "Data set: CC0 1.0"), ("cc0", "Waived into the commons with Creative Commons Zero"),
+    ("proprietary", "© 2021 Example Corp. All rights reserved."), ("proprietary", "(c) Verlag, alle Rechte vorbehalten"), ("proprietary", "© Éditions. Tous droits réservés"), ("proprietary", "Editorial. Todos los derechos reservados."), ("proprietary", "Editore, tutti i diritti riservati"), ("proprietary", "Editora, todos os direitos reservados"), ("proprietary", "This file is proprietary and confidential; do not pass it on."),
+]
+
+UNLICENSED = [
+    "Thndou erhaha the of and", "The general public was free in version 3", "MIT is in Cambridge, Massachusetts", "You need a license to fish here", "Software under license", "die freie Arbeit ist mit dem Tisch unter der Lizenz", "", "Mit der Lizenz zum Töten", "Er kam mit einer Lizenz und mit seinem Sohn", "Unter der Brücke mit dem Hund", "The Apache HTTP server is popular", "The Apache tribe lived in the south",
+    "BSD systems are descended from one source", "A creative mind is common in the arts", "Mozilla makes a browser", "The public domain of France grew", "Rights of way are reserved for walkers", "La licencia de armas es obligatoria", "Sa licence de pilote a expiré", "La licenza di pesca è scaduta", "A licença de caça é cara", "He copied the software without permission", "The terms and conditions were redistributed", "All rights of passage and all reserved seats", "Copyright reform was debated",
+    "The foundation published a general letter", "GNU herds cross the river", "Zero tolerance in common creative work", "The warranty of the car is void", "The author waived his fee",
+]
+
+
+def test_license_scan_on_texts_outside_its_tables():
+    named = lambda t: license_scan.classify(t)[0] if license_scan.classify(t)[2] else license_scan.UNKNOWN
+    found = [(f, named(t)) for f, t in LICENSED] + [(license_scan.UNKNOWN, named(t)) for t in UNLICENSED]
+    right = sum(f == g != license_scan.UNKNOWN for f, g in found)
+    assert right / sum(g != license_scan.UNKNOWN for _, g in found) >= 0.95 and right / len(LICENSED) >= 0.9, [(t, f, g) for (f, g), t in zip(found, [*(t for _, t in LICENSED), *UNLICENSED], strict=True) if f != g]
+
+
+def test_license_scan_on_the_held_out_part():
+    held = [(f, *license_scan.classify(p)) for f, p, part in license_scan.framed() if part == license_scan.HELD_OUT]
+    named = [(f, g) for f, g, _, stands in held if stands]
+    assert sum(f == g for f, g in named) >= 0.99 * len(named) and sum(f == g for f, g in named) >= 0.95 * sum(f != license_scan.UNKNOWN for f, *_ in held)
 
 
-@pytest.mark.parametrize(("family", "text"), [("apache", "LICENSED under the apache license, version 2.0 (the License)"), ("mit", "This is released under the MIT License."), ("gpl", "This work is licensed under the GNU General Public License, version 3."), ("cc-by-nc", "Licensed under CC BY-NC 4.0."), ("bsd", "Licensed under the BSD 3-Clause License")])
-def test_notices_are_named_and_confirmed(family, text):
-    name, chance, confirmed = license_scan.classify(text)
-    assert name == family and chance >= license_scan.LEAST and confirmed
+def _plain_scan(doc: int | None, text: str | None) -> tuple:
+    judged = [(k, *license_scan.classify(p)) for k, p in enumerate(license_scan.paragraphs(text))]
+    m = license_scan.model()
+    cued = [any(g in m.weights for g in license_scan.n_grams(license_scan.words(p))) for p in license_scan.paragraphs(text)]
+    return doc, len(judged), [(k, f, round(c, 6)) for k, f, c, stands in judged if stands], sum(c and not j[3] for c, j in zip(cued, judged, strict=True))
+
+
+def _scanned(df) -> list[tuple]:
+    return [(r[0], r["n_paragraphs"], [(n["paragraph"], n["family"], round(n["chance"], 6)) for n in r["notices"]], r["n_unknown"]) for r in license_scan.scan(df).collect()]
 
 
 def test_license_plan_is_as_in_python(spark, docs, none):
-    texts = [(1, "Released under the MIT License.\nno notice here\nLicensed under CC BY-NC 4.0."), (2, None), (3, ""), (3, ""), (4, "the apache helicopter flew"), (None, "SPDX-License-Identifier: MPL-2.0")]
-    found = license_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string"))
-    wanted = []
-    for d, t in texts:
-        lines = t.split("\n") if t is not None else []
-        judged = [(k, *license_scan.classify(p)) for k, p in enumerate(lines)]
-        wanted.append((d, len(lines), [(k, f, round(c, 9), ok) for k, f, c, ok in judged if f != license_scan.UNKNOWN]))
-    rows = [(r["doc_id"], r["n_paragraphs"], [(n["line"], n["family"], round(n["chance"], 9), n["confirmed"]) for n in r["notices"]]) for r in found.collect()]
-    assert sorted(map(repr, rows)) == sorted(map(repr, wanted))
+    texts = [(k, f"{p}\n\n{q}.\n{p}") for k, ((_, p), q) in enumerate(zip(LICENSED, UNLICENSED * 2, strict=False))]
+    texts += [(100, None), (101, ""), (101, ""), (102, "the apache helicopter flew"), (None, "SPDX-License-Identifier: MPL-2.0"), (103, "mit " * 20_000), (104, "Licensed under the MIT License.\n" * 300)]
+    assert got_rows(_scanned(spark.createDataFrame(texts, "doc_id bigint, text string"))) == got_rows([_plain_scan(*r) for r in texts])
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).isEmpty()
 
 
-@pytest.mark.parametrize("text", ["All rights reserved.", "Copyright 2024 Some Body. ALL RIGHTS RESERVED"])
-def test_notices_of_ordinary_words_are_named(spark, text):
-    assert license_scan.classify(text)[::2] == ("proprietary", True)
-    ordinary = "All rights of way\nThe state reserved all rights"
-    found = license_scan.scan(spark.createDataFrame([(1, f"{ordinary}\n{text}")], "doc_id bigint, text string")).collect()
-    assert [(n["line"], n["family"], n["confirmed"]) for n in found[0]["notices"]] == [(2, "proprietary", True)]
+def got_rows(rows: list[tuple]) -> list[str]:
+    return sorted(map(repr, rows))
+
+
+#: The lines of licences in the given documents.
+GIVEN = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache"}
+
+
+def test_license_scan_of_given_documents(spark):
+    """As in plain Python; and just the lines of licences are named, also where the text around them has the word "mit"."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = _scanned(docs)
+    assert got_rows(found) == got_rows([_plain_scan(*r) for r in rows])
+    wanted = {d: sorted(GIVEN[x] for x in (t or "").split("\n") if x in GIVEN) for d, t in rows}
+    assert any(wanted.values()) and {d: sorted(n[1] for n in ns) for d, _, ns, _ in found} == wanted
 
 
 PAGES = [
