@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, then assignment-aware lexing of source and configuration text.
 
-The lexer reads names with their literals (``name = "literal"``, ``"name": "literal"``, ``name: literal``,
-``export NAME=literal``), carries literals through constants (``key = value_name``, joined with ``+``), and
-scores a literal by how sensitive the names are that it reaches, and by how random it looks.
+The lexer reads names with their literals (``name = "literal"``, ``"name": "literal"``, ``env["NAME"] = "literal"``,
+``export NAME=literal``, ``name: str = "literal"``, YAML blocks), carries literals through constants wherever they are
+defined (``key = value_name``, joined with ``+``), and scores a literal by how sensitive the names are that it reaches,
+and by how random it looks. It goes through a text once: no character is looked at more than a few times.
 """
 
 from __future__ import annotations
@@ -22,13 +23,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-#: name, separator, then what is assigned up to the end of the statement.
-_NAMED = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w$.-]*+)["']?[ \t]*+(?::=|=>|[:=](?![=:]))[ \t]*""")
-_VALUE = re.compile(r"""(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)|(?P<bare>[^\s"'`,;{}()\[\]<>|#]+)""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_NAME = r"[A-Za-z_$][\w$]*+(?:[.-]++[\w$]++)*+"
+_STRING = r"""(?<![\w\\])[fFrRbBuU]?(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\\n]++|\\.)*+`)"""
+_BARE = r"""(?:[^\s"'`,;{}()\[\]<>|#&\\+]|\+(?!["'`]))++"""
+#: Names with their separators, one or more (``a = b = ``), then what is assigned up to the end of the statement.
+_KEY = rf"""["']?+{_NAME}["']?+\]?+[ \t]*+(?::=|=>|=(?![=~])|:(?![:=]|//))[ \t]*+"""
+_LEXED = re.compile(rf"""(?<![\w$.\\-])(?P<names>(?:{_KEY})++)(?:(?P<block>[|>][-+]?[ \t]*+\n)|(?P<value>(?:{_STRING}|{_BARE})(?:[ \t]*+\+[ \t]*+(?:{_STRING}|{_BARE}))*+))?+|{_STRING}""")
+_NAMES = re.compile(_NAME)
+_ITEM = re.compile(rf"(?P<string>{_STRING})|(?P<bare>{_BARE})")
+_QUOTED = re.compile("[\"'` \t]")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*+")
 
 #: Parts of names and what they say about the literal.
 _SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "privatekey": 3, "accesskey": 3, "auth": 2, "bearer": 2, "private": 1, "access": 1, "api": 1, "client": 1, "key": 1, "signing": 1, "encryption": 1, "session": 1, "salt": 1, "pass": 2}
+#: A text without any of these has no sensitive name.
+_SENSITIVE_PARTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "access", "api", "client", "sign", "encrypt", "session", "salt")
 _HARMLESS = {"public", "length", "size", "count", "limit", "name", "type", "url", "uri", "path", "file", "id", "expires", "ttl", "header", "field", "policy", "hint", "label"}
 #: Parts of names whose literals may have several words, and texts that ask for or speak of such a literal.
 _PHRASED = {"password", "passwd", "passphrase", "pwd", "secret", "credential", "credentials"}
@@ -64,45 +73,77 @@ def randomness(literal: str, phrase: bool = False) -> float:
     return (1.5 if digits and letters else 0.0) + max(0.0, entropy - 2.5)
 
 
-def named_literals(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
-    """(name, spans of its literals, names it is built from) for each assignment, in order."""
-    found = []
-    for m in _NAMED.finditer(text):
-        at, spans, names = m.end(), [], []
-        while value := _VALUE.match(text, at):
-            if value["quote"]:
-                spans.append(value.span("text"))
-            elif re.fullmatch(r"[A-Za-z_$][\w$.]*", value["bare"]) and not re.search(r"\d{3}", value["bare"]):
-                names.append(value["bare"])
-                spans.append(value.span("bare"))
-            else:
-                spans.append(value.span("bare"))
-            plus = _PLUS.match(text, value.end())
-            if not plus:
+def _block(text: str, at: int, line: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of the lines from ``at`` that are further in than the line that starts at ``line``, and where they end."""
+    margin = lambda k: len(own := text[k : end(k)]) - len(own.lstrip(" \t"))
+    end = lambda k: e if (e := text.find("\n", k)) >= 0 else len(text)
+    least, spans = margin(line), []
+    while at < len(text):
+        a, b = at + margin(at), end(at)
+        if a < b:
+            if a - at <= least:
                 break
-            at = plus.end()
-        found.append((m[1], spans, names))
+            spans.append((a, a + len(text[a:b].rstrip())))
+        at = b + 1
+    return spans, at
+
+
+def named_literals(text: str) -> list[tuple[list[str], list[tuple[int, int]], list[str]]]:
+    """(names, spans of their literals, names that those are built from) for each assignment, in order."""
+    found, at, known = [], 0, {}
+    while m := _LEXED.search(text, at):
+        at = m.end()
+        if m["names"] is None:  # a string that is assigned to nothing
+            continue
+        spans, uses = [], []
+        if m["block"] is not None:
+            spans, at = _block(text, at, text.rfind("\n", 0, m.start()) + 1)
+        elif (value := m["value"]) is not None:
+            plain = not _QUOTED.search(value)
+            for item in (m,) if plain else _ITEM.finditer(text, *m.span("value")):
+                a, b = m.span("value") if plain else item.span()
+                if not plain and item["string"]:
+                    spans.append((a + 1 + (text[a] not in "\"'`"), b - 1))
+                else:
+                    spans.append((a, b))
+                    if _IDENTIFIER.fullmatch(text, a, b):
+                        uses.append(text[a:b])
+        if (names := known.get(m["names"])) is None:
+            names = known[m["names"]] = list(dict.fromkeys(_NAMES.findall(m["names"])))
+        found.append((names, spans, uses))
     return found
 
 
+def _reached(uses: dict[str, set[str]], start: dict[str, int]) -> dict[str, int]:
+    """The largest start value of the names that each name is used for, through any number of others, its own included."""
+    out: dict[str, int] = {}
+    for name in sorted(start, key=lambda n: -start[n]):
+        wave = [name] if name not in out else []
+        while wave:
+            n = wave.pop()
+            if n not in out:
+                out[n] = start[name]
+                wave += uses.get(n, ())
+    return out
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name and look random enough."""
-    if "=" not in text and ":" not in text:
+    folded = text.lower()
+    if ("=" not in text and ":" not in text) or not any(p in folded for p in _SENSITIVE_PARTS):
         return []
     assigned = named_literals(text)
-    reach: dict[str, int] = {}
-    phrases = {name for name, _, _ in assigned if phrased(name)}
-    for name, _, names in reversed(assigned):  # a later use makes an earlier constant sensitive
-        score = max(sensitivity(name), reach.get(name, 0))
-        for n in names:
-            reach[n] = max(reach.get(n, 0), score)
-            if name in phrases:
-                phrases.add(n)
+    uses: dict[str, set[str]] = {}
+    for names, _, used in assigned:
+        for name in names:
+            uses.setdefault(name, set()).update(used)
+    reach = _reached(uses, {n: s for n in uses if (s := sensitivity(n)) > 0})
+    phrases = _reached(uses, {n: 1 for n in uses if phrased(n)})
     out = set()
-    for name, spans, _ in assigned:
-        score = max(sensitivity(name), reach.get(name, 0))
+    for names, spans, _ in assigned:
+        score, phrase = max(reach.get(n, 0) for n in names), any(n in phrases for n in names)
         if score >= 2:
-            out.update((a, b) for a, b in spans if score + randomness(text[a:b], name in phrases) >= THRESHOLD)
+            out.update((a, b) for a, b in spans if score + randomness(text[a:b], phrase) >= THRESHOLD)
     return sorted(out)
 
 

@@ -88,3 +88,50 @@ def quality_counts(text: str | None) -> tuple[int, ...]:
         at[tuple(w[i : i + 8])].append(i)
     hit = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + 8)}
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(hit)
+
+
+def secrets(text: str) -> list[tuple[str, int, int]]:
+    """The three base patterns, character by character."""
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    lower = text.translate(AZ)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at: int, allowed) -> int:
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assign(at: int) -> int | None:
+        """Where the match at ``at`` ends, the longest way, or None."""
+        name = next((n for n in names if lower.startswith(n, at)), None)
+        if name is None:
+            return None
+        k = at + len(name)
+        k += text[k : k + 1] in ("'", '"') and text[k : k + 1] != ""
+        k = run(k, " ")
+        if text[k : k + 1] not in (":", "=") or k >= len(text):
+            return None
+        k = run(k + 1, " ")
+        k += k < len(text) and text[k] in "'\""
+        end = run(k, value)
+        return (end, end - k) if end > k else None
+
+    out, at = [], 0
+    while at < len(text):
+        if hit := assign(at):
+            if hit[1] >= 6:
+                out.append(("assign", at, hit[0]))
+            at = hit[0]
+        else:
+            at += 1
+    for kind, head, allowed, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), allowed) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    out.append((kind, at, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
