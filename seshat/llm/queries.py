@@ -78,10 +78,52 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_secrets, op9_line_dedup, op10_url_filter)}
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: all but the verdicts of the model."""
+    verdict = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict")
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", verdict)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_secrets, op9_line_dedup, op10_url_filter, secrets_base, quality_counts, url_rules)}
 
 #: For DuckDB, over the same tables. Operators with fitted models, tokenizers or lexers have none.
 ORACLE_SQL: dict[str, str] = {
+    "secrets_base": r"""
+        WITH p AS (SELECT * FROM (VALUES ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+            ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+')) AS t(kind, rank, pattern)),
+        m AS (SELECT doc_id, kind, rank, unnest(ms) AS match, unnest(ps) AS before, generate_subscripts(ms, 1) AS k FROM (
+            SELECT doc_id, kind, rank, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern)[:len(regexp_extract_all(text, pattern))] AS ps FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), p)),
+        s AS (SELECT doc_id, kind, rank, match, sum(length(before) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS stop FROM m),
+        f AS (SELECT doc_id, kind, rank, stop - length(match) AS start, stop FROM s WHERE CASE kind WHEN 'access' THEN length(match) >= 20 WHEN 'hex' THEN length(match) >= 24 ELSE length(regexp_extract(match, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 END)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign')::BIGINT AS n_assign, count(*) FILTER (WHERE kind = 'access')::BIGINT AS n_access, count(*) FILTER (WHERE kind = 'hex')::BIGINT AS n_hex,
+            sha256(coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank), '')) AS base_sha256
+        FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "quality_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+        rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY 1),
+        l AS (SELECT doc_id, line, count(*) - 1 AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+        u AS (SELECT doc_id, sum(n) AS n FROM l GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed
+        FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""",
+    "url_rules": r"""
+        WITH c AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+        h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM c),
+        r AS (SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) AS t(rh, rp, rv)),
+        f AS (SELECT page_id, rh || rp AS rule, rv FROM h, r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1)
+        SELECT h.page_id, host, path, rule, rv AS rule_verdict FROM h LEFT JOIN f ON f.page_id = h.page_id""",
     "op1_decontamination": r"""
         WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
