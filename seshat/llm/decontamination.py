@@ -1,26 +1,28 @@
-"""Benchmark decontamination: windows of benchmark words looked up in documents, on built-in expressions only.
+"""Benchmark decontamination: a broadcast hash set of benchmark windows, on built-in expressions only.
 
-Documents are scanned in place. While the benchmark has at most MAX_SET distinct windows, they go into the
-plan as a hash set that every task gets; a document's windows are compared with it as whole strings, so a
-hit is verified as it is found, and neither texts nor windows are shuffled. A larger benchmark is joined:
-its windows are shuffled by hash, salted, against those of the documents.
+Documents are scanned in place: the 64-bit hash of each window of words is looked up in a broadcast set of the
+benchmark's window hashes, and no text or window is shuffled. Only hits leave the scan; there each window is compared
+word by word with the benchmark's, which verifies it, and names the items that have it. A set of more than SLICE hashes
+is broadcast in slices, one scan for each, so that a broadcast is never larger than about 40 bytes * SLICE.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import lower_ascii
 from ..plans.staging import Staging
+from .columns import lower_ascii
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 13
-#: Distinct windows that are sent to every task; about 100 bytes each.
-MAX_SET = 20_000
-SALTS = 16
+#: Hashes that are broadcast at once; about 40 bytes each.
+SLICE = 4_000_000
+#: Stands in the set for the row that each document sends on, hit or not.
+_EACH = -1
 
 
 def words(text: Column) -> Column:
@@ -28,63 +30,71 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
 
 
-def window_at(parts: Column, start: Column, size: Column | int) -> Column:
-    return F.array_join(F.slice(parts, start, size), " ")
-
-
 def _starts(n: Column, size: Column | int) -> Column:
-    """1-based starts of the windows of ``size`` words; words have no blanks, so a joined window is unique."""
+    """1-based starts of the windows of ``size`` words."""
     last = n - size + 1
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _window(parts: Column, start: Column, size: Column | int) -> Column:
+    """The words of a window; they have no blanks, so joined ones are unique."""
+    return F.array_join(F.slice(parts, start, size), " ")
+
+
 @dataclass
 class Windows:
-    """table: (win, size, items) for each distinct window; by_size: the windows as strings, or None if too many."""
+    """table: (hash, win, items) for each distinct window; sizes: of its windows in words; slices: of the set of hashes."""
 
     table: DataFrame
-    by_size: dict[int, list[str]] | None = field(default=None)
+    sizes: list[int]
+    slices: int
+    staged: Staging
+
+    def drop(self) -> None:
+        """Deletes the written table, when no plan reads it any more."""
+        self.staged.drop("windows")
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, *, id_column: str = "item_id", text_column: str = "text") -> Windows:
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, slice_hashes: int = SLICE, *, id_column: str = "item_id", text_column: str = "text") -> Windows:
     """Windows of ``window`` consecutive words of an item; an item of fewer, but not none, is one window.
 
     Items with null texts or no words have none; an item with a null id has windows and no name.
     """
     own = benchmark.select(benchmark[id_column].cast("string").alias("item"), words(benchmark[text_column]).alias("words"))
-    size = F.least(F.size("words"), F.lit(window))
-    cut = own.where(F.size("words") > 0).select("item", "words", size.alias("size"))
-    each = cut.select("item", "size", F.explode(F.transform(_starts(F.size("words"), F.col("size")), lambda i: window_at(F.col("words"), i, F.col("size")))).alias("win"))
-    table = Staging(benchmark.sparkSession, "windows").write(each.groupBy("win", "size").agg(F.collect_set("item").alias("items")), "windows")
-    rows = table.select("win", "size").limit(max_set + 1).collect()
-    if len(rows) > max_set:
-        return Windows(table)
-    by_size: dict[int, list[str]] = {}
-    for r in sorted(rows):
-        by_size.setdefault(r["size"], []).append(r["win"])
-    return Windows(table, by_size)
-
-
-def _hits(parts: Column, by_size: dict[int, list[str]]) -> Column:
-    """(start, size) of all hit windows, in order. First and last words are looked up before a window is joined."""
-
-    def of(size: int, wins: list[str]) -> Column:
-        firsts, lasts = (sorted({w.split(" ")[k] for w in wins}) for k in (0, -1))
+    cut = own.where(F.size("words") > 0).select("item", "words", F.least(F.size("words"), F.lit(window)).alias("size"))
+    each = cut.select("item", "size", F.explode(F.transform(_starts(F.size("words"), F.col("size")), lambda i: F.slice("words", i, F.col("size")))).alias("parts"))
+    table = each.select("item", "size", F.xxhash64("parts").alias("hash"), F.array_join("parts", " ").alias("win"))
+    staged = Staging(benchmark.sparkSession, "windows")
+    table = staged.write(table.groupBy("hash", "win", "size").agg(F.collect_set("item").alias("items")), "windows")
+    sums = table.groupBy("size").agg(F.count("*").alias("n")).collect()  # WINDOW rows at most
+    return Windows(table.select("hash", "win", "items"), sorted((r["size"] for r in sums), reverse=True), max(1, -(-sum(r["n"] for r in sums) // slice_hashes)), staged)
 
-        def hit(i: Column) -> Column:
-            ends = F.element_at(parts, i).isin(firsts) & F.element_at(parts, i + (size - 1)).isin(lasts)
-            return ends & window_at(parts, i, size).isin(wins)
 
-        return F.transform(F.filter(_starts(F.size(parts), size), hit), lambda i: F.struct(i.alias("start"), F.lit(size).alias("size")))
-
-    found = [of(size, wins) for size, wins in sorted(by_size.items())]
-    if not found:
-        return F.array().cast("array<struct<start:int,size:int>>")
-    return F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]
+def _found(docs: DataFrame, windows: Windows, id_column: str, text_column: str) -> DataFrame:
+    """(doc, mark, n_words, start, size, hash, win): hits by hash, and one row of start 0 for each row of ``docs``."""
+    own = docs.select(docs[id_column].alias("doc"), F.xxhash64(docs[text_column]).alias("mark"), words(docs[text_column]).alias("words"))
+    entry = lambda i, size, h: F.struct(i.alias("start"), F.lit(size).alias("size"), h.alias("hash"))
+    hashed = lambda size: F.transform(_starts(F.size("words"), size), lambda i: entry(i, size, F.xxhash64(F.slice("words", i, size))))
+
+    def scan(k: int) -> DataFrame:
+        parts = [hashed(size) for size in windows.sizes]
+        of = windows.table.select("hash").distinct()
+        if k == 0:
+            parts.append(F.array(entry(F.lit(0), 0, F.lit(_EACH).cast("bigint"))))
+        if windows.slices > 1:
+            of = of.where(F.pmod("hash", F.lit(windows.slices)) == k)
+        if k == 0:
+            of = of.union(of.sparkSession.range(1).select(F.lit(_EACH).cast("bigint"))).distinct()
+        # The outer explode, as for the inner one Spark filters by the array's size before, and so makes it twice.
+        each = own.select("doc", "mark", "words", F.explode_outer(F.concat(*parts)).alias("w")).select("doc", "mark", "words", "w.*")
+        hits = each.join(F.broadcast(of), "hash", "left_semi")
+        return hits.select("doc", "mark", F.size("words").cast("bigint").alias("n_words"), "start", "size", "hash", _window(F.col("words"), F.greatest("start", F.lit(1)), F.col("size")).alias("win"))
+
+    return reduce(DataFrame.union, map(scan, range(windows.slices)))
 
 
 def _covered(hits: Column) -> Column:
-    """Words in at least one of the sorted windows."""
+    """Words in at least one of the sorted windows (start, size)."""
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("next"))
 
     def add(a: Column, h: Column) -> Column:
@@ -95,60 +105,36 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, start, add)["n"]
 
 
-def _scanned(docs: DataFrame, windows: Windows, id_column: str, text_column: str) -> DataFrame:
-    """One row a document: doc, mark (a hash of the text), n_words, hits, and win, its distinct hit windows."""
-    own = docs.select(docs[id_column].alias("doc"), F.xxhash64(docs[text_column]).alias("mark"), words(docs[text_column]).alias("words"))
-    if windows.by_size is not None:
-        found = own.select("doc", "mark", "words", _hits(F.col("words"), windows.by_size).alias("hits"))
-        wins = F.array_distinct(F.transform("hits", lambda h: window_at(F.col("words"), h["start"], h["size"])))
-        return found.select("doc", "mark", F.size("words").cast("bigint").alias("n_words"), "hits", wins.alias("wins"))
-    sizes = [r[0] for r in windows.table.select("size").distinct().collect()]  # WINDOW at most
-    staged = Staging(docs.sparkSession, "decontamination")
-    own = staged.write(own.withColumn("row", F.monotonically_increasing_id()), "words")
-
-    def of(size: int) -> Column:
-        return F.transform(_starts(F.size("words"), size), lambda i: F.struct(i.alias("start"), F.lit(size).alias("size")))
-
-    each = F.flatten(F.array(*map(of, sizes)))
-    cut = own.select("row", "words", F.explode(each).alias("hit")).select("row", "hit", window_at(F.col("words"), F.col("hit")["start"], F.col("hit")["size"]).alias("win"))
-    cut = cut.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    wide = windows.table.select("win", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    hits = cut.join(wide, ["win", "salt"]).groupBy("row").agg(F.array_sort(F.collect_list("hit")).alias("hits"), F.collect_set("win").alias("wins"))
-    none = F.array()
-    joined = own.select("row", "doc", "mark", F.size("words").cast("bigint").alias("n_words")).join(hits, "row", "left")
-    return joined.select("doc", "mark", "n_words", F.coalesce("hits", none.cast("array<struct<start:int,size:int>>")).alias("hits"), F.coalesce("wins", none.cast("array<string>")).alias("wins"))
-
-
 def contamination(n_hit: Column, n_words: Column) -> Column:
     """At least one word of 20 in hit windows."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def _report(docs: DataFrame, windows: Windows, id_column: str, text_column: str) -> DataFrame:
+    """report, with mark (a hash of the text) and rows (how many rows of ``docs`` have this id and text)."""
+    found = _found(docs, windows, id_column, text_column)
+    named = found.join(windows.table, ["hash", "win"], "left").where("start = 0 OR items IS NOT NULL")
+    hit = F.when(F.col("start") > 0, F.struct("start", "size"))
+    groups = named.groupBy("doc", "mark", "n_words").agg(F.count_if(F.col("start") == 0).alias("rows"), F.array_sort(F.collect_set(hit)).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return groups.select("doc", "mark", "rows", "n_words", _covered(F.col("hits")).alias("n_hit"), "items")
+
+
 def report(docs: DataFrame, windows: Windows, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: the id, n_words, n_hit (words in hit windows), items (sorted ids), n_items, contaminated.
 
-    A null text has no words. Repeated rows give a row each. Empty tables on either side give no hits or
-    no rows. Other columns of ``docs`` are not read. One shuffle, of a small row for each document and
-    distinct hit window.
+    A null text has no words. Repeated rows give a row each. Items without an id hit words and have no name. Empty
+    tables on either side give no hits or no rows. Other columns of ``docs`` are not read. One shuffle, of a small row
+    for each document and one for each hit window.
+    """
+    flat = _report(docs, windows, id_column, text_column).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return flat.select(F.col("doc").alias(id_column), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", contamination(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, windows: Windows, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are not contaminated. ``docs`` is read twice.
+
+    Contaminated documents are written and left out by id and hash of the text; Spark broadcasts them only below its threshold.
     """
-    scanned = _scanned(docs, windows, id_column, text_column)
-    base = scanned.select("doc", "mark", "n_words", _covered(F.col("hits")).alias("n_hit"), F.posexplode_outer("wins").alias("k", "win"))
-    named = windows.table.select("win", "items")
-    joined = base.join(F.broadcast(named) if windows.by_size is not None else named, "win", "left")
-    first = F.count(F.when(F.coalesce("k", F.lit(0)) == 0, 1)).alias("rows")  # repeated rows meet here
-    groups = joined.groupBy("doc", "mark", "n_words", "n_hit").agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    flat = groups.select(F.col("doc").alias(id_column), "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return flat.select(id_column, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", contamination(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
-
-
-def keep_clean(docs: DataFrame, windows: Windows, *, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are not contaminated. Needs the set; no shuffle."""
-    if windows.by_size is None:
-        keyed = docs.withColumn("seshat_mark", F.xxhash64(text_column))
-        bad = report(keyed, windows, id_column="seshat_mark", text_column=text_column).where("contaminated").select("seshat_mark").distinct()
-        return keyed.join(bad, "seshat_mark", "left_anti").select(*docs.columns)
-    own = docs.withColumn("seshat_words", words(docs[text_column]))
-    own = own.withColumn("seshat_hit", _covered(_hits(F.col("seshat_words"), windows.by_size)))
-    clean = ~contamination(F.col("seshat_hit"), F.size("seshat_words").cast("bigint"))
-    # A filter would be pushed below the columns that it is made of and split the text for each window.
-    return own.select(*docs.columns, F.explode(F.when(clean, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).alias("seshat_one")).select(*docs.columns)
+    bad = _report(docs, windows, id_column, text_column).where(contamination(F.col("n_hit"), F.col("n_words"))).select(F.col("doc").alias("seshat_doc"), F.col("mark").alias("seshat_mark"))
+    bad = Staging(docs.sparkSession, "contaminated").write(bad, "documents")
+    return docs.join(bad, docs[id_column].eqNullSafe(bad["seshat_doc"]) & (F.xxhash64(docs[text_column]) == bad["seshat_mark"]), "left_anti")

@@ -21,14 +21,14 @@ def decontamination(docs, items) -> list[tuple]:
         w = WORD.findall((text or "").translate(AZ))
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            windows[n][tuple(w[i : i + n])].add(str(item))
+            windows[n][tuple(w[i : i + n])].update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         w = WORD.findall((text or "").translate(AZ))
         hit, found = set(), set()
         for n, of in windows.items():
             for i in range(len(w) - n + 1):
-                if names := of.get(tuple(w[i : i + n])):
+                if (names := of.get(tuple(w[i : i + n]))) is not None:
                     hit.update(range(i, i + n))
                     found |= names
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), len(hit) > 0 and 20 * len(hit) >= len(w)))

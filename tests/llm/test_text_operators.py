@@ -19,25 +19,39 @@ from .conftest import ITEMS, got, want
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("max_set", [20_000, 3])
-def test_decontamination(spark, docs, none, rows, max_set):
+@pytest.mark.parametrize("slice_hashes", [decontamination.SLICE, 3])  # 3: the set in several slices
+def test_decontamination(spark, docs, none, rows, slice_hashes):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    windows = decontamination.benchmark_windows(bench, max_set=max_set)
-    assert (windows.by_size is None) == (max_set == 3)
+    windows = decontamination.benchmark_windows(bench, slice_hashes=slice_hashes)
+    assert (windows.slices > 1) == (slice_hashes == 3)
     found = decontamination.report(docs, windows).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated")
-    wanted = plain.decontamination(rows, [i for i in ITEMS if i[0] is not None])
+    wanted = plain.decontamination(rows, ITEMS)
     assert sum(r[-1] for r in wanted) >= 4
-    named = [r for r in wanted if r[0] not in (40, 41)]  # hit by the item without an id, which has no name
-    assert [g for g in got(found) if not g.startswith(("(40", "(41"))] == want(named)
+    assert got(found) == want(wanted)
     clean = decontamination.keep_clean(docs, windows)
     assert clean.columns == docs.columns
-    bad = {repr(r[0]) for r in wanted if r[-1]} | {"40", "41"}
-    assert sorted(repr(r["doc_id"]) for r in clean.collect()) == sorted(repr(d) for d, _ in rows if repr(d) not in bad)
+    bad = {(d, t) for (d, t), r in zip(rows, wanted, strict=True) if r[-1]}
+    assert got(clean.select("doc_id", "text")) == want([r for r in rows if r not in bad])
     assert decontamination.report(none, windows).isEmpty() and decontamination.keep_clean(none, windows).isEmpty()
     nothing = decontamination.benchmark_windows(bench.where("false"))
     assert decontamination.report(docs, nothing).where("n_hit > 0 OR contaminated").isEmpty() and decontamination.keep_clean(docs, nothing).count() == len(rows)
 
 
+def test_decontamination_of_a_million_windows(spark):
+    """The scan stays one stage up to the hits: no exchange lies between documents and the broadcast set."""
+    big = spark.range(1_000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1_011)), lambda k: F.concat(F.lit("w"), (F.col("id") * 1_012 + k).cast("string"))), " ").alias("text"))
+    windows = decontamination.benchmark_windows(big)
+    assert windows.table.count() == 1_000_000 and windows.slices == 1
+    wanted = [(1, " ".join(f"w{k}" for k in range(500, 530))), (2, " ".join(f"w{k}" for k in range(1_005, 1_020))), (3, " ".join(f"w{k}" for k in range(1_000, 1_024)))]
+    docs = spark.createDataFrame(wanted, "doc_id bigint, text string")
+    assert {(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontamination.report(docs, windows).collect()} == {(1, 30, 1), (2, 0, 0), (3, 0, 0)}
+    plan = decontamination._found(docs, windows, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan and "Arrow" not in plan
+    streamed = plan[plan.index("Generate") :].split("BroadcastExchange")[0]
+    assert "Exchange" not in streamed
+    windows.drop()
+
+
 @pytest.mark.parametrize("chunk", [jaccard_join.CHUNK, 2])  # 2: nearly all groups in parts and pairs of parts
 def test_jaccard_join(docs, none, rows, chunk):
     assert got(jaccard_join.link(docs, chunk=chunk)) == want(plain.components(rows))
