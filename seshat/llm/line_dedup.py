@@ -1,9 +1,11 @@
 """Line dedup over a corpus: long lines found in many documents stay in one of them.
 
-Keys of long lines are range-partitioned by (key, document) and sorted, so that a key that fills many
-partitions is cut between documents. Each partition streams its runs and sums them up in one row a key;
-a sum over those rows names the keys to drop and the documents that keep them. What comes back per
-document is a bitmap of kept lines, packed and compressed, not text.
+Hashes of long lines are range-partitioned by key and document downwards, and sorted so and by position: a key that fills
+many partitions is cut between documents. A key's first document is the one that keeps its lines;
+as soon as a partition's stream has seen enough documents of a key, all later positions are to be dropped, and it sends
+them on as it reads them. Only the first and the last key of a partition may go on in another one: their positions wait
+for a table of those keys, of two rows a partition at most, which is broadcast. What comes back per document is a bitmap
+of kept lines, packed and compressed, not text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from ..plans.staging import Staging
 
 MIN_CHARS = 40
@@ -49,23 +50,60 @@ def _keyed_lines(min_chars: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, doc) rows: each key's number of distinct documents and its largest one, in this partition."""
-    last_key, last_doc, n = None, None, 0
-    for batch in batches:
-        keys, counts, largest = [], [], []
-        for key, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key != last_key:
-                if n:
-                    keys.append(last_key)
-                    counts.append(n)
-                    largest.append(last_doc)
-                last_key, last_doc, n = key, doc, 1
-            elif doc != last_doc:
-                last_doc, n = doc, n + 1
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(largest, pa.int64())], names=["key", "n", "largest"])
-    if n:
-        yield pa.record_batch([pa.array([last_key], pa.binary()), pa.array([n], pa.int64()), pa.array([last_doc], pa.int64())], names=["key", "n", "largest"])
+class _Stream:
+    """Of one partition's rows, by key, document downwards and position: positions to drop, and what is open at its ends.
+
+    Out come (key, doc, mark, line, n, largest): without a key, a position to drop; with a key and a line, a position of an
+    open key; with a key and n, an open key's number of documents here and its largest one.
+    """
+
+    def __init__(self, min_documents: int):
+        self.least, self.key, self.first = min_documents, None, True
+        self.out: list[tuple] = []
+
+    def _begin(self, key: bytes) -> None:
+        self.key, self.n, self.largest, self.doc, self.held = key, 0, None, None, []
+
+    def _end(self, last: bool) -> None:
+        """Of the key that ends; the first and the last one of a partition stay open."""
+        if self.key is not None and (self.first or last):
+            self.out += [(self.key, doc, mark, line, None, None) for doc, mark, line in self.held]
+            self.out.append((self.key, None, None, None, self.n, self.largest))
+        self.first = self.first and self.key is None
+
+    def _row(self, key: bytes, doc: int, mark: int, line: int) -> None:
+        if key != self.key:
+            self._end(False)
+            self._begin(key)
+        if doc != self.doc:
+            if self.n == 0:
+                self.largest = doc
+            self.n, self.doc = self.n + 1, doc
+            if self.n == self.least and not self.first:  # the key is common here: its largest document is this partition's
+                self.out += [(None, *h, None, None) for h in self.held if h[0] != self.largest]
+                self.held = []
+        if self.first:  # it may have begun in another partition, with a larger document
+            self.out.append((key, doc, mark, line, None, None))
+        elif self.n < self.least:
+            self.held.append((doc, mark, line))
+        elif doc != self.largest:
+            self.out.append((None, doc, mark, line, None, None))
+
+    def _batch(self) -> pa.RecordBatch:
+        rows, self.out = self.out, []
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _FOUND, strict=True)], names=["key", "doc", "mark", "line", "n", "largest"])
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                self._row(*row)
+            yield self._batch()
+        self._end(True)
+        yield self._batch()
+
+
+_FOUND = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +133,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     rows = _marked(docs, id_column, text_column).mapInArrow(_keyed_lines(min_chars), "key binary, doc bigint, mark bigint, line int")
     rows = staged.write(rows, "rows")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "doc").repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc")
-    sums = dealt.mapInArrow(_runs, "key binary, n bigint, largest bigint")
-    common = sums.groupBy("key").agg(F.sum("n").alias("n"), F.max("largest").alias("largest")).where(F.col("n") >= min_documents)
-    common = staged.write(common.select("key", "largest"), "common")
-    dropped = rows.join(common, "key").where(F.col("doc") != F.col("largest"))
+    dealt = rows.repartitionByRange(parts, "key", F.desc("doc")).sortWithinPartitions("key", F.desc("doc"), "line")
+    streamed = dealt.mapInArrow(lambda batches: _Stream(min_documents).run(batches), "key binary, doc bigint, mark bigint, line int, n bigint, largest bigint")
+    found = staged.write(streamed, "found")
+    common = found.where("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.max("largest").alias("largest")).where(F.col("n") >= min_documents)
+    open_ = found.where("key IS NOT NULL AND line IS NOT NULL").select("key", "doc", "mark", "line").join(F.broadcast(common.select("key", F.col("largest").alias("keeper"))), "key").where("doc <> keeper")
+    dropped = found.where("key IS NULL").select("doc", "mark", "line").union(open_.select("doc", "mark", "line"))
     lists = dropped.groupBy("doc", "mark").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     out = staged.write(lists.mapInArrow(_bitmaps, "doc bigint, mark bigint, n_dropped bigint, keep binary"), "bitmaps")
-    staged.drop("rows", "common")
+    staged.drop("rows", "found")
     return out
 
 
@@ -132,7 +171,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     table gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
     maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
-    joined = _marked(docs, id_column, text_column).join(maps.hint("merge"), ["doc", "mark"], "left")  # by shuffle, whatever the size
+    joined = _marked(docs, id_column, text_column).join(maps.hint("shuffle_hash"), ["doc", "mark"], "left")  # texts are not sorted
     n_lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]+", "")) + 1
     flat = joined.select(
         F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(id_column), n_lines.cast("bigint").alias("n_lines"),
@@ -141,8 +180,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     return flat.mapInArrow(_applied, f"`{id_column}` bigint, n_lines bigint, n_dropped bigint, text string")
 
 
-
-
 def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, *, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
     """``docs`` with all its rows and columns; texts lose the lines that ``dedup_lines`` drops.
 
@@ -152,7 +189,7 @@ def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int =
     maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
     named = maps.select(F.col("doc").alias("seshat_doc"), F.col("mark").alias("seshat_mark"), F.col("keep").alias("seshat_keep"))
     on = (F.coalesce(docs[id_column].cast("bigint"), F.lit(_NULL_ID)) == named["seshat_doc"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == named["seshat_mark"])
-    joined = docs.join(named.hint("merge"), on, "left").select(*docs.columns, "seshat_keep")
+    joined = docs.join(named.hint("shuffle_hash"), on, "left").select(*docs.columns, "seshat_keep")
     text, length = docs.columns.index(text_column), docs.columns.index(length_column) if length_column in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from seshat.llm import byte_bpe, decontamination, jaccard_join, line_dedup, quality_rules, secrets, token_counts
 
 from . import plain
-from .conftest import ITEMS, got, want
+from .conftest import ITEMS, LINE, got, want
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,6 +88,31 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.dedup_lines(none).isEmpty() and line_dedup.dedup_rows(none).isEmpty()
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_line_dedup_of_keys_over_many_partitions(spark, parts):
+    """A line in half of all documents, twice in some, others at the limit; with 40 partitions most keys are cut."""
+    rnd = np.random.default_rng(5)
+    lines = [f"line number {k} that is long enough to count as a key" for k in range(30)]
+    rows = []
+    for d in range(400):
+        own = [lines[k] for k in rnd.integers(0, 30, 3) if k > 20 or d < 6 * k] + ([LINE] * (1 + d % 3) if d % 2 else []) + [f"a line of document {d} alone, also long enough"]
+        rows.append((int(d), "\n".join(own)))
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        wanted = plain.line_dedup(rows)
+        assert sum(r[2] for r in wanted) > 300 and got(line_dedup.dedup_lines(docs)) == want(wanted)
+        marked = line_dedup._marked(docs, "doc_id", "text").mapInArrow(line_dedup._keyed_lines(40), "key binary, doc bigint, mark bigint, line int")
+        sizes = [r["count"] for r in marked.repartitionByRange(parts, "key", F.desc("doc")).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= 3 * np.median(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_byte_bpe(docs, none, rows):
     own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(RANKS), special_tokens={})
     found = byte_bpe.encode_and_decode(docs, RANKS)
