@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,11 +44,15 @@ def excerpt(text: Column, limit: int = 240) -> Column:
 
 
 def occurrences(found: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand in a row in an array of tokens."""
+    """How often the phrase's tokens stand in a row in an array of tokens.
+
+    ``found`` is looked at many times: it has to be a column of a table or of a lambda, not the expression that splits a text.
+    """
     if len(phrase) == 1:
         return F.size(F.filter(found, lambda t: t == phrase[0]))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda i: F.slice(found, i, len(phrase)) == F.array(*map(F.lit, phrase)))
-    return F.size(starts)
+    starts = F.when(F.size(found) >= len(phrase), F.sequence(F.lit(1), F.size(found) - (len(phrase) - 1))).otherwise(F.array().cast("array<int>"))
+    here = lambda i: reduce(and_, [F.element_at(found, i + k) == t for k, t in enumerate(phrase)])
+    return F.size(F.filter(starts, here))
 
 
 def _folded(parts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +31,18 @@ def query_phrases(query: str) -> list[list[str]]:
     return phrases
 
 
-def _frequencies(corpus: DataFrame, fields: Sequence[str], phrases: list[list[str]]) -> DataFrame:
-    """corpus with length (tokens of all fields) and f0, f1, ...: each phrase's occurrences in all fields."""
-    split = corpus.withColumns({f"t_{f}": tokens(F.col(f)) for f in fields})
-    total = lambda of: sum((of(F.col(f"t_{f}")) for f in fields), F.lit(0))
-    counts = {f"f{k}": total(lambda t, p=p: occurrences(t, p)) for k, p in enumerate(phrases)}
-    hits = {f"hit_{f}": sum((occurrences(F.col(f"t_{f}"), p) for p in phrases), F.lit(0)) > 0 for f in fields}
-    return split.withColumns(counts | hits | {"length": total(F.size)}).drop(*(f"t_{f}" for f in fields))
+def counted(corpus: DataFrame, fields: Sequence[str], phrases: list[list[str]]) -> DataFrame:
+    """corpus with length (tokens of all fields), f0, f1, ... (each phrase's occurrences in all fields) and hit_<field>.
+
+    Each field is split once: counts are made in a lambda over its tokens, and come out of a generator, below which no
+    later filter or projection is pushed.
+    """
+    per_field = F.transform(F.array(*(tokens(F.col(f)) for f in fields)), lambda t: F.struct(F.size(t).alias("n"), *(occurrences(t, p).alias(f"f{k}") for k, p in enumerate(phrases))))
+    once = corpus.select("*", F.explode_outer(F.array(per_field)).alias("seshat_counts"))
+    part = lambda i: F.col("seshat_counts")[i]
+    total = lambda c: reduce(add, (part(i)[c] for i in range(len(fields))))
+    hits = {f"hit_{f}": reduce(add, (part(i)[f"f{k}"] for k in range(len(phrases)))) > 0 for i, f in enumerate(fields)}
+    return once.withColumns({f"f{k}": total(f"f{k}") for k in range(len(phrases))} | hits | {"length": total("n")}).drop("seshat_counts")
 
 
 def _score(stats: dict[str, float], n_phrases: int) -> Column:
@@ -57,11 +64,11 @@ def search(corpus: DataFrame, query: str, keys: Sequence[str], k: int, *, fields
     top-k without any other shuffle. Rank order is (score rounded to ``digits``, keys).
     """
     phrases = query_phrases(query)
-    counted = _frequencies(corpus, fields, phrases)
-    sums = [F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(phrases))]
-    row = counted.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *sums).first()
+    rows = counted(corpus, fields, phrases)
+    sums = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]
+    row = rows.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *sums).first()
     stats = {c: float(row[c] or 0) for c in row.__fields__}
-    found = counted.where(" OR ".join(f"f{i} > 0" for i in range(len(phrases))))
+    found = rows.where(" OR ".join(f"f{i} > 0" for i in range(len(phrases))))
     found = found if where is None else found.where(where)
     matched = F.array_compact(F.array(*(F.when(F.col(f"hit_{f}"), f) for f in fields)))
     scored = found.select(*keys, F.round(_score(stats, len(phrases)), digits).alias("score"), matched.alias("fields"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.predicates import document_role, in_scope
-from .functions.text import anchor, entity_name, occurrences, tokens
+from .functions.text import anchor, entity_name, tokens
 from .operators import code_graph, families, fusion, graph, keyword, listing, memory, packing, readiness, reconcile, vector
 from .plans import hybrid
 from .sources import bridge, markdown
@@ -145,9 +145,8 @@ def bm25_matched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT doc_id, ordinal, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS n FROM t) SELECT doc_id, ordinal, n::BIGINT AS n FROM p WHERE n > 0""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET2, words of several tokens."""
-    (phrase,) = keyword.query_phrases(PHRASE)
-    counted = _chunks(spark, sf_dir).select("doc_id", "ordinal", tokens(F.col("text")).alias("t")).select("doc_id", "ordinal", occurrences(F.col("t"), phrase).cast("bigint").alias("n"))
-    return counted.where("n > 0")
+    found = keyword.counted(_chunks(spark, sf_dir), ["text"], keyword.query_phrases(PHRASE))
+    return found.where("f0 > 0").select("doc_id", "ordinal", F.col("f0").cast("bigint").alias("n"))
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
