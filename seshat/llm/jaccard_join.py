@@ -1,27 +1,31 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a similarity of 3/4 or more, as components.
 
-1. Each text becomes a set of 64-bit shingle hashes. Equal sets are one node from here on.
-2. Nodes meet under BANDS keys of ROWS minimum hashes each. A pair of similarity 3/4 has no key in common
-   with a chance of (1 - 0.75 ** ROWS) ** BANDS, 3e-10, and more similar pairs with less. Keys are
-   range-partitioned together with nodes, so that a key of very many nodes is cut in chunks of CHUNK.
-3. In each chunk, and later in each pair of chunks of one key, an R-tree over count vectors names the pairs
-   that can link. Pairs within a component that is already known are not searched.
-4. In rounds, each node's first candidates (1, then 8, then 64 ...) are verified on their whole sets, and
-   verified links merge components. A large group of near copies thus takes about one verified pair for
-   each node, not all pairs; the rounds end only when no untested candidate joins two components.
-
-Only nodes that share a key have their sets written; a set travels with its pair, never with its group.
+The join is exact: its candidates come from an exact filter and from bounds, and all links are verified on whole sets.
+
+1. Each text becomes a set of 64-bit shingle hashes. Sets with equal 128-bit numbers are one node from here on.
+2. A set that links with another shares a shingle with it among its rarest n - ceil(3/4 n) + 1, in any order of
+   shingles that is the same for all sets. The order is by a sketch of how often shingles occur, of a fixed size, over all
+   documents: passages that many documents share come last, so they only bring those together that consist of them.
+   Nodes meet under these shingles, range-partitioned by (shingle, size, node), so that a long list is cut in chunks.
+3. First each node is verified with the neighbour in size that it meets most often, and links merge components; this
+   takes one verified pair a node, and leaves few lists with several components in them.
+4. In each such chunk, then in each pair of chunks of one list whose sizes allow links and whose components differ, an
+   R-tree over count vectors names the pairs that can link, by the sum of the smaller counts. In rounds, each node's
+   first candidates (1, then 8, then 64 ...) are verified, and links merge components; the rounds end only when no
+   untested candidate joins two components.
+
+Only nodes that share a shingle have their sets written; a set travels with its pair, never with its group.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +36,15 @@ from .batch import constants, lower_ascii, mix, pieces, span_hash, spaced_words,
 from .count_tree import LINK, CountTree, count_vectors
 
 SHINGLE = 5
-BANDS, ROWS = 40, 3
 CHUNK = 2048
+#: Counters of the sketch of shingles, and how many of them make a row when sketches are summed.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 10
 
 #: Stands for a null id: above any other.
 _NULL_ID = (1 << 63) - 1
 _DONE = 1 << 62
 
 _FACTORS = constants(SHINGLE, 31)
-_SHIFTS, _SCALES = constants(BANDS * ROWS, 32), constants(BANDS * ROWS, 33)
-_BANDS = constants(BANDS, 34)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,105 +70,116 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(sets) if sets else words[:0]), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
-def set_numbers(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each set that is not empty, whatever the order: equal sets have equal ones."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ _FACTORS[0]), dtype=np.uint64)])
-    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+def set_numbers(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each set that is not empty, whatever the order: equal sets have equal ones."""
 
+    def number(k: int) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ _FACTORS[k]), dtype=np.uint64)])
+        return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
-def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """BANDS keys for each set; none of the sets is empty."""
-    n = len(offsets) - 1
-    keys = np.zeros((n, BANDS), np.uint64)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat(values * _SCALES[k] + _SHIFTS[k], offsets[:-1])
-        keys[:, k // ROWS] += mix(least + np.uint64(k % ROWS + 1)) * _FACTORS[k % ROWS]
-    return mix(keys + _BANDS).view(np.int64)
+    return number(0), number(1)
 
 
-def _lists(flat: np.ndarray, width: int, rows: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(flat.ravel()))
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(44)).astype(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n", "node", "bands"]
+def rarest(values: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, the n - ceil(3/4 n) + 1 shingles that come first by (level of their slot, hash), and their offsets."""
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, levels[_slots(values)], owner))
+    kept = sizes - -(-3 * sizes // 4) + 1
+    chosen = order[np.arange(len(values)) - np.repeat(offsets[:-1], sizes) < np.repeat(kept, sizes)]
+    return values[chosen].view(np.int64), np.concatenate([[0], np.cumsum(kept)])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's sketch: how many of its sets' shingles fall in each slot, in rows of SLOT_ROW slots."""
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         for lo, hi in pieces(offsets):
-            values, sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            sizes = np.diff(sets)
-            full = np.flatnonzero(sizes)
-            own = np.concatenate([sets[:-1][full], sets[-1:]])
-            keys = band_keys(values, own) if len(full) else np.zeros((0, BANDS), np.int64)
-            numbers = set_numbers(values, own)
-            rows = np.full(hi - lo, -1)
-            rows[full] = np.arange(len(full))
-            take = pa.array(rows, mask=rows < 0)
-            columns = [pa.array(numbers, pa.int64()), _lists(keys, BANDS, len(full))]
-            yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array(sizes), *(c.take(take) for c in columns)], names=names)
+            total += np.bincount(_slots(shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]), minlength=SLOTS)
+    full = np.flatnonzero(total.reshape(-1, SLOT_ROW).any(1))
+    packed = [zlib.compress(total[k * SLOT_ROW : (k + 1) * SLOT_ROW].astype("<i8").tobytes(), 1) for k in full.tolist()]
+    yield pa.record_batch([pa.array(full, pa.int64()), pa.array(packed, pa.binary())], names=["row", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[row] = sums.get(row, 0) + np.frombuffer(zlib.decompress(packed), "<i8")
+    yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], names=["row", "counts"])
+
+
+def _signatures(levels: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for lo, hi in pieces(offsets):
+                values, sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                sizes = np.diff(sets)
+                full = np.flatnonzero(sizes)
+                own = np.concatenate([sets[:-1][full], sets[-1:]])
+                keys, at = rarest(values, own, levels)
+                rows = np.full(hi - lo, -1)
+                rows[full] = np.arange(len(full))
+                take = pa.array(rows, mask=rows < 0)
+                columns = [*(pa.array(x, pa.int64()) for x in set_numbers(values, own)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))]
+                yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array(sizes), *(c.take(take) for c in columns)], names=["id", "n", "high", "low", "keys"])
+
+    return run
 
 
 def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, node): lists of two nodes or more with a key, of ``size`` or a few more. ``chunk`` is -1 for a
-    key that is whole here, else a number of the list's own: for parts of a long list, and for keys at the
-    partition's ends, of one node or more."""
+    """Of (key, n, node) in that order: lists of two nodes or more with a key, of at most ``size``. ``chunk`` is -1 for a
+    key that is whole here, else a number of the list's own: for parts of a long list, and for keys at the partition's
+    ends, of one node or more. low and high are the least and the largest set of the list."""
     task, numbers = TaskContext.get().partitionId(), count()
 
-    def rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["key", "chunk", "nodes"])
+    def rows(found: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cut = [(key, (task << 32 | next(numbers)) if part else -1, n[i : i + size], nodes[i : i + size]) for key, part, n, nodes in found for i in range(0, len(nodes), size)]
+        ints = [pa.array(x, pa.int64()) for x in ([c[0] for c in cut], [c[1] for c in cut], [int(c[2][0]) for c in cut], [int(c[2][-1]) for c in cut])]
+        return pa.record_batch([*ints, pa.array([c[3] for c in cut], pa.list_(pa.int64()))], names=["key", "chunk", "low", "high", "nodes"])
 
-    number = lambda: task << 32 | next(numbers)
-    held_key, held, edge = None, np.zeros(0, np.int64), True
+    none = np.zeros(0, np.int64)
+    held_key, held_n, held, edge = None, none, none, True  # edge: the list may have begun elsewhere, or has been cut
     for batch in batches:
-        keys, nodes = (batch.column(k).to_numpy() for k in range(2))
+        keys, n, nodes = (batch.column(k).to_numpy() for k in range(3))
         if not len(keys):
             continue
         cuts = np.flatnonzero(np.diff(keys)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.append(cuts, len(keys))
+        starts, ends = np.concatenate([[0], cuts]).tolist(), np.append(cuts, len(keys)).tolist()
         found = []
-        if keys[0] != held_key and held_key is not None:
-            if edge or len(held) > 1:
-                found.append((held_key, number() if edge else -1, held))
-            held_key, held, edge = int(keys[0]), nodes[:0], False
-        elif held_key is None:
-            held_key = int(keys[0])
-        held = np.concatenate([held, nodes[: ends[0]]])
-        for a, b in zip(starts[1:][ends[1:] - starts[1:] > 1].tolist(), ends[1:][ends[1:] - starts[1:] > 1].tolist(), strict=True):
-            if b < len(keys):
-                for i in range(a, b, size):
-                    found.append((int(keys[a]), -1 if b - a <= size else number(), nodes[i : min(i + size, b)]))
-        if len(starts) > 1:  # the first run has ended; the last may go on
-            first_key, first = held_key, held
-            if edge or len(first) > 1:
-                found += [(first_key, number() if edge or len(first) > size else -1, first[i : i + size]) for i in range(0, len(first), size)]
-            held_key, held, edge = int(keys[-1]), nodes[starts[-1] :], False
+        for a, b in zip(starts, ends, strict=True):
+            if held_key is not None and keys[a] != held_key:
+                if edge or len(held) > 1:
+                    found.append((held_key, edge or len(held) > size, held_n, held))
+                held_n, held, edge = none, none, False
+            held_key, held_n, held = int(keys[a]), (np.concatenate([held_n, n[a:b]]) if len(held) else n[a:b]), (np.concatenate([held, nodes[a:b]]) if len(held) else nodes[a:b])
         while len(held) >= 2 * size:
-            found.append((held_key, number(), held[:size]))
-            held, edge = held[size:], True
+            found.append((held_key, True, held_n[:size], held[:size]))
+            held_n, held, edge = held_n[size:], held[size:], True
         yield rows(found)
     if held_key is not None:
-        yield rows([(held_key, number(), held)])
+        yield rows([(held_key, True, held_n, held)])
 
 
 def _candidates(limit: int):
-    """Of rows sorted by block: each node's first ``limit`` candidates in its block, and whether there are more.
-
-    Nodes that share several keys meet in several blocks; the pair is taken in that of their least common key.
-    """
+    """Of rows sorted by block: each node's first ``limit`` candidates in its block, and whether there are more."""
 
-    def of(block: dict[str, np.ndarray], vectors: np.ndarray, bands: np.ndarray) -> list[tuple]:
+    def of(block: dict[str, np.ndarray], vectors: np.ndarray) -> list[tuple]:
         order = np.lexsort((block["node"], block["n"]))
         node, n, over, label, side, bar_n, bar = (block[c][order] for c in ("node", "n", "over", "label", "side", "upto_n", "upto"))
         if (label == label[0]).all():
             return []
-        tree, bands, across, out = CountTree(vectors[order], over, n, label), bands[order], block["i"][0] != block["j"][0], []
+        tree, across, out = CountTree(vectors[order], over, n, label), block["i"][0] != block["j"][0], []
         for at in np.flatnonzero(bar_n < _DONE).tolist():
             near = tree.before(at)
             if len(near) and across:
                 near = near[side[near] != side[at]]
-            if len(near):
-                common = np.where(bands[near] == bands[at], bands[at], _NULL_ID).min(1)
-                near = near[common == block["key"][0]]
             if len(near):
                 near = near[(n[near] > bar_n[at]) | (n[near] == bar_n[at]) & (node[near] > bar[at])]
             out += [(int(node[at]), int(label[at]), int(n[v]), int(node[v]), int(label[v]), len(near) > limit) for v in near[:limit].tolist()]
@@ -175,9 +189,8 @@ def _candidates(limit: int):
         held: pa.Table | None = None
 
         def blocks(table: pa.Table, last: bool) -> tuple[list[tuple], pa.Table | None]:
-            columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("vector", "bands")}
+            columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "vector"}
             vector = utf8(table.column("vector"))[0].reshape(table.num_rows, -1)
-            bands = pc.list_flatten(table.column("bands")).to_numpy().reshape(table.num_rows, -1)
             change = np.zeros(table.num_rows, bool)
             for c in ("key", "i", "j"):
                 change[1:] |= np.diff(columns[c]) != 0
@@ -186,7 +199,7 @@ def _candidates(limit: int):
             out, stop = [], len(starts) if last else len(starts) - 1
             for a, b in zip(starts[:stop].tolist(), ends[:stop].tolist(), strict=True):
                 if b - a > 1:
-                    out += of({c: x[a:b] for c, x in columns.items()}, vector[a:b], bands[a:b])
+                    out += of({c: x[a:b] for c, x in columns.items()}, vector[a:b])
             return out, None if last else table.slice(starts[-1])
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
@@ -214,8 +227,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.concatenate([sets[:-1][full], sets[-1:]])
             parts = [values[a:b].tobytes() for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
             vectors, over = count_vectors(values, own)
-            columns = [pa.array(set_numbers(values, own)), pa.array(np.diff(own)), pa.array(parts, pa.binary()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(over, pa.int64())]
-            yield pa.record_batch(columns, names=["node", "n", "set", "vector", "over"])
+            columns = [*map(pa.array, set_numbers(values, own)), pa.array(np.diff(own)), pa.array(parts, pa.binary()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(over, pa.int64())]
+            yield pa.record_batch(columns, names=["high", "low", "n", "set", "vector", "over"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +251,18 @@ class _Join:
         self.staged = Staging(self.spark, "jaccard")
         self.source = docs.select(docs[text_column].alias("text"), F.coalesce(docs[id_column].cast("bigint"), F.lit(_NULL_ID)).alias("id"))
         self.jobs, self.written = count(), []
-        self.signatures = self.write(self.source.mapInArrow(_signatures, "id bigint, n bigint, node bigint, bands array<bigint>"), "signatures")
-        grouped = self.signatures.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-        self.nodes = self.write(grouped, "nodes")
+        signed = self.source.mapInArrow(_signatures(self.levels()), "id bigint, n bigint, high bigint, low bigint, keys array<bigint>")
+        self.signatures = self.write(signed, "signatures")
+        grouped = self.signatures.where("high IS NOT NULL").groupBy("high", "low").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+        self.nodes = self.write(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def levels(self) -> np.ndarray:
+        """The logarithm of each slot's count over all documents: SLOTS bytes."""
+        rows = self.source.select("text").mapInArrow(_counted, "row bigint, counts binary").repartition(self.parts, "row").mapInArrow(_summed, "row bigint, counts binary")
+        total = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.int64)
+        for r in rows.collect():
+            total[r["row"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+        return np.log2(np.maximum(total.ravel(), 1)).astype(np.uint8)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.written.append(f"{next(self.jobs)}-{name}")
@@ -250,31 +272,46 @@ class _Join:
         """Deletes what has been written, but for tables of these names."""
         self.staged.drop(*(w for w in self.written if w.partition("-")[2] not in kept))
 
-    def blocks(self) -> tuple[DataFrame, DataFrame]:
+    def chunks(self) -> DataFrame:
+        """(key, chunk, low, high, nodes) of the keys that two nodes or more have."""
+        keys = self.nodes.select(F.explode("keys").alias("key"), "n", "node")
+        dealt = keys.repartitionByRange(self.parts, "key", "n", "node").sortWithinPartitions("key", "n", "node")
+        found = self.write(dealt.mapInArrow(partial(_chunks, self.chunk), "key bigint, chunk bigint, low bigint, high bigint, nodes array<bigint>"), "all")
+        alone = found.where("chunk >= 0").groupBy("key").agg(F.sum(F.size("nodes")).alias("total")).where("total < 2").select("key")  # at partitions' ends
+        return self.write(found.join(alone, "key", "left_anti"), "chunks")
+
+    def first(self, chunks: DataFrame) -> DataFrame:
+        """(a, b) of links between nodes that are next to each other by size: for each, the one that it meets most often."""
+        last = F.size("nodes") - 1
+        pairs = chunks.where("size(nodes) > 1").select(F.explode(F.zip_with(F.slice("nodes", 1, last), F.slice("nodes", 2, last), lambda a, b: F.struct(a.alias("u"), b.alias("v")))).alias("p")).select("p.*")
+        met = pairs.groupBy("u", "v").agg(F.count("*").alias("times"))
+        best = met.groupBy("u").agg(F.max_by("v", F.struct("times", "v")).alias("v"))
+        return self.verify(best.select("u", F.col("u").alias("label_u"), "v", F.col("v").alias("label_v")))
+
+    def blocks(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(key, i, j, node, side): lists of nodes that meet whole, and parts of lists, which also meet in pairs."""
-        keys = self.nodes.select(F.explode("bands").alias("key"), "node")
-        dealt = keys.repartitionByRange(self.parts, "key", "node").sortWithinPartitions("key", "node")
-        chunks = self.write(dealt.mapInArrow(partial(_chunks, self.chunk), "key bigint, chunk bigint, nodes array<bigint>"), "chunks")
         whole = chunks.where("chunk < 0").groupBy("nodes").agg(F.min("key").alias("key"))
         same = whole.select("key", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.explode("nodes").alias("node"))
-        parts = self.write(chunks.where("chunk >= 0"), "parts")
+        parts = chunks.where("chunk >= 0")
         own = parts.select("key", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.explode("nodes").alias("node"))
         return self.write(same.union(own).withColumn("side", F.lit(0).cast("bigint")), "blocks"), parts
 
-    def features(self, blocks: DataFrame) -> DataFrame:
-        """(node, rep, n, set, vector, over, bands) of the nodes in blocks, from the texts of their representatives."""
-        wanted = self.write(blocks.select("node").distinct().join(self.nodes.select("node", F.col("rep").alias("id"), "bands"), "node"), "wanted")
+    def features(self, chunks: DataFrame) -> DataFrame:
+        """(node, rep, n, set, vector, over) of the nodes in chunks, from the texts of their representatives."""
+        wanted = chunks.select(F.explode("nodes").alias("node")).distinct().join(self.nodes.select("node", "high", "low", F.col("rep").alias("id")), "node")
+        wanted = self.write(wanted, "wanted")
         texts = self.source.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets, "node bigint, n bigint, set binary, vector binary, over bigint")
-        one = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "set", "vector", "over")))  # copies by one id
-        return self.write(one.join(wanted.withColumnRenamed("id", "rep"), "node"), "features")
+        sets = texts.mapInArrow(_sets, "high bigint, low bigint, n bigint, set binary, vector binary, over bigint")
+        one = sets.groupBy("high", "low").agg(*(F.first(c).alias(c) for c in ("n", "set", "vector", "over")))  # copies by one id
+        return self.write(one.join(wanted.withColumnRenamed("id", "rep"), ["high", "low"]).drop("high", "low"), "features")
 
     def cross(self, parts: DataFrame, state: DataFrame) -> DataFrame:
-        """Pairs of parts of one key whose nodes are of two components or more. Parts that add no other component drop out."""
-        rows = parts.select("key", "chunk", F.explode("nodes").alias("node")).join(state.select("node", "label"), "node")
-        of_part = rows.groupBy("key", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        p, q = (of_part.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("chunk", "low", "high"))) for k in "ij")
-        pairs = p.join(q, "key").where("chunk_i < chunk_j AND NOT (low_i = high_i AND low_j = high_j AND low_i = low_j)")
+        """Pairs of parts of one key whose nodes are of two components or more, and whose sizes allow links."""
+        rows = parts.select("key", "chunk", "low", "high", F.explode("nodes").alias("node")).join(state.select("node", "label"), "node")
+        of_part = rows.groupBy("key", "chunk", "low", "high").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        p, q = (of_part.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("chunk", "low", "high", "least", "most"))) for k in "ij")
+        sized = "4 * high_i >= 3 * low_j AND 4 * high_j >= 3 * low_i"
+        pairs = p.join(q, "key").where(f"chunk_i < chunk_j AND {sized} AND NOT (least_i = most_i AND least_j = most_j AND least_i = least_j)")
         pairs = self.write(pairs.select("key", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j")), "pairs")
         side = lambda c, k: pairs.join(rows.select("key", F.col("chunk").alias(c), "node"), ["key", c]).select("key", "i", "j", "node", F.lit(k).cast("bigint").alias("side"))
         return self.write(side("i", 0).union(side("j", 1)), "cross")
@@ -288,16 +325,15 @@ class _Join:
 
     def search(self, blocks: DataFrame, state: DataFrame, limit: int) -> DataFrame:
         """(u, label_u, first, more): first candidates of nodes that are not done."""
-        rows = blocks.join(state.join(self.known.select("node", "n", "vector", "over", "bands"), "node"), "node")
+        rows = blocks.join(state.join(self.known.select("node", "n", "vector", "over"), "node"), "node")
         dealt = rows.repartition(self.parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         found = dealt.mapInArrow(_candidates(limit), "u bigint, label_u bigint, n bigint, v bigint, label bigint, more boolean")
         every = found.groupBy("u", "label_u").agg(F.array_sort(F.collect_set(F.struct("n", "v", "label"))).alias("all"), F.max("more").alias("more"))
         cut = every.select("u", "label_u", F.slice("all", 1, limit).alias("first"), (F.col("more") | (F.size("all") > limit)).alias("more"))
         return self.write(cut, "found")
 
-    def verify(self, found: DataFrame) -> DataFrame:
-        """The labels (a, b) of pairs that link."""
-        pairs = found.select("u", "label_u", F.explode("first").alias("f")).select("u", "label_u", F.col("f.v").alias("v"), F.col("f.label").alias("label_v"))
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The labels (a, b) of pairs (u, label_u, v, label_v) that link."""
         first, second = (self.known.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
         joined = pairs.join(first, "u").join(second, "v").select("label_u", "label_v", "set_u", "set_v")
         return self.write(joined.mapInArrow(_verified, "a bigint, b bigint"), "links")
@@ -306,12 +342,12 @@ class _Join:
         """The state when no untested candidate of the blocks joins two components."""
         limit = 1
         while True:
-            if limit > 1:  # by now most blocks have one label
-                blocks = self.live(blocks, state)
+            blocks = self.live(blocks, state)
             found = self.search(blocks, state, limit)
             if found.isEmpty():
                 return state
-            merged = components(self.verify(found), self.staged, f"{next(self.jobs)}-stars")
+            pairs = found.select("u", "label_u", F.explode("first").alias("f")).select("u", "label_u", F.col("f.v").alias("v"), F.col("f.label").alias("label_v"))
+            merged = components(self.verify(pairs), self.staged, f"{next(self.jobs)}-stars")
             last = F.element_at("first", -1)
             tested = found.where("more").select(F.col("u").alias("node"), last["n"].alias("next_n"), last["v"].alias("next"))
             moved = state.join(merged.withColumnsRenamed({"a": "label", "b": "into"}), "label", "left").join(tested, "node", "left")
@@ -322,10 +358,13 @@ class _Join:
 
     def run(self) -> DataFrame:
         """(node, component) for the nodes whose component has a smaller id than their own copies."""
-        blocks, parts = self.blocks()
-        self.known = self.features(blocks)
+        chunks = self.chunks()
+        self.known = self.features(chunks)
+        merged = components(self.first(chunks), self.staged, f"{next(self.jobs)}-stars")
         fresh = lambda rows, label: rows.select("node", label.alias("label"), F.lit(-1).cast("bigint").alias("upto_n"), F.lit(0).cast("bigint").alias("upto"))
-        state = self.rounds(blocks, self.write(fresh(blocks.select("node").distinct(), F.col("node")), "state"))
+        start = self.known.select("node").join(merged.select(F.col("a").alias("node"), "b"), "node", "left")
+        blocks, parts = self.blocks(chunks)
+        state = self.rounds(blocks, self.write(fresh(start, F.coalesce("b", "node")), "state"))
         cross = self.cross(parts, state)
         if not cross.isEmpty():
             state = self.rounds(cross, self.write(fresh(state, F.col("label")), "state"))
@@ -348,11 +387,12 @@ def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     a component of null ids only has a null one. Repeated rows give a row each. An empty table gives no
     rows; other columns of ``docs`` are not read, whatever their names. ``docs`` is read more than once.
     chunk: nodes that are searched together; a bound on a task's memory, and no cap.
-    Sets and their numbers are 64-bit hashes: of n distinct sets, n * n / 2 ** 65 pairs are expected to have the same number.
+    Shingles are 64-bit hashes and sets have 128-bit numbers: of n distinct sets, n * n / 2 ** 129 pairs are expected to
+    have the same number.
     """
     join = _Join(docs, id_column, text_column, chunk)
     other = join.run()
-    own = join.signatures.select("id", "n", "node").join(join.nodes.select("node", "rep"), "node", "left").join(other, "node", "left")
+    own = join.signatures.select("id", "n", "high", "low").join(join.nodes.select("high", "low", "node", "rep").join(other, "node", "left"), ["high", "low"], "left")
     return own.select(_id(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
