@@ -101,13 +101,13 @@ class Engine:
         return claims.orderBy("rk")
 
     def decisions(self, limit: int = 10) -> DataFrame:
-        return memory.decisions(self.store.read("documents"), limit)
+        return memory.decisions(self.store.read("documents"), self.store.read("chunks"), limit)
 
     def open_questions(self, limit: int = 10) -> DataFrame:
-        return memory.open_questions(self.store.read("documents"), limit)
+        return memory.open_questions(self.store.read("documents"), self.store.read("chunks"), limit)
 
     def project_summary(self, limit: int = 10) -> DataFrame:
-        return memory.project_groups(self.store.read("documents"), limit)
+        return memory.project_groups(self.store.read("documents"), self.store.read("chunks"), limit)
 
     def audit(self) -> DataFrame:
         return memory.hygiene(self.store.read("documents"), self.store.read("chunks"))

@@ -10,9 +10,9 @@ from .graph import local_links, resolve_links
 
 # Confidence of each source of entities, and the relations that frontmatter states.
 CONFIDENCE = {"document": 1.0, "heading": 0.85, "tag": 0.8, "revisit": 0.8, "unresolved": 0.7}
-RELATIONS = {"related": ("related_to", 0.9), "related_to": ("related_to", 0.9), "depends_on": ("depends_on", 0.9), "blocks": ("blocks", 0.9), "implements": ("implements", 0.9), "supersedes": ("supersedes", 0.9)}
+RELATIONS = {"related": ("related_to", 0.9), "depends_on": ("depends_on", 0.9), "blocks": ("blocks", 0.9), "implements": ("implements", 0.9), "supersedes": ("supersedes", 0.9)}
 LINKS_TO, MENTIONS_FROM, REVISIT = 0.95, ("heading", "tag", "unresolved"), 0.8
-GENERIC_HEADINGS = ("overview", "summary", "notes", "introduction", "background", "context", "references", "links", "todo")
+GENERIC_HEADINGS = ("overview", "summary", "notes", "todo", "appendix", "references")
 
 _KEYS = ("vault_id", "chunk_id", "path")
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entity_name, link_target, stable_id
 
-# Weights of statuses and of depths, and the order of types in a decision trace.
-STATUS_WEIGHTS = {"stated": 1.0, "inferred": 0.7, "ambiguous": 0.4, "deprecated": 0.1}
+# Weights of statuses and of depths.
+STATUS_WEIGHTS = {"stated": 1.0, "inferred": 0.75, "contested": 0.45, "deprecated": 0.0}
 DEPTH_WEIGHTS = (1.0, 0.6)
 MATCH_KINDS = ("id", "path", "name", "alias", "substring")
 EDGE_LIMIT = 200

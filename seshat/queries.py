@@ -29,8 +29,9 @@ ORACLE_SQL: dict[str, str] = {}
 _DOCS = """d AS (SELECT lang AS vault_id, doc_id,
     CASE doc_id % 10 WHEN 0 THEN 'raw/' WHEN 1 THEN 'scratch/reports/' WHEN 2 THEN 'docs/' WHEN 3 THEN 'wiki/sources/' WHEN 4 THEN 'wiki/maps/'
       WHEN 5 THEN 'wiki/notes/' WHEN 6 THEN 'wiki/decisions/' WHEN 7 THEN 'wiki/issues/' ELSE 'wiki/concepts/' END || CAST(doc_id AS VARCHAR) || '.md' AS path,
-    CASE doc_id % 10 WHEN 5 THEN 'log' WHEN 6 THEN 'decision' WHEN 7 THEN 'issue' WHEN 3 THEN 'source' END AS fm_type,
-    CASE WHEN doc_id % 20 = 7 THEN 'open' WHEN doc_id % 10 = 7 THEN 'resolved' END AS fm_status,
+    CASE doc_id % 10 WHEN 5 THEN 'log' WHEN 6 THEN 'decision' WHEN 7 THEN 'issue' WHEN 3 THEN 'source' ELSE CASE WHEN doc_id % 20 = 4 THEN 'roadmap' END END AS fm_type,
+    CASE WHEN doc_id % 10 = 7 THEN ['open', 'resolved', 'blocked', 'closed', 'todo', 'accepted', 'archived', 'superseded', 'unresolved', 'rejected'][(doc_id // 10) % 10 + 1] WHEN doc_id % 20 = 18 THEN 'superseded' END AS fm_status,
+    CASE WHEN doc_id % 20 = 9 THEN 'Open questions' WHEN doc_id % 30 = 8 THEN 'Alternatives' WHEN doc_id % 30 = 7 THEN 'To do: follow-up' END AS section,
     CASE doc_id % 10 WHEN 3 THEN 'raw/' || CAST(doc_id - 3 AS VARCHAR) || '.md' WHEN 6 THEN 'wiki/sources/' || CAST(doc_id - 3 AS VARCHAR) || '.md'
       WHEN 8 THEN 'wiki/decisions/' || CAST(doc_id - 2 AS VARCHAR) || '.md' END AS derived_from, text FROM documents),
   roles AS (SELECT *, CASE WHEN path LIKE 'raw/%' THEN 'raw_evidence' WHEN path LIKE 'scratch/reports/%' THEN 'audit_record' WHEN path LIKE 'docs/%' THEN 'operating_contract'
@@ -286,6 +287,16 @@ def related_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.related(_mention_edges(spark, sf_dir), _seed(spark, "page:0"), 2, LIMIT)
 
 
+@_register(f"""WITH {_EDGES}, w AS (SELECT page_id, href, 0.7::DOUBLE * CASE page_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.45 ELSE 0.0 END AS w FROM e),
+    one AS (SELECT href AS target, 1 AS depth, w AS score FROM w WHERE page_id = 1), two AS (SELECT 'page:' || CAST(b.page_id AS VARCHAR) AS target, 2 AS depth, max(least(a.w, b.w) * 0.6) AS score FROM w a JOIN w b ON a.href = b.href WHERE a.page_id = 1 AND b.page_id <> 1 GROUP BY 1),
+    t AS (SELECT target, depth, round(score, 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two)) SELECT *, row_number() OVER (ORDER BY score DESC, depth, target) AS rk FROM t QUALIFY rk <= 1000""")
+def related_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA6: edges of all statuses, and of one that has no weight."""
+    page = F.regexp_extract("source", "[0-9]+$", 0).cast("bigint") % 5
+    status = F.element_at(F.array(*map(F.lit, ("stated", "inferred", "contested", "deprecated", "unheard"))), (page + 1).cast("int"))
+    return graph.related(_mention_edges(spark, sf_dir).withColumn("status", status), _seed(spark, "page:1"), 2, 1000)
+
+
 _ROLE_PRIORITY = ("canonical_knowledge", "source_manifest", "raw_evidence", "operating_contract", "generated_view", "operation_log", "audit_record")
 
 
@@ -408,27 +419,62 @@ def claims_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.claims(_hybrid(spark, sf_dir))
 
 
-def _top_sql(case: str, where: str, by: str = "vault_id", extra: str = "") -> str:
-    return f"""WITH {_DOCS}, m AS (SELECT vault_id, path{extra}, {case} AS claim_status FROM d WHERE {where}) SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE claim_status WHEN 'stated' THEN 0 ELSE 1 END, path) AS rk FROM m QUALIFY rk <= {LIMIT}"""
+_LOOKED = f"""{_DOCS}, f AS (SELECT *, lower(concat_ws(' ', 'type ' || fm_type, 'status ' || fm_status, 'derived_from ' || derived_from)) AS fm_text, coalesce(fm_status, '') AS status, lower(coalesce(section, '')) AS head FROM d),
+  ev AS (SELECT doc_id FROM d WHERE regexp_matches(text, '[^ \\n]'))"""
+
+
+def _any(column: str, terms: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms.split(",")) + ")"
+
+
+_DECIDES, _ASKS = "decision,alternatives,tradeoff,trade-off,revisit", "open questions,question,follow-up,follow up,todo,blocker,revisit"
 
 
-@_register(_top_sql("CASE WHEN path LIKE 'wiki/decisions/%' OR fm_type = 'decision' THEN 'stated' ELSE 'metadata_derived' END", "path LIKE 'wiki/decisions/%' OR fm_type = 'decision' OR contains(lower(path), 'decision') OR contains(lower(path), 'adr')"))
+def _memory_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = bridge.with_frontmatter(bridge.documents(spark, sf_dir))
+    return docs, bridge.chunks(docs).join(docs.select("doc_id", "section"), "doc_id")
+
+
+def _first_by_vault(where: str) -> str:
+    """The candidates that a view looks into: 200 a vault for 20 items."""
+    return f"c AS (SELECT * FROM f WHERE {where} QUALIFY row_number() OVER (PARTITION BY vault_id ORDER BY path) <= 200)"
+
+
+@_register(f"""WITH {_LOOKED}, {_first_by_vault(f"path LIKE 'wiki/decisions/%' OR fm_type = 'decision' OR {_any('path', _DECIDES)} OR {_any('fm_text', _DECIDES)}")},
+    m AS (SELECT vault_id, path, CASE WHEN path LIKE 'wiki/decisions/%' OR fm_type = 'decision' THEN 'stated' WHEN {_any('head', _DECIDES)} THEN 'heading_candidate' ELSE 'metadata_derived' END AS claim_status FROM c SEMI JOIN ev USING (doc_id))
+    SELECT *, row_number() OVER (PARTITION BY vault_id ORDER BY path) AS rk FROM m QUALIFY rk <= {LIMIT}""")
 def decisions_by_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MEM1, PRJ12."""
-    return memory.decisions(bridge.documents(spark, sf_dir), LIMIT)
+    return memory.decisions(*_memory_rows(spark, sf_dir), LIMIT)
 
 
-@_register(_top_sql("CASE WHEN fm_status = 'open' THEN 'stated' ELSE 'metadata_derived' END", "coalesce(fm_status, '') NOT IN ('resolved', 'closed', 'done', 'rejected', 'archived') AND (path LIKE 'wiki/issues/%' OR fm_type = 'issue')"))
+@_register(f"""WITH {_LOOKED}, {_first_by_vault(f"status NOT IN ('closed', 'resolved', 'done', 'accepted', 'superseded', 'deprecated', 'cancelled') AND (path LIKE 'wiki/issues/%' OR fm_type IN ('issue', 'question', 'follow_up') OR {_any('path', _ASKS)} OR {_any('fm_text', _ASKS)})")},
+    m AS (SELECT vault_id, path, CASE WHEN path LIKE 'wiki/issues/%' AND status IN ('open', 'unresolved', 'todo', 'blocked', 'revisit') THEN 'stated' WHEN status IN ('', 'open', 'unresolved', 'todo', 'blocked', 'revisit') AND {_any('head', _ASKS)} THEN 'heading_candidate' END AS claim_status FROM c SEMI JOIN ev USING (doc_id))
+    SELECT *, row_number() OVER (PARTITION BY vault_id ORDER BY path) AS rk FROM m WHERE claim_status IS NOT NULL QUALIFY rk <= {LIMIT}""")
 def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MEM2, PRJ12."""
-    return memory.open_questions(bridge.documents(spark, sf_dir), LIMIT)
+    return memory.open_questions(*_memory_rows(spark, sf_dir), LIMIT)
 
 
-@_register(f"""WITH {_DOCS}, m AS (SELECT vault_id, path, unnest(list_filter([CASE WHEN contains(path, 'notes') OR contains(path, 'status') THEN 'current_state' END, CASE WHEN contains(path, 'maps') THEN 'constraint' END, CASE WHEN contains(path, 'issues') THEN 'next_priority' END], lambda g: g IS NOT NULL)) AS "group" FROM d)
+@_register(f"""WITH {_LOOKED}, g AS (SELECT *, list_filter([CASE WHEN fm_type IN ('project_status', 'status', 'roadmap', 'plan', 'overview') OR {_any('path', 'status,roadmap,plan,overview')} THEN 'current_state' END,
+      CASE WHEN {_any('path', 'policy,decision,convention,boundary')} OR {_any('fm_text', 'constraint,policy,boundary,invariant,non-goal')} THEN 'constraints' END,
+      CASE WHEN {_any('path', 'roadmap,todo')} OR {_any('fm_text', 'priority,next,roadmap,phase')} THEN 'next_priorities' END,
+      CASE WHEN status IN ('stale', 'deprecated', 'superseded') OR {_any('path', 'deprecated,superseded')} THEN 'stale_areas' END], lambda x: x IS NOT NULL) AS groups FROM f),
+    c AS (SELECT * FROM g WHERE len(groups) > 0 QUALIFY row_number() OVER (PARTITION BY vault_id ORDER BY path) <= 200),
+    m AS (SELECT vault_id, path, unnest(groups) AS "group", len(groups) > 1 AS ambiguous FROM c SEMI JOIN ev USING (doc_id))
     SELECT *, row_number() OVER (PARTITION BY vault_id, "group" ORDER BY path) AS rk FROM m QUALIFY rk <= {LIMIT}""")
 def project_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MEM3, PRJ12."""
-    return memory.project_groups(bridge.documents(spark, sf_dir), LIMIT)
+    return memory.project_groups(*_memory_rows(spark, sf_dir), LIMIT)
+
+
+@_register(f"""WITH {_DOCS}, k AS (SELECT doc_id, list_filter(['document', CASE WHEN path LIKE 'wiki/%' THEN 'page' END, CASE WHEN path LIKE 'raw/%' OR path LIKE 'docs/%' OR path LIKE 'scratch/reports/%' OR fm_type = 'source' THEN 'source' END,
+      CASE WHEN path LIKE 'wiki/decisions/%' OR fm_type = 'decision' THEN 'decision' END, CASE WHEN path LIKE 'wiki/issues/%' OR fm_type = 'issue' THEN 'issue' END], lambda x: x IS NOT NULL) AS kinds FROM d)
+    SELECT array_to_string(kinds, ',') AS kinds, count(*)::BIGINT AS n FROM k GROUP BY 1""")
+def resource_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ13."""
+    kinds = memory.resource_kinds(F.col("path"), F.col("fm_type"))
+    return bridge.documents(spark, sf_dir).groupBy(F.array_join(kinds, ",").alias("kinds")).agg(F.count("*").alias("n"))
 
 
 @_register(f"SELECT event_id, ts AS occurred_at, row_number() OVER (ORDER BY ts DESC, event_id) AS rk FROM events WHERE ts > TIMESTAMP '{SINCE}' QUALIFY rk <= 50")

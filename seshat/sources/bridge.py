@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import stable_id, word_count
 
 
+#: Statuses that issues have by turns.
+STATUSES = ("open", "resolved", "blocked", "closed", "todo", "accepted", "archived", "superseded", "unresolved", "rejected")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vault_id, doc_id, path, fm_type, fm_status, derived_from, text): the language is the vault, the id gives path and role."""
+    """(vault_id, doc_id, path, fm_type, fm_status, derived_from, section, text): the language is the vault, the id gives path and role."""
     last, id_ = F.col("doc_id") % 10, F.col("doc_id")
     folder = F.element_at(F.array(*map(F.lit, ("raw/", "scratch/reports/", "docs/", "wiki/sources/", "wiki/maps/", "wiki/notes/", "wiki/decisions/", "wiki/issues/", "wiki/concepts/", "wiki/concepts/"))), (last + 1).cast("int"))
     path = lambda folder, number: F.concat(folder if not isinstance(folder, str) else F.lit(folder), number.cast("string"), F.lit(".md"))
@@ -21,13 +25,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("vault_id"),
         "doc_id",
         path(folder, id_).alias("path"),
-        F.when(last == 5, "log").when(last == 6, "decision").when(last == 7, "issue").when(last == 3, "source").alias("fm_type"),
-        F.when(id_ % 20 == 7, "open").when(last == 7, "resolved").alias("fm_status"),
+        F.when(last == 5, "log").when(last == 6, "decision").when(last == 7, "issue").when(last == 3, "source").when(id_ % 20 == 4, "roadmap").alias("fm_type"),
+        F.when(last == 7, F.element_at(F.array(*map(F.lit, STATUSES)), (F.floor(id_ / 10) % 10 + 1).cast("int"))).when(id_ % 20 == 18, "superseded").alias("fm_status"),
         F.when(last == 3, path("raw/", id_ - 3)).when(last == 6, path("wiki/sources/", id_ - 3)).when(last == 8, path("wiki/decisions/", id_ - 2)).alias("derived_from"),
+        F.when(id_ % 20 == 9, "Open questions").when(id_ % 30 == 8, "Alternatives").when(id_ % 30 == 7, "To do: follow-up").alias("section"),
         "text",
     )
 
 
+def with_frontmatter(docs: DataFrame) -> DataFrame:
+    """docs with frontmatter, a JSON object of what there is of type, status and derived_from."""
+    return docs.withColumn("frontmatter", F.to_json(F.struct(F.col("fm_type").alias("type"), F.col("fm_status").alias("status"), "derived_from")))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """One row for each line that isn't blank; ordinal counts all lines from 0."""
     lines = docs.select("vault_id", "doc_id", "path", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where(F.trim("text") != "")
