@@ -6,13 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used only where no folder is set and driver and executors are on one machine, as in tests.
 OWN_CHECKPOINT_DIR = "/tmp/seshat-checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or OWN_CHECKPOINT_DIR where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR).rstrip("/")
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    Where neither is set, OWN_CHECKPOINT_DIR on a local master; on any other it is an error, as executors would write to
+    folders of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = OWN_CHECKPOINT_DIR
+    return folder.rstrip("/")
 
 
 class Staging:

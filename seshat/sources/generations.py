@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Generations:
-    """``root/gen=<id>/<table>`` and ``root/active.json``, on any file system that Spark reads.
+    """``root/gen=<id>/<table>`` and numbered pointers ``root/active/<number>.json``, on any file system that Spark reads.
 
-    A generation is published when its pointer is written; before, readers see the one before it.
+    A generation is published when its pointer has its name, by one rename to a name that isn't taken; before, readers
+    see the pointer before it, and at no time none. The pointer of the highest number counts.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -20,25 +22,31 @@ class Generations:
     def _path(self, name: str):  # noqa: ANN202
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def active(self) -> dict | None:
-        path = self._path("active.json")
+    def _numbers(self) -> list[int]:
+        path = self._path("active")
         fs = path.getFileSystem(self.conf)
-        if not fs.exists(path):
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
+
+    def active(self) -> dict | None:
+        numbers = self._numbers()
+        if not numbers:
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(path)).collect()))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(self._path(f"active/{numbers[-1]}.json"))).collect()))
 
     def stage(self, generation: str, tables: dict[str, DataFrame]) -> None:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/gen={generation}/{name}")
 
     def _point(self, value: dict) -> None:
-        temporary, path = self._path(".active.json.tmp"), self._path("active.json")
+        number = (self._numbers() or [0])[-1] + 1
+        temporary, path = self._path(f"active/.{number}.{uuid.uuid4().hex}"), self._path(f"active/{number}.json")
         fs = path.getFileSystem(self.conf)
-        out = fs.create(temporary, True)
+        out = fs.create(temporary, False)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(temporary, path)
+        if fs.exists(path) or not fs.rename(temporary, path):
+            raise ValueError(f"pointer {number} was taken by another writer")
 
     def activate(self, generation: str, tables: list[str], source: str) -> None:
         """Points to the generation, if it has all tables. ``source`` is the snapshot that they all come from."""

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from seshat.operators import code_graph, fusion, graph, keyword, packing, vector
+from seshat.operators.components import components
+from seshat.plans.staging import Staging, shared_folder
 
 ROWS = [
     (1, "wiki/a.md", "Intro", "Alpha", "{}", "graph search graph engine"), (2, "wiki/b.md", "", "Beta", "{}", "search foo bar"), (3, "raw/c.md", "x", "Gamma", "{}", "foo baz bar nothing here"),
@@ -60,7 +64,7 @@ def test_paths_are_simple_and_bounded(spark):
     e = edges(spark, [("a", "b", "t", "stated", 0.9), ("b", "c", "t", "stated", 0.5), ("c", "a", "t", "deprecated", 1.0), ("a", "a", "t", "stated", 1.0)])
     seed = spark.createDataFrame([("a",)], "node string")
     rows = {(tuple(r["nodes"]), round(r["score"], 3)) for r in graph.paths(e, seed, 2).collect()}
-    assert rows == {(("a", "b"), 0.9), (("a", "c"), 0.1), (("a", "b", "c"), 0.3), (("a", "c", "b"), 0.06)}
+    assert rows == {(("a", "b"), 0.9), (("a", "c"), 0.0), (("a", "b", "c"), 0.3), (("a", "c", "b"), 0.0)}
     assert [r["target"] for r in graph.related(e, seed, 2, 5).collect()] == ["b", "c"]
     assert graph.adjacent(e, seed, "in").count() == 2
 
@@ -111,3 +115,39 @@ def test_references_in_files(spark):
 def test_budget_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 4), (4, 1), (5, 1)], "rk long, cost long")
     assert [(r["rk"], r["admitted"], r["used"]) for r in packing.admit(rows, [F.col("rk")], F.col("cost"), 10).orderBy("rk").collect()] == [(1, True, 5), (2, False, 5), (3, True, 9), (4, True, 10), (5, False, 10)]
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rnd = random.Random(3)
+    links = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(600)] + [(k, k + 1) for k in range(2000, 2100)] + [(5000, 5000)]
+    root = list(range(6000))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    wanted = {(x, find(x)) for x in range(6000) if find(x) != x}
+    df = spark.createDataFrame(links, "a long, b long")
+    for one_task in (0, 10_000):
+        assert {tuple(r) for r in components(df, Staging(spark, "test"), f"c{one_task}", one_task).collect()} == wanted
+
+
+def test_staging_needs_a_shared_folder():
+    class Session:
+        """What shared_folder asks of a session on a cluster without a folder."""
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session)
+    Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://x/c/")
+    assert shared_folder(Session) == "hdfs://x/c"
