@@ -17,7 +17,8 @@ from .sources import markdown
 from .sources.catalog import Catalog
 from .sources.generations import Generations
 
-TABLES = ("documents", "chunks", "vectors", "entities", "edges", "families")
+TABLES = ("documents", "chunks", "vectors", "entities", "edges", "families", "index/postings", "index/statistics")
+KEYS = ["vault_id", "chunk_id"]
 EXPLAINED = 256
 
 #: A result's total order.
@@ -46,6 +47,8 @@ class Engine:
         changes = reconcile.plan(self.store.read("documents") if before else docs.where("false"), docs, ["vault_id", "path"], ["raw_sha256"])
         counts = {r["action"]: r["count"] for r in changes.groupBy("action").count().collect()}
         chunks = put("chunks", markdown.chunks(docs))
+        named = chunks.join(docs.select("vault_id", "path", "title", "frontmatter"), ["vault_id", "path"])
+        keyword.Index.write(named, KEYS, keyword.FIELDS, f"{self.store.root}/gen={generation}/index")
         put("vectors", embedding.embed(chunks, ["vault_id", "chunk_id"], self.model))
         found = entities.occurrences(chunks, docs)
         put("entities", graph.merge_entities(found.select("vault_id", "type", "name", "canonical_path", "confidence", "chunk_id")))
@@ -64,12 +67,10 @@ class Engine:
 
     def search(self, query: str, limit: int = 10, *, mode: str = "knowledge", vaults: Sequence[str] = (), scopes: Sequence[str] = ()) -> DataFrame:
         """(vault_id, path, section, chunk_id, excerpt, fused, best_rank, kinds, family_seed, rk), best first."""
-        k, keys = candidate_limit(limit), ["vault_id", "chunk_id"]
-        docs = self.store.read("documents").select("vault_id", "path", "title", "frontmatter")
-        chunks = self.store.read("chunks").join(docs, ["vault_id", "path"])
+        k, keys = candidate_limit(limit), KEYS
+        chunks = self.store.read("chunks")
         allowed = self._scope(chunks, vaults, scopes).where(F.col("source_role").isin(*SEARCH_MODES[mode])).select(*keys, "path", "ordinal", "section", "text", "source_role")
-        marked = chunks.join(allowed.select(*keys, F.lit(True).alias("allowed")), keys, "left")
-        words = keyword.search(marked, query, keys, k, fields=keyword.FIELDS, where=F.col("allowed"))
+        words = keyword.Index(self.store.read("index/postings"), self.store.read("index/statistics"), keys).search(query, k, allowed=allowed)
         target = self.model([query])[0]
         near = vector.search(self.store.read("vectors").join(allowed.select(*keys), keys, "left_semi"), target, keys, k)
         fused = fusion.fuse({"keyword": words, "vector": near}, keys)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import Staging
+from . import keyword
 from .graph import oriented
 
 MAX_DEPTH = 8
@@ -162,3 +168,44 @@ def named(symbols: DataFrame, wanted: str) -> DataFrame:
     ranked = symbols.withColumn("rank", rank).where("rank IS NOT NULL")
     counted = ranked.withColumn("n", F.count("*").over(Window.partitionBy("rank"))).orderBy("rank").limit(1)
     return counted.where("n = 1").drop("rank", "n")
+
+
+#: The fields of a symbol that a search looks in.
+SYMBOL_FIELDS = ("relative_path", "name", "qualified_name", "signature", "language", "kind")
+
+
+def search(symbols: DataFrame, query: str, limit: int, *, repositories: Sequence[str] = (), kinds: Sequence[str] = (), path_prefix: str = "") -> DataFrame:
+    """(symbol_id, score, rk): symbols that have all words of the query in their fields, best first.
+
+    symbols: (symbol_id, repository_id, start_line) and SYMBOL_FIELDS. Words are runs of ASCII letters, digits and ``_``,
+    and ``a_b`` needs its parts in a row; a query without words finds nothing. Filters hold before the limit; a prefix is taken as
+    it is, wildcards too. Order: (score, repository_id, relative_path, start_line, symbol_id).
+    """
+    words = re.findall(r"[A-Za-z0-9_]+", query)
+    keys = ["repository_id", "relative_path", "start_line", "symbol_id"]
+    if not any(w.strip("_") for w in words):
+        return symbols.where("false").select("symbol_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rk"))
+    n = len(keyword.query_phrases(" ".join(words)))
+    where = reduce(and_, [F.col(f"f{k}") > 0 for k in range(n)])
+    if repositories:
+        where = where & F.col("repository_id").isin(*repositories)
+    if kinds:
+        where = where & F.col("kind").isin(*kinds)
+    if path_prefix:
+        where = where & F.col("relative_path").startswith(path_prefix.rstrip("/"))
+    return keyword.search(symbols, " ".join(words), keys, min(limit, MAX_RESULTS), fields=SYMBOL_FIELDS, where=where).select("symbol_id", "score", "rk")
+
+
+def retried(pending: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """Pending references that changed files may resolve: of a changed file itself, or with the name, the qualified name
+    or a dotted end of it of a symbol that a changed file of the same repository has now.
+
+    pending: (repository_id, file_id, reference, ...); symbols: (repository_id, file_id, qualified_name); changed: (file_id).
+    """
+    own = pending.withColumn("seshat_row", F.xxhash64(*pending.columns))
+    files = changed.select("file_id").distinct()
+    fresh = symbols.join(files, "file_id", "left_semi").select("repository_id", F.explode(suffixes(F.col("qualified_name"))).alias("end")).distinct()
+    asked = own.select("repository_id", "seshat_row", F.explode(F.array_distinct(F.array(_cleaned(F.col("reference")), F.element_at(F.split(_cleaned(F.col("reference")), "\\."), -1)))).alias("end"))
+    hit = asked.join(fresh, ["repository_id", "end"], "left_semi").select("seshat_row")
+    hit = hit.union(own.join(files, "file_id", "left_semi").select("seshat_row")).distinct()
+    return own.join(hit, "seshat_row", "left_semi").drop("seshat_row")

@@ -119,3 +119,48 @@ def signals(related_: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> Da
     """keys and rk: evidence of related nodes as a search signal, at the rank of its best node. evidence: (node, keys)."""
     best = related_.select(F.col("target").alias("node"), "rk").join(evidence, "node").groupBy(*keys).agg(F.min("rk").alias("best"))
     return best.withColumn("rk", F.row_number().over(Window.orderBy("best", *keys)).cast("bigint")).drop("best")
+
+
+def adjacent_page(edges: DataFrame, seeds: DataFrame, direction: str = "both", *, types: Sequence[str] | None = None, statuses: Sequence[str] | None = None, limit: int = EDGE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` edges at seeds by edge_id, of the types and statuses asked for; and one row (matched, omitted, truncated)."""
+    found = adjacent(edges, seeds, direction)
+    for column, wanted in (("type", types), ("status", statuses)):
+        found = found if wanted is None else found.where(F.col(column).isin(*wanted))
+    matched = F.count("*")
+    omitted = F.greatest(matched - limit, F.lit(0))
+    return found.orderBy("edge_id").limit(limit), found.agg(matched.alias("matched"), omitted.alias("omitted"), (matched > limit).alias("truncated"))
+
+
+def admitted(edges: DataFrame, evidence: DataFrame, vaults: Sequence[str], *, cross_vault: bool = False) -> DataFrame:
+    """Edges (edge_id, source_vault, target_vault, ...) that a scope of vaults may show: both ends are in it, and no
+    evidence (edge_id, vault_id) is from elsewhere. Without ``cross_vault`` ends and evidence are in one vault."""
+    inside = edges.where(F.col("source_vault").isin(*vaults) & F.col("target_vault").isin(*vaults))
+    if cross_vault:
+        return inside.join(evidence.where(~F.col("vault_id").isin(*vaults)).select("edge_id"), "edge_id", "left_anti")
+    one = inside.where("source_vault = target_vault")
+    return one.join(evidence.select("edge_id", F.col("vault_id").alias("v")), (one["edge_id"] == evidence["edge_id"]) & (F.col("v") != one["source_vault"]), "left_anti")
+
+
+def resource(entities: DataFrame, edges: DataFrame, vault_id: str, entity_id: str) -> DataFrame:
+    """An entity by its id, whatever its status, with n_out and n_in, the numbers of its edges."""
+    own = entities.where((F.col("vault_id") == vault_id) & (F.col("entity_id") == entity_id))
+    count = lambda end, name: edges.where(F.col(end) == entity_id).groupBy(F.col(end).alias("entity_id")).agg(F.count("*").alias(name))
+    joined = own.join(count("source", "n_out"), "entity_id", "left").join(count("target", "n_in"), "entity_id", "left")
+    return joined.fillna(0, ["n_out", "n_in"])
+
+
+def first_occurrences(rows: DataFrame, keys: Sequence[str], methods: Sequence[str], method: str = "origin", order: Sequence[str] = ()) -> DataFrame:
+    """One row of each key: that of the method that comes first, then by ``order``; unknown methods come last."""
+    place = F.array_position(F.array(*map(F.lit, methods)), F.col(method))
+    window = Window.partitionBy(*keys).orderBy(F.when(place == 0, len(methods) + 1).otherwise(place), *(F.col(c) for c in (method, *order)))
+    return rows.withColumn("seshat_rn", F.row_number().over(window)).where("seshat_rn = 1").drop("seshat_rn")
+
+
+def build_id(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (build_id): the same for the same rows in any order and partitioning, repeated rows counted.
+
+    A digest of counts and of sums of two hashes a row, which are added up where the rows are.
+    """
+    sums = lambda df, name: df.agg(F.concat_ws(":", F.lit(name), F.count("*"), *(F.coalesce(F.sum(F.xxhash64(F.lit(k), *df.columns).cast("decimal(38,0)")), F.lit(0)) for k in (1, 2))).alias("part"))
+    both = sums(nodes, "nodes").union(sums(edges, "edges"))
+    return both.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), "|"), 256).alias("build_id"))

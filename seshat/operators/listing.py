@@ -45,3 +45,30 @@ def excerpts(chunks: DataFrame, preferred: Column, limit: int = 3) -> DataFrame:
     """Up to ``limit`` chunks of each document, preferred ones first, numbered rk."""
     window = Window.partitionBy("vault_id", "path").orderBy(F.when(preferred, 0).otherwise(1), F.col("ordinal"))
     return chunks.withColumn("rk", F.row_number().over(window).cast("bigint")).where(F.col("rk") <= limit)
+
+
+def document(docs: DataFrame, vault_id: str, path: str) -> DataFrame:
+    """The document of that vault and path: one row or none."""
+    return docs.where((F.col("vault_id") == vault_id) & (F.col("path") == path))
+
+
+def chunk(chunks: DataFrame, vault_id: str, chunk_id: str) -> DataFrame:
+    return chunks.where((F.col("vault_id") == vault_id) & (F.col("chunk_id") == chunk_id))
+
+
+def export(docs: DataFrame) -> DataFrame:
+    """All documents but tombstones (deleted), by (vault_id, path)."""
+    return docs.where(~F.coalesce("deleted", F.lit(False))).drop("deleted").orderBy("vault_id", "path")
+
+
+def revision(rows: DataFrame, column: str) -> DataFrame:
+    """One row (revision): the distinct revisions of what is indexed, sorted and joined; there are few."""
+    return rows.select(F.col(column).alias("r")).dropna().distinct().agg(F.array_join(F.array_sort(F.collect_list("r")), ",").alias("revision"))
+
+
+def family_evidence(members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(vault_id, family_seed, path, kind, chunk_id): the first chunk of each document that backs its family (supporting) or
+    reports on it (audit). members: (vault_id, path, family_seed, source_role)."""
+    kind = F.when(F.col("source_role").isin("source_manifest", "raw_evidence"), "supporting").when(F.col("source_role").isin("generated_view", "operation_log", "audit_record"), "audit")
+    first = chunks.groupBy("vault_id", "path").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("chunk_id"))
+    return members.select("vault_id", "path", "family_seed", kind.alias("kind")).where("kind IS NOT NULL").join(first, ["vault_id", "path"])

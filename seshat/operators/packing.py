@@ -49,3 +49,13 @@ def gather(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
         rows = own if rows is None else rows.unionByName(own)
     once = rows.groupBy(*keys, "kind", "seshat_k").agg(F.min("rk").alias("rk"))
     return once.withColumn("place", F.row_number().over(Window.orderBy("seshat_k", "rk", *keys)).cast("bigint")).drop("seshat_k", "rk")
+
+
+#: What evidence and chunk have to agree on.
+CHECKED = ("vault_id", "document_id", "chunk_id", "path", "content_hash")
+
+
+def resolved(refs: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """refs (vault_id, document_id, chunk_id) with path, text and token_count, where evidence and chunk agree on all of CHECKED."""
+    known = refs.join(evidence.select(*CHECKED), ["vault_id", "document_id", "chunk_id"])
+    return known.join(chunks.select(*CHECKED, "text", "token_count"), list(CHECKED)).drop("content_hash")

@@ -19,8 +19,8 @@ def order() -> list[Column]:
     return [F.desc("fused"), F.col("best_rank"), F.col("doc_id")]
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int, *, where: Column | None = None) -> DataFrame:
-    """(doc_id, fused, best_rank, kinds, rk) of the ``limit`` best documents.
+def candidates(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int, *, where: Column | None = None) -> DataFrame:
+    """(doc_id, fused, best_rank, kinds) of all candidates of a search of ``limit`` results that have evidence.
 
     corpus: (doc_id, text, ...); vectors: (vec_id, embedding), where a vector's id is its document's. Vectors
     of no document drop out as candidates without evidence.
@@ -29,9 +29,12 @@ def hybrid(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Sequ
     words = keyword.search(corpus, query, ["doc_id"], k, where=where)
     near = vector.search(vectors, query_vector, ["vec_id"], k).withColumnRenamed("vec_id", "doc_id")
     fused = fusion.fuse({"keyword": words, "vector": near}, ["doc_id"]).withColumn("fused", F.round("fused", 9))
-    live, _ = fusion.resolve(fused, corpus.select("doc_id"), ["doc_id"])
-    top = live.orderBy(*order()).limit(limit)
-    return keyword.ranked(top, order())
+    return fusion.resolve(fused, corpus.select("doc_id"), ["doc_id"])[0]
+
+
+def hybrid(corpus: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int, *, where: Column | None = None) -> DataFrame:
+    """The ``limit`` best of ``candidates``, numbered rk."""
+    return keyword.ranked(candidates(corpus, vectors, query, query_vector, limit, where=where).orderBy(*order()).limit(limit), order())
 
 
 def family_search(results: DataFrame, members: DataFrame, limit: int) -> DataFrame:

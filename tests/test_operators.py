@@ -151,3 +151,20 @@ def test_staging_needs_a_shared_folder():
         shared_folder(Session)
     Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://x/c/")
     assert shared_folder(Session) == "hdfs://x/c"
+
+
+def test_stored_index_is_as_a_search_of_the_corpus(spark, tmp_path):
+    corpus = spark.createDataFrame([*ROWS, (6, "raw/f.md", "foo", "bar foo", None, "bar foo bar graph"), (7, "x.md", "", "", "", "")], "rowid int, path string, section string, title string, frontmatter string, text string")
+    index = keyword.Index.write(corpus, ["rowid"], keyword.FIELDS, str(tmp_path / "index"))
+    for query in ("graph search", "foo_bar", "graph graph", "wiki", "nothing_here bar", "absent"):
+        wanted = keyword.search(corpus, query, ["rowid"], 10, fields=keyword.FIELDS).select("rowid", "score", "fields", "rk").collect()
+        found = index.search(query, 10).collect()
+        assert [(r["rowid"], r["score"], r["rk"], sorted(r["fields"])) for r in found] == [(r["rowid"], r["score"], r["rk"], sorted(r["fields"])) for r in wanted], query
+    only = index.search("graph", 10, allowed=corpus.where("rowid > 3")).collect()
+    assert [r["rowid"] for r in only] == [6, 4] or [r["rowid"] for r in only] == [4, 6]
+
+
+def test_a_search_splits_each_field_once(spark):
+    corpus = spark.createDataFrame(ROWS, "rowid int, path string, section string, title string, frontmatter string, text string")
+    plan = keyword.counted(corpus, ["text"], keyword.query_phrases("graph foo_bar search")).where("f0 > 0 OR f1 > 0 OR f2 > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1

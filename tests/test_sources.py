@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from seshat.operators import entities, families, reconcile
 from seshat.sources import code, markdown
-from seshat.sources.catalog import Catalog, Vault
+from seshat.sources.catalog import Binding, Catalog, Projects, Repository, Vault
 from seshat.sources.generations import Generations
 from seshat.streaming.watch import watch
 
@@ -117,3 +118,14 @@ def test_watch(spark, tmp_path):
     (tmp_path / "v/wiki/new.md").write_text("new")
     watch(spark, root, str(tmp_path / "ck"), lambda df, k: seen.append(df.count())).awaitTermination(60)
     assert seen == [5, 1]
+
+
+def test_projects(tmp_path):
+    one = Projects().add(Repository("r", "/r")).bind(Binding("p", "r", ("a",), (("code:1", "vault:2"),)))
+    one.save(str(tmp_path / "projects.json"))
+    again = Projects.load(str(tmp_path / "projects.json"))
+    assert again.resolve("p") == (Repository("r", "/r"), Binding("p", "r", ("a",), (("code:1", "vault:2"),)))
+    for wrong in (lambda: again.remove("r"), lambda: again.remove("x"), lambda: again.add(Repository("r", "/s")), lambda: again.resolve("q"), lambda: Repository(" ", "/x"), lambda: again.bind(Binding("q", "x", ()))):
+        with pytest.raises(ValueError):
+            wrong()
+    assert not again.bind(Binding("p", "r", ("b",))).resolve("p")[1].mappings
