@@ -73,21 +73,23 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, slice_hashes:
 def _found(docs: DataFrame, windows: Windows, id_column: str, text_column: str) -> DataFrame:
     """(doc, mark, n_words, start, size, hash, win): hits by hash, and one row of start 0 for each row of ``docs``."""
     own = docs.select(docs[id_column].alias("doc"), F.xxhash64(docs[text_column]).alias("mark"), words(docs[text_column]).alias("words"))
-    entry = lambda i, size, h: F.struct(i.alias("start"), F.lit(size).alias("size"), h.alias("hash"))
-    hashed = lambda size: F.transform(_starts(F.size("words"), size), lambda i: entry(i, size, F.xxhash64(F.slice("words", i, size))))
+    step = max([*windows.sizes, 1]) + 1
+    n = F.size("words")
+    # The windows of a size, each as start * step + size.
+    placed = lambda size: F.when(n >= size, F.sequence(F.lit(step + size), (n - size + 1) * step + size, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
     def scan(k: int) -> DataFrame:
-        parts = [hashed(size) for size in windows.sizes]
         of = windows.table.select("hash").distinct()
-        if k == 0:
-            parts.append(F.array(entry(F.lit(0), 0, F.lit(_EACH).cast("bigint"))))
         if windows.slices > 1:
             of = of.where(F.pmod("hash", F.lit(windows.slices)) == k)
         if k == 0:
             of = of.union(of.sparkSession.range(1).select(F.lit(_EACH).cast("bigint"))).distinct()
         # The outer explode, as for the inner one Spark filters by the array's size before, and so makes it twice.
-        each = own.select("doc", "mark", "words", F.explode_outer(F.concat(*parts)).alias("w")).select("doc", "mark", "words", "w.*")
-        hits = each.join(F.broadcast(of), "hash", "left_semi")
+        each = own.select("doc", "mark", "words", F.explode_outer(F.concat(*map(placed, windows.sizes), F.array(*([F.lit(0)] if k == 0 else [])).cast("array<int>"))).alias("at"))
+        start, size = (F.col("at") / step).cast("int"), F.col("at") % step
+        each = each.select("doc", "mark", "words", start.alias("start"), size.alias("size"))
+        hashed = F.when(F.col("start") > 0, F.xxhash64(F.slice("words", F.greatest("start", F.lit(1)), F.col("size")))).otherwise(F.lit(_EACH))
+        hits = each.withColumn("hash", hashed).join(F.broadcast(of), "hash", "left_semi")
         return hits.select("doc", "mark", F.size("words").cast("bigint").alias("n_words"), "start", "size", "hash", _window(F.col("words"), F.greatest("start", F.lit(1)), F.col("size")).alias("win"))
 
     return reduce(DataFrame.union, map(scan, range(windows.slices)))
