@@ -8,8 +8,8 @@
 
 Decoding looks ids up in the table of tokens' bytes, which has as many rows as the vocabulary.
 
-A block is known by a digest of its texts, so a block that is read again and differs has no ids, and the
-run fails instead of giving wrong ones. The same texts in two blocks share ids.
+A block is known by a digest of its ids and texts, so a block that is read again and differs has no ids, and the
+run fails instead of giving wrong ones.
 """
 
 from __future__ import annotations
@@ -26,7 +26,12 @@ from pyspark.sql import DataFrame
 
 from .batch import distinct_spans, gather, pieces, pre_tokens, spans_bytes, utf8
 
-BLOCK_BYTES = 4 << 20
+#: A block ends at about so many bytes or at so many texts.
+BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 1 << 16
+#: Words are dealt to at most so many partitions, as each block sends a row to each of them.
+WORD_PARTS = 2048
+#: Words whose ids a partition keeps; beyond, it forgets them all and encodes them again when they come again.
+KNOWN_WORDS = 1 << 20
 
 #: Splits a text before merges; fixed by the vocabulary. ``batch.pre_tokens`` finds its matches.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,7 +67,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache
 def encoding(path: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    """Of words that are cut already: the pattern takes a whole text as one."""
+    return tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
 
 
 @lru_cache
@@ -81,7 +87,7 @@ class _Block:
 
     @property
     def key(self) -> bytes:
-        return xxhash.xxh3_128_digest(self.data + self.offsets.tobytes())
+        return xxhash.xxh3_128_digest(self.data + self.offsets.tobytes() + repr(self.ids).encode())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
@@ -95,13 +101,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         data, offsets = utf8(batch.column(0))
         own = batch.column(1).to_pylist()
         for lo, hi in pieces(offsets):
-            if held and held + offsets[hi] - offsets[lo] > BLOCK_BYTES:
-                yield flush()
-                ids, parts, sizes, held = [], [], [], 0
-            ids += own[lo:hi]
-            parts.append(data[offsets[lo] : offsets[hi]].tobytes())
-            sizes += np.diff(offsets[lo : hi + 1]).tolist()
-            held += int(offsets[hi] - offsets[lo])
+            for a in range(lo, hi, BLOCK_TEXTS):
+                b = min(a + BLOCK_TEXTS, hi)
+                if ids and (held + offsets[b] - offsets[a] > BLOCK_BYTES or len(ids) + b - a > BLOCK_TEXTS):
+                    yield flush()
+                    ids, parts, sizes, held = [], [], [], 0
+                ids += own[a:b]
+                parts.append(data[offsets[a] : offsets[b]].tobytes())
+                sizes += np.diff(offsets[a : b + 1]).tolist()
+                held += int(offsets[b] - offsets[a])
     if ids:
         yield flush()
 
@@ -147,8 +155,8 @@ def _sent_words(parts: int):
 
 def _encoded_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path)._encode_single_piece
-        known: dict[bytes, bytes] = {}  # this partition's words: each is encoded once
+        encode = encoding(path).encode_ordinary
+        known: dict[bytes, bytes] = {}  # this partition's words
         for batch in batches:
             out = []
             for packed in batch.column(2).to_pylist():
@@ -158,7 +166,9 @@ def _encoded_words(path: str):
                     word = raw[a:b]
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = np.array(encode(word), "<u4").tobytes()
+                        if len(known) == KNOWN_WORDS:
+                            known.clear()
+                        got = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
                     ids.append(got)
                 out.append(_pack_slices(ids))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "part", "ids"])
@@ -178,12 +188,12 @@ def _spelled(ids: bytes | None, vocabulary: str) -> bytes:
     return gather(table, offsets, np.frombuffer(ids or b"", "<u4").astype(np.int64))[0].tobytes()
 
 
-def _reassembled(parts: int, id_type: pa.DataType, decoded_by: str | None):
+def _reassembled(parts: int, decoded_by: str | None):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         rows = texts.to_pylist()
         out_ids: list = []
         out: list[bytes] = []
-        if rows:  # several rows: blocks with the same texts, for other ids
+        if rows:  # several rows: repeated blocks
             block = _Block([], _unpack(rows[0]["texts"]), np.frombuffer(_unpack(rows[0]["offsets"]), "<i8"))
             keys, _, tokens, cuts = _block_words(block)
             sent = {r["part"]: r["ids"] for r in words.to_pylist()}
@@ -209,7 +219,7 @@ def _reassembled(parts: int, id_type: pa.DataType, decoded_by: str | None):
             for r in rows:
                 out_ids += r["ids"]
                 out += encoded
-        columns = {"id": pa.array(out_ids, id_type), "ids": pa.array(out, pa.binary())}
+        columns = {"id": pa.array(out_ids, texts.schema.field("ids").type.value_type), "ids": pa.array(out, pa.binary())}
         if decoded_by is not None:  # here, as a second Python stage would hold as much memory again
             columns["decoded"] = pa.array([_spelled(ids, decoded_by) for ids in out], pa.binary())
         return pa.table(columns)
@@ -218,22 +228,23 @@ def _reassembled(parts: int, id_type: pa.DataType, decoded_by: str | None):
 
 
 def _encoded(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, decoded: bool) -> DataFrame:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), WORD_PARTS)
     source = docs.select(docs[text_column].alias("text"), docs[id_column].alias("id"))
-    kind = dict(source.dtypes)["id"]
+    given = kind = dict(source.dtypes)["id"]
+    if given in ("tinyint", "smallint"):  # Spark can't read arrays of these from Arrow
+        source, kind = source.withColumn("id", source["id"].cast("int")), "int"
     words = source.mapInArrow(_sent_words(parts), "block binary, part int, words binary")
     ids = words.repartition(parts, "part").mapInArrow(_encoded_words(vocabulary), "block binary, part int, ids binary")
     texts = source.mapInArrow(_sent_texts, f"block binary, ids array<{kind}>, offsets binary, texts binary")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    joined = texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembled(parts, arrow, vocabulary if decoded else None), f"id {kind}, ids binary" + ", decoded binary" * decoded)
-    return joined.withColumnRenamed("id", id_column)
+    joined = texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembled(parts, vocabulary if decoded else None), f"id {kind}, ids binary" + ", decoded binary" * decoded)
+    return joined.withColumn("id", joined["id"].cast(given)).withColumnRenamed("id", id_column)
 
 
 def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: the id and ids, the token ids as little-endian unsigned 32-bit integers.
 
     vocabulary: path of the file of ranks, on every machine. ``docs`` is read twice and must be the same
-    both times, as a table is. A null or empty text has no ids. Repeated rows and ids give a row each; an
+    both times, as a table is. Ids can be of any type. A null or empty text has no ids. Repeated rows and ids give a row each; an
     empty table gives none; other columns of ``docs`` are not read, whatever their names.
     """
     return _encoded(docs, vocabulary, id_column, text_column, False)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seshat.llm import boosted_trees, license_scan, quality_classifier, url_filter
+from seshat.llm import boosted_trees, license_scan, quality_classifier, quality_rules, url_filter
 
 from .conftest import got, want
 
@@ -40,6 +43,59 @@ def test_ordinal_thresholds_and_held_out_grades(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def _plain_loss(texts: list[list[int]], grades: list[int], weights: dict[int, float], cuts: list[float], gaps: list[float], l2: float) -> float:
+    """The penalised negative log likelihood, each grade weighing the same, as a sum over texts."""
+    def above(score: float, k: int) -> float:
+        return 1.0 if k < 0 else 0.0 if k >= len(cuts) else 1 / (1 + math.exp(-(score - cuts[k])))
+
+    n = Counter(grades)
+    total = sum(len(grades) / (len(n) * n[g]) for g in grades)
+    loss = 0.0
+    for features, g in zip(texts, grades, strict=True):
+        score = sum(weights.get(f, 0.0) for f in features)
+        loss -= len(grades) / (len(n) * n[g]) / total * math.log(above(score, g - 1) - above(score, g))
+    return loss + l2 / 2 * (sum(w * w for w in weights.values()) + cuts[0] ** 2 + sum(math.log(x) ** 2 for x in gaps))
+
+
+def test_ordinal_fit_is_the_least_of_a_plain_loss():
+    rnd = np.random.default_rng(4)
+    grades = rnd.integers(0, 3, 200).tolist()
+    texts = [sorted({int(x) for x in rnd.integers(0, 12, 3)} | ({12 + g} if rnd.random() < 0.6 else set())) for g in grades]
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    model = quality_classifier.fit(np.concatenate(texts), offsets, np.array(grades), 3, rounds=3000, rate=0.02)
+    used = {k: float(model.weights[k]) for k in np.flatnonzero(model.weights).tolist()}
+    cuts = model.thresholds.tolist()
+    loss = lambda w, c: _plain_loss(texts, grades, w, c, np.diff(c).tolist(), 2e-4)
+    best = loss(used, cuts)
+    for k in used:  # no step along any weight or threshold helps
+        for step in (-0.02, 0.02):
+            assert loss(used | {k: used[k] + step}, cuts) > best - 1e-6
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            assert loss(used, [c + step * (j == k) for j, c in enumerate(cuts)]) > best - 1e-6
+    tails = model.tails(np.concatenate(texts), offsets)
+    for row, features in zip(tails, texts, strict=True):
+        assert row == pytest.approx([1 / (1 + math.exp(-(sum(used.get(f, 0.0) for f in features) - c))) for c in cuts])
+
+
+def test_models_on_held_out_labels(spark):
+    """Fitted on four of five labelled documents by a hash of their ids, measured on the fifth."""
+    data = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("labels", "documents"))
+    labels = labels.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+    fit, held = labels.where("part > 0"), labels.where("part = 0")
+    texts = docs.join(held, "doc_id", "left_semi")
+    forest = quality_rules.train(docs, fit)
+    rows = quality_rules.judge(texts, forest).where("NOT base_failed").join(held, "doc_id").select("kept", "quality").collect()
+    assert len(rows) > 500 and np.mean([r["kept"] == (r["quality"] > 0) for r in rows]) >= 0.95
+    grade = quality_classifier.grade(F.col("quality"), F.col("toxic")).alias("grade")
+    model = quality_classifier.train(docs, fit.select("doc_id", grade))
+    rated = quality_classifier.rate(texts, model).join(held.select("doc_id", grade), "doc_id").collect()
+    kept = [(r["kept"], r["grade"] == 2) for r in rated]
+    assert np.mean([k == good for k, good in kept]) >= 0.9
+    assert np.mean([round(r["expected_grade"]) == r["grade"] for r in rated]) >= 0.75
+
+
 def test_rate_takes_all_rows(docs, none, rows):
     assert quality_classifier.train(docs, docs.select("doc_id", F.lit(None).cast("int").alias("grade"))) is None
     assert quality_classifier.rate(docs, None).where("kept").count() == len(rows)

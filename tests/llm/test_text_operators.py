@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -121,6 +122,18 @@ def test_byte_bpe(docs, none, rows):
     assert byte_bpe.encode(none, RANKS).isEmpty()
 
 
+def test_byte_bpe_of_many_empty_texts_repeated_blocks_and_other_ids(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK_TEXTS", 3)
+    blocks = list(byte_bpe._blocks(iter([pa.record_batch([pa.array([""] * 10 + ["a b"]), pa.array(range(11))], names=["text", "id"])])))
+    assert [b.ids for b in blocks] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10]] and len({b.key for b in blocks}) == 4
+    monkeypatch.undo()
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(RANKS), special_tokens={})
+    for kind, ids in (("smallint", [1, 2, None]), ("string", ["a", "b", None]), ("array<int>", [[1], [2], None])):
+        rows = [(i, t) for i, t in zip(ids * 4, ["one text", "", "one text"] * 4, strict=True)]
+        found = byte_bpe.encode(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4), RANKS).collect()
+        assert sorted((repr(r[0]), bytes(r[1])) for r in found) == sorted((repr(i), np.array(own.encode_ordinary(t), "<u4").tobytes()) for i, t in rows)
+
+
 def test_token_counts(docs, none, rows):
     own = Tokenizer.from_file(JSON)
     count = lambda t: len(own.encode(t or "", add_special_tokens=False).ids)
