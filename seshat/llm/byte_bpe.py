@@ -82,8 +82,8 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Block:
-    def __init__(self, ids: list, data: bytes, offsets: np.ndarray):
-        self.ids, self.data, self.offsets = ids, data, offsets
+    def __init__(self, ids: list, data: bytes, offsets: np.ndarray, id_type: pa.DataType | None = None):
+        self.ids, self.data, self.offsets, self.id_type = ids, data, offsets, id_type
 
     @property
     def key(self) -> bytes:
@@ -95,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     ids, parts, sizes, held = [], [], [], 0
 
     def flush() -> _Block:
-        return _Block(ids, b"".join(parts), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        return _Block(ids, b"".join(parts), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), batch.schema.field(1).type)
 
     for batch in batches:
         data, offsets = utf8(batch.column(0))
@@ -178,7 +178,7 @@ def _encoded_words(path: str):
 
 def _sent_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
-        ids = pa.array([block.ids])
+        ids = pa.array([block.ids], pa.list_(block.id_type))
         yield pa.record_batch([pa.array([block.key], pa.binary()), ids, pa.array([_pack(block.offsets.astype("<i8").tobytes())], pa.binary()), pa.array([_pack(block.data)], pa.binary())], names=["block", "ids", "offsets", "texts"])
 
 
@@ -230,14 +230,12 @@ def _reassembled(parts: int, decoded_by: str | None):
 def _encoded(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, decoded: bool) -> DataFrame:
     parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), WORD_PARTS)
     source = docs.select(docs[text_column].alias("text"), docs[id_column].alias("id"))
-    given = kind = dict(source.dtypes)["id"]
-    if given in ("tinyint", "smallint"):  # Spark can't read arrays of these from Arrow
-        source, kind = source.withColumn("id", source["id"].cast("int")), "int"
+    kind = dict(source.dtypes)["id"]
     words = source.mapInArrow(_sent_words(parts), "block binary, part int, words binary")
     ids = words.repartition(parts, "part").mapInArrow(_encoded_words(vocabulary), "block binary, part int, ids binary")
     texts = source.mapInArrow(_sent_texts, f"block binary, ids array<{kind}>, offsets binary, texts binary")
     joined = texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassembled(parts, vocabulary if decoded else None), f"id {kind}, ids binary" + ", decoded binary" * decoded)
-    return joined.withColumn("id", joined["id"].cast(given)).withColumnRenamed("id", id_column)
+    return joined.withColumnRenamed("id", id_column)
 
 
 def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
