@@ -29,11 +29,14 @@ class Staging:
 
     ``write`` runs a plan once and returns a scan of its rows. The files outlive a lost executor, and
     Spark knows their size, so that later joins broadcast them only below autoBroadcastJoinThreshold.
-    ``drop`` deletes a table that no later plan reads.
+    ``drop`` deletes a table that no later plan reads; ``drop_all`` all of a session, when its results have been read.
     """
 
+    _written: list[Staging] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self._written.append(self)
         self.root = f"{shared_folder(spark)}/seshat-{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +44,14 @@ class Staging:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @classmethod
+    def drop_all(cls, spark: SparkSession) -> None:
+        """Deletes all that operators have left in this session, tables that their results read included."""
+        for staged in [s for s in cls._written if s.spark is spark]:
+            staged.drop("")
+            cls._written.remove(staged)
+
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

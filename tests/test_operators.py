@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,15 @@ def test_components_in_one_task_and_in_rounds(spark):
         assert {tuple(r) for r in components(df, Staging(spark, "test"), f"c{one_task}", one_task).collect()} == wanted
 
 
+def test_staged_tables_can_be_dropped(spark):
+    staged = Staging(spark, "test")
+    staged.write(spark.range(3), "one")
+    folder = Path(staged.root)
+    assert (folder / "one").exists()
+    Staging.drop_all(spark)
+    assert not folder.exists()
+
+
 def test_staging_needs_a_shared_folder():
     class Session:
         """What shared_folder asks of a session on a cluster without a folder."""
