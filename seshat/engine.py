@@ -32,8 +32,8 @@ class Engine:
         self.spark, self.store, self.catalog, self.model = spark, Generations(spark, root), catalog, model
         self._explained: OrderedDict[str, dict] = OrderedDict()
 
-    def index(self) -> dict[str, int]:
-        """Reads all vaults of the catalog and publishes; returns what changed among documents."""
+    def index(self, *, dry_run: bool = False) -> dict[str, int]:
+        """Reads all vaults of the catalog and publishes; returns what changed among documents. A dry run writes nothing."""
         docs = None
         roots = {v.vault_id: v.root_path for v in self.catalog.vaults}
         for vault_id, scopes in self.catalog.resolve().items():
@@ -42,10 +42,12 @@ class Engine:
         if docs is None:
             raise ValueError("the catalog has no enabled vault")
         before, generation = self.store.active(), uuid.uuid4().hex
+        changed = lambda now: reconcile.plan(self.store.read("documents") if before else now.where("false"), now, ["vault_id", "path"], ["raw_sha256"])
+        if dry_run:
+            return {r["action"]: r["count"] for r in changed(docs).groupBy("action").count().collect()}
         put = lambda name, df: (self.store.stage(generation, {name: df}), self.spark.read.parquet(f"{self.store.root}/gen={generation}/{name}"))[1]
         docs = put("documents", docs)
-        changes = reconcile.plan(self.store.read("documents") if before else docs.where("false"), docs, ["vault_id", "path"], ["raw_sha256"])
-        counts = {r["action"]: r["count"] for r in changes.groupBy("action").count().collect()}
+        counts = {r["action"]: r["count"] for r in changed(docs).groupBy("action").count().collect()}
         chunks = put("chunks", markdown.chunks(docs))
         named = chunks.join(docs.select("vault_id", "path", "title", "frontmatter"), ["vault_id", "path"])
         keyword.Index.write(named, KEYS, keyword.FIELDS, f"{self.store.root}/gen={generation}/index")

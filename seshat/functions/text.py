@@ -43,6 +43,26 @@ def excerpt(text: Column, limit: int = 240) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("..."))).otherwise(flat)
 
 
+def hard_excerpt(text: Column, limit: int = 240) -> Column:
+    """White space collapsed; the first ``limit`` characters."""
+    return F.substring(F.trim(F.regexp_replace(text, "(?U)\\s+", " ")), 1, limit)
+
+
+def first_words(text: Column, limit: int) -> Column:
+    """The first ``limit`` words between white space, joined by blanks."""
+    return F.array_join(F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != ""), 1, limit), " ")
+
+
+def result_id(vault_id: Column, chunk_id: Column, rank: Column) -> Column:
+    return F.concat(vault_id, F.lit(":"), chunk_id, F.lit(":rank-"), rank.cast("string"))
+
+
+def result_title(title: Column, section: Column, path: Column) -> Column:
+    """The title, else the section, else the file's name without its suffix."""
+    given = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    return F.coalesce(given(title), given(section), F.regexp_replace(F.element_at(F.split(path, "/"), -1), "\\.md$", ""))
+
+
 def occurrences(found: Column, phrase: list[str]) -> Column:
     """How often the phrase's tokens stand in a row in an array of tokens.
 

@@ -164,3 +164,26 @@ def build_id(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sums = lambda df, name: df.agg(F.concat_ws(":", F.lit(name), F.count("*"), *(F.coalesce(F.sum(F.xxhash64(F.lit(k), *df.columns).cast("decimal(38,0)")), F.lit(0)) for k in (1, 2))).alias("part"))
     both = sums(nodes, "nodes").union(sums(edges, "edges"))
     return both.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), "|"), 256).alias("build_id"))
+
+
+def weakest(statuses: Column) -> Column:
+    """Of the statuses of a path's edges the one that weighs least, the first by name of equals."""
+    weigh = lambda x: F.struct(F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in STATUS_WEIGHTS.items() for v in p)), x), F.lit(0.0)).alias("w"), x.alias("s"))
+    return F.array_min(F.transform(statuses, weigh))["s"]
+
+
+def edge_signals(found: DataFrame, evidence: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """keys and rk: the evidence of the last edge of each path, at the rank of its best path. evidence: (edge_id, keys)."""
+    order = [F.desc("score"), F.col("depth"), F.col("target"), F.array_join("edge_ids", "|")]
+    top = found.orderBy(*order).limit(limit).withColumn("rk", F.row_number().over(Window.orderBy(*order)))
+    best = top.select(F.element_at("edge_ids", -1).alias("edge_id"), "rk").join(evidence, "edge_id").groupBy(*keys).agg(F.min("rk").alias("best"))
+    return best.withColumn("rk", F.row_number().over(Window.orderBy("best", *keys)).cast("bigint")).drop("best")
+
+
+def resolve_target(entities: DataFrame, wanted: str, limit: int = 20) -> DataFrame:
+    """(entity_id, match_rank, ambiguous): the entities that match best by ``find``; ambiguous if there are several."""
+    found = find(entities, wanted, limit)
+    least = found.agg(F.min("match_rank").alias("match_rank"), F.lit(1).alias("one"))
+    best = found.join(least.select("match_rank"), "match_rank")
+    many = best.agg((F.count("*") > 1).alias("ambiguous"), F.lit(1).alias("one"))
+    return best.select("entity_id", "match_rank", F.lit(1).alias("one")).join(many, "one").drop("one")

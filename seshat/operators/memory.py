@@ -125,3 +125,21 @@ def hygiene(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     blobs = chunks.groupBy("content_hash").agg(F.max(F.octet_length("text")).alias("size"), F.count("*").alias("n"))
     sums = blobs.agg(F.count("*").alias("blob_count"), F.sum("size").cast("bigint").alias("blob_bytes"), F.sum(F.col("size") * F.col("n")).cast("bigint").alias("logical_bytes"), F.sum("n").cast("bigint").alias("chunks"))
     return sums.withColumn("amplification", F.round(F.col("logical_bytes") / F.col("blob_bytes"), 6))
+
+
+def timeline(documents: DataFrame, statuses: DataFrame, since: Column, limit: int) -> DataFrame:
+    """(vault_id, kind, item, occurred_at, rk): documents and status items (vault_id, item, occurred_at) later than ``since``,
+    newest first, then by kind and item, at most ``limit`` a vault; status items without a time come after all others."""
+    kinds = [df.select("vault_id", F.lit(k).alias("kind"), F.col("item").cast("string").alias("item"), "occurred_at") for k, df in (("document", documents), ("status", statuses))]
+    later = kinds[0].unionByName(kinds[1]).where((F.col("occurred_at") > since) | (F.col("occurred_at").isNull() & (F.col("kind") == "status")))
+    return _numbered(later, ["vault_id"], [F.desc_nulls_last("occurred_at"), F.col("kind"), F.col("item")], limit)
+
+
+def dangling(stores: dict[str, DataFrame], chunks: DataFrame, keys: Sequence[str] = ("vault_id", "chunk_id")) -> DataFrame:
+    """(store, n, dangling): rows of each store (keys), and how many of them name no chunk."""
+    out = None
+    known = chunks.select(*keys, F.lit(True).alias("known")).distinct()
+    for name, df in stores.items():
+        own = df.select(*keys).join(known, list(keys), "left").agg(F.lit(name).alias("store"), F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("dangling"))
+        out = own if out is None else out.unionByName(own)
+    return out

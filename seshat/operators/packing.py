@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import item_priority
 from ..functions.text import stable_id
 
 MAX_ITEMS = 50
@@ -59,3 +60,13 @@ def resolved(refs: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFra
     """refs (vault_id, document_id, chunk_id) with path, text and token_count, where evidence and chunk agree on all of CHECKED."""
     known = refs.join(evidence.select(*CHECKED), ["vault_id", "document_id", "chunk_id"])
     return known.join(chunks.select(*CHECKED, "text", "token_count"), list(CHECKED)).drop("content_hash")
+
+
+def pack(items: DataFrame, budget: int, *, max_items: int = MAX_ITEMS) -> DataFrame:
+    """Admitted items with section (their type) and place. items: (item_type, rk, kinds, vault_id, path, chunk_id, cost, ...).
+
+    Order: the type's priority, rank, more kinds of signals first, raw sources last, then vault, path and chunk.
+    """
+    order = [item_priority(F.col("item_type")), F.col("rk"), -F.size("kinds"), F.when(F.col("path").startswith("raw/"), 1).otherwise(0), F.col("vault_id"), F.col("path"), F.col("chunk_id")]
+    kept = admit(items, order, F.col("cost"), budget, max_items=max_items).where("admitted")
+    return kept.withColumnRenamed("item_type", "section").withColumn("place", F.row_number().over(Window.orderBy("used")).cast("bigint"))

@@ -46,3 +46,12 @@ def relations(bindings: DataFrame, code_evidence: DataFrame, vault_evidence: Dat
     rows = bindings.join(code_evidence.select("repository_id", F.col("path").alias("code_path"), F.lit(True).alias("has_code")).distinct(), ["repository_id", "code_path"], "left")
     rows = rows.join(vault_evidence.select(F.col("path").alias("vault_path"), F.lit(True).alias("has_vault")).distinct(), "vault_path", "left")
     return rows.select("repository_id", "code_path", "vault_path", F.when(F.col("has_code") & F.col("has_vault"), "explicit").otherwise("unresolved").alias("status"))
+
+
+def lineage(current: DataFrame, expected: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """keys, state, differs: fresh if all lineage fields are as expected, stale with the names of those that aren't, and
+    unavailable if there is no current row. Nulls are equal."""
+    both = expected.select(*keys, F.struct(*fields).alias("wanted")).join(current.select(*keys, F.struct(*fields).alias("found")), list(keys), "left")
+    differs = F.array_compact(F.array(*(F.when(~F.col("wanted")[f].eqNullSafe(F.col("found")[f]), f) for f in fields)))
+    state = F.when(F.col("found").isNull(), "unavailable").when(F.size(differs) > 0, "stale").otherwise("fresh")
+    return both.select(*keys, state.alias("state"), F.when(F.col("found").isNotNull(), differs).alias("differs"))

@@ -71,3 +71,14 @@ def record(log: DataFrame, scope: str, spec: str, at: str, run_id: str, status:
     """``log`` with one more run; ``readiness.runs`` reads the last of each (scope, spec)."""
     row = log.sparkSession.range(1).select(F.lit(scope).alias("scope"), F.lit(spec).alias("spec"), F.lit(at).cast(dict(log.dtypes)["at"]).alias("at"), F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"))
     return log.unionByName(row)
+
+
+def crossing(edges: DataFrame, nodes: DataFrame, key: str, scope: str) -> DataFrame:
+    """Edges (source, target) whose ends are of two scopes; empty for a valid plan."""
+    end = lambda c: nodes.select(F.col(key).alias(c), F.col(scope).alias(f"{c}_scope"))
+    return edges.join(end("source"), "source").join(end("target"), "target").where("source_scope <> target_scope")
+
+
+def uncovered(planned: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the manifest that no planned action names; empty for a valid plan."""
+    return manifest.join(planned.select(*keys), list(keys), "left_anti")

@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.predicates import document_role
-from .functions.text import anchor, entity_name, tokens
-from .operators import code_graph, entities, families, fusion, graph, keyword, listing, memory, packing, project, readiness, reconcile, vector
+from .functions.predicates import document_role, item_type
+from .functions.text import anchor, entity_name, excerpt, first_words, hard_excerpt, result_id, result_title, tokens
+from .operators import code_graph, embedding, entities, families, fusion, graph, keyword, listing, memory, packing, project, readiness, reconcile, vector
 from .plans import hybrid
 from .plans.staging import Staging
 from .sources import bridge, markdown, vectors
@@ -841,3 +841,154 @@ def heading_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk = lambda df, section, n: df.select("vault_id", F.concat_ws(":", F.lit(n), F.col("doc_id").cast("string")).alias("chunk_id"), "path", section.alias("section"), F.lit("none").alias("text"))
     chunks = chunk(docs.where("section IS NOT NULL"), F.col("section"), "a").unionByName(chunk(docs, other, "b"))
     return entities.occurrences(chunks, docs).where("origin = 'heading'").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_register(f"""WITH {_DOCS}, t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM d)
+    SELECT doc_id, sha256(CASE WHEN length(flat) > 240 THEN rtrim(substr(flat, 1, 237)) || '...' ELSE flat END) AS excerpt, sha256(substr(flat, 1, 240)) AS hard, sha256(array_to_string(list_filter(string_split(flat, ' '), lambda w: w <> '')[:30], ' ')) AS words FROM t""")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ10: with dots, hard, and by words."""
+    sha = lambda c, name: F.sha2(c, 256).alias(name)
+    text = F.col("text")
+    return bridge.documents(spark, sf_dir).select("doc_id", sha(excerpt(text), "excerpt"), sha(hard_excerpt(text), "hard"), sha(first_words(text, 30), "words"))
+
+
+_TYPED = f"""{_DOCS}, ty AS (SELECT *, lower(concat_ws(' ', coalesce(fm_type, ''), path, coalesce(section, ''), '')) AS tx, coalesce(fm_type, '') AS k FROM d),
+  it AS (SELECT *, CASE WHEN k = 'decision' OR contains('/' || path, '/decisions/') THEN 'decision' WHEN k = 'constraint' OR regexp_matches(tx, 'constraint|principle|invariant|policy|convention') THEN 'constraint'
+    WHEN k = 'open_question' OR regexp_matches(tx, 'question|todo|follow-up|issue|revisit') THEN 'open_question' WHEN k = 'current_state' OR regexp_matches(tx, 'current-state|current_state') THEN 'current_state' WHEN path LIKE 'raw/%' THEN 'source' ELSE 'page' END AS item_type FROM ty)"""
+
+
+@_register(f"WITH {_TYPED} SELECT item_type, count(*)::BIGINT AS n FROM it GROUP BY 1")
+def item_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ11."""
+    kind = item_type(F.col("path"), F.col("fm_type"), F.col("section"), F.lit(None).cast("string"))
+    return bridge.documents(spark, sf_dir).groupBy(kind.alias("item_type")).agg(F.count("*").alias("n"))
+
+
+@_register(f"""WITH RECURSIVE {_TYPED}, r AS (SELECT doc_id, item_type, (doc_id % 17)::BIGINT AS rk, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS kinds, vault_id, path, (doc_id * 37 % 211)::BIGINT AS cost FROM it WHERE doc_id < 60),
+    o AS (SELECT *, row_number() OVER (ORDER BY CASE item_type WHEN 'decision' THEN 0 WHEN 'constraint' THEN 1 WHEN 'open_question' THEN 2 WHEN 'current_state' THEN 3 WHEN 'page' THEN 4 ELSE 5 END, rk, -kinds, CASE WHEN path LIKE 'raw/%' THEN 1 ELSE 0 END, vault_id, path, CAST(doc_id AS VARCHAR)) AS k FROM r),
+    f AS (SELECT doc_id, item_type, k, cost > 0 OR TRUE AS x, cost <= 1200 AS ok, CASE WHEN cost <= 1200 THEN cost ELSE 0 END AS used FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.item_type, o.k, TRUE, f.used + o.cost <= 1200, f.used + CASE WHEN f.used + o.cost <= 1200 THEN o.cost ELSE 0 END FROM f JOIN o ON o.k = f.k + 1)
+    SELECT doc_id, item_type AS section, used::BIGINT AS used FROM f WHERE ok""")
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PCK1: order by type, rank, signals and source, a budget with skips, sections by type."""
+    id_ = F.col("doc_id")
+    kinds = F.when(id_ % 3 == 0, F.array(F.lit("keyword"), F.lit("vector"))).otherwise(F.array(F.lit("keyword")))
+    docs = bridge.documents(spark, sf_dir).where("doc_id < 60")
+    items = docs.select("doc_id", item_type(F.col("path"), F.col("fm_type"), F.col("section"), F.lit(None).cast("string")).alias("item_type"), (id_ % 17).alias("rk"), kinds.alias("kinds"), "vault_id", "path", id_.cast("string").alias("chunk_id"), (id_ * 37 % 211).alias("cost"))
+    return packing.pack(items, 1200, max_items=1000).select("doc_id", "section", "used")
+
+
+_STATUSES = "CASE page_id % 4 WHEN 0 THEN 'stated' WHEN 1 THEN 'inferred' WHEN 2 THEN 'contested' ELSE 'deprecated' END"
+
+
+def _status_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.regexp_extract("source", "[0-9]+$", 0).cast("bigint") % 4
+    return _mention_edges(spark, sf_dir).withColumn("status", F.element_at(F.array(*map(F.lit, ("stated", "inferred", "contested", "deprecated"))), (page + 1).cast("int")))
+
+
+@_register(f"""WITH {_EDGES}, w AS (SELECT page_id, href, {_STATUSES} AS status, CASE page_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.45 ELSE 0.0 END AS weight FROM e)
+    SELECT a.href AS via, 'page:' || CAST(b.page_id AS VARCHAR) AS target, CASE WHEN a.weight <= b.weight THEN a.status ELSE b.status END AS status FROM w a JOIN w b ON a.href = b.href WHERE a.page_id = 5 AND b.page_id <> 5""")
+def path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA9: a path is as sure as its weakest edge."""
+    found = graph.paths(_status_edges(spark, sf_dir), _seed(spark, "page:5"), 2).where("depth = 2")
+    return found.select(F.element_at("nodes", 2).alias("via"), "target", graph.weakest(F.col("statuses")).alias("status"))
+
+
+@_register(f"""WITH {_EDGES}, w AS (SELECT page_id, href, 'page:' || CAST(page_id AS VARCHAR) || '>' || href AS id, 0.7::DOUBLE * CASE page_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.45 ELSE 0.0 END AS w FROM e),
+    p AS (SELECT id AS ids, id AS last, page_id AS page, href AS target, 1 AS depth, w AS score FROM w WHERE page_id = 5
+      UNION ALL SELECT a.id || '|' || b.id, b.id, b.page_id, 'page:' || CAST(b.page_id AS VARCHAR), 2, least(a.w, b.w) * 0.6 FROM w a JOIN w b ON a.href = b.href WHERE a.page_id = 5 AND b.page_id <> 5),
+    t AS (SELECT *, row_number() OVER (ORDER BY score DESC, depth, target, ids) AS rk FROM p QUALIFY rk <= 20), s AS (SELECT page AS doc_id, min(rk) AS best FROM t GROUP BY 1)
+    SELECT doc_id, row_number() OVER (ORDER BY best, doc_id) AS rk FROM s""")
+def path_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA10: the evidence of each path's last edge, which is the page that the edge is from."""
+    edges = _status_edges(spark, sf_dir)
+    evidence = edges.select("edge_id", F.regexp_extract("source", "[0-9]+$", 0).cast("bigint").alias("doc_id"))
+    return graph.edge_signals(graph.paths(edges, _seed(spark, "page:5"), 2), evidence, ["doc_id"], 20)
+
+
+@_register(f"""WITH {_EDGES}, n AS (SELECT lower(trim(regexp_replace(href, '^/', ''))) AS name, count(*) AS c FROM e GROUP BY 1), m AS (SELECT name, CASE WHEN name = 'the,' THEN 3 WHEN contains(name, 'the,') THEN 5 END AS match_rank FROM n), b AS (SELECT * FROM m WHERE match_rank IS NOT NULL QUALIFY match_rank = min(match_rank) OVER ())
+    SELECT name, match_rank, count(*) OVER () > 1 AS ambiguous FROM b""")
+def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA7: what a related query starts from, and whether that is one entity."""
+    known = _concepts(spark, sf_dir).withColumn("status", F.lit("active"))
+    return graph.resolve_target(known, "the,").join(known.select("entity_id", F.col("normalized_name").alias("name")), "entity_id").select("name", "match_rank", "ambiguous")
+
+
+@_register(f"""WITH {_DOCS}, c AS (SELECT vault_id, doc_id % 50 AS part, count(*) AS n, count(fm_type) AS typed, max(source_role) AS role FROM roles WHERE doc_id % 11 <> 0 GROUP BY 1, 2), x AS (SELECT vault_id, doc_id % 50 AS part, count(*) AS n, count(fm_type) AS typed, max(source_role) AS role FROM roles GROUP BY 1, 2)
+    SELECT x.vault_id, x.part, CASE WHEN c.n IS NULL THEN 'unavailable' WHEN x.n = c.n AND x.typed = c.typed AND x.role = c.role THEN 'fresh' ELSE 'stale' END AS state,
+      CASE WHEN c.n IS NOT NULL THEN array_to_string(list_filter([CASE WHEN x.n <> c.n THEN 'n' END, CASE WHEN x.typed <> c.typed THEN 'typed' END, CASE WHEN x.role <> c.role THEN 'role' END], lambda f: f IS NOT NULL), ',') END AS differs
+    FROM x LEFT JOIN c ON c.vault_id = x.vault_id AND c.part = x.part""")
+def lineage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA13."""
+    docs = _with_role(bridge.documents(spark, sf_dir))
+    sums = lambda df: df.groupBy("vault_id", (F.col("doc_id") % 50).alias("part")).agg(F.count("*").alias("n"), F.count("fm_type").alias("typed"), F.max("source_role").alias("role"))
+    return readiness.lineage(sums(docs.where("doc_id % 11 <> 0")), sums(docs), ["vault_id", "part"], ["n", "typed", "role"]).withColumn("differs", F.array_join("differs", ","))
+
+
+@_register(f"""WITH u AS (SELECT event_type AS vault_id, 'document' AS kind, CAST(event_id AS VARCHAR) AS item, ts AS occurred_at FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_type, 'status', CAST(event_id AS VARCHAR), CASE WHEN event_id % 6 > 0 THEN ts END FROM events WHERE event_id % 3 = 0)
+    SELECT *, row_number() OVER (PARTITION BY vault_id ORDER BY occurred_at DESC NULLS LAST, kind, item) AS rk FROM u WHERE occurred_at > TIMESTAMP '{SINCE}' OR (occurred_at IS NULL AND kind = 'status') QUALIFY rk <= 2000""")
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM5: documents and status items, those without a time last."""
+    rows = bridge.table(spark, sf_dir, "events").select(F.col("event_type").alias("vault_id"), F.col("event_id").alias("item"), F.col("ts").alias("occurred_at"))
+    statuses = rows.where("item % 3 = 0").withColumn("occurred_at", F.when(F.col("item") % 6 > 0, F.col("occurred_at")))
+    return memory.timeline(rows.where("item % 3 > 0"), statuses, F.lit(SINCE).cast("timestamp_ntz"), 2000)
+
+
+@_register(f"""WITH {_CHUNKS}, k AS (SELECT vault_id, chunk_id FROM c WHERE doc_id % 9 <> 4) SELECT 'keyword' AS store, count(*)::BIGINT AS n, count(*) FILTER (WHERE chunk_id NOT IN (SELECT chunk_id FROM k))::BIGINT AS dangling FROM c
+    UNION ALL SELECT 'vector', count(*), count(*) FILTER (WHERE chunk_id NOT IN (SELECT chunk_id FROM k)) FROM c WHERE doc_id % 2 = 0""")
+def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUD1."""
+    chunks = _chunks(spark, sf_dir)
+    return memory.dangling({"keyword": chunks, "vector": chunks.where("doc_id % 2 = 0")}, chunks.where("doc_id % 9 <> 4"))
+
+
+@_register("""WITH n AS (SELECT p_partkey AS id, p_brand AS scope FROM part), e AS (SELECT l_partkey AS source, l_suppkey AS target FROM lineitem)
+    SELECT 'repeated' AS fault, count(*)::BIGINT AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'crossing', count(*) FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target WHERE a.scope <> b.scope
+    UNION ALL SELECT 'uncovered', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""")
+def plan_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REC6: what has to be empty for a valid plan."""
+    line, part = bridge.table(spark, sf_dir, "lineitem"), bridge.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("scope"))
+    faults = {
+        "repeated": reconcile.violations(line, ["l_orderkey"]), "crossing": reconcile.crossing(line.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")), part, "id", "scope"),
+        "uncovered": reconcile.uncovered(line.select(F.col("l_partkey").alias("id")), part, ["id"]),
+    }
+    return reduce(DataFrame.union, (df.agg(F.lit(k).alias("fault"), F.count("*").alias("n")) for k, df in faults.items()))
+
+
+@_register("SELECT TRUE AS recall_is_enough")
+def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET6: at least nine of ten of the exact nearest vectors."""
+    found = embedding.recall(bridge.vectors(spark, sf_dir), "vec_id", 10, 64)
+    return found.select((F.col("recall") >= 0.9).alias("recall_is_enough"))
+
+
+@_register(f"WITH {_symbol_sql('TRUE')} SELECT symbol_id, name FROM sy WHERE relative_path = 'economy/red_widget.py'")
+def file_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COD9."""
+    return code_graph.outline(_symbol_rows(spark, sf_dir).withColumnsRenamed({"relative_path": "path", "start_line": "line"}), "economy/red_widget.py").select("symbol_id", "name")
+
+
+@_register(f"""WITH {_SYMBOL_ROWS}, w AS (SELECT unnest(['7', 'red_widget', 'none']) AS wanted), f AS (SELECT wanted, symbol_id, CASE WHEN CAST(symbol_id AS VARCHAR) = wanted THEN 1 WHEN qualified_name = wanted THEN 2 WHEN name = wanted THEN 3 END AS r FROM w, sy),
+    b AS (SELECT * FROM f WHERE r IS NOT NULL QUALIFY r = min(r) OVER (PARTITION BY wanted)) SELECT wanted, min(symbol_id)::BIGINT AS symbol_id FROM b GROUP BY 1 HAVING count(*) = 1""")
+def symbol_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COD9: by id, else by a name that one symbol has."""
+    symbols = _symbol_rows(spark, sf_dir).withColumn("symbol_id", F.col("symbol_id").cast("string"))
+    found = [code_graph.named(symbols, w).select(F.lit(w).alias("wanted"), F.col("symbol_id").cast("bigint").alias("symbol_id")) for w in ("7", "red_widget", "none")]
+    return reduce(DataFrame.union, found)
+
+
+@_register(f"WITH {_CHUNKS} SELECT c.doc_id, ordinal, c.vault_id || ':' || chunk_id || ':rank-' || CAST(ordinal + 1 AS VARCHAR) AS result_id, coalesce(d.section, regexp_replace(regexp_extract(c.path, '[^/]*$'), '\\.md$', '')) AS title FROM c JOIN d ON d.doc_id = c.doc_id")
+def result_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET15."""
+    docs = bridge.documents(spark, sf_dir)
+    rows = bridge.chunks(docs).join(docs.select("doc_id", "section"), "doc_id")
+    return rows.select("doc_id", "ordinal", result_id(F.col("vault_id"), F.col("chunk_id"), F.col("ordinal") + 1).alias("result_id"), result_title(F.lit(" "), F.col("section"), F.col("path")).alias("title"))
+
+
+@_register(f"""WITH {_DOCS} SELECT a.vault_id, a.path AS source, 'depends_on' AS type, b.path AS target_path, 0.9::DOUBLE AS confidence FROM d a JOIN d b ON b.vault_id = a.vault_id AND b.path = a.derived_from
+    UNION ALL SELECT vault_id, path, 'mentions', NULL, 0.8 FROM d UNION ALL SELECT vault_id, path, 'revisit_when', NULL, 0.8 FROM d WHERE fm_status IS NOT NULL""")
+def entity_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEX5: relations that frontmatter states, tags, and what to revisit."""
+    front = F.to_json(F.struct(F.col("derived_from").alias("depends_on"), F.array(F.lit("a tag")).alias("tags"), F.col("fm_status").alias("revisit_when")))
+    docs = bridge.documents(spark, sf_dir).select("vault_id", "doc_id", "path", front.alias("frontmatter"), "fm_type", F.lit(None).cast("string").alias("title"))
+    chunks = docs.select("vault_id", F.col("doc_id").cast("string").alias("chunk_id"), "path", F.lit(None).cast("string").alias("section"), F.lit("no links").alias("text"))
+    return entities.relationships(entities.occurrences(chunks, docs)).select("vault_id", "source", "type", "target_path", "confidence")

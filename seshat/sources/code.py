@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.predicates import any_of
 from ..functions.text import stable_id
 
 # Folders that are no source, languages by suffix, and how long what is shown may be.
@@ -20,8 +21,22 @@ DIAGNOSTICS = 32
 _SYMBOLS = "file_id string, symbol_id string, kind string, name string, qualified_name string, signature string, line int, end_line int"
 
 
-def read_repository(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
-    """(repository_id, file_id, path, language, is_test, content_hash, text) of the source files below ``root``."""
+def glob_pattern(glob: str) -> str:
+    """A path glob as a regular expression: ``**/`` any folders, ``*`` and ``?`` within a name, all else itself."""
+    out, k = "", 0
+    while k < len(glob):
+        if glob.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif glob.startswith("**", k):
+            out, k = out + ".*", k + 2
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[k], "\\Q" + glob[k] + "\\E"), k + 1
+    return f"^{out}$"
+
+
+def read_repository(spark: SparkSession, root: str, repository_id: str, include: Sequence[str] = ("**",), exclude: Sequence[str] = ()) -> DataFrame:
+    """(repository_id, file_id, path, language, is_test, content_hash, text) of the source files below ``root`` whose path
+    fits a glob of ``include`` and none of ``exclude``."""
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.substring_index(F.url_decode("path"), f"{base}/", -1)
@@ -29,7 +44,8 @@ def read_repository(spark: SparkSession, root: str, repository_id: str) -> DataF
     suffix, parts = F.element_at(F.split("path", "\\."), -1), F.split("path", "/")
     name = F.element_at(parts, -1)
     test = F.arrays_overlap(parts, F.array(F.lit("test"), F.lit("tests"))) | name.rlike("^test_.*\\.py$|_test\\.(py|dart)$")
-    kept = rows.where(suffix.isin(*LANGUAGES) & ~F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED))))
+    fits = lambda globs: any_of([F.col("path").rlike(glob_pattern(g)) for g in globs])
+    kept = rows.where(suffix.isin(*LANGUAGES) & ~F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED))) & fits(include) & ~fits(exclude))
     language = F.element_at(F.create_map(*(F.lit(x) for p in LANGUAGES.items() for x in p)), suffix)
     return kept.select("repository_id", stable_id("code-file", F.col("repository_id"), F.col("path")).alias("file_id"), "path", language.alias("language"), test.alias("is_test"), "content_hash", "text")
 

@@ -16,6 +16,7 @@ from .test_sources import vault
 def test_index_then_ask(spark, tmp_path):
     root = vault(tmp_path / "v")
     engine = Engine(spark, str(tmp_path / "store"), Catalog((Vault("a", root),)))
+    assert engine.index(dry_run=True) == {"insert": 5} and engine.store.active() is None
     assert engine.index() == {"insert": 5}
     (tmp_path / "v/raw/x.md").write_text("Raw text, changed.")
     (tmp_path / "v/docs/guide.md").unlink()

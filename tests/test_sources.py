@@ -129,3 +129,12 @@ def test_projects(tmp_path):
         with pytest.raises(ValueError):
             wrong()
     assert not again.bind(Binding("p", "r", ("b",))).resolve("p")[1].mappings
+
+
+def test_globs_of_repositories(spark, tmp_path):
+    for path in ("a.py", "pkg/b.py", "pkg/sub/c.py", "pkg/sub/x+1.py", "docs/d.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    read = lambda *globs: {r["path"] for r in code.read_repository(spark, str(tmp_path), "r", *globs).collect()}
+    assert read() == {"a.py", "pkg/b.py", "pkg/sub/c.py", "pkg/sub/x+1.py"} and read(["*.py"]) == {"a.py"} and read(["pkg/**"], ["**/c.*"]) == {"pkg/b.py", "pkg/sub/x+1.py"}
+    assert read(["**/?.py"]) == {"a.py", "pkg/b.py", "pkg/sub/c.py"} and read(["pkg/sub/x+1.py"]) == {"pkg/sub/x+1.py"}
