@@ -58,7 +58,7 @@ def approximate(bucketed: DataFrame, query: Sequence[float], keys: Sequence[str]
     return vector.search(near, query, keys, k)
 
 
-def recall(vectors: DataFrame, key: str, k: int, dimensions: int, *, sample: int = 20, tables: int = 24, bits: int = 5, seed: int = 7) -> DataFrame:
+def recall(vectors: DataFrame, key: str, k: int, dimensions: int, *, sample: int = 20, tables: int = 24, bits: int = 4, seed: int = 7) -> DataFrame:
     """One row (recall): of the k exact neighbours of ``sample`` vectors, first by a hash of their keys, the share that their
     buckets hold. A measurement: its queries are so few at any size, and go through all vectors at once.
     """

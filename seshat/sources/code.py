@@ -39,7 +39,7 @@ def read_repository(spark: SparkSession, root: str, repository_id: str, include:
     fits a glob of ``include`` and none of ``exclude``."""
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.substring_index(F.url_decode("path"), f"{base}/", -1)
+    relative = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"{base}/", -1)
     rows = files.select(F.lit(repository_id).alias("repository_id"), relative.alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_hash"))
     suffix, parts = F.element_at(F.split("path", "\\."), -1), F.split("path", "/")
     name = F.element_at(parts, -1)
