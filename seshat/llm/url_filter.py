@@ -36,8 +36,21 @@ class Rule:
 #: The rules of the production query.
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
-#: Hosts and paths judged by hand: those sold for clicks, and ordinary ones.
-BLOCKED_URLS = """
+#: Words of hosts that are sold for clicks, and of ordinary ones; hosts of both kinds are built from them in the same way.
+BLOCKED_WORDS = "casino poker slots roulette jackpot bets betting lottery pills meds viagra pharmacy loans payday ads adserver banner tracker clicks popup cams adult xxx escort warez crack keygen torrent".split()
+ALLOWED_WORDS = "news docs wiki recipes university library history weather museum forum books travel maps science garden music school events winter cheese health sports games video photo blog bank market mail status".split()
+DOMAINS = ("example.com", "example.org", "site.net", "portal.io", "web.de", "pages.fr", "shop.co.uk")
+
+
+def built(words: list[str]) -> list[str]:
+    """Two hosts a word, alone and with the next one, under all domains and with ordinary paths by turns."""
+    paths = ("/", "/en/1201", "/index.html", "/de/33.html", "/a/b?", "/fr/7424", "/page/2", "/es/9/")
+    pairs = [(f"www.{w}", f"{w}-{words[(i + 1) % len(words)]}") for i, w in enumerate(words)]
+    return [f"{host}.{DOMAINS[(2 * i + j) % len(DOMAINS)]}{paths[(3 * i + j) % len(paths)]}" for i, hosts in enumerate(pairs) for j, host in enumerate(hosts)]
+
+
+#: Hosts and paths judged by hand, and built ones.
+BLOCKED_URLS = built(BLOCKED_WORDS) + """
 casino-win.example.com/en/1201 m.casino-win.example.com/de/33.html online-casino.test.net/play www.casino-royal.test.org/bonus/
 best-casino.test.com/slots free-bets.example.com/en/5462 www.free-bets.example.net/fr/12 freebets.test.com/odds sports-bets.test.net/tips/
 bet-win.test.org/es/9 cheap-pills.example.com/de/6652.html m.cheap-pills.example.org/en/1 cheap-meds.test.net/order pills-online.test.com/buy/
@@ -45,7 +58,7 @@ buy-pills.test.org/cheap ads-track.example.com/en/9823 www.ads-track.example.net
 ads.test.org/banner/ clicktrack.test.com/ads win-big.test.net/jackpot jackpot-slots.test.com/en/ poker-win.test.org/free
 free-pills.test.net/ cheap-casino.test.com/win adult-cams.test.com/live xxx-cams.test.net/ payday-loans.test.org/fast cheap-loans.test.com/
 """.split()
-ALLOWED_URLS = """
+ALLOWED_URLS = built(ALLOWED_WORDS) + """
 www.example.com/en/1291/ blog.example.com/fr/7424.html m.example.net/de/8511 example.org/es/2547/ news.test.com/world/2024/ docs.test.org/guide
 www.thering.example.org/en/1291/ therst.example.net/fr/4163 ththan.example.com/en/7944 tionble.example.org/en/482/ m.theron.example.net/de/5989
 blog.tionsh.example.com/en/1524/ ththble.example.com/fr/7376 www.ththtion.example.com/es/4200/ thther.example.net/es/6964/ edher.example.com/de/10
