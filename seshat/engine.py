@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions.predicates import SEARCH_MODES, in_scope, item_priority, item_type
 from .functions.text import excerpt
@@ -16,6 +17,7 @@ from .plans.hybrid import candidate_limit
 from .sources import markdown
 from .sources.catalog import Catalog
 from .sources.generations import Generations
+from .streaming.watch import watch
 
 TABLES = ("documents", "chunks", "vectors", "entities", "edges", "families", "index/postings", "index/statistics")
 KEYS = ["vault_id", "chunk_id"]
@@ -60,6 +62,12 @@ class Engine:
         self.store.activate(generation, list(TABLES), generation)
         return counts
 
+    def watch(self, vault_id: str, checkpoint: str, *, interval: str | None = None) -> StreamingQuery:
+        """Indexes again whenever a vault has new files; a generation is published only if its run ends well. Without an
+        interval it takes what is there and ends. Each run lists the vaults anew, so deleted files go with the next one."""
+        roots = {v.vault_id: v.root_path for v in self.catalog.vaults}
+        return watch(self.spark, roots[vault_id], checkpoint, lambda changed, batch: self.index() and None, interval=interval)
+
     def _scope(self, df: DataFrame, vaults: Sequence[str], scopes: Sequence[str]) -> DataFrame:
         allowed = self.catalog.resolve(tuple(vaults), tuple(scopes))
         fits = F.lit(False)

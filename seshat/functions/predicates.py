@@ -49,17 +49,13 @@ def document_role(path: Column, kind: Column) -> Column:
 
 
 def item_type(path: Column, kind: Column, section: Column, title: Column) -> Column:
-    """A context item's type, by the ladder decision, constraint, open question, current state, source, page."""
+    """A context item's type: the first of the table below whose condition holds, else page."""
     path, kind, section, title = (F.lower(F.coalesce(c, F.lit(""))) for c in (path, kind, section, title))
-    text, rooted = F.concat_ws(" ", kind, path, section, title), F.concat(F.lit("/"), path)
-    return (
-        F.when((kind == "decision") | rooted.contains("/decisions/"), "decision")
-        .when((kind == "constraint") | has_any(text, CONSTRAINT_TERMS), "constraint")
-        .when((kind == "open_question") | has_any(text, QUESTION_TERMS), "open_question")
-        .when((kind == "current_state") | has_any(text, STATE_TERMS) | any_of([rooted.endswith(s) for s in STATE_SUFFIXES]), "current_state")
-        .when(path.startswith("raw/"), "source")
-        .otherwise("page")
-    )
+    words, rooted = F.concat_ws(" ", kind, path, section, title), F.concat(F.lit("/"), path)
+    named = {"decision": (), "constraint": CONSTRAINT_TERMS, "open_question": QUESTION_TERMS, "current_state": STATE_TERMS}
+    placed = {"decision": rooted.contains("/decisions/"), "current_state": any_of([rooted.endswith(s) for s in STATE_SUFFIXES])}
+    table = {name: (kind == name) | has_any(words, terms) | placed.get(name, F.lit(False)) for name, terms in named.items()} | {"source": path.startswith("raw/")}
+    return F.coalesce(*(F.when(holds, name) for name, holds in table.items()), F.lit("page"))
 
 
 def item_priority(kind: Column) -> Column:

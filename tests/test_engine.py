@@ -21,6 +21,11 @@ def test_index_then_ask(spark, tmp_path):
     (tmp_path / "v/raw/x.md").write_text("Raw text, changed.")
     (tmp_path / "v/docs/guide.md").unlink()
     assert engine.index() == {"unchanged": 3, "update": 1, "delete": 1}
+    (tmp_path / "v/wiki/new.md").write_text("Something new.")
+    engine.watch("a", str(tmp_path / "checkpoint")).awaitTermination(60)
+    assert engine.store.read("documents").where("path = 'wiki/new.md'").count() == 1
+    (tmp_path / "v/wiki/new.md").unlink()
+    assert engine.index() == {"unchanged": 4, "delete": 1}
     found = engine.search("open again", 5).collect()
     assert found[0]["rk"] == 1 and {"wiki/issues/open.md", "wiki/decisions/x.md"} == {r["path"] for r in found}
     assert len({r["family_seed"] for r in found}) == len(found)

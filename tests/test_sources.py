@@ -138,3 +138,10 @@ def test_globs_of_repositories(spark, tmp_path):
     read = lambda *globs: {r["path"] for r in code.read_repository(spark, str(tmp_path), "r", *globs).collect()}
     assert read() == {"a.py", "pkg/b.py", "pkg/sub/c.py", "pkg/sub/x+1.py"} and read(["*.py"]) == {"a.py"} and read(["pkg/**"], ["**/c.*"]) == {"pkg/b.py", "pkg/sub/x+1.py"}
     assert read(["**/?.py"]) == {"a.py", "pkg/b.py", "pkg/sub/c.py"} and read(["pkg/sub/x+1.py"]) == {"pkg/sub/x+1.py"}
+
+
+def test_revisions_of_repositories(spark):
+    files = [("r", f"p{k}.py", f"h{k}") for k in range(20)]
+    read = lambda rows: spark.createDataFrame(rows, "repository_id string, path string, content_hash string").repartition(3)
+    one, again, other = (code.revision(read(rows)).first()["revision"] for rows in (files, files[::-1], [*files[:-1], ("r", "p19.py", "h0")]))
+    assert one == again != other
