@@ -6,7 +6,7 @@
    range-partitioned together with nodes, so that a key of very many nodes is cut in chunks of CHUNK.
 3. In each chunk, and later in each pair of chunks of one key, an R-tree over count vectors names the pairs
    that can link. Pairs within a component that is already known are not searched.
-4. In rounds, each node's first candidates (1, then 8, then 64 ...) are verified on their whole sets, and
+4. In rounds, each node's candidates (the one that shares most keys with it, then the first 8, then 64 ...) are verified on whole sets, and
    verified links merge components. A large group of near copies thus takes about one verified pair for
    each node, not all pairs; the rounds end only when no untested candidate joins two components.
 
@@ -150,8 +150,13 @@ def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield rows([(held_key, number(), held)])
 
 
+_SEARCHED = ("u", "label_u", "rank", "n", "v", "label", "more", "key", "i", "j", "side")
+
+
 def _candidates(limit: int):
-    """Of rows sorted by block: each node's first ``limit`` candidates in its block, and whether there are more.
+    """Of rows sorted by block: each node's first ``limit`` candidates in its block, and whether there are more; of a limit
+    of 1, not the first one but the one with most common keys (rank is their number below zero). Then, with the block's
+    key, the nodes that have untested candidates in it, and those candidates: the rest of the block is never looked at again.
 
     Nodes that share several keys meet in several blocks; the pair is taken in that of their least common key.
     """
@@ -162,17 +167,27 @@ def _candidates(limit: int):
         if (label == label[0]).all():
             return []
         tree, bands, across, out = CountTree(vectors[order], over, n, label), bands[order], block["i"][0] != block["j"][0], []
+        needed = np.zeros(len(node), bool)
         for at in np.flatnonzero(bar_n < _DONE).tolist():
             near = tree.before(at)
             if len(near) and across:
                 near = near[side[near] != side[at]]
             if len(near):
-                common = np.where(bands[near] == bands[at], bands[at], _NULL_ID).min(1)
-                near = near[common == block["key"][0]]
+                same = bands[near] == bands[at]
+                own = np.where(same, bands[at], _NULL_ID).min(1) == block["key"][0]
+                near, shared = near[own], same[own].sum(1)
+            if limit == 1 and len(near):
+                v = int(near[shared.argmax()])
+                out.append((int(node[at]), int(label[at]), -int(shared.max()), int(n[v]), int(node[v]), int(label[v]), len(near) > 1, None, None, None, None))
+                needed[at] = needed[near] = True
+                continue
             if len(near):
                 near = near[(n[near] > bar_n[at]) | (n[near] == bar_n[at]) & (node[near] > bar[at])]
-            out += [(int(node[at]), int(label[at]), int(n[v]), int(node[v]), int(label[v]), len(near) > limit) for v in near[:limit].tolist()]
-        return out
+            if len(near):
+                needed[at] = needed[near] = True
+            out += [(int(node[at]), int(label[at]), 0, int(n[v]), int(node[v]), int(label[v]), len(near) > limit, None, None, None, None) for v in near[:limit].tolist()]
+        place = tuple(int(block[c][0]) for c in ("key", "i", "j"))
+        return out + [(int(node[k]), None, None, None, None, None, None, *place, int(side[k])) for k in np.flatnonzero(needed).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -193,8 +208,8 @@ def _candidates(limit: int):
             return out, None if last else table.slice(starts[-1])
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
-            *ints, more = zip(*out, strict=True) if out else ((),) * 6
-            return pa.record_batch([*(pa.array(x, pa.int64()) for x in ints), pa.array(more, pa.bool_())], names=["u", "label_u", "n", "v", "label", "more"])
+            columns = zip(*out, strict=True) if out else ((),) * len(_SEARCHED)
+            return pa.record_batch([pa.array(x, pa.bool_() if c == "more" else pa.int64()) for c, x in zip(_SEARCHED, columns, strict=True)], names=list(_SEARCHED))
 
         for batch in batches:
             if not batch.num_rows:
@@ -283,20 +298,26 @@ class _Join:
         return self.write(side("i", 0).union(side("j", 1)), "cross")
 
     def live(self, blocks: DataFrame, state: DataFrame) -> DataFrame:
-        """The blocks that have two labels or more and a node that is not done."""
-        rows = self.write(blocks.join(state, "node"), "rows")
-        sums = rows.groupBy("key", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("upto_n").alias("next"))
-        alive = sums.where(f"low <> high AND next < {_DONE}").select("key", "i", "j")
-        return self.write(rows.join(alive, ["key", "i", "j"], "left_semi").select("key", "i", "j", "node", "side"), "live")
+        """The blocks that have two labels or more and a node that is not done.
 
-    def search(self, blocks: DataFrame, state: DataFrame, limit: int) -> DataFrame:
-        """(u, label_u, first, more): first candidates of nodes that are not done."""
+        Where all nodes that are not done have one label, the others of that label drop out: they are no candidates of
+        those, now or later, as labels only merge and what is done stays so.
+        """
+        rows = self.write(blocks.join(state, "node"), "rows")
+        open_ = F.when(F.col("upto_n") < _DONE, F.col("label"))
+        sums = rows.groupBy("key", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(open_).alias("first"), F.max(open_).alias("last"))
+        alive = sums.where("low <> high AND first IS NOT NULL").select("key", "i", "j", "first", "last")
+        kept = rows.join(alive, ["key", "i", "j"]).where(f"upto_n < {_DONE} OR label <> first OR first <> last")
+        return self.write(kept.select("key", "i", "j", "node", "side"), "live")
+
+    def search(self, blocks: DataFrame, state: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+        """(u, label_u, first, more): first candidates of nodes that are not done; and what is left of the blocks."""
         rows = blocks.join(state.join(self.known.select("node", "n", "vector", "over", "bands"), "node"), "node")
         dealt = rows.repartition(self.parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = dealt.mapInArrow(_candidates(limit), "u bigint, label_u bigint, n bigint, v bigint, label bigint, more boolean")
-        every = found.groupBy("u", "label_u").agg(F.array_sort(F.collect_set(F.struct("n", "v", "label"))).alias("all"), F.max("more").alias("more"))
+        searched = self.write(dealt.mapInArrow(_candidates(limit), ", ".join(f"{c} {'boolean' if c == 'more' else 'bigint'}" for c in _SEARCHED)), "searched")
+        every = searched.where("v IS NOT NULL").groupBy("u", "label_u").agg(F.array_sort(F.collect_set(F.struct("rank", "n", "v", "label"))).alias("all"), F.max("more").alias("more"))
         cut = every.select("u", "label_u", F.slice("all", 1, limit).alias("first"), (F.col("more") | (F.size("all") > limit)).alias("more"))
-        return self.write(cut, "found")
+        return self.write(cut, "found"), searched.where("key IS NOT NULL").select("key", "i", "j", F.col("u").alias("node"), "side")
 
     def verify(self, found: DataFrame) -> DataFrame:
         """The labels (a, b) of pairs that link."""
@@ -311,12 +332,13 @@ class _Join:
         while True:
             if limit > 1:  # by now most blocks have one label
                 blocks = self.live(blocks, state)
-            found = self.search(blocks, state, limit)
+            found, blocks = self.search(blocks, state, limit)
             if found.isEmpty():
                 return state
             merged = components(self.verify(found), self.staged, f"{next(self.jobs)}-stars")
             last = F.element_at("first", -1)
-            tested = found.where("more").select(F.col("u").alias("node"), last["n"].alias("next_n"), last["v"].alias("next"))
+            reached = (last["n"], last["v"]) if limit > 1 else (F.lit(-1).cast("bigint"), F.lit(0).cast("bigint"))  # others come before the nearest
+            tested = found.where("more").select(F.col("u").alias("node"), reached[0].alias("next_n"), reached[1].alias("next"))
             moved = state.join(merged.withColumnsRenamed({"a": "label", "b": "into"}), "label", "left").join(tested, "node", "left")
             state = self.write(
                 moved.select("node", F.coalesce("into", "label").alias("label"), F.coalesce("next_n", F.lit(_DONE)).alias("upto_n"), F.coalesce("next", F.lit(0)).alias("upto")), "state"
