@@ -391,7 +391,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("""WITH sy AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, replace(p_name, ' ', '_') AS n FROM part),
-    r AS (SELECT DISTINCT n AS reference FROM sy UNION SELECT DISTINCT t || '.' || n FROM sy UNION SELECT DISTINCT b || '.' || t || '.' || n FROM sy WHERE id % 2 = 0 UNION SELECT 'no.such'),
+    r AS (SELECT DISTINCT n AS reference FROM sy UNION SELECT DISTINCT t || '.' || n FROM sy UNION SELECT DISTINCT b || '.' || t || '.' || n FROM sy UNION SELECT 'no.such'),
     k AS (SELECT b || '.' || t || '.' || n AS reference, 1 AS tier, id FROM sy UNION SELECT n, 2, id FROM sy UNION SELECT t || '.' || n, 3, id FROM sy),
     c AS (SELECT reference, tier, count(*) AS n, min(id) AS id FROM k GROUP BY 1, 2 QUALIFY tier = min(tier) OVER (PARTITION BY reference))
     SELECT r.reference, coalesce(c.tier, 0) AS tier, coalesce(c.n, 0)::BIGINT AS candidates, CASE WHEN c.n = 1 THEN CAST(c.id AS VARCHAR) END AS symbol_id, CASE WHEN c.n IS NULL THEN 'unresolved' WHEN c.n = 1 THEN 'inferred' ELSE 'ambiguous' END AS status FROM r LEFT JOIN c USING (reference)""")
@@ -399,7 +399,7 @@ def reference_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COD4."""
     symbols = _symbols(spark, sf_dir)
     name = lambda n: F.array_join(F.slice(F.split("qualified_name", "\\."), -n, n), ".").alias("reference")
-    references = symbols.select(name(1)).union(symbols.select(name(2))).union(symbols.where("symbol_id % 2 = 0").select(name(3))).union(_seed(spark, "no.such"))
+    references = symbols.select(name(1)).union(symbols.select(name(2))).union(symbols.select(name(3))).union(_seed(spark, "no.such"))
     found = code_graph.resolve(references, symbols)
     return found.select("reference", F.coalesce("tier", F.lit(0)).alias("tier"), "candidates", F.col("symbol_id").cast("string").alias("symbol_id"), "status")
 
