@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, secrets, token_counts, url_filter
+from . import byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, merkle_manifest, period_runs, pivot_search, quality_classifier, quality_rules, secrets, token_counts, url_filter
+from .columns import lower_ascii
 
 TOKEN_LIMIT = 1024
 
@@ -78,6 +79,42 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0, lower_ascii(docs["text"])).otherwise(docs["text"])
+    proved = merkle_manifest.proofs(merkle_manifest.build(docs, now={"text": tampered}))
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", _sha256(F.lower(F.hex("siblings"))).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _periodic(doc_id: Column, text: Column) -> Column:
+    """The text, or for a tenth of the ids its words with a periodic end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def spread(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.transform(F.array(words), spread)[0]).otherwise(text)
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = period_runs.find(docs.select("doc_id", _periodic(F.col("doc_id"), F.col("text")).alias("text")))
+    more = lambda a, b: (a["length"] * b["period"] > b["length"] * a["period"])  # noqa: E731  runs come by start and period: the first of equals stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(more(r, b), r).otherwise(b))
+    spelled = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    each = found.select("*", best.alias("best"), F.when(F.size("runs") > 0, F.concat(spelled, F.lit("\n"))).otherwise("").alias("spelled"))
+    return each.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), _sha256(F.col("spelled")).alias("runs_sha256"), _sha256(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search(_table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op8 that SQL can express."""
     return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -94,7 +131,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", verdict)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_secrets, op9_line_dedup, op10_url_filter, secrets_base, quality_counts, url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_secrets, op9_line_dedup, op10_url_filter, op11_merkle_manifest, op12_period_runs, op13_pivot_search, secrets_base, quality_counts, url_rules)}
 
 #: For DuckDB, over the same tables. Operators with fitted models, tokenizers or lexers have none.
 ORACLE_SQL: dict[str, str] = {
@@ -139,6 +176,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
             sha256(coalesce(i.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id""",
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE crc(b, k, c) AS (SELECT b, 0, b::BIGINT FROM range(256) AS t(b) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM crc WHERE k < 8),
+        byte AS (SELECT b, c FROM crc WHERE k = 8),
+        step(doc_id, s, i, c) AS (SELECT DISTINCT doc_id, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+            UNION ALL SELECT doc_id, s, i + 1, xor(byte.c, step.c >> 8) FROM step JOIN byte ON byte.b = xor(step.c, ascii(s[i + 1])::BIGINT) & 255 WHERE i < length(s)),
+        h AS (SELECT doc_id, xor(c, 4294967295::BIGINT) AS crc FROM step WHERE i = length(s)),
+        t AS (SELECT d.*, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id),
+        p AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM t),
+        f AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(later) || ':' || later, '-')) AS now FROM p),
+        l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, now) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS width FROM f),
+        own(tree, level, idx, hash, width) AS (SELECT tree, 0, idx, leaf, width FROM l UNION ALL SELECT tree, level + 1, idx // 16, sha256(string_agg(hash, '' ORDER BY idx)), (width + 15) // 16 FROM own WHERE width > 1 GROUP BY tree, level, idx // 16, width),
+        subs AS MATERIALIZED (SELECT tree, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS width FROM own WHERE width = 1),
+        over_(tree, level, idx, hash, width) AS (SELECT '', 0, idx, hash, width FROM subs UNION ALL SELECT tree, level + 1, idx // 16, sha256(string_agg(hash, '' ORDER BY idx)), (width + 15) // 16 FROM over_ WHERE width > 1 GROUP BY tree, level, idx // 16, width),
+        nodes AS MATERIALIZED (SELECT * FROM own UNION ALL SELECT * FROM over_),
+        sib AS MATERIALIZED (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+            FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.width > 1 GROUP BY 1, 2, 3),
+        climb(tree, here, level, idx, width, start, folded, proof) AS (SELECT tree, tree, 0, idx, width, idx, now, '' FROM l
+            UNION ALL SELECT c.tree, c.here, c.level + 1, c.idx // 16, (c.width + 15) // 16, c.start, sha256(s.l || c.folded || s.r), c.proof || s.l || s.r FROM climb c JOIN sib s ON s.tree = c.here AND s.level = c.level AND s.idx = c.idx WHERE c.width > 1),
+        up(tree, here, level, idx, width, start, folded, proof) AS (SELECT c.tree, '', 0, u.idx, u.width, c.start, c.folded, c.proof FROM climb c JOIN subs u ON u.tree = c.tree WHERE c.width = 1
+            UNION ALL SELECT c.tree, c.here, c.level + 1, c.idx // 16, (c.width + 15) // 16, c.start, sha256(s.l || c.folded || s.r), c.proof || s.l || s.r FROM up c JOIN sib s ON s.tree = c.here AND s.level = c.level AND s.idx = c.idx WHERE c.width > 1)
+        SELECT l.doc_id, l.leaf, u.hash AS subroot, o.hash AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = o.hash AS verified
+        FROM l JOIN subs u ON u.tree = l.tree JOIN up p ON p.tree = l.tree AND p.start = l.idx AND p.width = 1 JOIN over_ o ON o.width = 1""",
+    "op13_pivot_search": r"""
+        WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS z FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.z, v.z), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20""",
     "op9_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
         k AS (SELECT doc_id, pos, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
