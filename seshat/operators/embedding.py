@@ -1,4 +1,4 @@
-"""Embeddings from a pluggable model, and approximate search over them."""
+"""Embeddings from a pluggable model."""
 
 from __future__ import annotations
 
@@ -7,11 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vector
-
 BATCH = 256
 
 
@@ -35,38 +33,3 @@ def embed(rows: DataFrame, keys: Sequence[str], model: Callable[[Sequence[str]],
             yield frame.drop(columns="seshat_text").assign(embedding=pd.Series(found, index=frame.index, dtype=object))
 
     return own.mapInPandas(run, schema)
-
-
-def _signs(embedding: Column, planes: np.ndarray) -> Column:
-    dot = lambda p: F.aggregate(F.zip_with(embedding, F.array(*map(F.lit, p.tolist())), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return F.concat(*(F.when(dot(p) >= 0, "1").otherwise("0") for p in planes))
-
-
-def buckets(vectors: DataFrame, dimensions: int, *, tables: int = 8, bits: int = 6, seed: int = 7) -> DataFrame:
-    """vectors with bucket: for each table, the sides of ``bits`` random planes. Written partitioned by bucket, a
-    search reads its own buckets only."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions)).round(6)
-    keys = F.array(*(F.concat(F.lit(f"{k}:"), _signs(F.col("embedding"), p)) for k, p in enumerate(planes)))
-    return vectors.select("*", F.explode(keys).alias("bucket"))
-
-
-def approximate(bucketed: DataFrame, query: Sequence[float], keys: Sequence[str], k: int, *, tables: int = 8, bits: int = 6, seed: int = 7) -> DataFrame:
-    """As vector.search, over the vectors in one of the query's buckets; exact scores, but near vectors may be missing."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, len(query))).round(6)
-    wanted = [f"{t}:" + "".join("1" if float(np.dot(p, query)) >= 0 else "0" for p in ps) for t, ps in enumerate(planes)]
-    near = bucketed.where(F.col("bucket").isin(*wanted)).drop("bucket").dropDuplicates(list(keys))
-    return vector.search(near, query, keys, k)
-
-
-def recall(vectors: DataFrame, key: str, k: int, dimensions: int, *, sample: int = 20, tables: int = 24, bits: int = 4, seed: int = 7) -> DataFrame:
-    """One row (recall): of the k exact neighbours of ``sample`` vectors, first by a hash of their keys, the share that their
-    buckets hold. A measurement: its queries are so few at any size, and go through all vectors at once.
-    """
-    own = vectors.select(F.col(key).alias("v"), F.col("embedding").alias("x"))
-    asked = vectors.orderBy(F.xxhash64(key), key).limit(sample).select(F.col(key).alias("q"), F.col("embedding").alias("y"))
-    scored = own.join(F.broadcast(asked), F.col("v") != F.col("q")).select("q", "v", vector.cosine(F.col("x"), F.col("y")).alias("score"))
-    top = scored.withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("rk") <= k).select("q", "v")
-    dealt = buckets(vectors, dimensions, tables=tables, bits=bits, seed=seed).select(F.col(key).alias("v"), "bucket")
-    met = dealt.join(dealt.join(asked.select(F.col("q").alias("v")), "v", "left_semi").select(F.col("v").alias("q"), "bucket"), "bucket").select("q", "v").distinct()
-    hits = top.join(met.withColumn("hit", F.lit(1)), ["q", "v"], "left")
-    return hits.agg((F.count("hit") / F.count("*")).alias("recall"))

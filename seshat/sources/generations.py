@@ -30,9 +30,10 @@ class Generations:
 
     def active(self) -> dict | None:
         numbers = self._numbers()
-        if not numbers:
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(self._path(f"active/{numbers[-1]}.json"))).collect()))
+        return self._pointer(numbers[-1]) if numbers else None
+
+    def _pointer(self, number: int) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(self._path(f"active/{number}.json"))).collect()))
 
     def stage(self, generation: str, tables: dict[str, DataFrame]) -> None:
         for name, df in tables.items():

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seshat.engine import Engine
-from seshat.operators import embedding, listing, readiness, render, vector
+from seshat.operators import block_index, embedding, inverted_file, keyword, listing, readiness, render, vector
+from seshat.sources import segments
 from seshat.sources.catalog import Catalog, Vault
 
 from .test_sources import vault
@@ -42,14 +43,22 @@ def test_index_then_ask(spark, tmp_path):
     assert engine.outline("a", "wiki/decisions/x.md").count() == 3
 
 
-def test_embeddings_and_approximate_search(spark):
+def test_embeddings_and_approximate_search(spark, tmp_path):
     rnd = np.random.default_rng(5)
     centers = rnd.standard_normal((20, 16))
     rows = [(k, (centers[k % 20] + 0.1 * rnd.standard_normal(16)).tolist()) for k in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     exact = {r["vec_id"] for r in vector.search(df, rows[0][1], ["vec_id"], 20).collect()}
-    near = {r["vec_id"] for r in embedding.approximate(embedding.buckets(df, 16), rows[0][1], ["vec_id"], 20).collect()}
-    assert len(exact & near) >= 18
+    index = inverted_file.InvertedFile.write(df, "vec_id", str(tmp_path / "index"))
+    assert index.fitted.probes < len(index.fitted.centroids) / 4  # clusters are told apart
+    near = index.search(rows[0][1], 20).collect()
+    assert len(exact & {r["vec_id"] for r in near}) >= 18 and [r["rk"] for r in near] == list(range(1, 21))
+    assert {r["vec_id"] % 2 for r in index.search(rows[0][1], 5, allowed=df.where("vec_id % 2 = 1")).collect()} == {1}
+    asked = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    wanted = inverted_file.exact(df, asked, "vec_id", 10)
+    one = [r["vec_id"] for r in wanted.where("query = 0").orderBy("rk").collect()]
+    assert one == [r["vec_id"] for r in vector.search(df.where("vec_id <> 0"), rows[0][1], ["vec_id"], 10).orderBy("rk").collect()]
+    assert inverted_file.recall(index.search_all(asked, 10), wanted, "vec_id").first()["recall"] >= 0.9
     own = embedding.embed(spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id int, text string"), ["id"]).collect()
     assert own[0]["embedding"] == own[2]["embedding"] != own[1]["embedding"] and len(own[0]["embedding"]) == 384
 
@@ -78,3 +87,100 @@ def test_readiness(spark):
     assert {r["code_path"]: r["status"] for r in readiness.relations(bound, code, wiki).collect()} == {"a.py": "explicit", "b.py": "unresolved"}
     with pytest.raises(ValueError):
         render.rows(spark.range(2000))
+
+
+def test_a_run_writes_what_has_changed(spark, tmp_path):
+    """One of many documents changes: under a hundredth of the bytes; a failing model leaves keyword search published."""
+    root = tmp_path / "v"
+    (root / "wiki").mkdir(parents=True)
+    words = [f"w{k}" for k in range(400)]
+    for k in range(300):
+        (root / f"wiki/d{k}.md").write_text(f"# Title {k}\n\n" + " ".join(words[(k * 7 + i * i) % 400] for i in range(300)) + f" [[d{(k + 1) % 300}]]")
+    fails = {"on": False}
+
+    def model(texts):
+        if fails["on"]:
+            raise RuntimeError("no model")
+        return embedding.hash_embedding(texts, 64)
+
+    engine = Engine(spark, str(tmp_path / "store"), Catalog((Vault("a", str(root)),)), model)
+    assert engine.index() == {"insert": 300}
+    base = sum(engine.store.written_bytes(engine.store.segments(n)) for n in engine.store.stores())
+    (root / "wiki/d7.md").write_text("# Title 7\n\nentirely fresh words [[d8]]")
+    fails["on"] = True
+    assert engine.index() == {"unchanged": 299, "update": 1}
+    assert {s["store"] for s in engine.status() if s["state"] == "stale"} == {"vectors"} and engine.warnings() == ["vectors stale: PythonException: RuntimeError: no model"] or "no model" in engine.warnings()[0]
+    assert [r["path"] for r in engine._keyword().search("entirely fresh", 5).join(engine.store.read("chunks"), ["vault_id", "chunk_id"]).collect()] == ["wiki/d7.md"]
+    fails["on"] = False
+    assert engine.index() == {"unchanged": 300} and not engine.warnings()
+    assert engine.store.read("vectors").count() == engine.store.read("chunks").count()
+    later = sum(engine.store.written_bytes(engine.store.segments(n)[1:]) for n in engine.store.stores())
+    assert all(len(engine.store.segments(n)) <= 2 for n in engine.store.stores()) and later < 0.06 * base  # footers of small files weigh most here
+    rows = {n: sum(s["manifest"]["rows"]["rows"] for s in engine.store.segments(n)[1:]) for n in engine.store.stores()}
+    assert rows["documents"] == rows["chunks"] == rows["vectors"] == 1 and rows["entities"] < 10
+    rebuilt = Engine(spark, str(tmp_path / "again"), Catalog((Vault("a", str(root)),)), model)
+    rebuilt.index()
+    for name in ("documents", "chunks", "vectors", "edges", "families", "entities"):
+        a, b = (e.store.read(name) for e in (engine, rebuilt))
+        assert segments.digest(a) == segments.digest(b.select(*a.columns)), name
+    same = lambda e: [tuple(r) for r in e._keyword().search("w3 w5 entirely", 20).collect()]
+    assert same(engine) == same(rebuilt)
+
+
+def test_segments(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "o int, v string")
+    owners = lambda df: df.select("o", F.sha2("v", 256).alias("hash")).distinct()
+    store = segments.SegmentStore(spark, str(tmp_path / "s"), ["o"])
+    first = store.write("t", make([(k, f"a{k}") for k in range(100)] + [(None, "n")]), owners(make([(k, f"a{k}") for k in range(100)])))
+    store.publish("one", {"t": [first]})
+    parts = [first]
+    for k in range(10):  # owner k changes twice, and goes in the end
+        parts.append(store.write("t", make([(k, f"b{k}"), (k, f"c{k}")]), owners(make([(k, f"b{k}")])), make([(k, "")])))
+    parts.append(store.write("t", make([]), owners(make([])), make([(3, ""), (None, "")])))
+    wanted = {(k, f"a{k}") for k in range(10, 100)} | {(k, f"{c}{k}") for k in range(10) if k != 3 for c in "bc"}
+    assert {tuple(r) for r in store.merged("t", parts).collect()} == wanted
+    assert store.is_due(parts) and not store.is_due(parts[:2])
+    folded = store.folded("t", parts)
+    assert len(folded) == 1 and {tuple(r) for r in store.merged("t", folded).collect()} == wanted
+    few = store.folded("t", parts[:4])
+    assert len(few) == 2 and {tuple(r) for r in store.merged("t", few).collect()} == {tuple(r) for r in store.merged("t", parts[:4]).collect()}
+    store.publish("two", {"t": folded})
+    assert store.read("t").count() == len(wanted) and store.owners("t").count() == 99
+    with pytest.raises(ValueError, match="other sources"):
+        store.publish("three", {}, sources={"t": "two"})
+    store.rollback()
+    assert store.active()["source"] == "one" and store.read("t").count() == 101
+    make([(1, "other")]).write.mode("append").parquet(f"{store.root}/{first['path']}/rows")
+    with pytest.raises(segments.TamperedError):
+        store.verify("t")
+    with pytest.raises(segments.TamperedError):
+        segments.SegmentStore(spark, str(tmp_path / "s"), ["o"]).read("t")
+
+
+def test_block_index(spark, tmp_path):
+    rows = [(k, f"v{k % 3}", " ".join(["the"] * (k % 7) + ["red"] * (k % 11 == 0) + ["blue_green"] * (k % 13 == 0) + [f"x{k}"] * (k % 5)), "red note" if k % 40 == 0 else None) for k in range(400)]
+    make = lambda r: spark.createDataFrame(r, "id int, o string, text string, title string")
+    roots = [str(tmp_path / n) for n in "abcd"]
+    block_index.write(make(rows), ["id"], ["text", "title"], roots[0], owner=["o"], range_rows=16)
+    queries = ("red", "the red", "blue_green the", "blue red red", "x17", "none", "green")
+    check = lambda index, now, k: [(q, [(r["id"], r["score"], sorted(r["fields"]), r["rk"]) for r in index.search(q, k).collect()], [(r["id"], r["score"], sorted(r["fields"]), r["rk"]) for r in keyword.search(make(now), q, ["id"], k, fields=["text", "title"]).collect()]) for q in queries]
+    index = block_index.BlockIndex(spark, [block_index.Part(roots[0])], ["id"], ["text", "title"], ["o"])
+    for q, found, wanted in check(index, rows, 5):
+        assert found == wanted, q
+    allowed = make(rows).where("id % 2 = 1").select("id")
+    assert [r["id"] for r in index.search("red", 4, allowed=allowed).collect()] == [r["id"] for r in keyword.search(make(rows), "red", ["id"], 4, fields=["text", "title"], where=F.col("id") % 2 == 1).collect()]
+    read = {r["token"]: (r["blocks"], r["read"]) for r in index.reading("x17 the", 1).collect()}
+    assert read["the"][1] < read["the"][0] / 2
+    # a later part replaces an owner's rows, the next one drops another's; then the two later ones are folded
+    fresh = [(1000 + k, "v1", f"red the x{k}", None) for k in range(30)]
+    gone = lambda o: make([(0, o, "", "")]).select("o")
+    block_index.write(make(fresh), ["id"], ["text", "title"], roots[1], owner=["o"], removed=make([r for r in rows if r[1] == "v1"]))
+    block_index.write(make([]), ["id"], ["text", "title"], roots[2], owner=["o"], removed=make([r for r in rows if r[1] == "v2"]))
+    now = [r for r in rows if r[1] == "v0"] + fresh
+    block_index.write(make(fresh), ["id"], ["text", "title"], roots[3], owner=["o"], folds=roots[1:3])
+    later = [block_index.Part(roots[1], gone("v1")), block_index.Part(roots[2], gone("v2"))]
+    for parts in (later, [block_index.Part(roots[3], gone("v1").union(gone("v2")))]):
+        index = block_index.BlockIndex(spark, [block_index.Part(roots[0]), *parts], ["id"], ["text", "title"], ["o"])
+        assert (index.n, index.total) == (len(now), sum(len(f"{r[2]} {r[3] or ''}".replace("_", " ").split()) for r in now))
+        for q, found, wanted in check(index, now, 6):
+            assert found == wanted, q
