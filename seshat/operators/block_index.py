@@ -30,6 +30,8 @@ RANGE, TOGETHER, BUCKET_CHARS, MOST_BUCKETS = 1024, 256, 1 << 26, 4096
 #: Ranges that are scored before the bounds of the others are looked at.
 FIRST_RANGES = 4
 
+MINUS, STATISTICS = "token string, n bigint", "n bigint, total bigint, minus_n bigint, minus_total bigint, buckets int"
+
 
 @dataclass(frozen=True)
 class Part:
@@ -87,25 +89,26 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
     blocks = spread.groupBy("bucket", "salt", "token", "range").agg(F.count("*").alias("n"), F.sum("e.f").alias("total"), F.max("e.f").alias("most"), F.min("e.length").alias("shortest"), F.collect_list("e").alias("entries"))
     blocks.drop("salt").sortWithinPartitions("bucket", "token", "range").write.partitionBy("bucket").option("parquet.block.size", 16 << 20).parquet(f"{root}/blocks")
     spark = corpus.sparkSession
-    written = spark.read.parquet(f"{root}/blocks") if _any(spark, f"{root}/blocks") else blocks.drop("salt").where("false")
+    heads = "token string, range bigint, n bigint, total bigint"
+    written = spark.read.schema(heads).parquet(f"{root}/blocks")
     own = sum(r["n"] for r in classes)
     counts = lambda sign, df: df.groupBy("token").agg((sign * F.sum("n")).alias("n"))
     if folds:
-        read = lambda name: [spark.read.parquet(f"{f}/{name}") for f in folds if name != "blocks" or _any(spark, f"{f}/blocks")]
+        kinds = {"blocks": heads, "minus": MINUS, "statistics": STATISTICS}
+        read = lambda name: [spark.read.schema(kinds[name]).parquet(f"{f}/{name}") for f in folds]
         net = [counts(1, written), *(counts(-1, b) for b in read("blocks")), *(counts(1, m) for m in read("minus"))]
         counts(1, reduce(DataFrame.union, net)).where("n <> 0").write.parquet(f"{root}/minus")
         before = [r.first() for r in read("statistics")]
         minus = F.lit(own - sum(r["n"] - r["minus_n"] for r in before)).cast("bigint"), F.col("total") - sum(r["total"] - r["minus_total"] for r in before)
         sums = spark.range(1)
     else:
-        no_rows = corpus.where("false") if removed is None else removed
-        lost = _split(no_rows.withColumn("seshat_row", F.lit(1)), ["seshat_row"], fields)
+        lost = _split((spark.createDataFrame([], corpus.schema) if removed is None else removed).withColumn("seshat_row", F.lit(1)), ["seshat_row"], fields)
         distinct = F.array_distinct(F.transform("seshat_all", lambda x: x["token"]))
         counts(1, lost.select(F.explode(distinct).alias("token"), F.lit(1).cast("bigint").alias("n"))).write.parquet(f"{root}/minus")
         sums = lost.agg(F.count("*").alias("lost_n"), F.coalesce(F.sum("length"), F.lit(0)).alias("lost_total"))
         minus = F.col("lost_n"), F.col("lost_total")
     total = written.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
-    total.join(sums).select(F.lit(own).cast("bigint").alias("n"), "total", minus[0].alias("minus_n"), minus[1].alias("minus_total"), F.lit(buckets).alias("buckets")).write.parquet(f"{root}/statistics")
+    total.join(sums).select(F.lit(own).cast("bigint").alias("n"), "total", minus[0].alias("minus_n"), minus[1].alias("minus_total"), F.lit(int(buckets)).alias("buckets")).write.parquet(f"{root}/statistics")
 
 
 def _any(spark: SparkSession, path: str) -> bool:
@@ -119,17 +122,18 @@ class BlockIndex:
 
     def __init__(self, spark: SparkSession, parts: Sequence[Part], keys: Sequence[str], fields: Sequence[str] = FIELDS, owner: Sequence[str] = ()):
         self.spark, self.parts, self.keys, self.fields, self.owner = spark, list(parts), list(keys), list(fields), list(owner)
-        rows = [spark.read.parquet(f"{p.root}/statistics").first() for p in self.parts]
+        rows = [spark.read.schema(STATISTICS).parquet(f"{p.root}/statistics").first() for p in self.parts]
+        self._stored = [spark.read.parquet(f"{p.root}/blocks") if _any(spark, f"{p.root}/blocks") else None for p in self.parts]
         self.n, self.total = (sum(r[c] - r[f"minus_{c}"] for r in rows) for c in ("n", "total"))
         self._buckets = [r["buckets"] for r in rows]
 
     def _blocks(self, wanted: Sequence[str]) -> DataFrame:
         """Blocks of tokens in all parts, with part; scans are pruned to the tokens' partitions and their row groups."""
         found = []
-        for k, (part, buckets) in enumerate(zip(self.parts, self._buckets, strict=True)):
-            if _any(self.spark, f"{part.root}/blocks"):
-                own = self.spark.range(1).select(*(_bucket(F.lit(t), buckets) for t in wanted)).first()
-                found.append(self.spark.read.parquet(f"{part.root}/blocks").where(F.col("bucket").isin(*set(own)) & F.col("token").isin(*wanted)).withColumn("part", F.lit(k)))
+        for k, (stored, buckets) in enumerate(zip(self._stored, self._buckets, strict=True)):
+            if stored is not None:
+                own = [0] if buckets == 1 else self.spark.range(1).select(*(_bucket(F.lit(t), buckets) for t in wanted)).first()
+                found.append(stored.where(F.col("bucket").isin(*set(own)) & F.col("token").isin(*wanted)).withColumn("part", F.lit(k)))
         if not found:
             raise ValueError("the index has no tokens")
         return reduce(DataFrame.unionByName, found)
@@ -146,7 +150,7 @@ class BlockIndex:
     def frequencies(self, wanted: Sequence[str]) -> dict[str, int]:
         """In how many rows each token is."""
         blocks = self._blocks(wanted).groupBy("token").agg(F.sum("n").alias("n"))
-        minus = [self.spark.read.parquet(f"{p.root}/minus").where(F.col("token").isin(*wanted)) for p in self.parts]
+        minus = [self.spark.read.schema(MINUS).parquet(f"{p.root}/minus").where(F.col("token").isin(*wanted)) for p in self.parts]
         lost = reduce(DataFrame.union, minus).groupBy("token").agg(F.sum(-F.col("n")).alias("n"))
         return {r["token"]: r["n"] for r in blocks.union(lost).groupBy("token").agg(F.sum("n").alias("n")).collect()}  # one row a token
 

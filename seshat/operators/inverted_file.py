@@ -128,12 +128,10 @@ class InvertedFile:
 
     def search(self, query: Sequence[float], k: int, *, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
         """key, score, rk: as vector.search, but neighbours outside the cells probed may be missing. ``allowed`` (key) holds
-        before the limit."""
+        before the limit; where the cells probed have fewer than k such rows, all are read."""
         fitted, key, n = self.fitted, self.key, RERANK * k
         target = _unit(np.asarray(query, np.float64)[None])
         cells = [int(c) for c in fitted.cells(target, fitted.probes)[0]]
-        near = self._table("codes").where(F.col("cell").isin(*cells))
-        near = near if allowed is None else near.join(allowed.select(key), key, "left_semi")
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -142,7 +140,13 @@ class InvertedFile:
                 top = np.sort(np.argsort(-score, kind="stable")[:n])
                 yield pa.record_batch([batch.column(key).take(pa.array(top)), batch.column("cell").take(pa.array(top)), pa.array(score[top].astype(np.float64))], names=[key, "cell", "about"])
 
-        rough = near.mapInArrow(best, f"{key} {dict(near.dtypes)[key]}, cell int, about double").orderBy(F.desc("about"), key).limit(n).collect()  # n rows
+        def of(codes: DataFrame) -> list:
+            codes = codes if allowed is None else codes.join(allowed.select(key), key, "left_semi")
+            return codes.select(key, "cell", "code").mapInArrow(best, f"{key} {dict(codes.dtypes)[key]}, cell int, about double").orderBy(F.desc("about"), key).limit(n).collect()  # n rows
+
+        rough = of(self._table("codes").where(F.col("cell").isin(*cells)))
+        if len(rough) < k and len(cells) < len(fitted.centroids):
+            rough = of(self._table("codes"))
         if not rough:
             return self._table("vectors").where("false").select(key, F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rk"))
         exact = self._table("vectors").where(F.col("cell").isin(*{r["cell"] for r in rough}) & F.col(key).isin(*[r[key] for r in rough]))

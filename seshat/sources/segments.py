@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .generations import Generations
 
 #: Segments of a store before those after the first are folded into one; the share of the first segment's rows that they
-#: have together when all become one.
-MOST, SHARE = 8, 0.25
+#: have together when all become one, and the rows that they have at least before that alone is a reason.
+MOST, SHARE, LEAST = 8, 0.25, 10_000
 
 #: Parts of a segment: its rows, the owners that it has rows of (with a hash of what they were made from), and the owners
 #: whose rows in earlier segments it replaces or drops.
 PARTS = ("rows", "owners", "gone")
 
 
-def digest(df: DataFrame) -> tuple[int, str]:
-    """(number of rows, digest): the same for the same rows in any order and partitioning, repeated rows counted."""
-    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), F.to_json(F.struct(*df.columns))).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"s{k}") for k in (1, 2)]
-    row = df.agg(F.count("*").alias("n"), *sums).first()
-    return row["n"], f"{row['s1']}:{row['s2']}"
+def digests(tables: Mapping[str, DataFrame]) -> dict[str, tuple[int, str]]:
+    """(number of rows, digest) of each table, in one job: the same for the same rows in any order and partitioning, repeated
+    rows counted."""
+    sums = lambda df: [F.coalesce(F.sum(F.xxhash64(F.lit(k), F.to_json(F.struct(*df.columns))).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"s{k}") for k in (1, 2)]
+    each = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), *sums(df)) for name, df in tables.items()]
+    return {r["name"]: (r["n"], f"{r['s1']}:{r['s2']}") for r in reduce(DataFrame.union, each).collect()}
 
 
 class TamperedError(ValueError):
@@ -53,7 +56,10 @@ class SegmentStore(Generations):
         return self.stores().get(name, {}).get("segments", [])
 
     def _part(self, segment: Mapping, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{segment['path']}/{part}")
+        return self._read(segment["path"], part, segment["manifest"][part]["schema"])
+
+    def _read(self, path: str, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.root}/{path}/{part}")
 
     def folder(self, name: str) -> str:
         """Where a new segment of the store goes, relative to the root."""
@@ -68,12 +74,17 @@ class SegmentStore(Generations):
         for part, df in parts.items():
             df.write.parquet(f"{self.root}/{path}/{part}")
         self._own.add(path)
-        return {"path": path, "manifest": {part: self._described(path, part) for part in (*PARTS, *others)}}
-
-    def _described(self, path: str, part: str) -> dict:
-        files, size = self._listed(path, part)
-        n, sums = digest(self.spark.read.parquet(f"{self.root}/{path}/{part}")) if files else (0, "0:0")
-        return {"rows": n, "digest": sums, "files": files, "bytes": size}
+        schemas = {part: df.schema.json() for part, df in parts.items()}
+        for part in others:
+            files = self._listed(path, part)[0]
+            schemas[part] = (self.spark.read.parquet(f"{self.root}/{path}/{part}").schema if files else StructType([])).json()
+        return {"path": path, "manifest": self._described(path, schemas)}
+
+    def _described(self, path: str, schemas: Mapping[str, str]) -> dict:
+        listed = {part: self._listed(path, part) for part in schemas}
+        sums = digests(some) if (some := {part: self._read(path, part, schema) for part, schema in schemas.items() if listed[part][0]}) else {}
+        each = lambda part: sums.get(part, (0, "0:0"))
+        return {part: {"rows": each(part)[0], "digest": each(part)[1], "files": listed[part][0], "bytes": listed[part][1], "schema": schema} for part, schema in schemas.items()}
 
     def _listed(self, path: str, part: str) -> tuple[int, int]:
         folder = self._path(f"{path}/{part}")
@@ -123,10 +134,11 @@ class SegmentStore(Generations):
 
     def verify_segment(self, name: str, segment: Mapping) -> None:
         """An error if a part's rows, read in full, aren't those of the manifest."""
-        for part, own in segment["manifest"].items():
-            found = self._described(segment["path"], part)
-            if found != own:
-                raise TamperedError(f"{name}: {segment['path']}/{part} has {found}, its manifest {own}")
+        manifest = segment["manifest"]
+        found = self._described(segment["path"], {part: own["schema"] for part, own in manifest.items()})
+        for part, own in manifest.items():
+            if found[part] != own:
+                raise TamperedError(f"{name}: {segment['path']}/{part} isn't what its manifest says")
 
     def verify(self, name: str) -> None:
         for segment in self.segments(name):
@@ -165,7 +177,7 @@ class SegmentStore(Generations):
 
     def is_due(self, segments: Sequence[Mapping]) -> bool:
         """Whether ``folded`` would fold these segments."""
-        return len(segments) > MOST or len(segments) > 1 and self._later(segments) > SHARE * segments[0]["manifest"]["rows"]["rows"]
+        return len(segments) > MOST or len(segments) > 1 and self._later(segments) > max(LEAST, SHARE * segments[0]["manifest"]["rows"]["rows"])
 
     @staticmethod
     def _later(segments: Sequence[Mapping]) -> int:

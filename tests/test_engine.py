@@ -122,7 +122,7 @@ def test_a_run_writes_what_has_changed(spark, tmp_path):
     rebuilt.index()
     for name in ("documents", "chunks", "vectors", "edges", "families", "entities"):
         a, b = (e.store.read(name) for e in (engine, rebuilt))
-        assert segments.digest(a) == segments.digest(b.select(*a.columns)), name
+        assert len(set(segments.digests({"a": a, "b": b.select(*a.columns)}).values())) == 1, name
     same = lambda e: [tuple(r) for r in e._keyword().search("w3 w5 entirely", 20).collect()]
     assert same(engine) == same(rebuilt)
 
