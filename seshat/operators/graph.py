@@ -7,6 +7,7 @@ Edges: (edge_id, source, target, type, status, confidence).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ STATUS_WEIGHTS = {"stated": 1.0, "inferred": 0.75, "contested": 0.45, "deprecate
 DEPTH_WEIGHTS = (1.0, 0.6)
 MATCH_KINDS = ("id", "path", "name", "alias", "substring")
 EDGE_LIMIT = 200
+TYPE_PRIORITY = ("supersedes", "depends_on", "blocks", "implements", "related_to", "mentions")
+#: Edges that a projection works on at most.
+WORKING_EDGES = 500
 
 
 def local_links(chunks: DataFrame) -> DataFrame:
@@ -96,6 +100,75 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int, *, direction: str = "b
     return every.select("start", "nodes", "edge_ids", "target", "depth", score.alias("score"), "statuses")
 
 
+def working_edges(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, *, direction: str = "both", types: Sequence[str] = (), statuses: Sequence[str] = ("stated",), cross_vault: bool = False) -> DataFrame:
+    """Edges that paths of ``depth`` steps from seeds can use: of the types (all, if none is named) and statuses, within a
+    vault unless ``cross_vault``, both ends among nodes, and at a seed or, for two steps, at what one step reaches.
+
+    edges: (edge_id, source_vault, source, target_vault, target, type, status, confidence); nodes and seeds: (vault_id, entity_id).
+    """
+    if depth not in (1, 2):
+        raise ValueError("paths have one or two steps")
+    own = edges.where(F.col("status").isin(*statuses))
+    own = own.where(F.col("type").isin(*types)) if types else own
+    own = own if cross_vault else own.where("source_vault = target_vault")
+    ends = {"source": ("source_vault", "source"), "target": ("target_vault", "target")}
+    named = lambda df, end: df.select(F.col("vault_id").alias(ends[end][0]), F.col("entity_id").alias(ends[end][1])).distinct()
+    for end in ends:
+        own = own.join(named(nodes, end), list(ends[end]), "left_semi")
+    sides = {"out": ("source",), "in": ("target",), "both": ("source", "target")}[direction]
+    other = {"source": "target", "target": "source"}
+
+    def at(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges that leave the points, and where they lead."""
+        found = [(own.join(named(points, side), list(ends[side]), "left_semi"), other[side]) for side in sides]
+        reached = [df.select(F.col(ends[far][0]).alias("vault_id"), F.col(ends[far][1]).alias("entity_id")) for df, far in found]
+        return reduce(DataFrame.unionByName, (df for df, _ in found)), reduce(DataFrame.union, reached).distinct()
+
+    near, reached = at(seeds)
+    every = near if depth == 1 else near.unionByName(at(reached)[0])
+    return every.distinct()
+
+
+def projection(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, limit: int, *, edge_limit: int = WORKING_EDGES, direction: str = "both", types: Sequence[str] = (), statuses: Sequence[str] = ("stated",), cross_vault: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The ``limit`` best simple paths from seeds to other nodes, and one row (edge_count, truncated).
+
+    Of ``working_edges`` the first ``edge_limit`` are used, by vaults, type, id and target; each partition keeps no more, so
+    that a hub's edges meet in no task. Seeds are no targets; paths may lead through them. Paths: (seed_vault, seed,
+    target_vault, target, edge_ids, types, depth, score, explanation, rk), by score, depth, the first edge's type, by
+    priority and name, the target's vault and name, and the first edge's id; equals by all edge ids and the seed.
+    nodes: (vault_id, entity_id, normalized_name). edges, seeds: as ``working_edges`` has them.
+    """
+    found = working_edges(edges, nodes, seeds, depth, direction=direction, types=types, statuses=statuses, cross_vault=cross_vault)
+    order = ["source_vault", "target_vault", "type", "edge_id", "target"]
+    used = found.orderBy(*order).limit(edge_limit + 1).withColumn("seshat_rn", F.row_number().over(Window.orderBy(*order)))
+    kept = used.where(F.col("seshat_rn") <= edge_limit)
+    weight = F.col("confidence") * F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in STATUS_WEIGHTS.items() for x in p)), F.col("status")), F.lit(0.0))
+    step = lambda a, b: kept.select(F.struct(F.col(f"{a}_vault").alias("vault"), F.col(a).alias("id")).alias("from"), F.struct(F.col(f"{b}_vault").alias("vault"), F.col(b).alias("id")).alias("to"), F.struct("edge_id", "type", weight.alias("weight")).alias("edge")).where("from <> to")
+    steps = {"out": lambda: step("source", "target"), "in": lambda: step("target", "source"), "both": lambda: step("source", "target").union(step("target", "source"))}[direction]()
+    start = seeds.select(F.struct(F.col("vault_id").alias("vault"), F.col("entity_id").alias("id")).alias("from")).distinct()
+    one = steps.join(start, "from").select(F.col("from").alias("seed"), F.col("to"), F.array("edge").alias("edges"))
+    every = one
+    if depth == 2:
+        more = one.select("seed", F.col("to").alias("via"), "edges").join(steps.withColumnRenamed("from", "via"), "via").where("to <> seed")
+        every = one.union(more.select("seed", "to", F.concat("edges", F.array("edge")).alias("edges")))
+    names = nodes.select(F.struct(F.col("vault_id").alias("vault"), F.col("entity_id").alias("id")).alias("to"), "normalized_name").groupBy("to").agg(F.min("normalized_name").alias("name"))
+    targets = every.distinct().join(start.select(F.col("from").alias("to")), "to", "left_anti")
+    wanted = targets.select("to").distinct()
+    named = targets.join(names.join(wanted, "to", "left_semi"), "to")
+    each = lambda c: F.transform("edges", lambda e: e[c])
+    score = F.array_min(each("weight")) * F.when(F.size("edges") == 1, DEPTH_WEIGHTS[0]).otherwise(DEPTH_WEIGHTS[1])
+    rank = F.array_position(F.array(*map(F.lit, TYPE_PRIORITY)), F.element_at(each("type"), 1))
+    paths_ = named.select(
+        F.col("seed.vault").alias("seed_vault"), F.col("seed.id").alias("seed"), F.col("to.vault").alias("target_vault"), F.col("to.id").alias("target"), each("edge_id").alias("edge_ids"), each("type").alias("types"), F.size("edges").alias("depth"), score.alias("score"),
+        F.concat(F.size("edges").cast("string"), F.lit("-edge graph path via "), F.array_join(each("type"), " -> ")).alias("explanation"), F.when(rank == 0, len(TYPE_PRIORITY) + 1).otherwise(rank).alias("seshat_rank"), "name",
+    )
+    by = [F.desc("score"), F.col("depth"), F.col("seshat_rank"), F.element_at("types", 1), F.col("target_vault"), F.col("name"), F.element_at("edge_ids", 1), F.col("edge_ids"), F.col("seed_vault"), F.col("seed")]
+    top = paths_.orderBy(*by).limit(limit + 1).withColumn("rk", F.row_number().over(Window.orderBy(*by)).cast("bigint"))
+    counts = used.agg(F.least(F.count("*"), F.lit(edge_limit)).alias("edge_count"), (F.count("*") > edge_limit).alias("cut"))
+    more_paths = top.agg((F.count("*") > limit).alias("more"))
+    return top.where(F.col("rk") <= limit).drop("seshat_rank", "name"), counts.join(more_paths).select("edge_count", (F.col("cut") | F.col("more")).alias("truncated"))
+
+
 def related(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, *, direction: str = "both", digits: int = 6) -> DataFrame:
     """(target, depth, score, rk): the best path to each other node, by (score downwards, depth, target)."""
     best = paths(edges, seeds, depth, direction=direction).groupBy("target").agg(F.max(F.struct("score", (-F.col("depth")).alias("d"))).alias("b"))

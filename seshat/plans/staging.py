@@ -5,11 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where no folder is set and driver and executors are on one machine, as in tests.
 OWN_CHECKPOINT_DIR = "/tmp/seshat-checkpoints"
 
 
+#: Rows of keys that are sent to all tasks at most, some tens of MB; more meet wide rows in a shuffle.
+FEW_KEYS = 500_000
+
+
+def few(keys: DataFrame, rows: int | None = None, limit: int = FEW_KEYS) -> DataFrame:
+    """``keys``, to be broadcast if they are at most ``limit`` rows, so that the rows they are looked up for stay where they
+    are. ``rows`` is their number, if it is known; else they are counted, so they should be a written table."""
+    return F.broadcast(keys) if (keys.count() if rows is None else rows) <= limit else keys
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or the context's checkpoint folder.
 

@@ -178,3 +178,47 @@ def test_a_search_splits_each_field_once(spark):
     corpus = spark.createDataFrame(ROWS, "rowid int, path string, section string, title string, frontmatter string, text string")
     plan = keyword.counted(corpus, ["text"], keyword.query_phrases("graph foo_bar search")).where("f0 > 0 OR f1 > 0 OR f2 > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_projection(spark):
+    """Three linked seeds, a hub of many edges, an order by seven keys; seeds are no targets but may be passed."""
+    edge = lambda id_, s, t, type_="mentions", status="stated", confidence=0.9, tv="a": (id_, "a", s, tv, t, type_, status, confidence)
+    rows = [edge("s1", "x", "y", "related_to"), edge("s2", "y", "z", "related_to"), edge("c1", "y", "end", "blocks"), edge("c2", "x", "end", "odd", "contested"), edge("c3", "x", "far", tv="b"), edge("loop", "x", "x")]
+    rows += [edge(f"h{k:04d}", "z", f"n{k}") for k in range(700)] + [edge("next", "n5", "deep", "supersedes", confidence=0.95), edge("lost", "n5", "nowhere")]
+    ids = sorted({(r[1], r[2]) for r in rows} | {(r[3], r[4]) for r in rows if r[4] != "nowhere"})
+    edges = spark.createDataFrame(rows, "edge_id string, source_vault string, source string, target_vault string, target string, type string, status string, confidence double").repartition(4)
+    nodes = spark.createDataFrame([(v, i, i) for v, i in ids], "vault_id string, entity_id string, normalized_name string")
+    seeds = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z")], "vault_id string, entity_id string")
+
+    def plain(depth, limit, edge_limit, statuses):
+        use = sorted((r for r in rows if r[6] in statuses and r[1] == r[3] and (r[1], r[2]) in ids and (r[3], r[4]) in ids), key=lambda r: (r[1], r[3], r[5], r[0], r[4]))
+        near, reach = set("xyz"), set("xyz")
+        for _ in range(depth):
+            kept = {r for r in use if r[2] in reach or r[4] in reach}
+            reach = reach | {r[k] for r in kept for k in (2, 4)}
+        use = [r for r in use if r in kept][:edge_limit]
+        out = []
+
+        def walk(path, nodes_):
+            for r in use if len(path) < depth else ():
+                for a, b in ((r[2], r[4]), (r[4], r[2])):
+                    if a == nodes_[-1] and b not in nodes_:
+                        walk([*path, r], [*nodes_, b])
+            if path and nodes_[-1] not in near:
+                weight = {"stated": 1.0, "contested": 0.45}
+                score = min(r[7] * weight[r[6]] for r in path) * (1.0 if len(path) == 1 else 0.6)
+                rank = graph.TYPE_PRIORITY.index(path[0][5]) if path[0][5] in graph.TYPE_PRIORITY else 6
+                out.append(((-score, len(path), rank, path[0][5], "a", nodes_[-1], path[0][0], [r[0] for r in path], nodes_[0]), (nodes_[0], nodes_[-1], [r[0] for r in path])))
+
+        for seed in "xyz":
+            walk([], [seed])
+        return [p for _, p in sorted(out)][:limit], len(use)
+
+    for depth, limit, edge_limit, statuses in ((1, 20, 500, ("stated",)), (2, 40, 500, ("stated", "contested")), (2, 5000, 5000, ("stated",)), (2, 10, 3, ("stated",))):
+        found, counts = graph.projection(edges, nodes, seeds, depth, limit, edge_limit=edge_limit, statuses=statuses)
+        wanted, used = plain(depth, limit, edge_limit, statuses)
+        assert [(r["seed"], r["target"], r["edge_ids"]) for r in found.orderBy("rk").collect()] == wanted
+        assert counts.first()["edge_count"] == used
+    assert counts.first()["truncated"]
+    with pytest.raises(ValueError):
+        graph.projection(edges, nodes, seeds, 3, 5)
