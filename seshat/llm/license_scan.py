@@ -239,9 +239,9 @@ def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     judged = F.transform(F.col("cued"), lambda p: F.struct(p["paragraph"].alias("paragraph"), _judged(p["words"], m).alias("j")))
     out = cut.select("id", F.greatest("n_paragraphs", F.lit(0)).cast("bigint").alias("n_paragraphs"), F.filter(judged, lambda p: p["j"].isNotNull()).alias("judged"))
     notice = lambda p: F.struct(p["paragraph"].alias("paragraph"), p["j"]["family"].alias("family"), p["j"]["chance"].alias("chance"))
-    sorted_out = F.aggregate(
-        F.col("judged"), F.struct(F.array().cast("array<struct<paragraph:int,family:string,chance:double>>").alias("notices"), F.lit(0).cast("bigint").alias("n_unknown")),
-        lambda a, p: F.struct(F.when(p["j"]["stands"], F.concat(a["notices"], F.array(notice(p)))).otherwise(a["notices"]).alias("notices"), (a["n_unknown"] + F.when(p["j"]["stands"], 0).otherwise(1)).alias("n_unknown")),
-    )
-    none = F.struct(F.array().cast("array<struct<paragraph:int,family:string,chance:double>>").alias("notices"), F.lit(0).cast("bigint").alias("n_unknown"))
-    return out.select(F.col("id").alias(id_column), "n_paragraphs", F.coalesce(sorted_out, none).alias("s")).select(id_column, "n_paragraphs", "s.notices", "s.n_unknown")
+    # the judged paragraphs come out of a generator, so that both lists are made of what has been computed once
+    bound = out.select("id", "n_paragraphs", F.explode(F.array("judged")).alias("judged"))
+    notices = F.transform(F.filter("judged", lambda p: p["j"]["stands"]), notice)
+    none = F.array().cast("array<struct<paragraph:int,family:string,chance:double>>")
+    n_unknown = F.coalesce(F.size(F.filter("judged", lambda p: ~p["j"]["stands"])).cast("bigint"), F.lit(0).cast("bigint"))
+    return bound.select(F.col("id").alias(id_column), "n_paragraphs", F.coalesce(notices, none).alias("notices"), F.greatest(n_unknown, F.lit(0).cast("bigint")).alias("n_unknown"))

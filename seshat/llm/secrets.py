@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,8 +160,10 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    base = list(spans)
-    spans += [("lexed", a, b) for a, b in lexed(text) if not any(s <= a and b <= e for _, s, e in base)]
+    base = sorted((s, e) for _, s, e in spans)
+    reach = list(accumulate((e for _, e in base), max))  # how far the base spans up to each one go
+    inside = lambda a, b: (k := bisect_right(base, (a, math.inf))) > 0 and reach[k - 1] >= b
+    spans += [("lexed", a, b) for a, b in lexed(text) if not inside(a, b)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

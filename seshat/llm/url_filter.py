@@ -6,6 +6,7 @@ Scoring uses built-in expressions only. The model comes from LABELLED_URLS, a ta
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -90,18 +91,25 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.coalesce(F.regexp_extract(url, parts, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, parts, 2), F.lit(""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _log_odds(host: Column, path: Column) -> Column:
+    """Each string is cut into characters once, and n-grams are put together from these: one step for each n-gram."""
     weights, bias = model()
     table = F.array(*map(F.lit, weights))
 
-    def n_grams(kind: str, s: Column, k: int) -> Column:
-        starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.crc32(F.encode(F.concat(F.lit(kind), F.substring(s, i, F.lit(k))), "UTF-8")))
+    def n_grams(kind: str, letters: Column, k: int) -> Column:
+        starts = F.when(F.size(letters) >= k, F.sequence(F.lit(0), F.size(letters) - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.crc32(F.encode(F.concat(F.lit(kind), *(F.get(letters, i + j) for j in range(k))), "UTF-8")))
 
-    where = F.translate(path, "123456789", "0" * 9)
-    found = F.concat(*(n_grams(kind, s, k) for kind, s in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", where)) for k in SIZES))
+    cut = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), 0)
+    of = lambda kind, s: _let(cut(s), lambda letters: F.concat(*(n_grams(kind, letters, k) for k in SIZES)))
+    found = F.concat(of("h", F.concat(F.lit("^"), host, F.lit("$"))), of("p", F.translate(path, "123456789", "0" * 9)))
     total = F.aggregate(found, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, g: F.struct((a["s"] + F.element_at(table, (g % WIDTH + 1).cast("int"))).alias("s"), (a["n"] + 1).alias("n")))
-    return F.lit(bias) + total["s"] / F.sqrt(F.greatest(total["n"], F.lit(1)).cast("double"))
+    return _let(total, lambda t: F.lit(bias) + t["s"] / F.sqrt(F.greatest(t["n"], F.lit(1)).cast("double")))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_column: str = "page_id", url_column: str = "url") -> DataFrame:

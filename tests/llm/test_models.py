@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import math
 from collections import Counter
 
@@ -200,3 +201,24 @@ def test_url_model_on_held_out_hosts():
     score = lambda u: (b + w[grams(u)].sum(0) / max(1, len(grams(u))) ** 0.5) @ [-1, 1]
     right = [score(u) <= 0 for u in good] + [score(u) > 0 for u in bad]
     assert np.mean(right) >= 0.85
+
+
+def test_long_urls_and_many_notices_take_linear_time(spark):
+    """Ten times the length may not take much more than ten times the time; the start of a plan is in both."""
+    def took(df) -> float:
+        began = time.time()
+        df.collect()
+        return time.time() - began
+
+    url = lambda n: url_filter.judge(spark.createDataFrame([(1, "https://example.com/" + "a1b2c3d4e5" * (n // 10))], "page_id int, url string"))
+    notices = lambda n: license_scan.scan(spark.createDataFrame([(1, "All rights reserved.\n" * n)], "doc_id int, text string"))
+    for make, small, large in ((url, 100, 100_000), (notices, 10, 20_000)):
+        took(make(small))
+        assert took(make(large)) < 3 * took(make(small)) + 15
+    row = notices(20_000).first()
+    assert len(row["notices"]) == 20_000 and row["n_unknown"] == 0
+    host, path = "example.com", "/" + "a1b2c3d4e5é😀" * 50
+    weights, bias = url_filter.model()
+    g = url_filter.grams(host, path)
+    score = spark.createDataFrame([(1, f"https://{host}{path}")], "page_id int, url string")
+    assert url_filter.judge(score).first()["score"] == pytest.approx(bias + sum(weights[x] for x in g) / len(g) ** 0.5, abs=1e-5)

@@ -226,3 +226,13 @@ def test_secrets_base_is_as_in_a_plain_scan(parts):
 def test_decode_alone(docs):
     coded = byte_bpe.encode(docs, RANKS)
     assert {(r["doc_id"], bytes(r["decoded"])) for r in byte_bpe.decode(coded, RANKS).collect()} == {(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
+
+
+def test_secrets_of_a_long_mixed_text():
+    text = "".join(f'password = "hunter{i}x9Kq"\nmy_pwd: "zX9{i}qLmN7tR"\n' for i in range(40_000))
+    began = time.time()
+    found = secrets.scan(text)
+    assert time.time() - began < 15 and [k for k, *_ in found].count("assign") == 40_000 and [k for k, *_ in found].count("lexed") == 40_000
+    base = [(s, e) for k, s, e in found if k != "lexed"]
+    small = [x for x in found if x[0] == "lexed"][:200]
+    assert not any(s <= a and b <= e for _, a, b in small for s, e in base)
