@@ -15,7 +15,7 @@ from .functions.predicates import SEARCH_MODES, in_scope, item_priority, item_ty
 from .functions.text import excerpt
 from .operators import block_index, embedding, entities, families, fusion, graph, keyword, listing, memory, packing, reconcile, render, vector
 from .plans.hybrid import candidate_limit
-from .plans.staging import Staging
+from .plans.staging import Staging, few
 from .sources import markdown
 from .sources.catalog import Catalog
 from .sources.segments import SegmentStore
@@ -64,7 +64,9 @@ class Engine:
         def planned(name: str, now: DataFrame) -> tuple[dict[str, int], DataFrame, DataFrame]:
             """How many owners of a store change, which get fresh rows, and which lose what they have."""
             actions = staged.write(plan(name, now), f"plan-{name}")
-            return count(actions), actions.where("action IN ('insert', 'update')").select(*OWNER), actions.where("action IN ('update', 'delete')").select(*OWNER)
+            counts = count(actions)
+            of = lambda *names: few(actions.where(F.col("action").isin(*names)).select(*OWNER), sum(counts.get(n, 0) for n in names))
+            return counts, of("insert", "update"), of("update", "delete")
 
         def add(name: str, rows: DataFrame, owners: DataFrame, gone: DataFrame, **more: object) -> list[dict]:
             new[name] = [*self.store.segments(name), self.store.write(name, rows, owners, gone, **more)]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.staging import few
 from .generations import Generations
 
 #: Segments of a store before those after the first are folded into one; the share of the first segment's rows that they
@@ -161,9 +162,10 @@ class SegmentStore(Generations):
         rows = reduce(DataFrame.unionByName, (self._part(s, part).withColumn("seshat_segment", F.lit(k)) for k, s in enumerate(segments)))
         later = [self._part(s, "gone").select(*(F.col(c).alias(f"seshat_{c}") for c in self.owner), F.lit(k).alias("seshat_by")) for k, s in enumerate(segments) if k and s["manifest"]["gone"]["rows"]]
         if later:
+            number = sum(s["manifest"]["gone"]["rows"] for s in segments[1:])
             last = reduce(DataFrame.union, later).groupBy(*(f"seshat_{c}" for c in self.owner)).agg(F.max("seshat_by").alias("seshat_by"))
             same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"seshat_{c}")) for c in self.owner))
-            rows = rows.join(last, same & (F.col("seshat_segment") < F.col("seshat_by")), "left_anti")
+            rows = rows.join(few(last, number), same & (F.col("seshat_segment") < F.col("seshat_by")), "left_anti")
         return rows.drop("seshat_segment")
 
     def read(self, table: str) -> DataFrame:
