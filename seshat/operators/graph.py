@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_name, link_target, stable_id
+from ..plans.staging import Staging
 
 # Weights of statuses and of depths.
 STATUS_WEIGHTS = {"stated": 1.0, "inferred": 0.75, "contested": 0.45, "deprecated": 0.0}
@@ -113,20 +114,21 @@ def working_edges(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: i
     own = own if cross_vault else own.where("source_vault = target_vault")
     ends = {"source": ("source_vault", "source"), "target": ("target_vault", "target")}
     named = lambda df, end: df.select(F.col("vault_id").alias(ends[end][0]), F.col("entity_id").alias(ends[end][1])).distinct()
-    for end in ends:
-        own = own.join(named(nodes, end), list(ends[end]), "left_semi")
     sides = {"out": ("source",), "in": ("target",), "both": ("source", "target")}[direction]
-    other = {"source": "target", "target": "source"}
+    staged = Staging(edges.sparkSession, "paths")
 
-    def at(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Edges that leave the points, and where they lead."""
-        found = [(own.join(named(points, side), list(ends[side]), "left_semi"), other[side]) for side in sides]
-        reached = [df.select(F.col(ends[far][0]).alias("vault_id"), F.col(ends[far][1]).alias("entity_id")) for df, far in found]
-        return reduce(DataFrame.unionByName, (df for df, _ in found)), reduce(DataFrame.union, reached).distinct()
+    def at(points: DataFrame, name: str) -> DataFrame:
+        """Edges that leave the points, written: each step starts from a table and not from the plan of the one before."""
+        found = reduce(DataFrame.unionByName, (own.join(named(points, side), list(ends[side]), "left_semi") for side in sides)).distinct()
+        for end in ends:
+            found = found.join(named(nodes, end), list(ends[end]), "left_semi")
+        return staged.write(found, name)
 
-    near, reached = at(seeds)
-    every = near if depth == 1 else near.unionByName(at(reached)[0])
-    return every.distinct()
+    near = at(seeds, "one")
+    if depth == 1:
+        return near
+    reached = reduce(DataFrame.union, (near.select(F.col(v).alias("vault_id"), F.col(i).alias("entity_id")) for v, i in ends.values())).distinct()
+    return at(reached, "two")
 
 
 def projection(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, limit: int, *, edge_limit: int = WORKING_EDGES, direction: str = "both", types: Sequence[str] = (), statuses: Sequence[str] = ("stated",), cross_vault: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +142,8 @@ def projection(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int,
     """
     found = working_edges(edges, nodes, seeds, depth, direction=direction, types=types, statuses=statuses, cross_vault=cross_vault)
     order = ["source_vault", "target_vault", "type", "edge_id", "target"]
-    used = found.orderBy(*order).limit(edge_limit + 1).withColumn("seshat_rn", F.row_number().over(Window.orderBy(*order)))
+    staged = Staging(edges.sparkSession, "paths")
+    used = staged.write(found.orderBy(*order).limit(edge_limit + 1).withColumn("seshat_rn", F.row_number().over(Window.orderBy(*order))), "used")
     kept = used.where(F.col("seshat_rn") <= edge_limit)
     weight = F.col("confidence") * F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in STATUS_WEIGHTS.items() for x in p)), F.col("status")), F.lit(0.0))
     step = lambda a, b: kept.select(F.struct(F.col(f"{a}_vault").alias("vault"), F.col(a).alias("id")).alias("from"), F.struct(F.col(f"{b}_vault").alias("vault"), F.col(b).alias("id")).alias("to"), F.struct("edge_id", "type", weight.alias("weight")).alias("edge")).where("from <> to")
@@ -153,8 +156,8 @@ def projection(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int,
         every = one.union(more.select("seed", "to", F.concat("edges", F.array("edge")).alias("edges")))
     names = nodes.select(F.struct(F.col("vault_id").alias("vault"), F.col("entity_id").alias("id")).alias("to"), "normalized_name").groupBy("to").agg(F.min("normalized_name").alias("name"))
     targets = every.distinct().join(start.select(F.col("from").alias("to")), "to", "left_anti")
-    wanted = targets.select("to").distinct()
-    named = targets.join(names.join(wanted, "to", "left_semi"), "to")
+    named = staged.write(targets, "paths")
+    named = named.join(names.join(named.select("to").distinct(), "to", "left_semi"), "to")
     each = lambda c: F.transform("edges", lambda e: e[c])
     score = F.array_min(each("weight")) * F.when(F.size("edges") == 1, DEPTH_WEIGHTS[0]).otherwise(DEPTH_WEIGHTS[1])
     rank = F.array_position(F.array(*map(F.lit, TYPE_PRIORITY)), F.element_at(each("type"), 1))
