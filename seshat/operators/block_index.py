@@ -1,9 +1,9 @@
 """A stored keyword index in blocks that know their greatest share of a score, so that a search leaves most of them unread.
 
-Rows of about the same size are dealt into ranges. A block holds the postings of one token in one range, and beside them the
-largest count of the token and the shortest row there, which bound the token's share of any score in the block. A search adds
-these bounds up for each range, scores the ranges with the greatest sums first, and reads of the others only those that can
-still reach the k best.
+Rows that a task reads one after the other are a range. A block holds the postings of one token in one range, and beside them
+its front: the largest counts of the token with the shortest rows that have them, which bound the token's share of any score in
+the block. A search adds these bounds up for each range, scores the ranges with the greatest sums first, and reads of the others
+only those that can still reach the k best.
 
 An index may have several parts, written one after the other: rows in later parts, and rows that a later part's ``gone`` names
 by their owner, replace those of earlier parts. Counts of documents stay exact, as each part keeps what it has taken away.
@@ -12,24 +12,36 @@ by their owner, replace those of earlier parts. Counts of documents stay exact,
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .keyword import B, FIELDS, IDF_FLOOR, K1, query_phrases, ranked
 
-#: Rows of a range; ranges that one task groups for a token at most; characters of text for each partition by token, and
-#: the most such partitions.
-RANGE, TOGETHER, BUCKET_CHARS, MOST_BUCKETS = 1024, 256, 1 << 26, 4096
-#: Ranges that are scored before the bounds of the others are looked at.
-FIRST_RANGES = 4
-
+#: Rows of a range, of which an index of fewer rows has RANGES about; ranges whose blocks of a token one task writes at most; characters of text for each partition by token,
+#: and the most such partitions.
+RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS = 1024, 256, 256, 1 << 23, 4096
+#: Ranges of the greatest bounds that are scored before the bounds of the others are looked at: so many, and if that leaves
+#: more to be read than these, more.
+FIRST_RANGES = (3, 9, 27)
+#: Folders that a task writes at once, and the setting that says so.
+MOST_WRITERS, _WRITERS = 64, "spark.sql.maxConcurrentOutputFileWriters"
+#: A place is the position of a token in its field, times this, and the number of the field.
+MOST_FIELDS = 16
+
+HEADS = "token string, range bigint, n bigint, total bigint, front array<struct<f:int,length:int>>"
+LISTS = "lengths array<int>, counts array<int>, masks array<int>, starts array<int>, places array<int>"
 MINUS, STATISTICS = "token string, n bigint", "n bigint, total bigint, minus_n bigint, minus_total bigint, buckets int"
 
 
@@ -42,73 +54,183 @@ class Part:
 
 
 def _chars(fields: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, (F.coalesce(F.length(f), F.lit(0)) for f in fields)).cast("bigint")
-
+    return reduce(add, (F.coalesce(F.length(f), F.lit(0)) for f in fields)).cast("bigint")
 
-def _split(corpus: DataFrame, kept: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """kept, length and all: (token, field, pos) of each row, sorted. Each text is split once, behind a generator."""
-    split = F.transform(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), tokens(F.col(f)).alias("tokens")) for i, f in enumerate(fields))), lambda x: x)
-    flat = F.flatten(F.transform(split, lambda f: F.transform(f["tokens"], lambda t, i: F.struct(t.alias("token"), f["field"].alias("field"), i.alias("pos")))))
-    once = corpus.select(*kept, F.explode(F.array(F.array_sort(flat))).alias("seshat_all"))
-    return once.withColumn("length", F.size("seshat_all"))
 
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
+    """Lists of values that begin at ``starts`` and end where the next one begins."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
 
-def _lists(split: DataFrame, kept: Sequence[str]) -> DataFrame:
-    """kept, length, token and places (field, pos): one row for each token of a row, made where the row is."""
-    new = lambda i: (i == 0) | (F.get("seshat_all", i)["token"] != F.get("seshat_all", i - 1)["token"])
-    starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), new)
-    each = split.where("length > 0").select(*kept, "length", "seshat_all", F.explode(F.array(starts)).alias("seshat_starts"))
-    piece = lambda a, j: F.slice("seshat_all", a + 1, F.coalesce(F.get("seshat_starts", j + 1), F.col("length")) - a)
-    places = lambda p: F.transform(p, lambda x: F.struct(x["field"].alias("field"), x["pos"].alias("pos")))
-    lists = F.transform("seshat_starts", lambda a, j: F.struct(F.get("seshat_all", a)["token"].alias("token"), places(piece(a, j)).alias("places")))
-    return each.select(*kept, "length", F.inline(lists))
 
+def _starts(*sorted_: np.ndarray) -> np.ndarray:
+    """Where the values of sorted columns change."""
+    if not len(sorted_[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, (c[1:] != c[:-1] for c in sorted_)))))
 
-def _bucket(token: Column, buckets: Column | int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
-
-def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: str, *, owner: Sequence[str] = (), removed: DataFrame | None = None, folds: Sequence[str] = (), range_rows: int = RANGE) -> None:
+@dataclass(frozen=True)
+class Range:
+    """The postings of a range by token and row: tokens, with the number of rows of each; row numbers and counts of entries;
+    places of occurrences; and of each row the kept columns and its length."""
+
+    tokens: pa.Array
+    n: np.ndarray
+    who: np.ndarray
+    count: np.ndarray
+    place: np.ndarray
+    kept: list[pa.Array]
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, kept: Sequence[pa.Array], fields: Sequence[pa.Array]) -> Range:
+        """fields: each a list of tokens a row."""
+        rows, field, pos, words = [], [], [], []
+        for i, column in enumerate(fields):
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            rows.append(np.repeat(np.arange(len(sizes)), sizes))
+            pos.append(np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes))
+            field.append(np.full(int(ends[-1]), i))
+            words.append(column.flatten())
+        encoded = pa.concat_arrays(words).dictionary_encode()
+        code, row, place = encoded.indices.to_numpy(), np.concatenate(rows), np.concatenate(pos) * MOST_FIELDS + np.concatenate(field)
+        order = np.argsort(code.astype(np.int64) * len(kept[0]) + row, kind="stable")
+        code, row = code[order], row[order]
+        entry = _starts(code, row)
+        block = _starts(code[entry])
+        count = np.diff(np.append(entry, len(code)))
+        return cls(encoded.dictionary.take(pa.array(code[entry][block])), np.diff(np.append(block, len(entry))), row[entry], count, place[order], list(kept), np.bincount(row, minlength=len(kept[0])))
+
+    def some(self, which: np.ndarray) -> Range:
+        """Those of the tokens that ``which`` (a mask) has, and the rows that have them."""
+        entries = np.repeat(which, self.n)
+        rows, who = np.unique(self.who[entries], return_inverse=True)
+        return Range(self.tokens.filter(pa.array(which)), self.n[which], who, self.count[entries], self.place[np.repeat(entries, self.count)], [c.take(pa.array(rows)) for c in self.kept], self.length[rows])
+
+    def pack(self) -> list[bytes]:
+        """Four streams. Places are written as differences within an entry."""
+        first = np.cumsum(self.count) - self.count
+        step = np.diff(self.place, prepend=0)
+        step[first] = self.place[first]
+        small = lambda x, kind: pa.array(x.astype(kind))
+        named = ([self.tokens, small(self.n, np.int32)], [small(self.who, np.int32), small(self.count, np.int32)], [small(step, np.int32)], [*self.kept, small(self.length, np.int32)])
+        return [_stream(pa.record_batch(columns, names=list(map(str, range(len(columns)))))) for columns in named]
+
+    @classmethod
+    def unpack(cls, streams: Sequence[pa.Scalar]) -> Range:
+        (tokens_, n), (who, count), (step,), (*kept, length) = (pa.ipc.open_stream(s.as_buffer()).read_next_batch().columns for s in streams)
+        n, who, count, step, length = (x.to_numpy().astype(np.int64) for x in (n, who, count, step, length))
+        sums = np.cumsum(step)
+        first = np.cumsum(count) - count
+        return cls(tokens_, n, who, count, sums - np.repeat(sums[first] - step[first], count), kept, length)
+
+    def blocks(self, number: int) -> pa.RecordBatch:
+        """One row a token."""
+        first_entry, first_place = np.cumsum(self.n) - self.n, np.cumsum(self.count) - self.count
+        of = np.repeat(np.arange(len(self.n)), self.n)
+        first = first_place[first_entry] if len(first_entry) else first_entry
+        octave = np.floor(np.log2(np.maximum(self.count, 1))).astype(np.int64)
+        ladder = np.lexsort((octave, of))
+        step = _starts(of[ladder], octave[ladder])
+        front = [f.reduceat(x[ladder], step) if len(step) else x[:0] for f, x in ((np.maximum, self.count), (np.minimum, self.length[self.who]))]
+        rungs = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in front], names=["f", "length"])
+        mask = np.bitwise_or.reduceat(1 << (self.place % MOST_FIELDS), first_place) if len(first_place) else first_place
+        own = lambda values: _lists(pa.array(values, pa.int32()), first_entry)
+        columns = {
+            "token": self.tokens, "range": pa.array(np.full(len(self.n), number), pa.int64()), "n": pa.array(self.n, pa.int64()), "total": pa.array(np.diff(np.append(first, len(self.place))), pa.int64()),
+            "front": _lists(rungs, _starts(of[ladder][step])), **{f"k{i}": _lists(c.take(pa.array(self.who)), first_entry) for i, c in enumerate(self.kept)},
+            "lengths": own(self.length[self.who]), "counts": own(self.count), "masks": own(mask), "starts": own(first_place - np.repeat(first, self.n)), "places": _lists(pa.array(self.place, pa.int32()), first),
+        }
+        return pa.record_batch(list(columns.values()), names=list(columns))
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _split(rows: DataFrame, kept: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """kept and t0, t1, ...: the tokens of each field; each text is split once, behind a generator."""
+    split = F.struct(*(tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)))
+    return rows.select(*kept, F.explode(F.array(split)).alias("seshat_t")).select(*kept, "seshat_t.*")
+
+
+def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: str, *, owner: Sequence[str] = (), removed: DataFrame | None = None, folds: Sequence[str] = (), range_rows: int | None = None) -> None:
     """Writes a part below ``root``: blocks, minus (token, n) and one row of statistics.
 
     keys name a row; owner columns say whose it is. ``removed`` has the fields of the rows of earlier parts that this part
-    takes away. Rows without tokens count for the statistics. Rows are dealt by classes of size, an eighth of an octave each,
-    and by hashes of their keys within a class; only postings are shuffled, those of a token over many tasks.
+    takes away; instead, ``folds`` are the folders of parts whose rows, as far as they still hold, the corpus has: what these
+    parts have taken away together is then what is missing between their counts and this part's. Rows without tokens count for
+    the statistics. Blocks are made where the rows are; those of a range and a bucket are shuffled as one compressed row, and
+    sorted by token where they arrive, at most TOGETHER ranges at once.
     """
-    kept = [*dict.fromkeys([*keys, *owner])]
-    size = F.floor(8 * F.log2(1 + _chars(fields))).cast("int")
-    classes = corpus.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum(_chars(fields)).alias("chars")).collect()  # at most 8 for each octave
-    pieces = {r["size"]: max(1, -(-r["n"] // range_rows)) for r in classes}
-    buckets = min(MOST_BUCKETS, max(1, sum(r["chars"] for r in classes) // BUCKET_CHARS))
-    salts = max(1, -(-sum(pieces.values()) // TOGETHER))
-    in_class = F.element_at(F.create_map(*(F.lit(x) for p in (pieces or {0: 1}).items() for x in p)), size)
-    dealt = corpus.withColumn("seshat_range", size.cast("bigint") * (1 << 40) + F.pmod(F.xxhash64(*keys), in_class))
-    lists = _lists(_split(dealt, [*kept, "seshat_range"], fields), [*kept, "seshat_range"])
-    entry = F.struct(*kept, "length", F.size("places").alias("f"), "places")
-    spread = lists.select(_bucket(F.col("token"), buckets).alias("bucket"), F.pmod(F.xxhash64("seshat_range"), F.lit(salts)).alias("salt"), "token", F.col("seshat_range").alias("range"), entry.alias("e")).repartition("bucket", "salt")
-    blocks = spread.groupBy("bucket", "salt", "token", "range").agg(F.count("*").alias("n"), F.sum("e.f").alias("total"), F.max("e.f").alias("most"), F.min("e.length").alias("shortest"), F.collect_list("e").alias("entries"))
-    blocks.drop("salt").sortWithinPartitions("bucket", "token", "range").write.partitionBy("bucket").option("parquet.block.size", 16 << 20).parquet(f"{root}/blocks")
-    spark = corpus.sparkSession
-    heads = "token string, range bigint, n bigint, total bigint"
-    written = spark.read.schema(heads).parquet(f"{root}/blocks")
-    own = sum(r["n"] for r in classes)
+    if len(fields) > MOST_FIELDS:
+        raise ValueError(f"at most {MOST_FIELDS} fields")
+    spark, kept = corpus.sparkSession, [*dict.fromkeys([*keys, *owner])]
+    sizes = corpus.agg(F.count("*").alias("n"), F.coalesce(F.sum(_chars(fields)), F.lit(0)).alias("chars")).first()
+    range_rows = range_rows or min(RANGE, max(4, sizes["n"] // RANGES))
+    buckets = min(MOST_BUCKETS, max(1, sizes["chars"] // BUCKET_CHARS))
+    salts = max(1, -(-sizes["n"] // (range_rows * TOGETHER)))
+    n_kept, n_fields = len(kept), len(fields)
+
+    streams = ["tokens", "entries", "places", "rows"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All blocks of a range and a bucket in one row."""
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, len(batch), range_rows):
+                part = batch.slice(at, range_rows)
+                whole = Range.of(part.columns[:n_kept], part.columns[n_kept : n_kept + n_fields])
+                of = np.array([zlib.crc32(t.encode()) % buckets for t in whole.tokens.to_pylist()] if buckets > 1 else [0] * len(whole.tokens), np.int32)
+                for bucket in np.unique(of):
+                    yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in whole.some(of == bucket).pack())], names=["bucket", "range", *streams])
+                number += 1
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks by bucket, token and range."""
+        found: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for bucket, number, *packed_ in zip(*(batch.column(c) for c in ("bucket", "range", *streams)), strict=True):
+                found.setdefault(bucket.as_py(), []).append((number.as_py(), packed_))
+        for bucket in sorted(found):  # what isn't at hand stays packed
+            blocks = pa.Table.from_batches([Range.unpack(x).blocks(number) for number, x in found.pop(bucket)]).combine_chunks()
+            order = pc.sort_indices(blocks, [("token", "ascending"), ("range", "ascending")])
+            for at in range(0, len(order), 4096):
+                for piece in blocks.take(order[at : at + 4096]).to_batches():
+                    yield pa.record_batch([*piece.columns, pa.array([bucket] * len(piece), pa.int32())], names=[*piece.schema.names, "bucket"])
+
+    split = _split(corpus, kept, fields)
+    types = dict(split.dtypes)
+    schema = f"{HEADS}, {', '.join(f'k{i} array<{types[c]}>' for i, c in enumerate(kept))}, {LISTS}, bucket int"
+    dealt = split.mapInArrow(packed, f"bucket int, range bigint, {', '.join(f'{c} binary' for c in streams)}").repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(salts)))
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, str(MOST_WRITERS))  # rows come by bucket: no sort of them is needed to write their folders
+    try:
+        dealt.mapInArrow(unpacked, schema).write.partitionBy("bucket").parquet(f"{root}/blocks")
+    finally:
+        spark.conf.set(_WRITERS, before)
+    written = spark.read.schema(HEADS).parquet(f"{root}/blocks")
     counts = lambda sign, df: df.groupBy("token").agg((sign * F.sum("n")).alias("n"))
     if folds:
-        kinds = {"blocks": heads, "minus": MINUS, "statistics": STATISTICS}
+        kinds = {"blocks": HEADS, "minus": MINUS, "statistics": STATISTICS}
         read = lambda name: [spark.read.schema(kinds[name]).parquet(f"{f}/{name}") for f in folds]
         net = [counts(1, written), *(counts(-1, b) for b in read("blocks")), *(counts(1, m) for m in read("minus"))]
         counts(1, reduce(DataFrame.union, net)).where("n <> 0").write.parquet(f"{root}/minus")
         before = [r.first() for r in read("statistics")]
-        minus = F.lit(own - sum(r["n"] - r["minus_n"] for r in before)).cast("bigint"), F.col("total") - sum(r["total"] - r["minus_total"] for r in before)
+        minus = F.lit(sizes["n"] - sum(r["n"] - r["minus_n"] for r in before)).cast("bigint"), F.col("total") - sum(r["total"] - r["minus_total"] for r in before)
         sums = spark.range(1)
     else:
         lost = _split((spark.createDataFrame([], corpus.schema) if removed is None else removed).withColumn("seshat_row", F.lit(1)), ["seshat_row"], fields)
-        distinct = F.array_distinct(F.transform("seshat_all", lambda x: x["token"]))
-        counts(1, lost.select(F.explode(distinct).alias("token"), F.lit(1).cast("bigint").alias("n"))).write.parquet(f"{root}/minus")
-        sums = lost.agg(F.count("*").alias("lost_n"), F.coalesce(F.sum("length"), F.lit(0)).alias("lost_total"))
+        every = F.flatten(F.array(*(f"t{i}" for i in range(n_fields))))
+        counts(1, lost.select(F.explode(F.array_distinct(every)).alias("token"), F.lit(1).cast("bigint").alias("n"))).write.parquet(f"{root}/minus")
+        sums = lost.agg(F.count("*").alias("lost_n"), F.coalesce(F.sum(reduce(add, (F.size(f"t{i}") for i in range(n_fields)))), F.lit(0)).alias("lost_total"))
         minus = F.col("lost_n"), F.col("lost_total")
     total = written.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
-    total.join(sums).select(F.lit(own).cast("bigint").alias("n"), "total", minus[0].alias("minus_n"), minus[1].alias("minus_total"), F.lit(int(buckets)).alias("buckets")).write.parquet(f"{root}/statistics")
+    total.join(sums).select(F.lit(sizes["n"]).cast("bigint").alias("n"), "total", minus[0].alias("minus_n"), minus[1].alias("minus_total"), F.lit(int(buckets)).alias("buckets")).write.parquet(f"{root}/statistics")
 
 
 def _any(spark: SparkSession, path: str) -> bool:
@@ -132,20 +254,25 @@ class BlockIndex:
         found = []
         for k, (stored, buckets) in enumerate(zip(self._stored, self._buckets, strict=True)):
             if stored is not None:
-                own = [0] if buckets == 1 else self.spark.range(1).select(*(_bucket(F.lit(t), buckets) for t in wanted)).first()
+                own = [zlib.crc32(t.encode()) % buckets for t in wanted]
                 found.append(stored.where(F.col("bucket").isin(*set(own)) & F.col("token").isin(*wanted)).withColumn("part", F.lit(k)))
         if not found:
             raise ValueError("the index has no tokens")
         return reduce(DataFrame.unionByName, found)
 
-    def _alive(self, entries: DataFrame) -> DataFrame:
-        """Entries (part, e) that no later part has taken away."""
-        gone = [p.gone.select(*self.owner).withColumn("seshat_by", F.lit(k)) for k, p in enumerate(self.parts) if p.gone is not None]
+    def _entries(self, blocks: DataFrame, *, places: bool = False) -> DataFrame:
+        """(part, token, keys, owner, length, f, mask, places) of the blocks' rows that no later part has taken away."""
+        kept = [*dict.fromkeys([*self.keys, *self.owner])]
+        zipped = F.arrays_zip(*(F.col(f"k{i}") for i in range(len(kept))), "lengths", "counts", "masks", "starts")
+        each = blocks.select("part", "token", *(["places"] if places else []), F.explode(zipped).alias("e"))
+        named = [F.col("e")[f"k{i}"].alias(c) for i, c in enumerate(kept)] + [F.col("e")[a].alias(b) for a, b in (("lengths", "length"), ("counts", "f"), ("masks", "mask"))]
+        entries = each.select("part", "token", *named, *([F.slice("places", F.col("e")["starts"] + 1, F.col("e")["counts"]).alias("places")] if places else []))
+        gone = [p.gone.select(*(F.col(c).alias(f"seshat_{c}") for c in self.owner), F.lit(k).alias("seshat_by")) for k, p in enumerate(self.parts) if p.gone is not None]
         if not gone:
             return entries
-        last = reduce(DataFrame.union, gone).groupBy(*self.owner).agg(F.max("seshat_by").alias("seshat_by"))
-        same = reduce(and_, (entries["e"][c].eqNullSafe(last[c]) for c in self.owner))
-        return entries.join(last, same & (entries["part"] < last["seshat_by"]), "left_anti")
+        last = reduce(DataFrame.union, gone).groupBy(*(f"seshat_{c}" for c in self.owner)).agg(F.max("seshat_by").alias("seshat_by"))
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"seshat_{c}")) for c in self.owner))
+        return entries.join(last, same & (F.col("part") < F.col("seshat_by")), "left_anti")
 
     def frequencies(self, wanted: Sequence[str]) -> dict[str, int]:
         """In how many rows each token is."""
@@ -164,21 +291,21 @@ class BlockIndex:
 
     def _bounds(self, weights: dict[str, float]) -> DataFrame:
         """(part, range, bound): what no score of the range's rows exceeds."""
-        heads = self._blocks(list(weights)).select("part", "range", "token", "most", "shortest")
-        share = reduce(lambda c, t: c.when(F.col("token") == t, self._part(weights[t], F.col("most"), F.col("shortest"))), weights, F.when(F.lit(False), 0.0))
+        heads = self._blocks(list(weights)).select("part", "range", "token", "front")
+        most = lambda idf: F.array_max(F.transform("front", lambda r: self._part(idf, r["f"], r["length"])))
+        share = reduce(lambda c, t: c.when(F.col("token") == t, most(weights[t])), weights, F.when(F.lit(False), 0.0))
         return heads.groupBy("part", "range").agg(F.sum(share).alias("bound"))
 
     def _scored(self, wanted: Sequence[str], blocks: DataFrame, score_of: dict[str, float], allowed: DataFrame | None, digits: int) -> DataFrame:
-        entries = self._alive(blocks.select("part", "token", F.explode("entries").alias("e")))
-        rows = entries.select(*(F.col("e")[c].alias(c) for c in self.keys), F.col("e")["length"].alias("length"), F.col("token"), F.col("e")["f"].alias("f"), F.transform(F.col("e")["places"], lambda p: p["field"]).alias("fields"))
+        rows = self._entries(blocks)
         rows = rows if allowed is None else rows.join(allowed.select(*self.keys), self.keys, "left_semi")
         f = [F.coalesce(F.max(F.when(F.col("token") == t, F.col("f"))), F.lit(0)).alias(f"f{k}") for k, t in enumerate(wanted)]
-        grouped = rows.groupBy(*self.keys).agg(F.max("length").alias("length"), F.array_distinct(F.flatten(F.collect_list("fields"))).alias("in"), *f)
-        total = reduce(lambda a, b: a + b, (self._part(score_of[t], F.col(f"f{k}"), F.col("length")) for k, t in enumerate(wanted)))
-        return grouped.select(*self.keys, F.round(-total, digits).alias("score"), self._names(F.col("in")).alias("fields"))
+        grouped = rows.groupBy(*self.keys).agg(F.max("length").alias("length"), F.bit_or("mask").alias("mask"), *f)
+        total = reduce(add, (self._part(score_of[t], F.col(f"f{k}"), F.col("length")) for k, t in enumerate(wanted)))
+        return grouped.select(*self.keys, F.round(-total, digits).alias("score"), self._names(F.col("mask")).alias("fields"))
 
-    def _names(self, numbers: Column) -> Column:
-        return F.array_sort(F.transform(numbers, lambda i: F.element_at(F.array(*map(F.lit, self.fields)), i.cast("int") + 1)))
+    def _names(self, mask: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(mask.bitwiseAND(1 << i) != 0, f) for i, f in sorted(enumerate(self.fields), key=lambda x: x[1]))))
 
     def _chosen(self, query: str, k: int, allowed: DataFrame | None, digits: int) -> tuple[dict[str, float], DataFrame, Column]:
         """Weights of the query's tokens, the blocks that can hold one of the k best rows, and which are scored first of all."""
@@ -186,14 +313,16 @@ class BlockIndex:
         found = self.frequencies(list(times))
         weights = {t: self._idf(found.get(t, 0)) * m for t, m in times.items()}
         blocks, bounds = self._blocks(list(times)), self._bounds(weights)
-        first = bounds.orderBy(F.desc("bound"), "part", "range").limit(FIRST_RANGES).collect()
-        early = reduce(lambda a, b: a | b, ((F.col("part") == r["part"]) & (F.col("range") == r["range"]) for r in first), F.lit(False))
-        best = self._scored(list(times), blocks.where(early), weights, allowed, digits).orderBy("score").limit(k).agg(F.count("*").alias("n"), F.max("score").alias("worst")).first()
-        if best["n"] < k:
-            return weights, blocks, early
-        # scores are negative and rounded: a range at the k-th score itself may hold rows that tie
-        reach = bounds.where(F.col("bound") >= -best["worst"] - 10.0**-digits).select("part", "range")
-        return weights, blocks.join(reach, ["part", "range"], "left_semi"), early
+        early = F.lit(False)
+        for number in FIRST_RANGES:
+            first = bounds.orderBy(F.desc("bound"), "part", "range").limit(number).collect()
+            early = reduce(lambda a, b: a | b, ((F.col("part") == r["part"]) & (F.col("range") == r["range"]) for r in first), F.lit(False))
+            best = self._scored(list(times), blocks.where(early), weights, allowed, digits).orderBy("score").limit(k).agg(F.count("*").alias("n"), F.max("score").alias("worst")).first()
+            # scores are negative and rounded: a range at the k-th score itself may hold rows that tie
+            reach = bounds if best["n"] < k else bounds.where(F.col("bound") >= -best["worst"] - 10.0**-digits)
+            if len(first) < number or reach.limit(number + 1).count() <= number:
+                break
+        return weights, blocks.join(reach.select("part", "range"), ["part", "range"], "left_semi"), early
 
     def search(self, query: str, k: int, *, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
         """keys, score (lower is better), fields that matched, rk: as keyword.search of the rows that are there.
@@ -213,27 +342,26 @@ class BlockIndex:
         counted = self.phrase_counts(phrases)
         found = counted.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases)))).first()
         counted = counted if allowed is None else counted.join(allowed.select(*self.keys), self.keys, "left_semi")
-        total = reduce(lambda a, b: a + b, (self._part(self._idf(found[f"n{i}"]), F.col(f"f{i}"), F.col("length")) for i in range(len(phrases))))
+        total = reduce(add, (self._part(self._idf(found[f"n{i}"]), F.col(f"f{i}"), F.col("length")) for i in range(len(phrases))))
         return counted.select(*self.keys, F.round(-total, digits).alias("score"), "fields")
 
     def phrase_counts(self, phrases: list[list[str]]) -> DataFrame:
         """keys, length, f0, f1, ... and fields for each row that has a phrase."""
         wanted = sorted({t for p in phrases for t in p})
-        entries = self._alive(self._blocks(wanted).select("part", "token", F.explode("entries").alias("e")))
-        rows = entries.select(*(F.col("e")[c].alias(c) for c in self.keys), F.col("e")["length"].alias("length"), "token", F.col("e")["places"].alias("places"))
+        rows = self._entries(self._blocks(wanted), places=True)
         at = rows.groupBy(*self.keys, "length").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("at"))
-        none = F.array().cast("array<struct<field:tinyint,pos:int>>")
+        none = F.array().cast("array<int>")
 
         def places(phrase: list[str]) -> Column:
             each = [F.coalesce(F.element_at("at", F.lit(t)), none) for t in phrase]
-            later = lambda p, k: F.struct(p["field"].alias("field"), (p["pos"] + k).alias("pos"))
-            here = lambda p: reduce(and_, [F.array_contains(x, later(p, k)) for k, x in enumerate(each[1:], 1)], F.lit(True))
+            here = lambda p: reduce(and_, [F.array_contains(x, p + k * MOST_FIELDS) for k, x in enumerate(each[1:], 1)], F.lit(True))
             return F.filter(each[0], here)
 
         with_places = at.select(*self.keys, "length", *(places(p).alias(f"p{k}") for k, p in enumerate(phrases)))
-        fields = F.array_distinct(F.flatten(F.array(*(F.transform(f"p{k}", lambda p: p["field"]) for k in range(len(phrases))))))
+        fields = F.array_distinct(F.flatten(F.array(*(F.transform(f"p{k}", lambda p: p % MOST_FIELDS) for k in range(len(phrases))))))
         some = " OR ".join(f"size(p{k}) > 0" for k in range(len(phrases)))
-        return with_places.where(some).select(*self.keys, "length", *(F.size(f"p{k}").alias(f"f{k}") for k in range(len(phrases))), self._names(fields).alias("fields"))
+        names = F.array_sort(F.transform(fields, lambda i: F.element_at(F.array(*map(F.lit, self.fields)), i + 1)))
+        return with_places.where(some).select(*self.keys, "length", *(F.size(f"p{k}").alias(f"f{k}") for k in range(len(phrases))), names.alias("fields"))
 
     def reading(self, query: str, k: int) -> DataFrame:
         """(token, blocks, read): how many blocks each token has, and of how many a search reads the postings."""
