@@ -98,7 +98,8 @@ class Engine:
             except Exception as e:  # whatever a model or a stage raises; the run goes on without it
                 for name in stores:
                     new.pop(name, None)
-                failed |= {name: f"{type(e).__name__}: {e}"[:500] for name in stores}
+                said = [line for line in str(e).split("\n") if line.strip() and not line.startswith(("\t", " ", "JVM"))]
+                failed |= {name: f"{type(e).__name__}: {said[-1] if said else ''}"[:500] for name in stores}
         if new or failed:
             self.store.publish(source, new, failed=failed)
         staged.drop("")

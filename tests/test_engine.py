@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -93,9 +94,10 @@ def test_a_run_writes_what_has_changed(spark, tmp_path):
     """One of many documents changes: under a hundredth of the bytes; a failing model leaves keyword search published."""
     root = tmp_path / "v"
     (root / "wiki").mkdir(parents=True)
-    words = [f"w{k}" for k in range(400)]
+    words, rnd = [f"w{k}" for k in range(400)], random.Random(2)
     for k in range(300):
-        (root / f"wiki/d{k}.md").write_text(f"# Title {k}\n\n" + " ".join(words[(k * 7 + i * i) % 400] for i in range(300)) + f" [[d{(k + 1) % 300}]]")
+        own = " ".join(rnd.randbytes(5).hex() for _ in range(1000))
+        (root / f"wiki/d{k}.md").write_text(f"# Title {k}\n\n" + " ".join(words[(k * 7 + i * i) % 400] for i in range(300)) + f" {own} [[d{(k + 1) % 300}]]")
     fails = {"on": False}
 
     def model(texts):
@@ -109,13 +111,13 @@ def test_a_run_writes_what_has_changed(spark, tmp_path):
     (root / "wiki/d7.md").write_text("# Title 7\n\nentirely fresh words [[d8]]")
     fails["on"] = True
     assert engine.index() == {"unchanged": 299, "update": 1}
-    assert {s["store"] for s in engine.status() if s["state"] == "stale"} == {"vectors"} and engine.warnings() == ["vectors stale: PythonException: RuntimeError: no model"] or "no model" in engine.warnings()[0]
+    assert [w.split(":")[0] for w in engine.warnings()] == ["vectors stale"] and "no model" in engine.warnings()[0]
     assert [r["path"] for r in engine._keyword().search("entirely fresh", 5).join(engine.store.read("chunks"), ["vault_id", "chunk_id"]).collect()] == ["wiki/d7.md"]
     fails["on"] = False
     assert engine.index() == {"unchanged": 300} and not engine.warnings()
     assert engine.store.read("vectors").count() == engine.store.read("chunks").count()
     later = sum(engine.store.written_bytes(engine.store.segments(n)[1:]) for n in engine.store.stores())
-    assert all(len(engine.store.segments(n)) <= 2 for n in engine.store.stores()) and later < 0.06 * base  # footers of small files weigh most here
+    assert all(len(engine.store.segments(n)) <= 2 for n in engine.store.stores()) and later < 0.01 * base
     rows = {n: sum(s["manifest"]["rows"]["rows"] for s in engine.store.segments(n)[1:]) for n in engine.store.stores()}
     assert rows["documents"] == rows["chunks"] == rows["vectors"] == 1 and rows["entities"] < 10
     rebuilt = Engine(spark, str(tmp_path / "again"), Catalog((Vault("a", str(root)),)), model)
