@@ -58,6 +58,61 @@ def revision(files: DataFrame) -> DataFrame:
     return files.groupBy("repository_id").agg(F.sha2(F.concat_ws(":", F.count("*"), *sums), 256).alias("revision"))
 
 
+def _small(spark: SparkSession, path: str) -> list[str] | None:
+    """The lines of a small file, None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not (fs.exists(p) and fs.getFileStatus(p).isFile()):
+        return None
+    stream = fs.open(p)  # readers of Spark skip files whose names begin with a dot
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def head(spark: SparkSession, root: str) -> str | None:
+    """The commit that HEAD names, from HEAD, its ref or the packed refs as files; None where ``root`` is no repository, or
+    HEAD names a branch without commits."""
+    git = f"{root.rstrip('/')}/.git"
+    if (link := _small(spark, git)) and link[0].startswith("gitdir:"):  # a worktree
+        to = link[0].removeprefix("gitdir:").strip()
+        git = to if to.startswith("/") or "://" in to else f"{root.rstrip('/')}/{to}"
+    lines_ = _small(spark, f"{git}/HEAD")
+    if not lines_:
+        return None
+    if not lines_[0].startswith("ref:"):
+        return lines_[0].strip()
+    ref = lines_[0].removeprefix("ref:").strip()
+    common = _small(spark, f"{git}/commondir")
+    for folder in dict.fromkeys((git, f"{git}/{common[0]}" if common and not common[0].startswith("/") else common[0] if common else git)):
+        if own := _small(spark, f"{folder}/{ref}"):
+            return own[0].strip()
+        packed = [line.split(" ")[0] for line in _small(spark, f"{folder}/packed-refs") or [] if line.endswith(f" {ref}") and not line.startswith(("#", "^"))]
+        if packed:
+            return packed[0]
+    return None
+
+
+POLICIES = ("head", "head-and-working-tree", "content-hash")
+
+
+def source_revision(files: DataFrame, root: str, policy: str = "head-and-working-tree") -> str:
+    """What a repository's files are a state of: ``git:<commit>``, with ``+wt:<digest>`` of the selected files if the working
+    tree counts, or ``content-hash:<digest>``, also where there is no commit.
+
+    Whether a working tree is clean isn't known without the commit's objects, so the digest is always there.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}")
+    commit = None if policy == "content-hash" else head(files.sparkSession, root)
+    if commit and policy == "head":
+        return f"git:{commit}"
+    found = revision(files).first()
+    digest = found["revision"] if found else "none"
+    return f"git:{commit}+wt:{digest}" if commit else f"content-hash:{digest}"
+
+
 def _module(path: str) -> str:
     parts = path.removesuffix(".py").split("/")
     parts = parts[1:] if parts[0] == "src" and len(parts) > 1 else parts

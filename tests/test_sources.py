@@ -200,3 +200,27 @@ def test_dart():
 def test_dart_of_any_text(text):
     symbols, refs, _ = dart.parse("a.dart", text)
     assert symbols[0][0] == "module" and all(s[4] <= max(s[5], s[4]) for s in symbols)
+
+
+def test_revisions_from_refs_as_files(spark, tmp_path):
+    (tmp_path / ".git/refs/heads").mkdir(parents=True)
+    (tmp_path / "a.py").write_text("x = 1")
+    root, files = str(tmp_path), lambda: code.read_repository(spark, str(tmp_path), "r")
+    plain = code.source_revision(files(), root)
+    assert code.head(spark, root) is None and plain.startswith("content-hash:")
+    (tmp_path / ".git/HEAD").write_text("ref: refs/heads/main\n")
+    assert code.head(spark, root) is None
+    (tmp_path / ".git/packed-refs").write_text("# pack-refs with: peeled\n" + "1" * 40 + " refs/heads/other\n" + "2" * 40 + " refs/heads/main\n^" + "3" * 40 + "\n")
+    assert code.head(spark, root) == "2" * 40
+    (tmp_path / ".git/refs/heads/main").write_text("4" * 40 + "\n")
+    assert code.source_revision(files(), root, "head") == "git:" + "4" * 40
+    before = code.source_revision(files(), root)
+    (tmp_path / "a.py").write_text("x = 2")
+    assert before.startswith("git:" + "4" * 40 + "+wt:") and before != code.source_revision(files(), root) and code.source_revision(files(), root, "content-hash") != plain
+    (tmp_path / ".git/HEAD").write_text("5" * 40)
+    assert code.head(spark, root) == "5" * 40
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/.git").write_text("gitdir: ../.git\n")
+    assert code.head(spark, str(tmp_path / "w")) == "5" * 40
+    with pytest.raises(ValueError):
+        code.source_revision(files(), root, "tags")
