@@ -30,8 +30,8 @@ from ..functions.text import tokens
 from .keyword import B, FIELDS, IDF_FLOOR, K1, query_phrases, ranked
 
 #: Rows of a range, of which an index of fewer rows has RANGES about; ranges whose blocks of a token one task writes at most; characters of text for each partition by token,
-#: and the most such partitions.
-RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS = 1024, 256, 256, 1 << 23, 4096
+#: and the most such partitions; packed bytes that a task unpacks and sorts at once.
+RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS, UNPACKED = 1024, 256, 256, 1 << 23, 4096, 1 << 20
 #: Ranges of the greatest bounds that are scored before the bounds of the others are looked at: so many, and if that leaves
 #: more to be read than these, more.
 FIRST_RANGES = (3, 9, 27)
@@ -152,6 +152,19 @@ def _stream(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _runs(packed: list[tuple]) -> Iterator[list[tuple]]:
+    """The packed ranges of a bucket in runs of about UNPACKED bytes, each with one range at least."""
+    run, size = [], 0
+    for number, streams in sorted(packed, key=lambda x: x[0]):
+        if run and size > UNPACKED:
+            yield run
+            run, size = [], 0
+        run.append((number, streams))
+        size += sum(len(s.as_buffer()) for s in streams)
+    if run:
+        yield run
+
+
 def _split(rows: DataFrame, kept: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """kept and t0, t1, ...: the tokens of each field; each text is split once, behind a generator."""
     split = F.struct(*(tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)))
@@ -165,7 +178,7 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
     takes away; instead, ``folds`` are the folders of parts whose rows, as far as they still hold, the corpus has: what these
     parts have taken away together is then what is missing between their counts and this part's. Rows without tokens count for
     the statistics. Blocks are made where the rows are; those of a range and a bucket are shuffled as one compressed row, and
-    sorted by token where they arrive, at most TOGETHER ranges at once.
+    sorted by token where they arrive, at most TOGETHER ranges and about UNPACKED bytes at once.
     """
     if len(fields) > MOST_FIELDS:
         raise ValueError(f"at most {MOST_FIELDS} fields")
@@ -197,11 +210,12 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
             for bucket, number, *packed_ in zip(*(batch.column(c) for c in ("bucket", "range", *streams)), strict=True):
                 found.setdefault(bucket.as_py(), []).append((number.as_py(), packed_))
         for bucket in sorted(found):  # what isn't at hand stays packed
-            blocks = pa.Table.from_batches([Range.unpack(x).blocks(number) for number, x in found.pop(bucket)]).combine_chunks()
-            order = pc.sort_indices(blocks, [("token", "ascending"), ("range", "ascending")])
-            for at in range(0, len(order), 4096):
-                for piece in blocks.take(order[at : at + 4096]).to_batches():
-                    yield pa.record_batch([*piece.columns, pa.array([bucket] * len(piece), pa.int32())], names=[*piece.schema.names, "bucket"])
+            for some in _runs(found.pop(bucket)):
+                blocks = pa.Table.from_batches([Range.unpack(x).blocks(number) for number, x in some]).combine_chunks()
+                order = pc.sort_indices(blocks, [("token", "ascending"), ("range", "ascending")])
+                for at in range(0, len(order), 4096):
+                    for piece in blocks.take(order[at : at + 4096]).to_batches():
+                        yield pa.record_batch([*piece.columns, pa.array([bucket] * len(piece), pa.int32())], names=[*piece.schema.names, "bucket"])
 
     split = _split(corpus, kept, fields)
     types = dict(split.dtypes)
