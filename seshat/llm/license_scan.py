@@ -1,10 +1,14 @@
 """Licence scans: a paragraph classifier on word 1- and 2-grams, calibrated, and confirmed against templates.
 
 A multinomial logistic regression, fitted from the tables below, names a paragraph's licence family or calls
-it unknown. Its training paragraphs are names of licences in frames of six languages, paragraphs of licences, and
-ordinary ones. One part of the framed names and of the ordinary paragraphs is kept apart from the fit: a temperature
-and the threshold of the unknown class are set on it. A named family stands only if the paragraph also has most
-of the word pairs of one of the family's templates; otherwise the paragraph is unknown.
+it unknown. Its training paragraphs are names of licences in frames of six languages, paragraphs of licences, names of
+licences of no family, and ordinary ones. Some frames, names of no family and ordinary paragraphs are kept apart from the
+fit: a temperature and the threshold of the unknown class are set on one part of them.
+
+A named family stands only if a template confirms it; otherwise the paragraph is unknown. The paragraph needs most of the
+template's word pairs, and one that only this family's templates have. What follows a negation doesn't count, nor does
+"license" in a compound ("license plate"). A name, other than a paragraph of a licence, also needs a word that grants or
+labels (GRANTS), or at most BARE other words around it: else it is only mentioned.
 
 Features have a word that ordinary paragraphs don't have, so a paragraph without such a word is unknown at once.
 Scoring uses built-in expressions only, in place, without a shuffle.
@@ -32,8 +36,11 @@ UNKNOWN = "unknown"
 CONFIRM = 0.7
 #: The threshold is the least one at which this share of the calibration paragraphs that are named is named rightly.
 PRECISION = 0.99
-#: Of five parts of the framed names and ordinary paragraphs, this one calibrates, and the next is only for figures.
+#: Of five parts of the frames, of the names of no family and of the ordinary paragraphs, this one calibrates, and the next
+#: is only for figures.
 CALIBRATE, HELD_OUT = 3, 4
+#: Words beside a bare name at most.
+BARE = 3
 
 #: Names of licences.
 NAMES = {
@@ -46,11 +53,33 @@ NAMES = {
     "cc-by-sa": ("CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License"),
     "cc0": ("CC0 1.0 Universal", "CC0 1.0", "CC0", "CC0-1.0", "Creative Commons Zero", "Unlicense"),
     "gpl": ("GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GNU GPL v3", "GPL v2", "GPLv3", "GPLv2", "GPL-3.0-or-later", "GPL-2.0-only"),
-    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU LGPL", "LGPLv3", "LGPL v3", "LGPL 2.1", "LGPL-2.1-only"),
+    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Library General Public License", "GNU Library General Public License, version 2", "GNU LGPL", "LGPLv3", "LGPL v3", "LGPL 2.1", "LGPL-2.1-only"),
     "mit": ("MIT License", "MIT Licence", "MIT-Lizenz", "licence MIT", "licencia MIT", "licenza MIT", "licença MIT", "SPDX-License-Identifier: MIT", "Expat License"),
     "mpl": ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0"),
 }
 
+#: Names of licences of no family above, and versions that may follow them.
+OTHERS = (
+    "Eclipse Public License", "Common Public License", "Netscape Public License", "IBM Public License", "European Union Public Licence", "Common Development and Distribution License", "Q Public License", "Sun Public License", "ISC License", "Boost Software License", "zlib License",
+    "Artistic License", "Academic Free License", "Open Software License", "SIL Open Font License", "Python Software Foundation License", "PHP License", "Zope Public License", "Microsoft Public License", "PostgreSQL License", "Server Side Public License", "GNU Free Documentation License",
+    "Open Database License", "LaTeX Project Public License", "NCSA License", "X11 License", "EPL", "EUPL", "CDDL", "CPL",
+)
+VERSIONS = ("", " v 1.0", " v 2.0", " version 1.0", " version 2", " version 2.0", " version 3", " 1.0", " 2.0", " 3.0")
+
+#: Negations, words that may stand between a negation and a name, and words that make compounds with "license".
+NEGATIONS = ("not", "no", "never", "without", "neither", "nor", "isn", "aren", "wasn", "nicht", "kein", "keine", "keiner", "ohne", "pas", "sans", "sin", "non", "senza", "não", "sem")
+BETWEEN = (
+    "a", "an", "any", "the", "t", "is", "are", "be", "been", "longer", "yet", "covered", "governed", "licensed", "released", "distributed", "published", "available", "under", "by", "with", "terms", "of", "or", "in", "either", "unter", "der", "die", "dem", "den", "einer", "lizenziert", "steht", "veröffentlicht",
+    "sous", "la", "le", "les", "de", "du", "une", "un", "licence", "distribué", "publié", "bajo", "está", "una", "el", "publicado", "sotto", "è", "rilasciato", "sob", "uma", "o", "licenciado", "lizenz", "licencia", "licenza", "licença",
+)
+COMPOUNDS = ("plate", "plates", "number", "numbers", "holder", "holders", "fee", "fees", "debate", "debates", "wars", "family", "families", "text", "texts")
+
+#: Words that grant, or label a name as the licence of something.
+GRANTS = (
+    "licensed", "released", "distributed", "distribute", "published", "available", "under", "terms", "subject", "governed", "covered", "dedicated", "waived", "uses", "spdx-license-identifier", "license", "licence", "lizenz", "lizenziert", "unter", "steht", "veröffentlicht", "freigegeben", "verwendet",
+    "sous", "distribué", "publié", "utilise", "bajo", "licencia", "distribuye", "publica", "publicado", "usa", "sotto", "licenza", "rilasciato", "distribuito", "sob", "licença", "licenciado", "distribuído",
+)
+
 #: Paragraphs of licences and of their notices.
 TEXTS = {
     "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
@@ -105,18 +134,41 @@ def paragraphs(text: str | None) -> list[str]:
 
 
 def framed() -> list[tuple[str, str, int]]:
-    """(family, paragraph, part) for each name in each frame, each paragraph of a licence, and the ordinary ones."""
-    rows = [(family, frame.format(name), (7 * i + 3 * j) % 5 if "{}" != frame else 0) for family, names in NAMES.items() for i, name in enumerate(names) for j, frame in enumerate(FRAMES)]
+    """(family, paragraph, part): each name in each frame, by the frame's part; each paragraph of a licence; each name of no
+    family with a version in a frame, by the name's part if the frame's is 0; and the ordinary paragraphs."""
+    rows = [(family, frame.format(name), j % 5) for family, names in NAMES.items() for name in names for j, frame in enumerate(FRAMES)]
     rows += [(family, text, 0) for family, texts in TEXTS.items() for text in texts]
+    rows += [(UNKNOWN, FRAMES[(3 * i + j) % len(FRAMES)].format(other + v), i % 5) for i, other in enumerate(OTHERS) for j, v in enumerate(VERSIONS)]
     rows += [(UNKNOWN, p, k % 5) for k, p in enumerate((*ORDINARY, *NEAR_MISSES))]
     return rows
 
 
+def _pairs_of(paragraph: str) -> tuple[str, ...]:
+    """A paragraph's word pairs, or its one word."""
+    w = words(paragraph)
+    return tuple(dict.fromkeys(n_grams(w)[len(w) :] if len(w) > 1 else w))
+
+
+@dataclass(frozen=True)
+class Template:
+    grams: tuple[str, ...]
+    own: tuple[str, ...]  # those of them that only this family has; without figures, if there are such
+    words: tuple[str, ...] | None  # of a name; None for a paragraph of a licence
+
+
 @lru_cache
-def templates() -> dict[str, tuple[tuple[str, ...], ...]]:
-    """Of each family: the word pairs of each name and paragraph, or its one word."""
-    grams = lambda p: tuple(dict.fromkeys(n_grams(w)[len(w) :] if len(w := words(p)) > 1 else w))
-    return {f: tuple(grams(p) for p in (*NAMES.get(f, ()), *TEXTS.get(f, ()))) for f in sorted({*NAMES, *TEXTS})}
+def templates() -> dict[str, tuple[Template, ...]]:
+    """The names and paragraphs of each family."""
+    found = {f: [(p, _pairs_of(p), p in NAMES.get(f, ())) for p in (*NAMES.get(f, ()), *TEXTS.get(f, ()))] for f in sorted({*NAMES, *TEXTS})}
+    foreign = {g for p in (*ORDINARY, *NEAR_MISSES, *(o + v for o in OTHERS for v in VERSIONS)) for g in n_grams(words(p))}
+
+    def template(family: str, paragraph: str, grams: tuple[str, ...], name: bool) -> Template:
+        taken = foreign.union(*(g for f, of in found.items() if f != family for _, g, _ in of))
+        own = [g for g in grams if g not in taken]
+        named = [g for g in own if not any(c.isdigit() for c in g)]
+        return Template(grams, tuple(named or own), tuple(dict.fromkeys(words(paragraph))) if name else None)
+
+    return {f: tuple(template(f, *t) for t in of) for f, of in found.items()}
 
 
 @dataclass(frozen=True)
@@ -148,14 +200,14 @@ def model() -> Model:
     train = [(k, gs) for k, gs, part in own if part not in (CALIBRATE, HELD_OUT)]
     grams = sorted({g for k, gs in train if k < len(families) - 1 for g in gs if not set(g.split(" ")) <= plain})
     number = {g: k for k, g in enumerate(grams)}
-    names = {t[0] for of in templates().values() for t in of if len(t) == 1}
+    names = {t.grams[0] for of in templates().values() for t in of if len(t.grams) == 1}
     train += [(len(families) - 1, [g]) for g in grams if " " not in g and g not in names]  # a lone word says little
     w, b = fit_logistic([[number[g] for g in gs if g in number] for _, gs in train], np.array([k for k, _ in train]), len(grams), len(families), l2=1e-5)
     weights = {g: w[k] for g, k in number.items()}
     apart = [(k, gs) for k, gs, part in own if part == CALIBRATE and any(g in weights for g in gs)]
     truth, scores = np.array([k for k, _ in apart]), np.array([_scores(gs, weights, b) for _, gs in apart])
     loss = lambda t: -np.log(np.maximum(_chances(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean()
-    t = min(np.geomspace(0.2, 5, 60), key=loss)
+    t = min(np.geomspace(0.05, 20, 120), key=loss)
     chances = _chances(scores / t)
     best, top = chances.argmax(1), chances.max(1)
     fits = lambda c: (named := (best < len(families) - 1) & (top >= c)).any() and (best == truth)[named].mean() >= PRECISION
@@ -164,9 +216,22 @@ def model() -> Model:
     return Model(families, {g: tuple(np.round(w[k] / t, 5).tolist()) for g, k in number.items()}, tuple(np.round(b / t, 5).tolist()), cues, float(t), least)
 
 
+@lru_cache
+def _void() -> tuple[str, str]:
+    """Patterns over words joined by spaces: a negation with what it denies, and compounds of "license"."""
+    named = {w for of in templates().values() for t in of for w in t.words or ()}
+    either = lambda some: "|".join(regex.escape(w) for w in sorted(some))
+    return rf"(?<![^ ])(?:{either(NEGATIONS)})(?: (?:{either({*BETWEEN, *named})})(?![^ ]))++", rf"(?<![^ ])licen[cs]e (?:{either(COMPOUNDS)})(?![^ ])"
+
+
 def confirmed(family: str, parts: list[str]) -> bool:
-    grams = set(n_grams(parts))
-    return any(len(grams & set(t)) >= CONFIRM * len(t) for t in templates().get(family, ()))
+    text = " ".join(parts)
+    for pattern in _void():
+        text = regex.sub(pattern, "~", text)
+    parts = text.split(" ")
+    grams, rest = set(n_grams(parts)), set(parts)
+    framed_ = lambda t: t.words is None or bool((rest - set(t.words)) & set(GRANTS)) or len(rest - set(t.words)) <= BARE
+    return any(len(grams & set(t.grams)) >= CONFIRM * len(t.grams) and grams & set(t.own) and framed_(t) for t in templates().get(family, ()))
 
 
 def classify(paragraph: str) -> tuple[str, float, bool]:
@@ -207,21 +272,33 @@ def _judged(parts: Column, m: Model) -> Column:
         return F.struct(F.element_at(F.array(*map(F.lit, m.families)), F.array_position(score, top).cast("int")).alias("family"), chance.alias("chance"))
 
     def of(grams: Column) -> Column:
-        stands = lambda j: (j["family"] != UNKNOWN) & (j["chance"] >= m.least) & _confirmed(j["family"], grams)
+        stands = lambda j: (j["family"] != UNKNOWN) & (j["chance"] >= m.least) & _confirmed(j["family"], parts)
         judged = lambda known: _let(_let(scores(known), named), lambda j: F.struct(j["family"].alias("family"), j["chance"].alias("chance"), stands(j).alias("stands")))
         return _let(F.filter(grams, lambda g: g.isin(*m.weights)), lambda known: F.when(F.size(known) > 0, judged(known)))
 
     return _let(F.concat(parts, _pairs(parts)), of)
 
 
-def _confirmed(family: Column, grams: Column) -> Column:
-    out = F.lit(False)
-    for name, of in templates().items():
-        some = F.lit(False)
-        for t in of:
-            some = some | (F.size(F.array_intersect(F.array(*map(F.lit, t)), grams)) >= CONFIRM * len(t))
-        out = out | ((family == name) & some)
-    return out
+def _confirmed(family: Column, parts: Column) -> Column:
+    texts = lambda some: F.array(*map(F.lit, some))
+
+    def of(rest: Column, grams: Column) -> Column:
+        out = F.lit(False)
+        for name, own in templates().items():
+            some = F.lit(False)
+            for t in own:
+                fits = (F.size(F.array_intersect(texts(t.grams), grams)) >= CONFIRM * len(t.grams)) & F.arrays_overlap(texts(t.own), grams)
+                if t.words is not None:
+                    around = F.array_except(rest, texts(t.words))
+                    fits = fits & (F.arrays_overlap(around, texts(GRANTS)) | (F.size(around) <= BARE))
+                some = some | fits
+            out = out | ((family == name) & some)
+        return out
+
+    text = F.concat_ws(" ", parts)
+    for pattern in _void():
+        text = F.regexp_replace(text, pattern, "~")
+    return _let(F.split(text, " "), lambda rest: _let(F.concat(rest, _pairs(rest)), lambda grams: of(rest, grams)))
 
 
 def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

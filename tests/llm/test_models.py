@@ -129,6 +129,32 @@ def test_license_scan_on_texts_outside_its_tables():
     assert right / sum(g != license_scan.UNKNOWN for _, g in found) >= 0.95 and right / len(LICENSED) >= 0.9, [(t, f, g) for (f, g), t in zip(found, [*(t for _, t in LICENSED), *UNLICENSED], strict=True) if f != g]
 
 
+#: Written after the fit: notices; and licences of no family (the first nine named in the tables, the others not), negations and mentions.
+NOTICES = [
+    ("mit", "You can use this under the MIT license."), ("mit", "Everything in this folder is MIT License code, licensed to all"), ("mit", "Expat License for the parser, released by its authors"), ("bsd", "Code covered by the Simplified BSD License, see below"), ("bsd", "License :: BSD License"), ("apache", "All sources are made available under Apache-2.0"), ("apache", "This plugin is subject to the Apache License, Version 2.0"),
+    ("gpl", "The kernel module is released under the GNU General Public License version 2"), ("gpl", "Software frei nach GPLv3"), ("lgpl", "GNU Library General Public License version 2"), ("lgpl", "You may use the library under the terms of the GNU Lesser General Public License"), ("agpl", "Covered by the GNU Affero General Public License version 3"), ("mpl", "Files here are governed by the Mozilla Public License, v. 2.0"), ("mpl", "Lizenz: MPL-2.0"),
+    ("cc-by", "Text and images: CC BY 4.0"), ("cc-by-sa", "This dataset is distributed under the Creative Commons Attribution-ShareAlike 4.0 International License"), ("cc-by-nc", "La música está bajo CC BY-NC-SA 4.0"), ("cc-by-nd", "Essay published under CC BY-ND 4.0"), ("cc0", "The icons are dedicated under CC0 1.0 Universal"), ("proprietary", "Copyright 1999 by the heirs. All rights reserved."),
+]
+NO_NOTICES = [
+    "Common Public License v 2.0", "Netscape Public License v 2.0", "Eclipse Public License - v 2.0", "Licensed under the EUPL, version 1.2", "This file is under the ISC license", "Released under the Boost Software License 1.0", "Distributed under the zlib license", "The Artistic License 2.0 applies", "Open Data Commons Open Database License 1.0", "Licensed under the Ruby license", "Licensed under the OpenSSL License", "Published under the Reciprocal Public License 1.5", "Sous licence CeCILL", "Available under the Sleepycat License", "Lucent Public License Version 1.02",
+    "This is not under the MIT license", "He has no BSD license", "The code isn't covered by the Apache License 2.0", "It was never released under the GNU General Public License", "Dieses Werk steht nicht unter der GPLv3", "Ce texte n'est pas sous licence MIT", "El programa no está bajo la GPLv3", "Il testo non è sotto CC BY 4.0", "Neither the MIT license nor the BSD license applies",
+    "BSD License plates are sold here", "He keeps his MIT license plate in the garage", "The MIT license was written at a university in the 1980s", "Many people prefer the BSD license to longer ones", "Scholars compared the Mozilla Public License with several other texts", "Her talk on the history of the GNU General Public License was long", "Why do some companies fear AGPLv3 so much?", "The Apache Software License turned twenty that summer, and we had cake",
+]
+
+
+def test_license_scan_on_other_licences_negations_and_mentions():
+    named = lambda t: license_scan.classify(t)[0] if license_scan.classify(t)[2] else license_scan.UNKNOWN
+    found = [(f, named(t), t) for f, t in NOTICES] + [(license_scan.UNKNOWN, named(t), t) for t in NO_NOTICES]
+    right = sum(f == g != license_scan.UNKNOWN for f, g, _ in found)
+    assert right >= 0.95 * sum(g != license_scan.UNKNOWN for _, g, _ in found) and right >= 0.9 * len(NOTICES), [x for x in found if x[0] != x[1]]
+    assert all(named(t) == license_scan.UNKNOWN for t in NO_NOTICES[:3] + NO_NOTICES[15:17] + NO_NOTICES[24:26])
+
+
+def test_license_calibration_is_inside_its_grid_and_every_template_can_confirm():
+    assert 0.1 < license_scan.model().temperature < 10
+    assert all(t.own for of in license_scan.templates().values() for t in of)
+
+
 def test_license_scan_on_the_held_out_part():
     held = [(f, *license_scan.classify(p)) for f, p, part in license_scan.framed() if part == license_scan.HELD_OUT]
     named = [(f, g) for f, g, _, stands in held if stands]
@@ -148,6 +174,7 @@ def _scanned(df) -> list[tuple]:
 
 def test_license_plan_is_as_in_python(spark, docs, none):
     texts = [(k, f"{p}\n\n{q}.\n{p}") for k, ((_, p), q) in enumerate(zip(LICENSED, UNLICENSED * 2, strict=False))]
+    texts += [(200 + k, t) for k, t in enumerate([*(t for _, t in NOTICES), *NO_NOTICES])]
     texts += [(100, None), (101, ""), (101, ""), (102, "the apache helicopter flew"), (None, "SPDX-License-Identifier: MPL-2.0"), (103, "mit " * 20_000), (104, "Licensed under the MIT License.\n" * 300)]
     assert got_rows(_scanned(spark.createDataFrame(texts, "doc_id bigint, text string"))) == got_rows([_plain_scan(*r) for r in texts])
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).isEmpty()
