@@ -118,7 +118,7 @@ def test_budget_skips_what_does_not_fit(spark):
     assert [(r["rk"], r["admitted"], r["used"]) for r in packing.admit(rows, [F.col("rk")], F.col("cost"), 10).orderBy("rk").collect()] == [(1, True, 5), (2, False, 5), (3, True, 9), (4, True, 10), (5, False, 10)]
 
 
-def test_components_in_one_task_and_in_rounds(spark):
+def test_components_of_whole_forests_and_in_rounds(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(600)] + [(k, k + 1) for k in range(2000, 2100)] + [(5000, 5000)]
     root = list(range(6000))
@@ -133,8 +133,15 @@ def test_components_in_one_task_and_in_rounds(spark):
         root[max(a, b)] = min(a, b)
     wanted = {(x, find(x)) for x in range(6000) if find(x) != x}
     df = spark.createDataFrame(links, "a long, b long")
-    for one_task in (0, 10_000):
-        assert {tuple(r) for r in components(df, Staging(spark, "test"), f"c{one_task}", one_task).collect()} == wanted
+    for kept in (100, 10_000):
+        found = components(df.repartition(5), Staging(spark, "test"), f"c{kept}", kept).collect()
+        assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    odd = spark.createDataFrame([(None, 1), (2, None), (3, 3), (-5, 4), (4, -5)], "a long, b long")
+    assert [tuple(r) for r in components(odd, Staging(spark, "test"), "odd").collect()] == [(4, -5)]
+    assert components(odd.where("false"), Staging(spark, "test"), "none").isEmpty()
+    # a hub and a long path, over more partitions than either has ends in
+    far = spark.range(0, 4000, 1, 7).selectExpr("id + 1 AS a", "id AS b").union(spark.range(10_000, 14_000).selectExpr("id AS a", "9999 AS b"))
+    assert {(r["b"], r["count"]) for r in components(far, Staging(spark, "test"), "far", 1500).groupBy("b").count().collect()} == {(0, 4000), (9999, 4000)}
 
 
 def test_staged_tables_can_be_dropped(spark):
