@@ -235,9 +235,13 @@ def first_occurrences(rows: DataFrame, keys: Sequence[str], methods: Sequence[st
 def build_id(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (build_id): the same for the same rows in any order and partitioning, repeated rows counted.
 
-    A digest of counts and of sums of two hashes a row, which are added up where the rows are.
+    A digest of counts and of two sums of 60 bits each of a row's sha256, which are added up where the rows are.
     """
-    sums = lambda df, name: df.agg(F.concat_ws(":", F.lit(name), F.count("*"), *(F.coalesce(F.sum(F.xxhash64(F.lit(k), *df.columns).cast("decimal(38,0)")), F.lit(0)) for k in (1, 2))).alias("part"))
+    def sums(df: DataFrame, name: str) -> DataFrame:
+        text = F.concat(*(F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c)), F.lit("-")) for c in df.columns))
+        bits = lambda at: F.coalesce(F.sum(F.conv(F.substring("seshat_h", at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+        return df.select(F.sha2(text, 256).alias("seshat_h")).agg(F.concat_ws(":", F.lit(name), F.count("*"), bits(1), bits(16)).alias("part"))
+
     both = sums(nodes, "nodes").union(sums(edges, "edges"))
     return both.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), "|"), 256).alias("build_id"))
 

@@ -90,10 +90,19 @@ def doc_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {_CHUNKS} SELECT vault_id, chunk_id, doc_id, ordinal, token_count::BIGINT AS token_count, content_hash FROM c")
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ1, PRJ3, LST3."""
+    """PRJ1, PRJ3."""
     return _chunks(spark, sf_dir).select("vault_id", "chunk_id", "doc_id", "ordinal", F.col("token_count").cast("bigint").alias("token_count"), "content_hash")
 
 
+@_register(f"WITH {_CHUNKS} SELECT vault_id, path, ordinal, sha256(text) AS text_sha256 FROM c WHERE path LIKE 'wiki/%'")
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LST3: chunks of the documents in a scope, with their texts from a store of distinct ones."""
+    docs = bridge.documents(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir)
+    found = listing.with_text(chunks.drop("text"), listing.blobs(chunks), docs.where(F.col("path").startswith("wiki/")))
+    return found.select("vault_id", "path", "ordinal", F.sha2("text", 256).alias("text_sha256"))
+
+
 @_register(f"""WITH {_CHUNKS}, b AS (SELECT content_hash, max(strlen(text)) AS size, count(*) AS n FROM c GROUP BY 1)
     SELECT count(*)::BIGINT AS blob_count, sum(size)::BIGINT AS blob_bytes, sum(size * n)::BIGINT AS logical_bytes, sum(n)::BIGINT AS chunks, round(sum(size * n)::DOUBLE / sum(size)::DOUBLE, 6) AS amplification FROM b""")
 def blob_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,10 +426,12 @@ def _costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir).join(cost, "doc_id")
 
 
-@_register(f"""WITH RECURSIVE {_HYBRID}, k AS (SELECT hy.doc_id, hy.rk, len(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS cost FROM hy JOIN d USING (doc_id)),
+_FOLD = f"""{_HYBRID}, k AS (SELECT hy.doc_id, hy.rk, len(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS cost FROM hy JOIN d USING (doc_id)),
     f AS (SELECT doc_id, rk, cost <= {BUDGET} AS admitted, CASE WHEN cost <= {BUDGET} THEN cost ELSE 0 END AS used FROM k WHERE rk = 1
-      UNION ALL SELECT k.doc_id, k.rk, f.used + k.cost <= {BUDGET}, f.used + CASE WHEN f.used + k.cost <= {BUDGET} THEN k.cost ELSE 0 END FROM f JOIN k ON k.rk = f.rk + 1)
-    SELECT doc_id, rk, admitted, used::BIGINT AS used FROM f""")
+      UNION ALL SELECT k.doc_id, k.rk, f.used + k.cost <= {BUDGET}, f.used + CASE WHEN f.used + k.cost <= {BUDGET} THEN k.cost ELSE 0 END FROM f JOIN k ON k.rk = f.rk + 1)"""
+
+
+@_register(f"WITH RECURSIVE {_FOLD} SELECT doc_id, rk, admitted, used::BIGINT AS used FROM f")
 def budget_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PCK1, PCK4."""
     return packing.admit(_costed(spark, sf_dir), [F.col("rk")], F.col("cost"), BUDGET).select("doc_id", "rk", "admitted", "used")
@@ -428,10 +439,17 @@ def budget_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {_HYBRID} SELECT sha256('claim:' || CAST(rk AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS claim_id, rk, doc_id, CASE WHEN kinds >= 2 THEN 'supported' ELSE 'single_source' END AS status FROM hy WHERE rk <= 5")
 def claims_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PCK5, PCK6."""
+    """PCK5."""
     return packing.claims(_hybrid(spark, sf_dir))
 
 
+@_register(f"WITH RECURSIVE {_FOLD} SELECT sha256('claim:' || CAST(rk AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS claim_id, doc_id FROM f WHERE NOT admitted")
+def uncited_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PCK6: claims of all results whose evidence the budget has left out."""
+    rows = packing.admit(_costed(spark, sf_dir), [F.col("rk")], F.col("cost"), BUDGET)
+    return packing.uncited(packing.claims(rows, LIMIT), rows.where("admitted"), "doc_id").select("claim_id", "doc_id")
+
+
 _LOOKED = f"""{_DOCS}, f AS (SELECT *, lower(concat_ws(' ', 'type ' || fm_type, 'status ' || fm_status, 'derived_from ' || derived_from)) AS fm_text, coalesce(fm_status, '') AS status, lower(coalesce(section, '')) AS head FROM d),
   ev AS (SELECT doc_id FROM d WHERE regexp_matches(text, '[^ \\n]'))"""
 
@@ -737,14 +755,20 @@ def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_occurrences(rows, ["user_id"], ["purchase", "click", "view"], order=["event_id"])
 
 
-@_register("SELECT TRUE AS same_in_any_order, TRUE AS other_rows_differ")
+def _digest_sql(table: str, *columns: str) -> str:
+    row = " || ".join(f"coalesce(length({c})::VARCHAR || ':' || {c}, '-')" for c in columns)
+    return f"(SELECT '{table}:' || count(*)::VARCHAR || ':' || coalesce(sum(('0x' || substr(sha256({row}), 1, 15))::BIGINT), 0)::VARCHAR || ':' || coalesce(sum(('0x' || substr(sha256({row}), 16, 15))::BIGINT), 0)::VARCHAR FROM {table})"
+
+
+@_register(f"""WITH {_EDGES}, edges AS (SELECT 'page:' || CAST(page_id AS VARCHAR) AS source, href AS target, 'mentions' AS type FROM e), nodes AS (SELECT DISTINCT source AS node FROM edges)
+    SELECT sha256({_digest_sql("edges", "source", "target", "type")} || '|' || {_digest_sql("nodes", "node")}) AS build_id, TRUE AS same_in_any_order, TRUE AS other_rows_differ""")
 def graph_build_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRA11: an id of nodes and edges, equal for other partitions and orders, and not for other rows."""
     edges = _mention_edges(spark, sf_dir).select("source", "target", "type")
     nodes = edges.select(F.col("source").alias("node")).distinct()
     ids = [graph.build_id(n, e).select(F.col("build_id").alias(f"b{k}"), F.lit(1).alias("one")) for k, (n, e) in enumerate(((nodes, edges), (nodes.orderBy(F.desc("node")), edges.repartition(7)), (nodes, edges.where("target <> '/de'"))))]
     both = ids[0].join(ids[1], "one").join(ids[2], "one")
-    return both.select((F.col("b0") == F.col("b1")).alias("same_in_any_order"), (F.col("b0") != F.col("b2")).alias("other_rows_differ"))
+    return both.select(F.col("b0").alias("build_id"), (F.col("b0") == F.col("b1")).alias("same_in_any_order"), (F.col("b0") != F.col("b2")).alias("other_rows_differ"))
 
 
 @_register(f"""WITH {_CHUNKS}, r AS (SELECT vault_id, doc_id, chunk_id FROM c WHERE doc_id % 3 = 0), e AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN content_hash ELSE 'stale' END AS h FROM c)
@@ -797,7 +821,7 @@ def code_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"""WITH {_SNAPSHOTS}, t AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 7), p AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM (SELECT CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END AS text FROM t UNION ALL SELECT text FROM documents WHERE doc_id % 10 = 1))
     SELECT token, count(*)::BIGINT AS n FROM p WHERE token IN ('the', 'of', 'thing', 'de') GROUP BY 1""")
 def keyword_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK2, SNK3: postings of changed documents are replaced; occurrences in the new snapshot."""
+    """SNK2: postings of changed documents are replaced; occurrences in the new snapshot."""
     docs, last = bridge.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 10
     new = docs.where(last != 7).withColumn("text", F.when(last == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).union(docs.where(last == 1).select(F.col("doc_id") + 1_000_000_000, "text"))
     planned = reconcile.plan(*_snapshots(spark, sf_dir), ["doc_id"], ["h"])
@@ -808,11 +832,33 @@ def keyword_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"""WITH {_EDGES}, o AS (SELECT href AS entity, list_sort(list(page_id)) AS pages FROM e WHERE page_id % 5 <> 0 GROUP BY 1), n AS (SELECT href AS entity, list_sort(list(page_id)) AS pages FROM e WHERE page_id % 7 <> 0 GROUP BY 1)
     SELECT CASE WHEN o.entity IS NULL THEN 'insert' WHEN n.entity IS NULL THEN 'delete' WHEN o.pages = n.pages THEN 'unchanged' ELSE 'update' END AS action, count(*)::BIGINT AS n FROM o FULL JOIN n ON o.entity = n.entity GROUP BY 1""")
 def graph_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REC3, SNK4: entities by their sets of evidence."""
+    """REC3: entities by their sets of evidence."""
     rows = bridge.mentions(spark, sf_dir)
     return reconcile.plan_aggregates(rows.where("page_id % 5 <> 0"), rows.where("page_id % 7 <> 0"), ["href"], "page_id").groupBy("action").agg(F.count("*").alias("n"))
 
 
+@_register(f"WITH {_EDGES} SELECT href AS entity, count(*)::BIGINT AS evidence_n, min(page_id) AS first_page FROM e WHERE page_id % 7 <> 0 GROUP BY 1")
+def graph_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4, REC3: the evidence of entities whose sets of it differ is replaced; what the new snapshot holds."""
+    rows = bridge.mentions(spark, sf_dir)
+    old, new = rows.where("page_id % 5 <> 0"), rows.where("page_id % 7 <> 0")
+    planned = Staging(spark, "plan").write(reconcile.plan_aggregates(old, new, ["href"], "page_id"), "plan")
+    found = reconcile.replace_owned(old, new, planned, ["href"])
+    return found.groupBy(F.col("href").alias("entity")).agg(F.count("*").alias("evidence_n"), F.min("page_id").alias("first_page"))
+
+
+@_register("""SELECT label, count(*)::BIGINT AS n, sum(list_sum(list_transform(embedding, lambda x: floor(64 * CASE WHEN vec_id % 10 = 3 THEN -(x::DOUBLE) ELSE x::DOUBLE END)::BIGINT)))::BIGINT AS total FROM embeddings WHERE vec_id % 10 <> 7 GROUP BY 1""")
+def vector_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: vectors of changed rows are replaced, those of deleted ones go; sums of the new snapshot by label."""
+    old, last = bridge.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), F.col("vec_id") % 10
+    new = old.where(last != 7).withColumn("embedding", F.when(last == 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    owned = lambda df: df.select("vec_id", F.sha2(F.to_json("embedding"), 256).alias("h"))
+    planned = Staging(spark, "plan").write(reconcile.plan(owned(old), owned(new), ["vec_id"], ["h"]), "plan")
+    found = reconcile.replace_owned(old, new, planned, ["vec_id"])
+    total = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: a + F.floor(64 * x.cast("double")))
+    return found.groupBy("label").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+
+
 _SYMBOL_ROWS = """sy AS (SELECT p_partkey AS symbol_id, p_brand AS repository_id, lower(p_type) || '/' || replace(p_name, ' ', '_') || '.py' AS relative_path, replace(p_name, ' ', '_') AS name, p_brand || '.' || p_type || '.' || replace(p_name, ' ', '_') AS qualified_name,
     'def ' || replace(p_name, ' ', '_') || '()' AS signature, 'python' AS language, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'test' END AS kind, p_size AS start_line FROM part)"""
 
@@ -853,29 +899,31 @@ def pending_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.retried(pending, symbols, pending.where("file_id % 50 = 1").select("file_id")).select("pending_id")
 
 
-@_register(f"""WITH RECURSIVE {_symbol_sql("TRUE")}, call AS (SELECT symbol_id + 1 AS source, symbol_id AS target FROM sy WHERE symbol_id + 1 IN (SELECT symbol_id FROM sy)),
+_PROJECT = f"""WITH RECURSIVE {_symbol_sql("TRUE")}, call AS (SELECT symbol_id + 1 AS source, symbol_id AS target FROM sy WHERE symbol_id + 1 IN (SELECT symbol_id FROM sy)),
     w AS (SELECT symbol_id AS node, 0 AS level FROM found UNION SELECT call.source, level + 1 FROM w JOIN call ON call.target = w.node WHERE level < 2),
     near AS (SELECT node, min(level) AS level FROM w GROUP BY 1 HAVING min(level) > 0)
     SELECT 'code' AS section, 'code:' || CAST(found.symbol_id AS VARCHAR) AS evidence_id, qualified_name AS title, rk::BIGINT AS rk FROM found JOIN sy ON sy.symbol_id = found.symbol_id
     UNION ALL SELECT CASE kind WHEN 'test' THEN 'tests' ELSE 'impact' END, 'code:' || CAST(node AS VARCHAR), qualified_name, level::BIGINT FROM near JOIN sy ON sy.symbol_id = node
-    UNION ALL SELECT 'vault', 'page:' || CAST(page_id AS VARCHAR), url, page_id::BIGINT FROM pages WHERE page_id < 5""")
+    UNION ALL SELECT 'vault', 'doc:' || CAST(doc_id AS VARCHAR), path, rk FROM (WITH {_HYBRID} SELECT doc_id, d.path, hy.rk FROM hy JOIN d USING (doc_id))"""
+
+
+@_register(_PROJECT)
 def project_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRX1: what a task finds in code, what calls that, and results of the vault."""
+    """PRX1: what a task finds in code, what calls that, and what the vaults' hybrid search finds."""
     symbols = _symbol_rows(spark, sf_dir)
     edges = symbols.select((F.col("symbol_id") + 1).cast("string").alias("source"), F.col("symbol_id").cast("string").alias("target"), F.lit("inferred").alias("status"))
-    vault = bridge.table(spark, sf_dir, "pages").where("page_id < 5").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("evidence_id"), F.col("url").alias("title"), F.col("page_id").alias("rk"))
+    found = _hybrid(spark, sf_dir).join(bridge.documents(spark, sf_dir).select("doc_id", "path"), "doc_id")
+    vault = found.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("evidence_id"), F.col("path").alias("title"), "rk")
     return project.evidence(symbols, edges, vault, "red widget_py", LIMIT, depth=2)
 
 
-@_register(f"""WITH RECURSIVE r AS (SELECT 'code' AS section, 'code:' || CAST(p_partkey AS VARCHAR) AS evidence_id, p_name AS title, p_partkey AS rk FROM part WHERE p_partkey < 20 UNION ALL SELECT 'vault', 'page:' || CAST(page_id AS VARCHAR), CAST(page_id AS VARCHAR), page_id FROM pages WHERE page_id < 10),
+@_register(f"""WITH RECURSIVE r AS ({_PROJECT}),
     k AS (SELECT *, greatest(ceil(length('{{"section":"' || section || '","evidence_id":"' || evidence_id || '","title":"' || title || '"}}') / 4), 1)::BIGINT AS cost, row_number() OVER (ORDER BY section, rk, evidence_id) AS place FROM r),
-    f AS (SELECT evidence_id, place, cost <= 300 AS admitted, CASE WHEN cost <= 300 THEN cost ELSE 0 END AS used FROM k WHERE place = 1 UNION ALL SELECT k.evidence_id, k.place, f.used + k.cost <= 300, f.used + CASE WHEN f.used + k.cost <= 300 THEN k.cost ELSE 0 END FROM f JOIN k ON k.place = f.place + 1)
+    f AS (SELECT evidence_id, place, cost <= {BUDGET} AS admitted, CASE WHEN cost <= {BUDGET} THEN cost ELSE 0 END AS used FROM k WHERE place = 1 UNION ALL SELECT k.evidence_id, k.place, f.used + k.cost <= {BUDGET}, f.used + CASE WHEN f.used + k.cost <= {BUDGET} THEN k.cost ELSE 0 END FROM f JOIN k ON k.place = f.place + 1)
     SELECT evidence_id, admitted, used::BIGINT AS used FROM f""")
 def project_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRX1: evidence in order of section under a budget of serialized size."""
-    code = bridge.table(spark, sf_dir, "part").where("p_partkey < 20").select(F.lit("code").alias("section"), F.concat(F.lit("code:"), F.col("p_partkey").cast("string")).alias("evidence_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("rk"))
-    vault = bridge.table(spark, sf_dir, "pages").where("page_id < 10").select(F.lit("vault").alias("section"), F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("evidence_id"), F.col("page_id").cast("string").alias("title"), F.col("page_id").alias("rk"))
-    return project.context(code.unionByName(vault), 300).select("evidence_id", "admitted", "used")
+    """PRX1: that evidence in order of section under a budget of serialized size."""
+    return project.context(project_evidence(spark, sf_dir), BUDGET).select("evidence_id", "admitted", "used")
 
 
 @_register("SELECT CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'unavailable' ELSE 'fresh' END AS state FROM events")
@@ -905,9 +953,10 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.documents(spark, sf_dir).select("doc_id", sha(excerpt(text), "excerpt"), sha(hard_excerpt(text), "hard"), sha(first_words(text, 30), "words"))
 
 
-_TYPED = f"""{_DOCS}, ty AS (SELECT *, lower(concat_ws(' ', coalesce(fm_type, ''), path, coalesce(section, ''), '')) AS tx, coalesce(fm_type, '') AS k FROM d),
+_TYPES = """ty AS (SELECT *, lower(concat_ws(' ', coalesce(fm_type, ''), path, coalesce(section, ''), '')) AS tx, coalesce(fm_type, '') AS k FROM d),
   it AS (SELECT *, CASE WHEN k = 'decision' OR contains('/' || path, '/decisions/') THEN 'decision' WHEN k = 'constraint' OR regexp_matches(tx, 'constraint|principle|invariant|policy|convention') THEN 'constraint'
     WHEN k = 'open_question' OR regexp_matches(tx, 'question|todo|follow-up|issue|revisit') THEN 'open_question' WHEN k = 'current_state' OR regexp_matches(tx, 'current-state|current_state') THEN 'current_state' WHEN path LIKE 'raw/%' THEN 'source' ELSE 'page' END AS item_type FROM ty)"""
+_TYPED = f"{_DOCS}, {_TYPES}"
 
 
 @_register(f"WITH {_TYPED} SELECT item_type, count(*)::BIGINT AS n FROM it GROUP BY 1")
@@ -917,16 +966,14 @@ def item_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.documents(spark, sf_dir).groupBy(kind.alias("item_type")).agg(F.count("*").alias("n"))
 
 
-@_register(f"""WITH RECURSIVE {_TYPED}, r AS (SELECT doc_id, item_type, (doc_id % 17)::BIGINT AS rk, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS kinds, vault_id, path, (doc_id * 37 % 211)::BIGINT AS cost FROM it WHERE doc_id < 60),
+@_register(f"""WITH RECURSIVE {_HYBRID}, {_TYPES}, r AS (SELECT it.doc_id, item_type, hy.rk, kinds, vault_id, path, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))::BIGINT AS cost FROM hy JOIN it USING (doc_id)),
     o AS (SELECT *, row_number() OVER (ORDER BY CASE item_type WHEN 'decision' THEN 0 WHEN 'constraint' THEN 1 WHEN 'open_question' THEN 2 WHEN 'current_state' THEN 3 WHEN 'page' THEN 4 ELSE 5 END, rk, -kinds, CASE WHEN path LIKE 'raw/%' THEN 1 ELSE 0 END, vault_id, path, CAST(doc_id AS VARCHAR)) AS k FROM r),
     f AS (SELECT doc_id, item_type, k, cost > 0 OR TRUE AS x, cost <= 1200 AS ok, CASE WHEN cost <= 1200 THEN cost ELSE 0 END AS used FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.item_type, o.k, TRUE, f.used + o.cost <= 1200, f.used + CASE WHEN f.used + o.cost <= 1200 THEN o.cost ELSE 0 END FROM f JOIN o ON o.k = f.k + 1)
     SELECT doc_id, item_type AS section, used::BIGINT AS used FROM f WHERE ok""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PCK1: order by type, rank, signals and source, a budget with skips, sections by type."""
-    id_ = F.col("doc_id")
-    kinds = F.when(id_ % 3 == 0, F.array(F.lit("keyword"), F.lit("vector"))).otherwise(F.array(F.lit("keyword")))
-    docs = bridge.documents(spark, sf_dir).where("doc_id < 60")
-    items = docs.select("doc_id", item_type(F.col("path"), F.col("fm_type"), F.col("section"), F.lit(None).cast("string")).alias("item_type"), (id_ % 17).alias("rk"), kinds.alias("kinds"), "vault_id", "path", id_.cast("string").alias("chunk_id"), (id_ * 37 % 211).alias("cost"))
+    """PCK1: search results in order of type, rank, signals and source, a budget with skips, sections by type."""
+    docs = bridge.documents(spark, sf_dir).withColumn("item_type", item_type(F.col("path"), F.col("fm_type"), F.col("section"), F.lit(None).cast("string")))
+    items = _costed(spark, sf_dir).join(docs, "doc_id").select("doc_id", "item_type", "rk", "kinds", "vault_id", "path", F.col("doc_id").cast("string").alias("chunk_id"), "cost")
     return packing.pack(items, 1200, max_items=1000).select("doc_id", "section", "used")
 
 
