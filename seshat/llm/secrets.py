@@ -1,7 +1,8 @@
 """Secret scans: three fixed patterns, then assignment-aware lexing of source and configuration text.
 
 The lexer reads names with their literals (``name = "literal"``, ``"name": "literal"``, ``env["NAME"] = "literal"``,
-``export NAME=literal``, ``name: str = "literal"``, YAML blocks), carries literals through constants wherever they are
+``export NAME=literal``, ``name: str = "literal"``, YAML blocks, strings side by side or in three quotes, tokens after
+``Bearer`` or ``Basic``, and pairs of ``key="NAME" value="literal"``), carries literals through constants wherever they are
 defined (``key = value_name``, joined with ``+``), and scores a literal by how sensitive the names are that it reaches,
 and by how random it looks. It goes through a text once: no character is looked at more than a few times.
 """
@@ -26,18 +27,22 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 _NAME = r"[A-Za-z_$][\w$]*+(?:[.-]++[\w$]++)*+"
-_STRING = r"""(?<![\w\\])[fFrRbBuU]?(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\\n]++|\\.)*+`)"""
+_LONG = r"""(?:\"{3}(?:[^"]++|"(?!""))*+"{3}|'{3}(?:[^']++|'(?!''))*+'{3})"""
+_STRING = rf"""(?<![\w\\])[fFrRbBuU]?(?:{_LONG}|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\\n]++|\\.)*+`)"""
 _BARE = r"""(?:[^\s"'`,;{}()\[\]<>|#&\\+]|\+(?!["'`]))++"""
 #: Names with their separators, one or more (``a = b = ``), then what is assigned up to the end of the statement.
 _KEY = rf"""["']?+{_NAME}["']?+\]?+[ \t]*+(?::=|=>|=(?![=~])|:(?![:=]|//))[ \t]*+"""
-_LEXED = re.compile(rf"""(?<![\w$.\\-])(?P<names>(?:{_KEY})++)(?:(?P<block>[|>][-+]?[ \t]*+\n)|(?P<value>(?:{_STRING}|{_BARE})(?:[ \t]*+\+[ \t]*+(?:{_STRING}|{_BARE}))*+))?+|{_STRING}""")
+_LEXED = re.compile(rf"""(?<![\w$.\\-])(?P<names>(?:{_KEY})++)(?:(?P<block>[|>][-+]?[ \t]*+\n)|(?P<value>\(\s*+{_STRING}(?:\s*+(?:\+\s*+)?{_STRING})*+\s*+\)|(?ai:Bearer|Basic)[ \t]++{_BARE}|(?:{_STRING}|{_BARE})(?:[ \t]*+\+[ \t]*+(?:{_STRING}|{_BARE})|(?<=["'`])[ \t]++{_STRING})*+))?+|{_STRING}""")
 _NAMES = re.compile(_NAME)
 _ITEM = re.compile(rf"(?P<string>{_STRING})|(?P<bare>{_BARE})")
 _QUOTED = re.compile("[\"'` \t]")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*+")
+_OPENING = re.compile(r"""[fFrRbBuU]?(?:(?P<long>"{3}|'{3})\s*+|["'`])(?:(?ai:Bearer|Basic)[ \t]++(?=[^\s"'`]++\s*+["'`]))?+""")
+#: A literal of one of the first names is the name of what the next assignment, if it is to one of the second, has.
+_KEYS, _VALUES, _BETWEEN = {"key", "name"}, {"value", "content"}, re.compile(r"[\s,]*+")
 
 #: Parts of names and what they say about the literal.
-_SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "privatekey": 3, "accesskey": 3, "auth": 2, "bearer": 2, "private": 1, "access": 1, "api": 1, "client": 1, "key": 1, "signing": 1, "encryption": 1, "session": 1, "salt": 1, "pass": 2}
+_SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "privatekey": 3, "accesskey": 3, "auth": 2, "authorization": 2, "bearer": 2, "private": 1, "access": 1, "api": 1, "client": 1, "key": 1, "signing": 1, "encryption": 1, "session": 1, "salt": 1, "pass": 2}
 #: A text without any of these has no sensitive name.
 _SENSITIVE_PARTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "access", "api", "client", "sign", "encrypt", "session", "salt")
 _HARMLESS = {"public", "length", "size", "count", "limit", "name", "type", "url", "uri", "path", "file", "id", "expires", "ttl", "header", "field", "policy", "hint", "label"}
@@ -66,7 +71,7 @@ def randomness(literal: str, phrase: bool = False) -> float:
     """0 for a word; more for many kinds of characters and high entropy; -4 for placeholders, and for several words unless they may be a ``phrase``."""
     if len(literal) < MIN_LITERAL or _DUMMIES.match(literal):
         return -4.0
-    if " " in literal.strip():
+    if any(c.isspace() for c in literal.strip()):
         return 1.0 if phrase and not _PROMPTS.match(literal.strip()) else -4.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
@@ -92,7 +97,7 @@ def _block(text: str, at: int, line: int) -> tuple[list[tuple[int, int]], int]:
 
 def named_literals(text: str) -> list[tuple[list[str], list[tuple[int, int]], list[str]]]:
     """(names, spans of their literals, names that those are built from) for each assignment, in order."""
-    found, at, known = [], 0, {}
+    found, at, known, key = [], 0, {}, ("", -1)
     while m := _LEXED.search(text, at):
         at = m.end()
         if m["names"] is None:  # a string that is assigned to nothing
@@ -105,13 +110,19 @@ def named_literals(text: str) -> list[tuple[list[str], list[tuple[int, int]], li
             for item in (m,) if plain else _ITEM.finditer(text, *m.span("value")):
                 a, b = m.span("value") if plain else item.span()
                 if not plain and item["string"]:
-                    spans.append((a + 1 + (text[a] not in "\"'`"), b - 1))
+                    opening = _OPENING.match(text, a, b)
+                    a, b = opening.end(), b - (3 if opening["long"] else 1)
+                    spans.append((a, a + len(text[a:b].rstrip()) if opening["long"] else b))
                 else:
                     spans.append((a, b))
                     if _IDENTIFIER.fullmatch(text, a, b):
                         uses.append(text[a:b])
         if (names := known.get(m["names"])) is None:
             names = known[m["names"]] = list(dict.fromkeys(_NAMES.findall(m["names"])))
+        if _VALUES.issuperset(names) and key[0] and _BETWEEN.fullmatch(text, key[1], m.start()):
+            names = [*names, key[0]]
+        one = text[slice(*spans[0])] if len(spans) == 1 and _KEYS.issuperset(names) else ""
+        key = (one if _NAMES.fullmatch(one) else "", at)
         found.append((names, spans, uses))
     return found
 

@@ -202,7 +202,20 @@ def test_secrets_by_assignment():
         assert not named(clean), clean
 
 
-@pytest.mark.parametrize("unit", ["a=", "x=a&y=b&", "\\'", "'x=", "a:b ", "key: |\n", "a + 'b' + ", "pwd a.", "\"`'", "pwd: |\n x\n"])
+def test_secrets_in_other_forms():
+    named = lambda text: [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"]
+    literal = "k7Qz9LmX2vBn4RtY8wPc"
+    for text in (
+        f'my_pwd = """{literal}"""', f"my_pwd = '''\n  {literal}\n'''", f'my_pwd = r"""{literal}"""', f'my_pwd = "" "{literal}"', f'my_pwd = (\n  "{literal}"\n)', f'AUTH = "Bearer {literal}"', f"Authorization: Basic {literal}",
+        f'<add key="DbPwd" value="{literal}"/>', f"<property name='db.pwd' value='{literal}'/>", f"- name: DB_PWD\n  value: {literal}", f'{{"name": "DB_PWD", "value": "{literal}"}}',
+    ):
+        assert named(text) == [literal], text
+    assert named(f'pwd = ("{literal[:10]}"\n       "{literal[10:]}")') == [literal[:10], literal[10:]]
+    for clean in (f'name = "colour" value = "{literal}"', f'name = "DB_PWD"\nother = 1\nvalue = "{literal}"', 'PWD_FIELDS = ("password1", "password2")', f'say ("pwd" "{literal}")', f'pwd = """\n{literal}', 'pwd = ""', "pwd = ''''", 'my_auth = "Bearer "', f'pwd_hint = """{literal}"""'):
+        assert not named(clean), clean
+
+
+@pytest.mark.parametrize("unit", ["a=", "x=a&y=b&", 'pwd = ("a" ', 'pwd="""\\', '"""', 'key="a" value="b" ', "pwd='''a", "auth: Bearer ", 'pwd = "a" "b" ', "pwd = (\n", "\\'", "'x=", "a:b ", "key: |\n", "a + 'b' + ", "pwd a.", "\"`'", "pwd: |\n x\n"])
 def test_secrets_in_long_texts_take_time_in_proportion(unit):
     def seconds(n: int) -> float:
         text = "pwd token = " + unit * (n // len(unit))
