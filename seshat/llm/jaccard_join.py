@@ -372,6 +372,7 @@ def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     text has an empty set and links with nothing, also not with its like. Null ids come after all others:
     a component of null ids only has a null one. Repeated rows give a row each. An empty table gives no
     rows; other columns of ``docs`` are not read, whatever their names. ``docs`` is read more than once.
+    Ids are whole numbers of 64 bits, or strings of their digits; other strings end the run with CAST_INVALID_INPUT.
     chunk: nodes that are searched together; a bound on a task's memory, and no cap.
     Shingles are 64-bit hashes and sets have 128-bit numbers: of n distinct sets, n * n / 2 ** 129 pairs are expected to
     have the same number.
@@ -385,7 +386,7 @@ def link(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose id is their component's: one document of each stays.
 
-    Rows without an id stay, as no join can name them; rows that repeat an id stay or go together.
+    Rows without an id stay, as no join can name them; rows that repeat an id stay or go together. Ids are as in ``link``.
     """
     others = link(docs, id_column=id_column, text_column=text_column).where(f"{id_column} <> component_id").select(id_column).distinct()
     return docs.join(Staging(docs.sparkSession, "copies").write(others, "copies"), id_column, "left_anti").select(*docs.columns)

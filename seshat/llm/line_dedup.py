@@ -168,7 +168,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
 
     A null text has one empty line, which stays; so does an empty one. Repeated rows give a row each,
     all with the same lines kept. A document can lose all its lines: its text is then empty. An empty
-    table gives no rows. Other columns of ``docs`` are not read, whatever their names.
+    table gives no rows. Other columns of ``docs`` are not read, whatever their names. Ids are whole numbers of 64 bits, or
+    strings of their digits; other strings end the run with CAST_INVALID_INPUT.
     """
     maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
     joined = _marked(docs, id_column, text_column).join(maps.hint("shuffle_hash"), ["doc", "mark"], "left")  # texts are not sorted
@@ -184,7 +185,7 @@ def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int =
     """``docs`` with all its rows and columns; texts lose the lines that ``dedup_lines`` drops.
 
     Texts that lose none stay as they are, null ones too; ``length_column``, if there is one, gets the new
-    length in characters where lines went.
+    length in characters where lines went. Ids are as in ``dedup_lines``.
     """
     maps = keep_bitmaps(docs, min_chars, min_documents, id_column=id_column, text_column=text_column)
     named = maps.select(F.col("doc").alias("seshat_doc"), F.col("mark").alias("seshat_mark"), F.col("keep").alias("seshat_keep"))

@@ -241,6 +241,16 @@ def test_decode_alone(docs):
     assert {(r["doc_id"], bytes(r["decoded"])) for r in byte_bpe.decode(coded, RANKS).collect()} == {(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
 
 
+def test_ids_are_whole_numbers(spark):
+    digits = spark.createDataFrame([("7", "a b c d e"), ("10", "a b c d e")], "doc_id string, text string")
+    assert {tuple(r) for r in jaccard_join.link(digits).collect()} == {(7, 1, 7), (10, 1, 7)}
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(digits).collect()} == {7, 10}
+    named = digits.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    for run in (jaccard_join.link, jaccard_join.keep_one, line_dedup.dedup_lines, line_dedup.dedup_rows):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            run(named).collect()
+
+
 def test_secrets_of_a_long_mixed_text():
     text = "".join(f'password = "hunter{i}x9Kq"\nmy_pwd: "zX9{i}qLmN7tR"\n' for i in range(40_000))
     began = time.time()
