@@ -14,16 +14,17 @@ MAX_ITEMS = 50
 CLAIMS = 5
 
 
-def admit(rows: DataFrame, order: Sequence[Column], cost: Column, budget: int, *, max_items: int = MAX_ITEMS) -> DataFrame:
+def admit(rows: DataFrame, order: Sequence[Column], cost: Column, budget: int, *, max_items: int | None = MAX_ITEMS) -> DataFrame:
     """``rows`` in order, each admitted if the budget still holds its cost; a row too large is skipped and later ones
-    may fit. Adds admitted and used (budget spent after the row). At most some hundreds of ranked rows come here:
+    may fit; ``max_items`` at most, if given. Adds admitted and used (budget spent after the row). At most some hundreds of ranked rows come here:
     they are folded in one array."""
     item = F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), F.struct(*rows.columns).alias("row"), cost.cast("bigint").alias("cost"))
     folded = rows.agg(F.array_sort(F.collect_list(item)).alias("all"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<ok:boolean,used:bigint>>").alias("marks"))
 
     def step(a: Column, x: Column) -> Column:
-        ok = (a["used"] + x["cost"] <= budget) & (a["n"] < max_items)
+        ok = a["used"] + x["cost"] <= budget
+        ok = ok if max_items is None else ok & (a["n"] < max_items)
         used = a["used"] + F.when(ok, x["cost"]).otherwise(0)
         return F.struct(used.alias("used"), (a["n"] + ok.cast("int")).alias("n"), F.concat(a["marks"], F.array(F.struct(ok.alias("ok"), used.alias("used")))).alias("marks"))
 

@@ -39,7 +39,7 @@ def evidence(symbols: DataFrame, edges: DataFrame, vault: DataFrame, query: str,
 
 
 def context(rows: DataFrame, max_tokens: int) -> DataFrame:
-    """The rows of ``evidence`` in order of section, rank and id, each admitted as far as the budget goes."""
+    """The rows of ``evidence`` in order of section, rank and id, each admitted as far as the budget goes, however many they are."""
     place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
     cost = tokens_of(F.col("section"), F.col("evidence_id"), F.col("title"))
-    return packing.admit(rows, [place, F.col("rk"), F.col("evidence_id")], cost, max_tokens)
+    return packing.admit(rows, [place, F.col("rk"), F.col("evidence_id")], cost, max_tokens, max_items=None)

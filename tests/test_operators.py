@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from seshat.operators import code_graph, fusion, graph, keyword, packing, vector
+from seshat.operators import code_graph, fusion, graph, keyword, packing, project, vector
 from seshat.operators.components import components
 from seshat.plans.staging import Staging, shared_folder
 
@@ -118,6 +118,11 @@ def test_budget_skips_what_does_not_fit(spark):
     assert [(r["rk"], r["admitted"], r["used"]) for r in packing.admit(rows, [F.col("rk")], F.col("cost"), 10).orderBy("rk").collect()] == [(1, True, 5), (2, False, 5), (3, True, 9), (4, True, 10), (5, False, 10)]
 
 
+def test_only_the_budget_bounds_a_project_context(spark):
+    rows = spark.createDataFrame([("code" if k < 30 else "vault", f"e{k:03}", "t", k) for k in range(70)], "section string, evidence_id string, title string, rk long")
+    assert project.context(rows, 10_000).where("admitted").count() == 70
+
+
 def test_components_of_whole_forests_and_in_rounds(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(600)] + [(k, k + 1) for k in range(2000, 2100)] + [(5000, 5000)]
