@@ -31,7 +31,9 @@ from .keyword import B, FIELDS, IDF_FLOOR, K1, query_phrases, ranked
 
 #: Rows of a range, of which an index of fewer rows has RANGES about; ranges whose blocks of a token one task writes at most; characters of text for each partition by token,
 #: and the most such partitions; packed bytes that a task unpacks and sorts at once.
-RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS, UNPACKED = 1024, 256, 256, 1 << 23, 4096, 1 << 20
+RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS, UNPACKED = 1024, 256, 256, 1 << 23, 4096, 1 << 21
+#: Blocks that a task writes, or reads the postings of, at once.
+AT_ONCE, READ_AT_ONCE = 4096, 64
 #: Ranges of the greatest bounds that are scored before the bounds of the others are looked at: so many, and if that leaves
 #: more to be read than these, more.
 FIRST_RANGES = (3, 9, 27)
@@ -41,7 +43,9 @@ MOST_WRITERS, _WRITERS = 64, "spark.sql.maxConcurrentOutputFileWriters"
 MOST_FIELDS = 16
 
 HEADS = "token string, range bigint, n bigint, total bigint, front array<struct<f:int,length:int>>"
-LISTS = "lengths array<int>, counts array<int>, masks array<int>, starts array<int>, places array<int>"
+#: A block's postings as numbers side by side, and the types of the four columns; masks are left out for a single field.
+PACKED = ("lengths", "counts", "masks", "places")
+LISTS = "kinds string, " + ", ".join(f"{c} binary" for c in PACKED)
 MINUS, STATISTICS = "token string, n bigint", "n bigint, total bigint, minus_n bigint, minus_total bigint, buckets int"
 
 
@@ -69,10 +73,42 @@ def _starts(*sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, (c[1:] != c[:-1] for c in sorted_)))))
 
 
+def _first(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin."""
+    return np.cumsum(sizes) - sizes
+
+
+def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first``, one run after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - _first(sizes), sizes)
+
+
+def _kind(x: np.ndarray) -> str:
+    """The narrowest type that holds these numbers, which are not negative."""
+    top = int(x.max()) if len(x) else 0
+    return "B" if top < 1 << 8 else "H" if top < 1 << 16 else "I"
+
+
+def _bytes(x: np.ndarray, starts: np.ndarray, kind: str) -> pa.Array:
+    """The numbers from each of ``starts`` to the next one as bytes."""
+    data = np.ascontiguousarray(x, np.dtype(f"<{kind}"))
+    ends = pa.array(np.append(starts, len(x)) * data.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(data)])
+
+
+def _numbers(packed: Sequence[pa.Buffer], kinds: Sequence[str]) -> np.ndarray:
+    """What ``_bytes`` has packed, one after the other."""
+    return np.concatenate([np.frombuffer(b, np.dtype(f"<{k}")).astype(np.int64) for b, k in zip(packed, kinds, strict=True)])
+
+
+#: Columns of packed numbers of a range and a bucket.
+SHUFFLED = ("n", "who", "count", "place", "length")
+
+
 @dataclass(frozen=True)
-class Range:
-    """The postings of a range by token and row: tokens, with the number of rows of each; row numbers and counts of entries;
-    places of occurrences; and of each row the kept columns and its length."""
+class Postings:
+    """Postings by token and row: tokens, with the number of rows of each; row numbers and counts of entries; places of
+    occurrences; and of each row the kept columns and its length."""
 
     tokens: pa.Array
     n: np.ndarray
@@ -83,15 +119,14 @@ class Range:
     length: np.ndarray
 
     @classmethod
-    def of(cls, kept: Sequence[pa.Array], fields: Sequence[pa.Array]) -> Range:
+    def of(cls, kept: Sequence[pa.Array], fields: Sequence[pa.Array]) -> Postings:
         """fields: each a list of tokens a row."""
         rows, field, pos, words = [], [], [], []
         for i, column in enumerate(fields):
             sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
             rows.append(np.repeat(np.arange(len(sizes)), sizes))
-            pos.append(np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes))
-            field.append(np.full(int(ends[-1]), i))
+            pos.append(np.arange(int(sizes.sum())) - np.repeat(_first(sizes), sizes))
+            field.append(np.full(len(pos[-1]), i))
             words.append(column.flatten())
         encoded = pa.concat_arrays(words).dictionary_encode()
         code, row, place = encoded.indices.to_numpy(), np.concatenate(rows), np.concatenate(pos) * MOST_FIELDS + np.concatenate(field)
@@ -102,65 +137,78 @@ class Range:
         count = np.diff(np.append(entry, len(code)))
         return cls(encoded.dictionary.take(pa.array(code[entry][block])), np.diff(np.append(block, len(entry))), row[entry], count, place[order], list(kept), np.bincount(row, minlength=len(kept[0])))
 
-    def some(self, which: np.ndarray) -> Range:
-        """Those of the tokens that ``which`` (a mask) has, and the rows that have them."""
-        entries = np.repeat(which, self.n)
-        rows, who = np.unique(self.who[entries], return_inverse=True)
-        return Range(self.tokens.filter(pa.array(which)), self.n[which], who, self.count[entries], self.place[np.repeat(entries, self.count)], [c.take(pa.array(rows)) for c in self.kept], self.length[rows])
-
-    def pack(self) -> list[bytes]:
-        """Four streams. Places are written as differences within an entry."""
-        first = np.cumsum(self.count) - self.count
-        step = np.diff(self.place, prepend=0)
-        step[first] = self.place[first]
-        small = lambda x, kind: pa.array(x.astype(kind))
-        named = ([self.tokens, small(self.n, np.int32)], [small(self.who, np.int32), small(self.count, np.int32)], [small(step, np.int32)], [*self.kept, small(self.length, np.int32)])
-        return [_stream(pa.record_batch(columns, names=list(map(str, range(len(columns)))))) for columns in named]
+    def ordered(self, order: np.ndarray) -> Postings:
+        """The same with the tokens in this order."""
+        places = np.add.reduceat(self.count, _first(self.n)) if len(self.n) else self.n
+        entry = _spans(_first(self.n)[order], self.n[order])
+        return Postings(self.tokens.take(pa.array(order)), self.n[order], self.who[entry], self.count[entry], self.place[_spans(_first(places)[order], places[order])], self.kept, self.length)
+
+    def pack(self, bucket: np.ndarray, number: int) -> pa.RecordBatch:
+        """One row for each bucket of tokens, with the rows that have them; ``bucket``: that of each token."""
+        order = np.argsort(bucket, kind="stable")
+        own, bucket, rows = self.ordered(order), bucket[order], len(self.length)
+        token = _starts(bucket)
+        entry = _first(own.n)[token]
+        place = _first(own.count)[entry]
+        at = np.repeat(np.arange(len(token)) * rows, np.diff(np.append(entry, len(own.who)))) + own.who
+        has = np.zeros(len(token) * rows, bool)
+        has[at] = True
+        first_row = _first(has.reshape(len(token), rows).sum(axis=1)) if rows else token
+        who = np.cumsum(has)[at] - 1 - first_row[at // rows] if rows else own.who
+        which = np.flatnonzero(has) % rows if rows else at
+        numbers = {"n": (own.n, token), "who": (who, entry), "count": (own.count, entry), "place": (own.place, place), "length": (own.length[which], first_row)}
+        kinds = "".join(_kind(numbers[c][0]) for c in SHUFFLED)
+        columns = {
+            "bucket": pa.array(bucket[token], pa.int32()), "range": pa.array(np.full(len(token), number), pa.int64()), "kinds": pa.array([kinds] * len(token), pa.string()), "tokens": _lists(own.tokens, token),
+            **{c: _bytes(*numbers[c], k) for c, k in zip(SHUFFLED, kinds, strict=True)}, **{f"k{i}": _lists(c.take(pa.array(which)), first_row) for i, c in enumerate(self.kept)},
+        }
+        return pa.record_batch(list(columns.values()), names=list(columns))
 
     @classmethod
-    def unpack(cls, streams: Sequence[pa.Scalar]) -> Range:
-        (tokens_, n), (who, count), (step,), (*kept, length) = (pa.ipc.open_stream(s.as_buffer()).read_next_batch().columns for s in streams)
-        n, who, count, step, length = (x.to_numpy().astype(np.int64) for x in (n, who, count, step, length))
-        sums = np.cumsum(step)
-        first = np.cumsum(count) - count
-        return cls(tokens_, n, who, count, sums - np.repeat(sums[first] - step[first], count), kept, length)
-
-    def blocks(self, number: int) -> pa.RecordBatch:
-        """One row a token."""
-        first_entry, first_place = np.cumsum(self.n) - self.n, np.cumsum(self.count) - self.count
+    def unpack(cls, packed: Sequence[dict[str, pa.Scalar]]) -> tuple[Postings, np.ndarray]:
+        """Packed rows of one bucket, in order of ranges, as one by token and range, and the range of each token."""
+        kinds = list(zip(*(p["kinds"].as_py() for p in packed), strict=True))
+        n, who, count, place, length = (_numbers([p[c].as_buffer() for p in packed], k) for c, k in zip(SHUFFLED, kinds, strict=True))
+        names, rows = [p["tokens"].values for p in packed], np.array([len(p["k0"].values) for p in packed])
+        sizes = np.array([len(t) for t in names])
+        entries = np.add.reduceat(n, _first(sizes))
+        kept = [pa.concat_arrays([p[c].values for p in packed]) for c in packed[0] if c.startswith("k") and c != "kinds"]
+        all_ = cls(pa.concat_arrays(names), n, who + np.repeat(_first(rows), entries), count, place, kept, length)
+        encoded = all_.tokens.dictionary_encode()
+        rank = np.empty(len(encoded.dictionary), np.int64)
+        rank[pc.array_sort_indices(encoded.dictionary).to_numpy()] = np.arange(len(rank))
+        order = np.argsort(rank[encoded.indices.to_numpy()], kind="stable")
+        return all_.ordered(order), np.repeat([p["range"].as_py() for p in packed], sizes)[order]
+
+    def blocks(self, number: np.ndarray, fields: int) -> pa.RecordBatch:
+        """One row a token; ``number``: the range of each."""
+        first_entry, first_place = _first(self.n), _first(self.count)
         of = np.repeat(np.arange(len(self.n)), self.n)
-        first = first_place[first_entry] if len(first_entry) else first_entry
-        octave = np.floor(np.log2(np.maximum(self.count, 1))).astype(np.int64)
-        ladder = np.lexsort((octave, of))
+        first, length = first_place[first_entry], self.length[self.who]
+        octave = np.floor(np.log2(self.count)).astype(np.int64)
+        ladder = np.argsort(of * 64 + octave, kind="stable")
         step = _starts(of[ladder], octave[ladder])
-        front = [f.reduceat(x[ladder], step) if len(step) else x[:0] for f, x in ((np.maximum, self.count), (np.minimum, self.length[self.who]))]
-        rungs = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in front], names=["f", "length"])
-        mask = np.bitwise_or.reduceat(1 << (self.place % MOST_FIELDS), first_place) if len(first_place) else first_place
-        own = lambda values: _lists(pa.array(values, pa.int32()), first_entry)
+        rungs = pa.StructArray.from_arrays([pa.array(f.reduceat(x[ladder], step), pa.int32()) for f, x in ((np.maximum, self.count), (np.minimum, length))], names=["f", "length"])
+        mask = np.bitwise_or.reduceat(1 << (self.place % MOST_FIELDS), first_place) if fields > 1 else self.n[:0]
+        numbers = {"lengths": (length, first_entry), "counts": (self.count, first_entry), "masks": (mask, first_entry if fields > 1 else first_entry * 0), "places": (self.place, first)}
+        kinds = "".join(_kind(numbers[c][0]) for c in PACKED)
         columns = {
-            "token": self.tokens, "range": pa.array(np.full(len(self.n), number), pa.int64()), "n": pa.array(self.n, pa.int64()), "total": pa.array(np.diff(np.append(first, len(self.place))), pa.int64()),
+            "token": self.tokens, "range": pa.array(number, pa.int64()), "n": pa.array(self.n, pa.int64()), "total": pa.array(np.diff(np.append(first, len(self.place))), pa.int64()),
             "front": _lists(rungs, _starts(of[ladder][step])), **{f"k{i}": _lists(c.take(pa.array(self.who)), first_entry) for i, c in enumerate(self.kept)},
-            "lengths": own(self.length[self.who]), "counts": own(self.count), "masks": own(mask), "starts": own(first_place - np.repeat(first, self.n)), "places": _lists(pa.array(self.place, pa.int32()), first),
+            "kinds": pa.array([kinds] * len(self.n), pa.string()), **{c: _bytes(*numbers[c], k) for c, k in zip(PACKED, kinds, strict=True)},
         }
         return pa.record_batch(list(columns.values()), names=list(columns))
 
 
-def _stream(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _runs(packed: list[tuple]) -> Iterator[list[tuple]]:
+def _runs(packed: list[dict[str, pa.Scalar]]) -> Iterator[list[dict[str, pa.Scalar]]]:
     """The packed ranges of a bucket in runs of about UNPACKED bytes, each with one range at least."""
     run, size = [], 0
-    for number, streams in sorted(packed, key=lambda x: x[0]):
+    for row in sorted(packed, key=lambda x: x["range"].as_py()):
         if run and size > UNPACKED:
             yield run
             run, size = [], 0
-        run.append((number, streams))
-        size += sum(len(s.as_buffer()) for s in streams)
+        run.append(row)
+        size += sum(len(row[c].as_buffer()) for c in SHUFFLED)
     if run:
         yield run
 
@@ -177,7 +225,7 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
     keys name a row; owner columns say whose it is. ``removed`` has the fields of the rows of earlier parts that this part
     takes away; instead, ``folds`` are the folders of parts whose rows, as far as they still hold, the corpus has: what these
     parts have taken away together is then what is missing between their counts and this part's. Rows without tokens count for
-    the statistics. Blocks are made where the rows are; those of a range and a bucket are shuffled as one compressed row, and
+    the statistics. Blocks are made where the rows are; those of a range and a bucket are shuffled as one packed row, and
     sorted by token where they arrive, at most TOGETHER ranges and about UNPACKED bytes at once.
     """
     if len(fields) > MOST_FIELDS:
@@ -189,38 +237,37 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
     salts = max(1, -(-sizes["n"] // (range_rows * TOGETHER)))
     n_kept, n_fields = len(kept), len(fields)
 
-    streams = ["tokens", "entries", "places", "rows"]
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All blocks of a range and a bucket in one row."""
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), range_rows):
                 part = batch.slice(at, range_rows)
-                whole = Range.of(part.columns[:n_kept], part.columns[n_kept : n_kept + n_fields])
-                of = np.array([zlib.crc32(t.encode()) % buckets for t in whole.tokens.to_pylist()] if buckets > 1 else [0] * len(whole.tokens), np.int32)
-                for bucket in np.unique(of):
-                    yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in whole.some(of == bucket).pack())], names=["bucket", "range", *streams])
+                whole = Postings.of(part.columns[:n_kept], part.columns[n_kept : n_kept + n_fields])
+                if len(whole.tokens):
+                    yield whole.pack(np.array([zlib.crc32(t.encode()) % buckets for t in whole.tokens.to_pylist()] if buckets > 1 else [0] * len(whole.tokens), np.int64), number)
                 number += 1
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks by bucket, token and range."""
-        found: dict[int, list[tuple]] = {}
+        found: dict[int, list[dict]] = {}
         for batch in batches:
-            for bucket, number, *packed_ in zip(*(batch.column(c) for c in ("bucket", "range", *streams)), strict=True):
-                found.setdefault(bucket.as_py(), []).append((number.as_py(), packed_))
+            for row in zip(*batch.columns, strict=True):
+                named = dict(zip(batch.schema.names, row, strict=True))
+                found.setdefault(named["bucket"].as_py(), []).append(named)
         for bucket in sorted(found):  # what isn't at hand stays packed
             for some in _runs(found.pop(bucket)):
-                blocks = pa.Table.from_batches([Range.unpack(x).blocks(number) for number, x in some]).combine_chunks()
-                order = pc.sort_indices(blocks, [("token", "ascending"), ("range", "ascending")])
-                for at in range(0, len(order), 4096):
-                    for piece in blocks.take(order[at : at + 4096]).to_batches():
-                        yield pa.record_batch([*piece.columns, pa.array([bucket] * len(piece), pa.int32())], names=[*piece.schema.names, "bucket"])
+                own, number = Postings.unpack(some)
+                blocks = own.blocks(number, n_fields)
+                for at in range(0, len(blocks), AT_ONCE):
+                    piece = blocks.slice(at, AT_ONCE)
+                    yield pa.record_batch([*piece.columns, pa.array([bucket] * len(piece), pa.int32())], names=[*piece.schema.names, "bucket"])
 
     split = _split(corpus, kept, fields)
     types = dict(split.dtypes)
-    schema = f"{HEADS}, {', '.join(f'k{i} array<{types[c]}>' for i, c in enumerate(kept))}, {LISTS}, bucket int"
-    dealt = split.mapInArrow(packed, f"bucket int, range bigint, {', '.join(f'{c} binary' for c in streams)}").repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(salts)))
+    own = ", ".join(f"k{i} array<{types[c]}>" for i, c in enumerate(kept))
+    schema = f"{HEADS}, {own}, {LISTS}, bucket int"
+    dealt = split.mapInArrow(packed, f"bucket int, range bigint, kinds string, tokens array<string>, {', '.join(f'{c} binary' for c in SHUFFLED)}, {own}").repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(salts)))
     before = spark.conf.get(_WRITERS)
     spark.conf.set(_WRITERS, str(MOST_WRITERS))  # rows come by bucket: no sort of them is needed to write their folders
     try:
@@ -275,12 +322,25 @@ class BlockIndex:
         return reduce(DataFrame.unionByName, found)
 
     def _entries(self, blocks: DataFrame, *, places: bool = False) -> DataFrame:
-        """(part, token, keys, owner, length, f, mask, places) of the blocks' rows that no later part has taken away."""
-        kept = [*dict.fromkeys([*self.keys, *self.owner])]
-        zipped = F.arrays_zip(*(F.col(f"k{i}") for i in range(len(kept))), "lengths", "counts", "masks", "starts")
-        each = blocks.select("part", "token", *(["places"] if places else []), F.explode(zipped).alias("e"))
-        named = [F.col("e")[f"k{i}"].alias(c) for i, c in enumerate(kept)] + [F.col("e")[a].alias(b) for a, b in (("lengths", "length"), ("counts", "f"), ("masks", "mask"))]
-        entries = each.select("part", "token", *named, *([F.slice("places", F.col("e")["starts"] + 1, F.col("e")["counts"]).alias("places")] if places else []))
+        """(part, range, token, keys, owner, length, f, mask, places) of the blocks' rows that no later part has taken away."""
+        kept, n_fields = [*dict.fromkeys([*self.keys, *self.owner])], len(self.fields)
+        types = dict(blocks.dtypes)
+        columns = ["part", "range", "token", *(f"k{i}" for i in range(len(kept))), "kinds", "lengths", "counts", *(["masks"] if n_fields > 1 else []), *(["places"] if places else [])]
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), READ_AT_ONCE):
+                    some = dict(zip(columns, batch.slice(at, READ_AT_ONCE).columns, strict=True))
+                    kinds = list(zip(*some["kinds"].to_pylist(), strict=True))
+                    numbers = {c: _numbers([x.as_buffer() for x in some[c]], k) for c, k in zip(PACKED, kinds, strict=True) if c in some}
+                    of = pa.array(np.repeat(np.arange(len(some["part"])), some["k0"].value_lengths().to_numpy(zero_copy_only=False)))
+                    counts, small = numbers["counts"], lambda x: pa.array(x, pa.int32())
+                    found = [*(some[c].take(of) for c in ("part", "range", "token")), *(some[f"k{i}"].flatten() for i in range(len(kept))), small(numbers["lengths"]), small(counts), small(numbers.get("masks", np.ones(len(counts), np.int64)))]
+                    yield pa.record_batch(found + ([_lists(small(numbers["places"]), _first(counts))] if places else []), names=names)
+
+        names = ["part", "range", "token", *kept, "length", "f", "mask", *(["places"] if places else [])]
+        schema = f"part int, range bigint, token string, {', '.join(f'`{c}` ' + types[f'k{i}'][len('array<') : -1] for i, c in enumerate(kept))}, length int, f int, mask int" + (", places array<int>" if places else "")
+        entries = blocks.select(*columns).mapInArrow(opened, schema)
         gone = [p.gone.select(*(F.col(c).alias(f"seshat_{c}") for c in self.owner), F.lit(k).alias("seshat_by")) for k, p in enumerate(self.parts) if p.gone is not None]
         if not gone:
             return entries
@@ -310,13 +370,14 @@ class BlockIndex:
         share = reduce(lambda c, t: c.when(F.col("token") == t, most(weights[t])), weights, F.when(F.lit(False), 0.0))
         return heads.groupBy("part", "range").agg(F.sum(share).alias("bound"))
 
-    def _scored(self, wanted: Sequence[str], blocks: DataFrame, score_of: dict[str, float], allowed: DataFrame | None, digits: int) -> DataFrame:
-        rows = self._entries(blocks)
+    def _scored(self, wanted: Sequence[str], blocks: DataFrame, score_of: dict[str, float], allowed: DataFrame | None, digits: int, *, where: bool = False) -> DataFrame:
+        """keys, score, fields, and with ``where`` the part and range of each row."""
+        rows, place = self._entries(blocks), ["part", "range"] if where else []
         rows = rows if allowed is None else rows.join(allowed.select(*self.keys), self.keys, "left_semi")
         f = [F.coalesce(F.max(F.when(F.col("token") == t, F.col("f"))), F.lit(0)).alias(f"f{k}") for k, t in enumerate(wanted)]
-        grouped = rows.groupBy(*self.keys).agg(F.max("length").alias("length"), F.bit_or("mask").alias("mask"), *f)
+        grouped = rows.groupBy(*self.keys, *place).agg(F.max("length").alias("length"), F.bit_or("mask").alias("mask"), *f)
         total = reduce(add, (self._part(score_of[t], F.col(f"f{k}"), F.col("length")) for k, t in enumerate(wanted)))
-        return grouped.select(*self.keys, F.round(-total, digits).alias("score"), self._names(F.col("mask")).alias("fields"))
+        return grouped.select(*self.keys, *place, F.round(-total, digits).alias("score"), self._names(F.col("mask")).alias("fields"))
 
     def _names(self, mask: Column) -> Column:
         return F.array_compact(F.array(*(F.when(mask.bitwiseAND(1 << i) != 0, f) for i, f in sorted(enumerate(self.fields), key=lambda x: x[1]))))

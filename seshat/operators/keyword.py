@@ -6,13 +6,17 @@ import math
 import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, and_
+from operator import add
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences, tokens
 
+if TYPE_CHECKING:
+    from .block_index import BlockIndex
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FIELDS = ("path", "section", "title", "frontmatter", "text")
 
@@ -94,61 +98,33 @@ def postings(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str] = FIE
     return placed.groupBy("token", *keys, "field", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-#: Partitions of a stored index by hashes of tokens.
-BUCKETS = 64
-
-
 class Index:
-    """A stored index: postings in partitions by token, and one row (n, total) of statistics of the corpus.
+    """A stored index of a corpus that is written once: blocks of postings in partitions by token (see ``block_index``).
 
     A search reads the partitions of its tokens, and in them the row groups that can have these tokens.
     """
 
-    def __init__(self, stored: DataFrame, statistics: DataFrame, keys: Sequence[str]):
-        self.stored, self.statistics, self.keys = stored, statistics, list(keys)
-
-    @staticmethod
-    def _bucket(token: Column) -> Column:
-        return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    def __init__(self, blocks: BlockIndex):
+        self.blocks = blocks
 
     @classmethod
     def write(cls, corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: str) -> Index:
         """Writes below ``root``; keys name a row of the corpus. Rows without tokens count for the statistics."""
-        found = postings(corpus, keys, fields).withColumn("bucket", cls._bucket(F.col("token")))
-        found.repartition("bucket", F.pmod(F.xxhash64(*keys), F.lit(16))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{root}/postings")
-        spark = corpus.sparkSession
-        total = spark.read.parquet(f"{root}/postings").agg(F.sum(F.size("positions")).alias("total"))
-        corpus.agg(F.count("*").alias("n"), F.lit(1).alias("one")).join(total.withColumn("one", F.lit(1)), "one").drop("one").write.parquet(f"{root}/statistics")
-        return cls.open(spark, root, keys)
+        from . import block_index  # which needs this module
+
+        block_index.write(corpus, keys, fields, root)
+        return cls.open(corpus.sparkSession, root, keys, fields)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, keys: Sequence[str]) -> Index:
-        return cls(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/statistics"), keys)
+    def open(cls, spark: SparkSession, root: str, keys: Sequence[str], fields: Sequence[str] = FIELDS) -> Index:
+        from . import block_index
+
+        return cls(block_index.BlockIndex(spark, [block_index.Part(root)], keys, fields))
 
     def frequencies(self, phrases: list[list[str]]) -> DataFrame:
         """keys, length, f0, f1, ... and fields for each row that has a phrase."""
-        wanted = sorted({t for p in phrases for t in p})
-        buckets = self.stored.sparkSession.range(1).select(*(self._bucket(F.lit(t)) for t in wanted)).first()
-        rows = self.stored.where(F.col("bucket").isin(*set(buckets)) & F.col("token").isin(*wanted))
-        one_field = rows.groupBy(*self.keys, "length", "field").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
-        none = F.array().cast("array<int>")
-
-        def occurs(phrase: list[str]) -> Column:
-            places = [F.coalesce(F.element_at("at", F.lit(t)), none) for t in phrase]
-            here = lambda i: reduce(and_, [F.array_contains(p, i + k) for k, p in enumerate(places[1:], 1)], F.lit(True))
-            return F.size(F.filter(places[0], here))
-
-        counted_ = one_field.select(*self.keys, "length", "field", *(occurs(p).alias(f"f{k}") for k, p in enumerate(phrases)))
-        some = " OR ".join(f"f{k} > 0" for k in range(len(phrases)))
-        return counted_.where(some).groupBy(*self.keys, "length").agg(*(F.sum(f"f{k}").alias(f"f{k}") for k in range(len(phrases))), F.array_sort(F.collect_set("field")).alias("fields"))
+        return self.blocks.phrase_counts(phrases)
 
     def search(self, query: str, k: int, *, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
         """As ``search`` of the corpus; ``allowed`` (keys) holds before the limit, and not for the statistics."""
-        phrases = query_phrases(query)
-        found = self.frequencies(phrases)
-        row = self.statistics.first()
-        counts = found.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases)))).first()
-        stats = {"n": float(row["n"]), "total": float(row["total"] or 0)} | {c: float(counts[c]) for c in counts.__fields__}
-        found = found if allowed is None else found.join(allowed.select(*self.keys), self.keys, "left_semi")
-        scored = found.select(*self.keys, F.round(_score(stats, len(phrases)), digits).alias("score"), "fields")
-        return ranked(scored.orderBy("score", *self.keys).limit(k), [F.col("score"), *map(F.col, self.keys)])
+        return self.blocks.search(query, k, allowed=allowed, digits=digits)

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,24 @@ def test_block_index(spark, tmp_path):
         assert (index.n, index.total) == (len(now), sum(len(f"{r[2]} {r[3] or ''}".replace("_", " ").split()) for r in now))
         for q, found, wanted in check(index, now, 6):
             assert found == wanted, q
+
+
+def test_packed_ranges_hold_what_was_put_in():
+    rng, words = np.random.default_rng(5), [f"w{k}" for k in range(500)]
+    lists = [[words[w] for w in rng.integers(0, 500, rng.integers(0, 90))] for _ in range(64)]
+    whole = block_index.Postings.of([pa.array(range(64)), pa.array([f"r{k}" for k in range(64)])], [pa.array(lists, pa.list_(pa.string()))])
+    bucket = np.array([sum(map(ord, t)) % 7 for t in whole.tokens.to_pylist()])
+    packed = whole.pack(bucket, 3)
+    assert packed.column("bucket").to_pylist() == sorted(set(bucket.tolist()))
+    found = {}
+    for row in zip(*packed.columns, strict=True):
+        own, number = block_index.Postings.unpack([dict(zip(packed.schema.names, row, strict=True))])
+        assert set(number) == {3} and own.tokens.to_pylist() == sorted(own.tokens.to_pylist())
+        entry = place = 0
+        for token, n in zip(own.tokens.to_pylist(), own.n, strict=True):
+            for who, count in zip(own.who[entry : entry + n], own.count[entry : entry + n], strict=True):
+                found[own.kept[0][who].as_py(), token] = (own.kept[1][who].as_py(), own.length[who], own.place[place : place + count].tolist())
+                place += count
+            entry += n
+    wanted = {(k, t): (f"r{k}", len(words_), [i * block_index.MOST_FIELDS for i, w in enumerate(words_) if w == t]) for k, words_ in enumerate(lists) for t in words_}
+    assert found == wanted

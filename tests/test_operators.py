@@ -186,6 +186,12 @@ def test_stored_index_is_as_a_search_of_the_corpus(spark, tmp_path):
     assert [r["rowid"] for r in only] == [6, 4] or [r["rowid"] for r in only] == [4, 6]
 
 
+def test_a_stored_index_shuffles_no_single_postings(spark, tmp_path):
+    keyword.Index.write(spark.createDataFrame([(k, "a b a c") for k in range(200)], "id int, text string"), ["id"], ["text"], str(tmp_path / "index"))
+    stored = spark.read.parquet(f"{tmp_path}/index/blocks")
+    assert stored.agg(F.sum("n"), F.sum("total")).first() == (600, 800) and stored.count() < 400
+
+
 def test_a_search_splits_each_field_once(spark):
     corpus = spark.createDataFrame(ROWS, "rowid int, path string, section string, title string, frontmatter string, text string")
     plan = keyword.counted(corpus, ["text"], keyword.query_phrases("graph foo_bar search")).where("f0 > 0 OR f1 > 0 OR f2 > 0")._jdf.queryExecution().optimizedPlan().toString()
