@@ -3,7 +3,8 @@
 Rows that a task reads one after the other are a range. A block holds the postings of one token in one range, and beside them
 its front: the largest counts of the token with the shortest rows that have them, which bound the token's share of any score in
 the block. A search adds these bounds up for each range, scores the ranges with the greatest sums first, and reads of the others
-only those that can still reach the k best.
+only those that can still reach the k best. Tokens that together can't lift a row to the k-th score are read last, in the ranges
+where a row still can with what its other tokens give it.
 
 An index may have several parts, written one after the other: rows in later parts, and rows that a later part's ``gone`` names
 by their owner, replace those of earlier parts. Counts of documents stay exact, as each part keeps what it has taken away.
@@ -364,11 +365,11 @@ class BlockIndex:
         return F.lit(idf) * f * (K1 + 1) / (f + K1 * norm)
 
     def _bounds(self, weights: dict[str, float]) -> DataFrame:
-        """(part, range, bound): what no score of the range's rows exceeds."""
+        """(part, range, token, bound): what no row of the range gets for the token."""
         heads = self._blocks(list(weights)).select("part", "range", "token", "front")
         most = lambda idf: F.array_max(F.transform("front", lambda r: self._part(idf, r["f"], r["length"])))
         share = reduce(lambda c, t: c.when(F.col("token") == t, most(weights[t])), weights, F.when(F.lit(False), 0.0))
-        return heads.groupBy("part", "range").agg(F.sum(share).alias("bound"))
+        return heads.select("part", "range", "token", share.alias("bound"))
 
     def _scored(self, wanted: Sequence[str], blocks: DataFrame, score_of: dict[str, float], allowed: DataFrame | None, digits: int, *, where: bool = False) -> DataFrame:
         """keys, score, fields, and with ``where`` the part and range of each row."""
@@ -387,17 +388,38 @@ class BlockIndex:
         times = Counter(t for p in query_phrases(query) for t in p)
         found = self.frequencies(list(times))
         weights = {t: self._idf(found.get(t, 0)) * m for t, m in times.items()}
-        blocks, bounds = self._blocks(list(times)), self._bounds(weights)
+        blocks, shares, place = self._blocks(list(times)), self._bounds(weights), ["part", "range"]
+        bounds = shares.groupBy(*place).agg(F.sum("bound").alias("bound"))
         early = F.lit(False)
         for number in FIRST_RANGES:
             first = bounds.orderBy(F.desc("bound"), "part", "range").limit(number).collect()
             early = reduce(lambda a, b: a | b, ((F.col("part") == r["part"]) & (F.col("range") == r["range"]) for r in first), F.lit(False))
             best = self._scored(list(times), blocks.where(early), weights, allowed, digits).orderBy("score").limit(k).agg(F.count("*").alias("n"), F.max("score").alias("worst")).first()
             # scores are negative and rounded: a range at the k-th score itself may hold rows that tie
-            reach = bounds if best["n"] < k else bounds.where(F.col("bound") >= -best["worst"] - 10.0**-digits)
+            least = -best["worst"] - 10.0**-digits if best["n"] == k else None
+            reach = bounds if least is None else bounds.where(F.col("bound") >= least)
             if len(first) < number or reach.limit(number + 1).count() <= number:
                 break
-        return weights, blocks.join(reach.select("part", "range"), ["part", "range"], "left_semi"), early
+        chosen = blocks.join(reach.select(*place), place, "left_semi")
+        cheap = [] if least is None else self._cheap(shares, least)
+        if not cheap:
+            return weights, chosen, early
+        dear = ~F.col("token").isin(*cheap)
+        rows = self._scored(list(times), chosen.where(dear), weights, allowed, digits, where=True).select(*place, "score")
+        rest = shares.where(~dear).groupBy(*place).agg(F.sum("bound").alias("rest"))
+        alive = rows.join(rest, place).where(F.col("rest") - F.col("score") >= least - 10.0**-digits).select(*place)
+        return weights, chosen.where(dear).unionByName(chosen.where(~dear).join(alive, place, "left_semi")), early
+
+    @staticmethod
+    def _cheap(shares: DataFrame, least: float) -> list[str]:
+        """Of the tokens with the least bounds, as many as together stay below ``least``, so that no row of theirs alone reaches it."""
+        found, total = [], 0.0
+        for r in shares.groupBy("token").agg(F.max("bound").alias("bound")).orderBy("bound", "token").collect():  # one row a token
+            total += r["bound"]
+            if total >= least:
+                break
+            found.append(r["token"])
+        return found
 
     def search(self, query: str, k: int, *, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
         """keys, score (lower is better), fields that matched, rk: as keyword.search of the rows that are there.

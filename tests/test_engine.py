@@ -189,6 +189,19 @@ def test_block_index(spark, tmp_path):
             assert found == wanted, q
 
 
+def test_a_token_that_cannot_lift_a_row_is_read_last(spark, tmp_path):
+    # every range has both rare tokens, so that all reach by their bounds, but only row 1 has them together
+    rows = [(k, "the ra ra rb" if k == 1 else "the the the ra" if k % 4 == 0 else "the the the rb" if k % 4 == 1 else "the y y y") for k in range(640)]
+    corpus = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    block_index.write(corpus, ["id"], ["text"], str(tmp_path / "i"), range_rows=4)
+    index = block_index.BlockIndex(spark, [block_index.Part(str(tmp_path / "i"))], ["id"], ["text"])
+    columns = lambda df: [(r["id"], r["score"], r["fields"], r["rk"]) for r in df.collect()]
+    for query, k in (("ra rb the", 1), ("ra rb the", 3), ("the the", 4), ("rb the", 700)):
+        assert columns(index.search(query, k)) == columns(keyword.search(corpus, query, ["id"], k)), query
+    read = {r["token"]: (r["blocks"], r["read"]) for r in index.reading("ra rb the", 1).collect()}
+    assert read["the"][0] == 160 and read["the"][1] < 40
+
+
 def test_packed_ranges_hold_what_was_put_in():
     rng, words = np.random.default_rng(5), [f"w{k}" for k in range(500)]
     lists = [[words[w] for w in rng.integers(0, 500, rng.integers(0, 90))] for _ in range(64)]
