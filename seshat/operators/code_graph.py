@@ -56,12 +56,15 @@ def _owner(name: Column) -> Column:
 
 
 def _index(symbols: DataFrame, by_kind: bool) -> DataFrame:
-    """(repository_id, allowed, place, scope, key, seen, candidates, symbol_id): counts of what each key stands for."""
+    """(repository_id, allowed, place, scope, key, seen, candidates, symbol_id): counts of what each key stands for.
+
+    A symbol of one row has each of its keys once, so that only the keys of ids with several rows are made distinct."""
+    symbols = symbols.withColumn("several", F.count("*").over(Window.partitionBy("symbol_id")) > 1)
     entry = lambda place, key, scope=F.lit(""): F.named_struct(F.lit("place"), F.lit(place), F.lit("scope"), scope, F.lit("key"), key)
     ends = F.transform(F.slice(suffixes(F.col("qualified_name")), 2, F.size(F.split("qualified_name", "\\."))), lambda x: entry("suffix", x))
     entries = F.concat(F.array(entry("qualified", F.col("qualified_name")), entry("name", F.col("name")), entry("file", F.col("name"), F.coalesce("file_id", F.lit("")))), ends)
     allowed = F.array(F.lit("any")) if not by_kind else F.array_compact(F.array(*(F.when(F.col("kind").isin(*kinds), a) for a, kinds in KINDS.items() if a != "imported")))
-    keyed = symbols.select("repository_id", F.explode(allowed).alias("allowed"), "symbol_id", F.lit(True).alias("counted"), entries.alias("entries"))
+    keyed = symbols.select("repository_id", F.explode(allowed).alias("allowed"), "symbol_id", F.lit(True).alias("counted"), "several", F.array_distinct(entries).alias("entries"))
     if by_kind:  # imports find a module by its name, or, if nothing has that name, by its file's path
         module = F.col("kind").isin(*KINDS["imported"])
         parts = F.split(F.regexp_replace("path", "\\\\", "/"), "/")
@@ -70,8 +73,9 @@ def _index(symbols: DataFrame, by_kind: bool) -> DataFrame:
         paths = F.when(F.col("first") & F.col("path").isNotNull(), F.transform(tails, lambda t: entry("path", t))).otherwise(F.slice(entries, 1, 0))
         rank = F.row_number().over(Window.partitionBy("repository_id", "file_id", module).orderBy("qualified_name", "symbol_id"))
         ranked = symbols.withColumn("first", module & (rank == 1))
-        keyed = keyed.union(ranked.select("repository_id", F.lit("imported"), "symbol_id", F.coalesce(module, F.lit(False)), F.concat(F.array(entry("qualified", F.col("qualified_name"))), paths)))
-    each = keyed.select("repository_id", "allowed", "symbol_id", "counted", F.explode("entries").alias("e")).select("repository_id", "allowed", "e.*", "symbol_id", "counted").distinct()
+        keyed = keyed.union(ranked.select("repository_id", F.lit("imported"), "symbol_id", F.coalesce(module, F.lit(False)), "several", F.array_distinct(F.concat(F.array(entry("qualified", F.col("qualified_name"))), paths))))
+    rows = lambda which: keyed.where(which).select("repository_id", "allowed", "symbol_id", "counted", F.explode("entries").alias("e")).select("repository_id", "allowed", "e.*", "symbol_id", "counted")
+    each = rows("NOT several").union(rows("several").distinct())
     return each.groupBy("repository_id", "allowed", "place", "scope", "key").agg(F.count("*").alias("seen"), F.count_if("counted").alias("candidates"), F.min(F.when(F.col("counted"), F.col("symbol_id"))).alias("symbol_id"))
 
 

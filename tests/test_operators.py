@@ -118,6 +118,18 @@ def test_budget_skips_what_does_not_fit(spark):
     assert [(r["rk"], r["admitted"], r["used"]) for r in packing.admit(rows, [F.col("rk")], F.col("cost"), 10).orderBy("rk").collect()] == [(1, True, 5), (2, False, 5), (3, True, 9), (4, True, 10), (5, False, 10)]
 
 
+def test_symbols_of_one_row_are_counted_without_a_table_of_all_keys(spark):
+    rows = [(k, f"a{k % 3}.b{k % 5}.c{k % 7}") for k in range(1050)] + [(1, "a1.b1.c1"), (2, "z.b2.c2"), (3, "z.b3.c3.c3")]
+    symbols = spark.createDataFrame(rows, "symbol_id int, qualified_name string")
+    asked = ["c1", "b2.c2", "z.b2.c2", "c3", "c3.c3", "a1.b1.c1"]
+    found = code_graph.resolve(spark.createDataFrame([(a,) for a in asked], "reference string"), symbols)
+    ids = lambda a: {k for k, n in rows if n == a} or {k for k, n in rows if n.split(".")[-1] == a} or {k for k, n in rows if n.endswith(f".{a}")}
+    assert {r["reference"]: r["candidates"] for r in found.collect()} == {a: len(ids(a)) for a in asked}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    distinct = [k for k, line in enumerate(plan) if "Aggregate [" in line and "symbol_id" in line.split("], [")[0]]
+    assert len(distinct) == 1 and any("Filter" in line and "> 1)" in line for line in plan[distinct[0] :])
+
+
 def test_only_the_budget_bounds_a_project_context(spark):
     rows = spark.createDataFrame([("code" if k < 30 else "vault", f"e{k:03}", "t", k) for k in range(70)], "section string, evidence_id string, title string, rk long")
     assert project.context(rows, 10_000).where("admitted").count() == 70
