@@ -1,8 +1,8 @@
 """A stored keyword index in blocks that know their greatest share of a score, so that a search leaves most of them unread.
 
-Rows that a task reads one after the other are a range. A block holds the postings of one token in one range, and beside them
-its front: the largest counts of the token with the shortest rows that have them, which bound the token's share of any score in
-the block. A search adds these bounds up for each range, scores the ranges with the greatest sums first, and reads of the others
+Rows that a task reads one after the other are a range. A block holds the postings of one token in one range, or in several if
+it has few in each, so that a rare token's ranges share a stored row; and beside them its front: the largest counts of the token
+with the shortest rows that have them, which bound the token's share of any score in the block. A search adds these bounds up for each range, scores the ranges with the greatest sums first, and reads of the others
 only those that can still reach the k best. Tokens that together can't lift a row to the k-th score are read last, in the ranges
 where a row still can with what its other tokens give it.
 
@@ -31,8 +31,9 @@ from ..functions.text import tokens
 from .keyword import B, FIELDS, IDF_FLOOR, K1, query_phrases, ranked
 
 #: Rows of a range, of which an index of fewer rows has RANGES about; ranges whose blocks of a token one task writes at most; characters of text for each partition by token,
-#: and the most such partitions; packed bytes that a task unpacks and sorts at once.
-RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS, UNPACKED = 1024, 256, 256, 1 << 23, 4096, 1 << 21
+#: and the most such partitions, as packed rows and files are ranges times partitions, which shall not grow together; packed bytes that
+#: a task unpacks and sorts at once; postings of a token with which a block is full, and takes no further range.
+RANGE, RANGES, TOGETHER, BUCKET_CHARS, MOST_BUCKETS, UNPACKED, FULL = 1024, 256, 64, 1 << 23, 64, 1 << 22, 64
 #: Blocks that a task writes, or reads the postings of, at once.
 AT_ONCE, READ_AT_ONCE = 4096, 64
 #: Ranges of the greatest bounds that are scored before the bounds of the others are looked at: so many, and if that leaves
@@ -43,11 +44,14 @@ MOST_WRITERS, _WRITERS = 64, "spark.sql.maxConcurrentOutputFileWriters"
 #: A place is the position of a token in its field, times this, and the number of the field.
 MOST_FIELDS = 16
 
-HEADS = "token string, range bigint, n bigint, total bigint, front array<struct<f:int,length:int>>"
-#: A block's postings as numbers side by side, and the types of the four columns; masks are left out for a single field.
-PACKED = ("lengths", "counts", "masks", "places")
+HEADS = "token string, ranges array<bigint>, n bigint, total bigint, front array<struct<f:int,length:int>>"
+#: A block's postings as numbers side by side, and the types of the five columns; ``at`` says which of the block's ranges, masks are
+#: left out for a single field.
+PACKED = ("at", "lengths", "counts", "masks", "places")
 LISTS = "kinds string, " + ", ".join(f"{c} binary" for c in PACKED)
 MINUS, STATISTICS = "token string, n bigint", "n bigint, total bigint, minus_n bigint, minus_total bigint, buckets int"
+#: What a part without folds has taken away: tokens, and one row without a token, of the rows and tokens in all.
+MINUS_ROWS = f"{MINUS}, total bigint"
 
 
 @dataclass(frozen=True)
@@ -74,6 +78,22 @@ def _starts(*sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, (c[1:] != c[:-1] for c in sorted_)))))
 
 
+def _sorted(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by these keys, each of which is not negative and below 2 ** 32: numpy sorts 16 bits in linear time."""
+    order = None
+    for key in reversed(keys):
+        top = int(key.max()) if len(key) else 0
+        for shift in (0, 16)[: 1 + (top >> 16 > 0)]:
+            digit = (key >> shift & 0xFFFF).astype(np.uint16)
+            order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+def _buckets(found: pa.Array, number: int) -> np.ndarray:
+    """The partition of each token."""
+    return np.fromiter(map(zlib.crc32, found.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(found)) % number
+
+
 def _first(sizes: np.ndarray) -> np.ndarray:
     """Where runs of these sizes begin."""
     return np.cumsum(sizes) - sizes
@@ -131,7 +151,7 @@ class Postings:
             words.append(column.flatten())
         encoded = pa.concat_arrays(words).dictionary_encode()
         code, row, place = encoded.indices.to_numpy(), np.concatenate(rows), np.concatenate(pos) * MOST_FIELDS + np.concatenate(field)
-        order = np.argsort(code.astype(np.int64) * len(kept[0]) + row, kind="stable")
+        order = _sorted(code, row) if len(fields) > 1 else _sorted(code)  # a single field's rows are in order
         code, row = code[order], row[order]
         entry = _starts(code, row)
         block = _starts(code[entry])
@@ -146,7 +166,7 @@ class Postings:
 
     def pack(self, bucket: np.ndarray, number: int) -> pa.RecordBatch:
         """One row for each bucket of tokens, with the rows that have them; ``bucket``: that of each token."""
-        order = np.argsort(bucket, kind="stable")
+        order = _sorted(bucket)
         own, bucket, rows = self.ordered(order), bucket[order], len(self.length)
         token = _starts(bucket)
         entry = _first(own.n)[token]
@@ -178,23 +198,36 @@ class Postings:
         encoded = all_.tokens.dictionary_encode()
         rank = np.empty(len(encoded.dictionary), np.int64)
         rank[pc.array_sort_indices(encoded.dictionary).to_numpy()] = np.arange(len(rank))
-        order = np.argsort(rank[encoded.indices.to_numpy()], kind="stable")
+        order = _sorted(rank[encoded.indices.to_numpy()])
         return all_.ordered(order), np.repeat([p["range"].as_py() for p in packed], sizes)[order]
 
+    def gathered(self) -> tuple[Postings, np.ndarray]:
+        """Of tokens by range: the same with successive ranges of a token as one until it is full, and where each begins."""
+        token = np.cumsum(np.concatenate(([True], pc.not_equal(self.tokens[1:], self.tokens[:-1]).to_numpy(zero_copy_only=False)))[: len(self.n)]) - 1
+        before = _first(self.n)
+        begins = _starts(token, (before - before[_starts(token)][token]) // FULL)
+        n = np.add.reduceat(self.n, begins) if len(begins) else self.n
+        return Postings(self.tokens.take(pa.array(begins)), n, self.who, self.count, self.place, self.kept, self.length), begins
+
     def blocks(self, number: np.ndarray, fields: int) -> pa.RecordBatch:
-        """One row a token; ``number``: the range of each."""
+        """One row for each block of tokens by range; ``number``: the range of each."""
+        own, begins = self.gathered()
+        at = np.repeat(np.arange(len(number)) - np.repeat(begins, np.diff(np.append(begins, len(number)))), self.n)
+        return own._rows(_lists(pa.array(number, pa.int64()), begins), at, fields)
+
+    def _rows(self, ranges: pa.ListArray, at: np.ndarray, fields: int) -> pa.RecordBatch:
         first_entry, first_place = _first(self.n), _first(self.count)
         of = np.repeat(np.arange(len(self.n)), self.n)
         first, length = first_place[first_entry], self.length[self.who]
         octave = np.floor(np.log2(self.count)).astype(np.int64)
-        ladder = np.argsort(of * 64 + octave, kind="stable")
+        ladder = _sorted(of, octave)
         step = _starts(of[ladder], octave[ladder])
         rungs = pa.StructArray.from_arrays([pa.array(f.reduceat(x[ladder], step), pa.int32()) for f, x in ((np.maximum, self.count), (np.minimum, length))], names=["f", "length"])
         mask = np.bitwise_or.reduceat(1 << (self.place % MOST_FIELDS), first_place) if fields > 1 else self.n[:0]
-        numbers = {"lengths": (length, first_entry), "counts": (self.count, first_entry), "masks": (mask, first_entry if fields > 1 else first_entry * 0), "places": (self.place, first)}
+        numbers = {"at": (at, first_entry), "lengths": (length, first_entry), "counts": (self.count, first_entry), "masks": (mask, first_entry if fields > 1 else first_entry * 0), "places": (self.place, first)}
         kinds = "".join(_kind(numbers[c][0]) for c in PACKED)
         columns = {
-            "token": self.tokens, "range": pa.array(number, pa.int64()), "n": pa.array(self.n, pa.int64()), "total": pa.array(np.diff(np.append(first, len(self.place))), pa.int64()),
+            "token": self.tokens, "ranges": ranges, "n": pa.array(self.n, pa.int64()), "total": pa.array(np.diff(np.append(first, len(self.place))), pa.int64()),
             "front": _lists(rungs, _starts(of[ladder][step])), **{f"k{i}": _lists(c.take(pa.array(self.who)), first_entry) for i, c in enumerate(self.kept)},
             "kinds": pa.array([kinds] * len(self.n), pa.string()), **{c: _bytes(*numbers[c], k) for c, k in zip(PACKED, kinds, strict=True)},
         }
@@ -246,9 +279,17 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
                 part = batch.slice(at, range_rows)
                 whole = Postings.of(part.columns[:n_kept], part.columns[n_kept : n_kept + n_fields])
                 if len(whole.tokens):
-                    yield whole.pack(np.array([zlib.crc32(t.encode()) % buckets for t in whole.tokens.to_pylist()] if buckets > 1 else [0] * len(whole.tokens), np.int64), number)
+                    yield whole.pack(_buckets(whole.tokens, buckets), number)
                 number += 1
 
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many rows each token is, and, without a token, the number of rows and of their tokens."""
+        for batch in batches:
+            for at in range(0, len(batch), RANGE):
+                part = batch.slice(at, RANGE)
+                own = Postings.of(part.columns[:1], part.columns[1:])
+                yield pa.record_batch([pa.concat_arrays([own.tokens, pa.array([None], pa.string())]), pa.array(np.append(own.n, len(part))), pa.array(np.append(own.n * 0, own.length.sum()))], names=["token", "n", "total"])
+
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks by bucket, token and range."""
         found: dict[int, list[dict]] = {}
@@ -280,16 +321,15 @@ def write(corpus: DataFrame, keys: Sequence[str], fields: Sequence[str], root: s
     if folds:
         kinds = {"blocks": HEADS, "minus": MINUS, "statistics": STATISTICS}
         read = lambda name: [spark.read.schema(kinds[name]).parquet(f"{f}/{name}") for f in folds]
-        net = [counts(1, written), *(counts(-1, b) for b in read("blocks")), *(counts(1, m) for m in read("minus"))]
+        net = [counts(1, written), *(counts(-1, b) for b in read("blocks")), *(counts(1, m.where("token IS NOT NULL")) for m in read("minus"))]
         counts(1, reduce(DataFrame.union, net)).where("n <> 0").write.parquet(f"{root}/minus")
         before = [r.first() for r in read("statistics")]
         minus = F.lit(sizes["n"] - sum(r["n"] - r["minus_n"] for r in before)).cast("bigint"), F.col("total") - sum(r["total"] - r["minus_total"] for r in before)
         sums = spark.range(1)
     else:
         lost = _split((spark.createDataFrame([], corpus.schema) if removed is None else removed).withColumn("seshat_row", F.lit(1)), ["seshat_row"], fields)
-        every = F.flatten(F.array(*(f"t{i}" for i in range(n_fields))))
-        counts(1, lost.select(F.explode(F.array_distinct(every)).alias("token"), F.lit(1).cast("bigint").alias("n"))).write.parquet(f"{root}/minus")
-        sums = lost.agg(F.count("*").alias("lost_n"), F.coalesce(F.sum(reduce(add, (F.size(f"t{i}") for i in range(n_fields)))), F.lit(0)).alias("lost_total"))
+        lost.mapInArrow(taken, MINUS_ROWS).groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).write.parquet(f"{root}/minus")
+        sums = spark.read.schema(MINUS_ROWS).parquet(f"{root}/minus").where("token IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lost_n"), F.coalesce(F.sum("total"), F.lit(0)).alias("lost_total"))
         minus = F.col("lost_n"), F.col("lost_total")
     total = written.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     total.join(sums).select(F.lit(sizes["n"]).cast("bigint").alias("n"), "total", minus[0].alias("minus_n"), minus[1].alias("minus_total"), F.lit(int(buckets)).alias("buckets")).write.parquet(f"{root}/statistics")
@@ -311,22 +351,29 @@ class BlockIndex:
         self.n, self.total = (sum(r[c] - r[f"minus_{c}"] for r in rows) for c in ("n", "total"))
         self._buckets = [r["buckets"] for r in rows]
 
-    def _blocks(self, wanted: Sequence[str]) -> DataFrame:
+    def _stored_blocks(self, wanted: Sequence[str]) -> DataFrame:
         """Blocks of tokens in all parts, with part; scans are pruned to the tokens' partitions and their row groups."""
         found = []
         for k, (stored, buckets) in enumerate(zip(self._stored, self._buckets, strict=True)):
             if stored is not None:
-                own = [zlib.crc32(t.encode()) % buckets for t in wanted]
+                own = _buckets(pa.array(wanted, pa.string()), buckets).tolist()
                 found.append(stored.where(F.col("bucket").isin(*set(own)) & F.col("token").isin(*wanted)).withColumn("part", F.lit(k)))
         if not found:
             raise ValueError("the index has no tokens")
         return reduce(DataFrame.unionByName, found)
 
+    def _blocks(self, wanted: Sequence[str]) -> DataFrame:
+        """The same by range: a block of several is a row for each, with the number ``pos`` of its range."""
+        found = self._stored_blocks(wanted)
+        return found.select(*(c for c in found.columns if c != "ranges"), F.posexplode("ranges").alias("pos", "range"))
+
     def _entries(self, blocks: DataFrame, *, places: bool = False) -> DataFrame:
-        """(part, range, token, keys, owner, length, f, mask, places) of the blocks' rows that no later part has taken away."""
+        """(part, range, token, keys, owner, length, f, mask, places) of the blocks' rows that no later part has taken away; of
+        stored blocks all rows, without range."""
         kept, n_fields = [*dict.fromkeys([*self.keys, *self.owner])], len(self.fields)
         types = dict(blocks.dtypes)
-        columns = ["part", "range", "token", *(f"k{i}" for i in range(len(kept))), "kinds", "lengths", "counts", *(["masks"] if n_fields > 1 else []), *(["places"] if places else [])]
+        one = ["pos", "range"] if "pos" in types else []
+        columns = ["part", "token", *one, *(f"k{i}" for i in range(len(kept))), "kinds", "at", "lengths", "counts", *(["masks"] if n_fields > 1 else []), *(["places"] if places else [])]
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -334,13 +381,14 @@ class BlockIndex:
                     some = dict(zip(columns, batch.slice(at, READ_AT_ONCE).columns, strict=True))
                     kinds = list(zip(*some["kinds"].to_pylist(), strict=True))
                     numbers = {c: _numbers([x.as_buffer() for x in some[c]], k) for c, k in zip(PACKED, kinds, strict=True) if c in some}
-                    of = pa.array(np.repeat(np.arange(len(some["part"])), some["k0"].value_lengths().to_numpy(zero_copy_only=False)))
-                    counts, small = numbers["counts"], lambda x: pa.array(x, pa.int32())
-                    found = [*(some[c].take(of) for c in ("part", "range", "token")), *(some[f"k{i}"].flatten() for i in range(len(kept))), small(numbers["lengths"]), small(counts), small(numbers.get("masks", np.ones(len(counts), np.int64)))]
-                    yield pa.record_batch(found + ([_lists(small(numbers["places"]), _first(counts))] if places else []), names=names)
-
-        names = ["part", "range", "token", *kept, "length", "f", "mask", *(["places"] if places else [])]
-        schema = f"part int, range bigint, token string, {', '.join(f'`{c}` ' + types[f'k{i}'][len('array<') : -1] for i, c in enumerate(kept))}, length int, f int, mask int" + (", places array<int>" if places else "")
+                    of = np.repeat(np.arange(len(some["part"])), some["k0"].value_lengths().to_numpy(zero_copy_only=False))
+                    here = np.flatnonzero(numbers["at"] == some["pos"].to_numpy()[of]) if one else np.arange(len(of))
+                    counts, small, taken, block = numbers["counts"], lambda x: pa.array(x, pa.int32()), pa.array(here), pa.array(of[here])
+                    found = [*(some[c].take(block) for c in ("part", "token", *one[1:])), *(some[f"k{i}"].flatten().take(taken) for i in range(len(kept))), small(numbers["lengths"][here]), small(counts[here]), small(numbers["masks"][here] if n_fields > 1 else np.ones(len(here)))]
+                    yield pa.record_batch(found + ([_lists(small(numbers["places"][_spans(_first(counts)[here], counts[here])]), _first(counts[here]))] if places else []), names=names)
+
+        names = ["part", "token", *one[1:], *kept, "length", "f", "mask", *(["places"] if places else [])]
+        schema = f"part int, token string, {'range bigint, ' if one else ''}{', '.join(f'`{c}` ' + types[f'k{i}'][len('array<') : -1] for i, c in enumerate(kept))}, length int, f int, mask int" + (", places array<int>" if places else "")
         entries = blocks.select(*columns).mapInArrow(opened, schema)
         gone = [p.gone.select(*(F.col(c).alias(f"seshat_{c}") for c in self.owner), F.lit(k).alias("seshat_by")) for k, p in enumerate(self.parts) if p.gone is not None]
         if not gone:
@@ -351,7 +399,7 @@ class BlockIndex:
 
     def frequencies(self, wanted: Sequence[str]) -> dict[str, int]:
         """In how many rows each token is."""
-        blocks = self._blocks(wanted).groupBy("token").agg(F.sum("n").alias("n"))
+        blocks = self._stored_blocks(wanted).groupBy("token").agg(F.sum("n").alias("n"))
         minus = [self.spark.read.schema(MINUS).parquet(f"{p.root}/minus").where(F.col("token").isin(*wanted)) for p in self.parts]
         lost = reduce(DataFrame.union, minus).groupBy("token").agg(F.sum(-F.col("n")).alias("n"))
         return {r["token"]: r["n"] for r in blocks.union(lost).groupBy("token").agg(F.sum("n").alias("n")).collect()}  # one row a token
@@ -445,7 +493,7 @@ class BlockIndex:
     def phrase_counts(self, phrases: list[list[str]]) -> DataFrame:
         """keys, length, f0, f1, ... and fields for each row that has a phrase."""
         wanted = sorted({t for p in phrases for t in p})
-        rows = self._entries(self._blocks(wanted), places=True)
+        rows = self._entries(self._stored_blocks(wanted), places=True)
         at = rows.groupBy(*self.keys, "length").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("at"))
         none = F.array().cast("array<int>")
 

@@ -202,6 +202,29 @@ def test_a_token_that_cannot_lift_a_row_is_read_last(spark, tmp_path):
     assert read["the"][0] == 160 and read["the"][1] < 40
 
 
+def test_rare_tokens_of_many_ranges_share_a_stored_block(spark, tmp_path):
+    rows = [(k, f"v{k % 4}", " ".join(["the"] * (1 + k % 3) + [f"odd{k % 50}"] * (1 + k % 2) + [f"mid{k % 3}", f"own{k}", "near by"])) for k in range(600)]
+    make = lambda r: spark.createDataFrame(r, "id int, o string, text string").coalesce(1)
+    roots = [str(tmp_path / n) for n in "ab"]
+    block_index.write(make(rows), ["id"], ["text"], roots[0], owner=["o"], range_rows=4)
+    stored = spark.read.parquet(f"{roots[0]}/blocks")
+    kept = {r["token"]: (r["rows"], r["ranges"]) for r in stored.groupBy("token").agg(F.count("*").alias("rows"), F.sum(F.size("ranges")).alias("ranges")).collect()}
+    assert kept["odd7"] == (1, 12) and kept["own9"] == (1, 1) and kept["the"][1] == 150 and kept["the"][0] <= 600 / block_index.FULL + 1
+    removed = [r for r in rows if r[1] == "v1"]
+    fresh = [(1000 + k, "v1", f"odd7 the own{k}") for k in range(20)]
+    block_index.write(make(fresh), ["id"], ["text"], roots[1], owner=["o"], removed=make(removed))
+    minus = {r["token"]: (r["n"], r["total"]) for r in spark.read.parquet(f"{roots[1]}/minus").collect()}
+    assert minus["the"] == (150, 0) and minus["own1"] == (1, 0) and minus[None] == (150, sum(len(r[2].split()) for r in removed))
+    gone = make(fresh[:1]).select("o")
+    columns = lambda df: [(r["id"], r["score"], r["fields"], r["rk"]) for r in df.collect()]
+    for parts, now in (([], rows), ([block_index.Part(roots[1], gone)], [r for r in rows if r[1] != "v1"] + fresh)):
+        index = block_index.BlockIndex(spark, [block_index.Part(roots[0]), *parts], ["id"], ["text"], ["o"])
+        for query, k in (("odd7", 5), ("odd7 own9 the", 3), ("odd7 odd8 mid1", 40), ("near_by odd3", 7), ("the mid2", 700), ("own1", 2)):
+            assert columns(index.search(query, k)) == columns(keyword.search(make(now), query, ["id"], k)), query
+    found = [(r["token"], r["blocks"]) for r in block_index.BlockIndex(spark, [block_index.Part(roots[0])], ["id"], ["text"]).reading("odd7 the", 2).orderBy("token").collect()]
+    assert found == [("odd7", 12), ("the", 150)]
+
+
 def test_packed_ranges_hold_what_was_put_in():
     rng, words = np.random.default_rng(5), [f"w{k}" for k in range(500)]
     lists = [[words[w] for w in rng.integers(0, 500, rng.integers(0, 90))] for _ in range(64)]
